@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from willowfold.llm.shared import small_batches, stash
 
-KEPT_WORDS = 700_000
+KEPT_WORDS = 500_000
 STEP = 512
 SHARD_ROWS = 4096
 SEGMENT_IDS = 1 << 22
@@ -146,7 +147,12 @@ class WaveletMatrix:
 
 
 class WordIds:
-    """Ids of whole texts by a tokenizer file that drops white space, each word asked for once."""
+    """Ids of whole texts by a tokenizer file that drops white space, each word looked at once.
+
+    A word of ASCII characters and Latin letters is cut further into the pieces of the file's pattern, which words with
+    other capitals or punctuation share; the library is asked for new pieces, and for all other words as they are.
+    Both tables keep what was asked for since the last aging or the one before.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -156,20 +162,44 @@ class WordIds:
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.kind = np.uint16 if self.bits <= 16 else np.uint32
         self.code = "H" if self.kind is np.uint16 else "I"
-        self.words: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        # only blank, line feed and tab cut here; any other white space stays inside a word, for the tokenizer
-        cut = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = list(set().union(*cut).difference(self.words))
-        if len(self.words) + len(new) > KEPT_WORDS:
-            wanted = set().union(*cut)
-            self.words = {w: i for w, i in self.words.items() if w in wanted or not w}
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
+    def _ask(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        for at in range(0, len(texts), 8192):
+            part = texts[at : at + 8192]
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.words.update((w, array(self.code, e.ids).tobytes()) for w, e in zip(part, found, strict=True))
-        return [b"".join(map(self.words.__getitem__, words)) for words in cut]
+            yield from zip(part, (array(self.code, e.ids).tobytes() for e in found), strict=True)
+
+    def _learn(self, new: set[str]) -> None:
+        old, words = self.old, self.words
+        words.update([(w, old[w]) for w in new if w in old])
+        new = new.difference(words)
+        cut = {w: _PIECE.findall(w.lower()) for w in new if _PLAIN(w)}
+        if len(self.pieces) > KEPT_WORDS:
+            self.pieces.clear()
+        pieces = self.pieces
+        pieces.update(self._ask(list(set().union(*cut.values()).difference(pieces))))
+        get = pieces.__getitem__
+        words.update((w, b"".join(map(get, own))) for w, own in cut.items())
+        words.update(self._ask([w for w in new if w not in cut]))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [_SPACE.split(t) if any(c in t for c in _ODD) else t.split() for t in texts]
+        if len(self.words) > KEPT_WORDS:
+            self.old, self.words = self.words, {}
+        self._learn(set().union(*cut).difference(self.words))
+        get = self.words.__getitem__
+        return [b"".join(map(get, words)) for words in cut]
+
+
+#: str.split() takes these for white space, the tokenizer does not; texts with them are cut at blanks and line feeds only.
+_ODD = "\x1c\x1d\x1e\x1f"
+_SPACE = re.compile("[ \n]+")
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+# Fixed value: the file's own pattern, for lower-case words of those characters.
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
 @lru_cache(maxsize=2)
