@@ -14,7 +14,7 @@ Law: ``rows`` - the counts of shards are at most one apart.
 
 Defined results: a null text has 16 bytes and the CRC of no bytes; rows with equal ids or texts are rows of
 their own; a null source belongs to an old shard of its own; rows of one id and
-one text may move together, beyond the law; slots follow doc_id, nulls first, then size and text; an empty table gives no rows; other columns are neither read nor written.
+one text may move together, beyond the law; slots follow doc_id, nulls first, then size and CRC; an empty table gives no rows; other columns are neither read nor written.
 """
 
 from __future__ import annotations
@@ -156,8 +156,9 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = SHARDS, id_col: st
     """
     found, changed = assign(docs, old_shard, shards, id_col, text_col)
     is_changed = F.col("shard").isin(changed) if changed else F.lit(False)
-    written = ranked(found.where(is_changed).select("shard", "doc_id", "size", "text"), ["shard"], ["doc_id", "size", "text"], "slot")
-    written = written.select("doc_id", "size", F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), "shard", "slot")
-    kept = found.where(~is_changed).select("shard", "doc_id", "size", F.col("place.crc").alias("text_crc32"))
-    kept = ranked(kept, ["shard"], ["doc_id", "size", "text_crc32"], "slot")
+    order = ["doc_id", "size", "text_crc32"]
+    found = found.withColumn("text_crc32", F.col("place.crc"))
+    of_file = {"doc_id": F.col("doc_id"), "size": F.col("size"), "text_crc32": F.crc32(F.encode("text", "UTF-8")), "shard": F.col("shard")}
+    written = ranked(found.where(is_changed).select("shard", *order, "text"), ["shard"], order, "slot", read=of_file)
+    kept = ranked(found.where(~is_changed).select("shard", *order), ["shard"], order, "slot").select(*of_file, "slot")
     return written.unionByName(kept)

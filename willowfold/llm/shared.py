@@ -59,12 +59,13 @@ def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") ->
     return docs.join(hinted(dropped, dropped.count()), id_col, "left_anti").select(docs.columns)
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, read: dict[str, Column] | None = None) -> DataFrame:
     """Add ``name``: 0, 1, ... within equal keys by order, without a task that holds a whole key.
 
     Rows are range-partitioned on keys and order, numbered within their partition, and shifted by the
     counts of the partitions before; only those counts meet, a row for each (partition, key).
-    keys must not be null.
+    keys must not be null.  read: columns to make of the sorted rows where they are read back, in place of all; wide
+    columns then stay out of what follows.  Do not sort by wide columns, since the bounds are found from a sample of the order.
     """
     columns = df.columns
     placed = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
@@ -72,8 +73,11 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataF
     placed = stash(placed, "ranked")
     runs = placed.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return placed.join(runs, ["_part", *keys]).select(*columns, (F.col("_row") - F.col("_first") + F.col("_before")).alias(name))
+    runs = stash(runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))), "rank-runs")
+    if read is not None:
+        columns = list(read)
+        placed = placed.select("_part", "_row", *keys, *[c.alias(n) for n, c in read.items() if n not in keys])
+    return placed.join(hinted(runs, runs.count()), ["_part", *keys]).select(*columns, (F.col("_row") - F.col("_first") + F.col("_before")).alias(name))
 
 
 def _signature(edges: DataFrame) -> tuple:
