@@ -16,6 +16,7 @@ overlap the one with more matched words stays, then the shorter template, the ea
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -96,12 +97,17 @@ class Index:
         return found
 
 
+def band_of(template: list[int]) -> int:
+    """Words that an alignment may be off its diagonal; less for short templates, which may follow each other closely."""
+    return max(1, min(BAND, (len(template) - 1) // 2))
+
+
 def align(template: list[int], words: list[int]) -> list[int]:
     """Positions in words aligned to equal words of the template, in order, most of them, within the band.
 
-    The diagonal runs from words[BAND]; ties prefer the earlier place.
+    The diagonal runs from the word after the band; ties prefer the earlier place.
     """
-    width = 2 * BAND + 1
+    width = 2 * band_of(template) + 1
     best = [[0] * (width + 2) for _ in range(len(template) + 1)]  # best[i][k]: template[i:], words[i + k - 1:]
     for i in range(len(template) - 1, -1, -1):
         row, below = best[i], best[i + 1]
@@ -135,18 +141,22 @@ def scan(text: str, index: Index, min_coverage: float = MIN_COVERAGE) -> list[di
     found = []
     for name, places in sorted(seeds.items()):
         template, last = index.words[name], None
+        band = band_of(template)
         for place in sorted(set(places)):
-            if last is not None and place - last <= BAND:
+            if last is not None and place - last <= band:
                 continue
             last = place
-            begin = place - BAND
-            part = [0] * max(0, -begin) + words[max(0, begin) : place + len(template) + BAND]
+            begin = place - band
+            part = [0] * max(0, -begin) + words[max(0, begin) : place + len(template) + band]
             hits = [begin + i for i in align(template, part)]
             if hits and len(hits) >= min_coverage * len(template):
                 found.append((len(hits), hits[0], hits[-1], name))
-    taken: list[tuple[int, int, int, str]] = []
+    taken, starts, stops = [], [], []
     for match in sorted(found, key=lambda x: (-x[0], len(index.words[x[3]]), x[1], x[3])):
-        if all(match[1] > t[2] or match[2] < t[1] for t in taken):
+        at = bisect.bisect_left(starts, match[1])  # those taken do not overlap, so the neighbours tell
+        if (at == len(starts) or match[2] < starts[at]) and (at == 0 or stops[at - 1] < match[1]):
+            starts.insert(at, match[1])
+            stops.insert(at, match[2])
             taken.append(match)
     return [
         {"license": name, "coverage": n / len(index.words[name]), "matched_words": n, "template_words": len(index.words[name]), "start": spans[a][0], "end": spans[b][1]}
