@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,13 +14,31 @@ def midrank(df: DataFrame, value: str, member: str, keys: list[str], name: str,
     no member gives null.  Values are counted first, so the window runs over distinct values only, and no row
     meets another; rows fetch their place by an equi-join.
     """
-    own = df.where(F.col(value).isNotNull())
-    counts = own.groupBy(*keys, value).agg(F.count_if(F.col(member)).alias("_equal"))
+    places = _places(df.where(F.col(value).isNotNull()), value, member, keys, F.lit(inverse)).withColumnRenamed("_place", name)
+    return df.join(places, [*keys, value], "left").select(*df.columns, name)
+
+
+def _places(rows: DataFrame, value: str, member: str, keys: list[str], inverse: Column) -> DataFrame:
+    """(keys, value, _place) of every distinct value."""
+    counts = rows.groupBy(*keys, value).agg(F.count_if(F.col(member)).alias("_equal"))
     before = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_less", F.coalesce(F.sum("_equal").over(before), F.lit(0)))
     counts = counts.withColumn("_n", F.sum("_equal").over(Window.partitionBy(*keys)))
-    worse = F.col("_n") - F.col("_less") - F.col("_equal") if inverse else F.col("_less")
+    worse = F.when(inverse, F.col("_n") - F.col("_less") - F.col("_equal")).otherwise(F.col("_less"))
     raw = 100 * (worse + F.greatest(F.lit(0), F.col("_equal") - 1) / 2) / (F.col("_n") - 1)
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw))
-    place = F.when(F.col("_n") == 1, 50.0).when(F.col("_n") > 1, clamped)
-    return df.join(counts.select(*keys, value, place.alias(name)), [*keys, value], "left").select(*df.columns, name)
+    return counts.select(*keys, value, F.when(F.col("_n") == 1, 50.0).when(F.col("_n") > 1, clamped).alias("_place"))
+
+
+def midranks(df: DataFrame, specs: dict[str, tuple[str, bool]], member: str, keys: list[str], id_col: str) -> DataFrame:
+    """midrank for several values at once: specs maps each new column to its value and whether less is better.
+
+    The values are laid under each other, so all metrics share one count, one window and one join.
+    """
+    each = [F.struct(F.lit(name).alias("_metric"), F.col(value).cast("double").alias("_value")) for name, (value, _) in specs.items()]
+    long = df.select(*keys, id_col, F.col(member).alias("_member"), F.inline(F.array(*each))).where("_value is not null")
+    inverse = F.col("_metric").isin([name for name, (_, less) in specs.items() if less])
+    places = _places(long, "_value", "_member", ["_metric", *keys], inverse)
+    placed = long.join(places, ["_metric", *keys, "_value"])
+    wide = placed.groupBy(*keys, id_col).agg(*[F.max(F.when(F.col("_metric") == name, F.col("_place"))).alias(name) for name in specs])
+    return df.join(wide, [*keys, id_col], "left").select(*df.columns, *specs)

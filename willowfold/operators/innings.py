@@ -9,19 +9,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["match_id", "innings"]
-_order = Window.partitionBy(*KEYS).orderBy("over_no", "ball_no")
-_to_here = _order.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _to_here():
+    return Window.partitionBy(*KEYS).orderBy("over_no", "ball_no").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def legal_ball_number(df: DataFrame) -> DataFrame:
     """Add legal_ball: the running count, so a wide or no-ball repeats the number before it."""
-    return df.withColumn("legal_ball", F.sum(F.col("is_legal").cast("long")).over(_to_here))
+    return df.withColumn("legal_ball", F.sum(F.col("is_legal").cast("long")).over(_to_here()))
 
 
 def innings_progress(df: DataFrame) -> DataFrame:
     """Add score, wickets, balls so far and the run rate per over."""
-    balls = F.sum(F.col("is_legal").cast("long")).over(_to_here)
-    df = df.withColumns({"score": F.sum("total_runs").over(_to_here).cast("long"), "wickets": F.sum(F.col("is_out").cast("long")).over(_to_here), "balls": balls})
+    balls = F.sum(F.col("is_legal").cast("long")).over(_to_here())
+    df = df.withColumns({"score": F.sum("total_runs").over(_to_here()).cast("long"), "wickets": F.sum(F.col("is_out").cast("long")).over(_to_here()), "balls": balls})
     return df.withColumn("run_rate", F.when(F.col("balls") > 0, 6 * F.col("score") / F.col("balls")))
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from willowfold.functions.percentiles import midrank
+from willowfold.functions.percentiles import midranks
 from willowfold.operators.totals import batting_rates, bowling_rates, eligible, totals
+from willowfold.sources.shared_dir import kept
 
 MIN_CELL_BALLS = 60
 MIN_PHASE_BALLS = 60
@@ -53,15 +54,17 @@ def two_axis_overall(x: Column, y: Column, stored: Column | None = None) -> Colu
 
 
 def ratings(cell: DataFrame, role: str, **limits: int) -> DataFrame:
-    """Totals, rates, eligibility, raw and adjusted axes with their percentiles and overall scores of every player."""
+    """Totals, rates, eligibility, raw and adjusted axes with their percentiles and overall scores of every player.
+
+    Balls are read once: cells, and then players, are kept in the shared folder for the steps that read them again.
+    """
+    cell = kept(cell, "cells")
     rates = batting_rates if role == "bat" else bowling_rates
     df = rates(totals(cell)).withColumn("eligible", eligible(role, **limits))
     df = df.join(adjusted_indices(attach_par(cell, par_rates(cell)), role), "player")
-    df = df.withColumn("role", F.lit(role))
-    for name, (value, inverse) in zip(("raw_x_pct", "raw_y_pct"), RAW[role], strict=True):
-        df = midrank(df, value, "eligible", ["role"], name, inverse)
-    for name, value in (("adj_x_pct", "adj_x"), ("adj_y_pct", "adj_y")):
-        df = midrank(df, value, "eligible", ["role"], name)
+    df = kept(df.withColumn("role", F.lit(role)), "players")
+    axes = dict(zip(("raw_x_pct", "raw_y_pct", "adj_x_pct", "adj_y_pct"), (*RAW[role], ("adj_x", False), ("adj_y", False)), strict=True))
+    df = midranks(df, axes, "eligible", [], "player")
     return df.withColumns({
         "raw_overall": two_axis_overall(F.col("raw_x_pct"), F.col("raw_y_pct")),
         "adj_overall": two_axis_overall(F.col("adj_x_pct"), F.col("adj_y_pct")),
@@ -70,12 +73,12 @@ def ratings(cell: DataFrame, role: str, **limits: int) -> DataFrame:
 
 def phase_score(cell: DataFrame, role: str, min_phase_balls: int = MIN_PHASE_BALLS, **limits: int) -> DataFrame:
     """(player, phase, balls, pct): mean of both adjusted percentiles within the phase, for eligible players with enough balls."""
+    cell = kept(cell, "cells")
     rated = totals(cell).where(eligible(role, **limits)).select("player")
     balls = totals(cell, by_phase=True).where("phase <> 'all'").select("player", "phase", "balls")
     df = adjusted_indices(attach_par(cell, par_rates(cell)), role, by_phase=True).where("phase <> 'all'")
     df = df.join(balls, ["player", "phase"]).join(rated, "player", "left_semi").where(F.col("balls") >= min_phase_balls).withColumn("member", F.lit(True))
-    for name, value in (("x_pct", "adj_x"), ("y_pct", "adj_y")):
-        df = midrank(df, value, "member", ["phase"], name)
+    df = midranks(df, {"x_pct": ("adj_x", False), "y_pct": ("adj_y", False)}, "member", ["phase"], "player")
     return df.select("player", "phase", "balls", ((F.col("x_pct") + F.col("y_pct")) / 2).alias("pct"))
 
 

@@ -18,7 +18,7 @@ from willowfold.operators import serve, venues
 from willowfold.operators import totals as tt
 from willowfold.plans import adapters as ad
 from willowfold.sources import cricket
-from willowfold.sources.shared_dir import new_dir
+from willowfold.sources.shared_dir import kept, new_dir
 from willowfold.streaming import scoreboard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,7 +216,7 @@ def _(s, d):
 
 @query("jn3_attach_par", "SELECT player, opponent, phase, balls, round(expected_runs, 6) AS expected_runs, round(expected_outs, 6) AS expected_outs FROM bat_exp", *BAT_I[:-1])
 def _(s, d):
-    c = cells(s, d, "bat")
+    c = kept(cells(s, d, "bat"), "cells")
     df = rt.attach_par(c, rt.par_rates(c))
     return _r(df.select("player", "opponent", "phase", "balls", "expected_runs", "expected_outs"), "expected_runs", "expected_outs")
 
@@ -251,9 +251,7 @@ def _(s, d):
   row_number() OVER (PARTITION BY a.player ORDER BY (a.raw_x_pct - b.raw_x_pct)^2 + (a.raw_y_pct - b.raw_y_pct)^2, b.player) AS rn
   FROM rated a JOIN rated b ON b.eligible AND NOT b.is_focus AND a.player <> b.player AND a.raw_x_pct IS NOT NULL AND a.raw_y_pct IS NOT NULL AND b.raw_x_pct IS NOT NULL AND b.raw_y_pct IS NOT NULL) WHERE rn = 1""", *BAT_R)
 def _(s, d):
-    path = new_dir(s, "rated")
-    rated(s, d, "bat").write.parquet(path)  # the search goes over the players several times
-    return _r(rt.nearest_peer(s.read.parquet(path)), "distance2")
+    return _r(rt.nearest_peer(kept(rated(s, d, "bat"), "rated")), "distance2")  # the search reads the players several times
 
 
 _RANKS_SQL = "ranks AS (SELECT gender, team, as_of, CAST(rank() OVER (PARTITION BY gender, as_of ORDER BY rating DESC) AS INT) AS rank FROM rating WHERE matches >= 40)"
@@ -345,7 +343,7 @@ def _(s, d):
 def _(s, d):
     parts = []
     for role in ("bat", "bowl"):
-        c = cells(s, d, role)
+        c = kept(cells(s, d, role), "cells")
         parts.append(rt.adjusted_indices(rt.attach_par(c, rt.par_rates(c)), role, by_phase=True).withColumn("role", F.lit(role)))
     return _r(parts[0].unionByName(parts[1]), "adj_x", "adj_y")
 

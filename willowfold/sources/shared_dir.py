@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -21,3 +21,10 @@ def new_dir(spark: SparkSession, label: str) -> str:
             _own[context.applicationId] = tempfile.mkdtemp(prefix="spark-willowfold-")
         base = _own[context.applicationId]
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read back: for a small result of a large input that several steps read."""
+    path = new_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
