@@ -5,25 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from willowfold.sources.shared_dir import kept
+
 
 def midrank(df: DataFrame, value: str, member: str, keys: list[str], name: str, inverse: bool = False) -> DataFrame:
     """Add ``name``: where value stands among the members (a boolean column) of equal keys, 0 to 100.
 
     Members count themselves: 100 * (worse + max(0, equal - 1) / 2) / (members - 1), clamped.  A row outside is
     placed by the same formula, with equal the members that share its value.  One member gives 50; a null value or
-    no member gives null.  Values are counted first, so the window runs over distinct values only, and no row
-    meets another; rows fetch their place by an equi-join.
+    no member gives null.  Values are counted first, and rows fetch their place by an
+    equi-join; no row meets another.
     """
     places = _places(df.where(F.col(value).isNotNull()), value, member, keys, F.lit(inverse)).withColumnRenamed("_place", name)
     return df.join(places, [*keys, value], "left").select(*df.columns, name)
 
 
 def _places(rows: DataFrame, value: str, member: str, keys: list[str], inverse: Column) -> DataFrame:
-    """(keys, value, _place) of every distinct value."""
+    """(keys, value, _place) of every distinct value.
+
+    The counts of distinct values are range-partitioned and kept; each part sums its own, and only the sums of the parts
+    meet, so no task holds all values of a metric.
+    """
     counts = rows.groupBy(*keys, value).agg(F.count_if(F.col(member)).alias("_equal"))
-    before = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_less", F.coalesce(F.sum("_equal").over(before), F.lit(0)))
-    counts = counts.withColumn("_n", F.sum("_equal").over(Window.partitionBy(*keys)))
+    counts = kept(counts.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()), "value-counts")
+    sums = counts.groupBy("_part", *keys).agg(F.sum("_equal").alias("_sum"))
+    whole = Window.partitionBy(*keys)  # a row for each part
+    sums = sums.withColumns({"_before": F.coalesce(F.sum("_sum").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_sum").over(whole)})
+    within = Window.partitionBy("_part", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_within", F.coalesce(F.sum("_equal").over(within), F.lit(0)))
+    counts = counts.join(sums, ["_part", *keys]).withColumn("_less", F.col("_before") + F.col("_within"))
     worse = F.when(inverse, F.col("_n") - F.col("_less") - F.col("_equal")).otherwise(F.col("_less"))
     raw = 100 * (worse + F.greatest(F.lit(0), F.col("_equal") - 1) / 2) / (F.col("_n") - 1)
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw))

@@ -46,11 +46,15 @@ def attach_match(deliveries: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def resolve_person(deliveries: DataFrame, registry: DataFrame, roles: tuple[str, ...] = ("striker", "bowler", "player_dismissed")) -> DataFrame:
-    """Add <role>_id: the registry's person of (match_id, name); null if the name is not registered."""
-    for role in roles:
-        people = registry.select("match_id", F.col("name").alias(role), F.col("person_id").alias(f"{role}_id"))
-        deliveries = deliveries.join(people, ["match_id", role], "left")
-    return deliveries
+    """Add <role>_id: the registry's person of (match_id, name); null if the name is not registered.
+
+    A match's registry is one small map, so one join by match_id serves all roles.  Of several persons of one name in a
+    match the least id is taken.
+    """
+    own = registry.groupBy("match_id", "name").agg(F.min("person_id").alias("person_id")).where("name is not null")
+    people = own.groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "person_id"))).alias("_people"))
+    found = deliveries.join(people, "match_id", "left")
+    return found.withColumns({f"{role}_id": F.try_element_at("_people", F.col(role)) for role in roles}).drop("_people")
 
 
 def localise_names(players: DataFrame, names: DataFrame, id_col: str = "player") -> DataFrame:
