@@ -8,7 +8,7 @@ are verified by their cosine in double precision, so no pair below the threshold
 
 Identical vectors are folded into one class first.  A cell does not emit its pairs but the sums of links it
 found for each vector, and links enough to keep its vectors connected, so its output is no larger than its input.  A
-cell with more members than CELL_ROWS is dealt out as pairs of blocks.  A pair that could be met in two cells is
+cell with more members or visitors than CELL_ROWS is dealt out as pairs of blocks.  A pair that could be met in two cells is
 counted in one of them by a rule on the cells visited.
 
 Defined results: vectors that are null, empty or zero, hold null or non-finite components, have no label or no id
@@ -158,7 +158,8 @@ def _links_of(rows: dict, threshold: float) -> tuple[np.ndarray, np.ndarray, np.
     if len(blocks) == 2:
         compare(members[block[members] == blocks[0]], members[block[members] == blocks[1]], False)
     elif len(members):
-        compare(members, members, True)
+        if blocks[0] >= 0:
+            compare(members, members, True)
         if len(guests):
             compare(guests, members, False)
     own = np.flatnonzero(label != np.arange(len(x)))
@@ -214,17 +215,30 @@ def grids_of(found: DataFrame, threshold: float, recall: float, sample: int = SA
 
 
 def dealt(placed: DataFrame, cell_rows: int) -> DataFrame:
-    """Cells with more than cell_rows members as pairs of blocks: members go to each pair of theirs, visitors to each block."""
+    """Cells with more than cell_rows members or visitors in parts of about twice that many rows at most.
+
+    Members are cut into blocks and meet in every pair of blocks; visitors are cut into blocks of their own, each of which
+    meets every block of members.  In a part for visitors the members' block is -1: there they do not meet each other.
+    """
     cell = ["label", "dim", "cell"]
-    hot = placed.where("not visitor").groupBy(*cell).count().where(F.col("count") > cell_rows)
-    hot = stash(hot.select(*cell, F.ceil(F.col("count") / cell_rows).cast("int").alias("blocks")), "hot-cells")
+    sizes = placed.groupBy(*cell).agg(F.count_if(~F.col("visitor")).alias("m"), F.count_if(F.col("visitor")).alias("v"))
+    sizes = sizes.where((F.col("m") > cell_rows) | (F.col("v") > cell_rows))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / cell_rows)).cast("int")
+    hot = stash(sizes.select(*cell, blocks("m").alias("mb"), blocks("v").alias("vb")), "hot-cells")
     if hot.isEmpty():
         return placed
     cut = placed.join(hot, cell)
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    cut = cut.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    part = F.when(F.col("visitor"), F.col("other") * F.col("blocks") + F.col("other")).otherwise(F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
-    return placed.join(hot, cell, "left_anti").select(*_NAMES).unionByName(cut.withColumn("part", part.cast("long")).select(*_NAMES))
+    member = cut.where("not visitor").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("mb")).cast("int"))
+    pairs = member.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)))
+    pairs = pairs.withColumn("part", F.least("block", "_o").cast("long") * F.col("mb") + F.greatest("block", "_o"))
+    after = F.col("mb").cast("long") * F.col("mb")
+    hosts = member.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("vb") - 1))).withColumn("part", after + F.col("block").cast("long") * F.col("vb") + F.col("_o")).withColumn("block", F.lit(-1))
+    guests = cut.where("visitor").withColumn("_v", F.pmod(F.xxhash64("rep"), F.col("vb"))).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)))
+    guests = guests.withColumn("part", after + F.col("_o").cast("long") * F.col("vb") + F.col("_v"))
+    found = placed.join(hot, cell, "left_anti").select(*_NAMES)
+    for part in (pairs, hosts, guests):
+        found = found.unionByName(part.select(*_NAMES))
+    return found
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, recall: float = TARGET_RECALL, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -242,3 +256,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     known = rows.join(ranked, ["label", "embedding"], "left")
     component = F.coalesce("root", "vec_id")
     return known.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+
+
+#: All pairs, for small tables.
+ORACLE = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+reach AS (SELECT vec_id, vec_id AS root FROM embeddings UNION SELECT l.a, r.root FROM reach r JOIN links l ON l.b = r.vec_id),
+roots AS (SELECT vec_id, min(root) AS component_id FROM reach GROUP BY vec_id),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings e LEFT JOIN roots USING (vec_id) LEFT JOIN counts USING (vec_id)
+"""

@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE, "op8_warc_derivatives": warc.oracle()}
+    return {"op3_exact_dedup": exact_dedup.ORACLE, "op7_multi_index": multi_index.ORACLE, "op8_warc_derivatives": warc.oracle()}

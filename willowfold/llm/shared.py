@@ -55,7 +55,7 @@ def hinted(keys: DataFrame, count: int) -> DataFrame:
 
 def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs less the rows whose id is in dropped; rows with a null id stay."""
-    dropped = dropped.select(id_col).distinct()
+    dropped = stash(dropped.select(id_col).distinct(), "dropped")  # read twice, once to be counted
     return docs.join(hinted(dropped, dropped.count()), id_col, "left_anti").select(docs.columns)
 
 
