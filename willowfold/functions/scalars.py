@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The phases, the bases of sample bands, the least score of a badge.
 #: Phases of twenty overs: name, first and last over, counted from 0.
 PHASES = (("early", 0, 5), ("middle", 6, 14), ("late", 15, 19))
 #: Balls that make a small sample, by role.

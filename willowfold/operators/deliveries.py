@@ -11,6 +11,7 @@ from willowfold.functions.scalars import phase_of
 
 #: Dismissals that are not the bowler's.
 NOT_BOWLERS = ("run out", "retired hurt", "retired out", "retired not out", "obstructing the field", "timed out")
+#: The compared window.
 WINDOW = (dt.date(2022, 10, 10), dt.date(2026, 7, 2))
 
 

@@ -41,14 +41,15 @@ def target_join(totals: DataFrame) -> DataFrame:
 def innings_cutoff(df: DataFrame, max_balls: int, max_wickets: int) -> DataFrame:
     """Deliveries up to the one that ends the innings: by balls, by wickets or, in a chase, by the target.
 
-    The limits only grow, so a delivery counts if the state before it was open; no row-by-row state is needed.
+    The limits only grow, so a delivery counts if the state before it was open; no row-by-row state is needed.  One shuffle by
+    match serves the running state and the target.
     """
-    live = innings_progress(df)
+    live = innings_progress(df.repartition("match_id"))
     # the ball itself is taken off again: what stood before it
     before = {"_balls": F.col("balls") - F.col("is_legal").cast("long"), "_wickets": F.col("wickets") - F.col("is_out").cast("long"), "_score": F.col("score") - F.col("total_runs")}
     live = live.withColumns(before).where((F.col("_balls") < max_balls) & (F.col("_wickets") < max_wickets))
-    first = live.where("innings = 1").groupBy("match_id").agg((F.max("score") + 1).alias("target"))
-    live = live.join(first, "match_id", "left")
+    first = F.max(F.when(F.col("innings") == 1, F.col("score"))).over(Window.partitionBy("match_id"))
+    live = live.withColumn("target", first + 1)
     return live.where((F.col("innings") == 1) | F.col("target").isNull() | (F.col("_score") < F.col("target"))).drop("_balls", "_wickets", "_score")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: What a ball may end in.
 RESULTS = ("0", "1", "2", "4", "6", "W")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Matches a team needs in three years to be listed, by the date from which the rule holds.
+#: Matches a team needs in three years to be listed, by the date from which the rule holds.
 MIN_MATCHES = (("0001-01-01", 6), ("2026-01-01", 8))
 
 

@@ -9,6 +9,7 @@ from willowfold.functions.percentiles import midranks
 from willowfold.operators.totals import batting_rates, bowling_rates, eligible, totals
 from willowfold.sources.shared_dir import kept
 
+# Fixed value: balls that a phase needs; the cell's bound is our own.
 MIN_CELL_BALLS = 60
 MIN_PHASE_BALLS = 60
 #: The two raw axes of each role, and whether less is better.

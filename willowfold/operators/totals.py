@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Thresholds of a rated player.
+#: Thresholds of a rated player.
 MIN_INNINGS, MIN_BALLS, MIN_WICKETS = 10, {"bat": 200, "bowl": 120}, 5
 
 
