@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from willowfold.llm.shared import components, ranked, small_batches, stash, without_ids  # noqa: F401
+from willowfold.llm.shared import components, small_batches, stash, without_ids
 
 RADIUS = 4
 SHINGLE = 4
