@@ -17,6 +17,7 @@ id and text are not read.
 
 from __future__ import annotations
 
+import gc
 import itertools
 import json
 import re
@@ -33,10 +34,11 @@ from pyspark.sql import functions as F
 
 from willowfold.llm.shared import small_batches, stash
 
-KEPT_WORDS = 500_000
+KEPT_WORDS, KEPT_PIECES = 1_300_000, 700_000
 STEP = 512
 SHARD_ROWS = 4096
-SEGMENT_IDS = 1 << 22
+MOST_SHARDS = 1 << 16
+SEGMENT_IDS = 1 << 19
 
 
 class WaveletMatrix:
@@ -50,12 +52,11 @@ class WaveletMatrix:
     def of(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         planes, zeros = [], []
         for shift in range(bits - 1, -1, -1):
-            bit = (ids >> ids.dtype.type(shift)) & ids.dtype.type(1)
-            one = bit.astype(bool)
+            one = (ids & ids.dtype.type(1 << shift)) != 0
             planes.append(np.packbits(one, bitorder="little"))
-            low = ids[~one]
+            low = ids.take(np.flatnonzero(~one))
             zeros.append(len(low))
-            ids = np.concatenate((low, ids[one]))
+            ids = np.concatenate((low, ids.take(np.flatnonzero(one))))
         return cls(len(ids), planes, zeros)
 
     @property
@@ -123,12 +124,13 @@ class WaveletMatrix:
 
     def ids(self, kind: type = np.uint32) -> np.ndarray:
         """All ids, from the last plane back to the first."""
-        values = np.zeros(self.n, kind)
-        for level in range(len(self.planes) - 1, -1, -1):
+        values, top = np.zeros(self.n, kind), len(self.planes) - 1
+        for level in range(top, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            values[self.zeros[level] :] |= kind(1 << (top - level))
             order = np.empty_like(values)
-            order[~one] = values[: self.zeros[level]]
-            order[one] = values[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
+            order[np.flatnonzero(~one)] = values[: self.zeros[level]]
+            order[np.flatnonzero(one)] = values[self.zeros[level] :]
             values = order
         return values
 
@@ -151,7 +153,7 @@ class WordIds:
 
     A word of ASCII characters and Latin letters is cut further into the pieces of the file's pattern, which words with
     other capitals or punctuation share; the library is asked for new pieces, and for all other words as they are.
-    Both tables keep what was asked for since the last aging or the one before.
+    A full table is emptied; words are then found again from the pieces.
     """
 
     def __init__(self, path: str):
@@ -163,7 +165,6 @@ class WordIds:
         self.kind = np.uint16 if self.bits <= 16 else np.uint32
         self.code = "H" if self.kind is np.uint16 else "I"
         self.words: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _ask(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
@@ -173,25 +174,33 @@ class WordIds:
             yield from zip(part, (array(self.code, e.ids).tobytes() for e in found), strict=True)
 
     def _learn(self, new: set[str]) -> None:
-        old, words = self.old, self.words
-        words.update([(w, old[w]) for w in new if w in old])
-        new = new.difference(words)
-        cut = {w: _PIECE.findall(w.lower()) for w in new if _PLAIN(w)}
-        if len(self.pieces) > KEPT_WORDS:
+        words = self.words
+        whole = [w for w in new if w.isascii() and w.isalpha() and w.islower()]  # one piece each
+        cut = {w: _PIECE.findall(w.lower()) for w in new.difference(whole) if _PLAIN(w)}
+        if len(self.pieces) > KEPT_PIECES:
             self.pieces.clear()
         pieces = self.pieces
-        pieces.update(self._ask(list(set().union(*cut.values()).difference(pieces))))
+        pieces.update(self._ask(list(set(whole).union(*cut.values()).difference(pieces))))
         get = pieces.__getitem__
-        words.update((w, b"".join(map(get, own))) for w, own in cut.items())
-        words.update(self._ask([w for w in new if w not in cut]))
+        words.update(zip(whole, map(get, whole), strict=True))
+        words.update([(w, b"".join(map(get, own))) for w, own in cut.items()])
+        words.update(self._ask(list(new.difference(whole).difference(cut))))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
+        """The ids of each text, with those of ``end`` behind them."""
         cut = [_SPACE.split(t) if any(c in t for c in _ODD) else t.split() for t in texts]
         if len(self.words) > KEPT_WORDS:
-            self.old, self.words = self.words, {}
-        self._learn(set().union(*cut).difference(self.words))
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+            self.words.clear()
+        known, gaps = self.words, []
+        rows = [list(map(known.get, words)) for words in cut]  # one look for each word; what is new stays None
+        for words, row in zip(cut, rows, strict=True):
+            for _ in range(row.count(None)):
+                at = row.index(None, gaps[-1][1] + 1 if gaps and gaps[-1][0] is row else 0)
+                gaps.append((row, at, words[at]))
+        self._learn({w for _, _, w in gaps})
+        for row, at, word in gaps:
+            row[at] = known[word]
+        return [b"".join((*row, end)) for row in rows]
 
 
 #: str.split() takes these for white space, the tokenizer does not; texts with them are cut at blanks and line feeds only.
@@ -211,12 +220,17 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
     own = word_ids(path)
     end = np.array([end_id], own.kind).tobytes()
     for batch in batches:
-        ids = pa.array([i + end for i in own.encode([t or "" for t in batch.column(2).to_pylist()])], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], ["shard", "doc_id", "ids"])
+        gc.disable()  # a batch makes no cycles, but lists enough to have the collector walk through the tables again and again
+        ids = pa.array(own.encode([t or "" for t in batch.column(1).to_pylist()], end), pa.binary())
+        gc.enable()
+        lowest = np.iinfo(np.int64).min
+        docs = np.array([lowest if d is None else d for d in batch.column(0).to_pylist()], np.int64)
+        shard = pa.array(np.searchsorted(bounds, docs, "left"), pa.int32())
+        yield pa.RecordBatch.from_arrays([shard, batch.column(0), ids], ["shard", "doc_id", "ids"])
 
 
 def _segment(shard: int, number: int, docs: list, ids: list[bytes], own: WordIds) -> pa.RecordBatch:
@@ -249,40 +263,28 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, most: int) -> Iterat
             yield _segment(shard, number, docs, ids, own)
 
 
-def shard_bounds(docs: DataFrame, id_col: str, shard_rows: int) -> list:
-    """Ids that part docs into shards of about shard_rows rows; one number a shard reaches the driver."""
-    n = docs.count()
-    shards = max(1, -(-n // shard_rows))
+def shard_bounds(docs: DataFrame, id_col: str, shard_rows: int) -> list[int]:
+    """Ids that part docs into shards of about shard_rows rows, at most MOST_SHARDS shards; one number a shard reaches the driver."""
+    shards = min(MOST_SHARDS, max(1, -(-docs.count() // shard_rows)))
     if shards == 1:
         return []
     cuts = docs.agg(F.percentile_approx(id_col, [i / shards for i in range(1, shards)], 20 * shards)).first()[0]
-    return sorted(set(cuts))
+    return sorted(set(cuts or []))
 
 
 def write(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = SHARD_ROWS, segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Encode docs, write the segments to the shared folder and return them as read back."""
     small_batches(docs.sparkSession)
-    bounds = shard_bounds(docs, id_col, shard_rows)
-    # the number of bounds below the id, by halving: array functions would walk through all bounds
-    shard = F.lit(0)
-    if bounds:
-        edges = F.array(*[F.lit(b).cast("long") for b in bounds])
-        low = F.lit(0)
-        step = 1 << len(bounds).bit_length() - 1
-        while step:
-            at = low + F.lit(step)
-            low = F.when((at <= len(bounds)) & (F.try_element_at(edges, at) < F.col(id_col)), at).otherwise(low)
-            step >>= 1
-        shard = low
-    placed = docs.select(F.coalesce(shard, F.lit(0)).cast("int").alias("shard"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ids = placed.mapInArrow(lambda it: _encode(it, path, end_id), "shard int, doc_id long, ids binary")
+    placed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    bounds = np.array(shard_bounds(placed, "doc_id", shard_rows), np.int64)
+    ids = placed.mapInArrow(lambda it: _encode(it, path, end_id, bounds), "shard int, doc_id long, ids binary")
     ids = ids.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id")
     return stash(ids.mapInArrow(lambda it: _segments(it, path, segment_ids), SEGMENT), "wavelet", codec="none")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):  # one segment at a time
             matrix = WaveletMatrix.from_bytes(row["matrix"])
             ids = matrix.ids(np.uint16 if len(matrix.planes) <= 16 else np.uint32).astype("<u4")
             stops = np.cumsum(row["counts"])
@@ -295,7 +297,6 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_digests(segments: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the segments' bit planes."""
-    segments.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # a segment is some megabytes
     shards = segments.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     shards = shards.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("shard_start"))
