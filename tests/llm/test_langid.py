@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 
 from willowfold.llm import langid
@@ -43,3 +45,24 @@ def test_rejection_and_odd_rows(odd, nothing):
     assert {r.lang_pred for r in langid.predict(odd, langid.fit(nothing)).collect()} == {"und"}
     strict = langid.Model(model.idf, model.centroids, model.languages, max_distance=0.1)
     assert strict.predict(["zzqx qqzx xxqz"])[0][2]
+
+
+def test_unlearned_languages_are_rejected_at_any_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out()))
+    rng = random.Random(3)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя"):
+        for words in (5, 50, 500, 5000):
+            texts = [" ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(words)) for _ in range(5)]
+            assert all(rejected for _, _, rejected in model.predict(texts)), (letters, words)
+    # the beginnings of learned languages stay, however short
+    texts = [r.text for r in docs.where(langid.held_out()).select("text").limit(100).collect()]
+    for words in (5, 20, 100):
+        assert not any(rejected for _, _, rejected in model.predict([" ".join(t.split()[:words]) for t in texts])), words
+
+
+def test_bars_by_length():
+    held = np.zeros((langid.CLASSES, langid.BINS), np.int64)
+    held[4, 200], held[8, 0], held[8, 600], held[10, 500] = 50, 1, 3000, 10
+    bars = langid.bars_of({"en": held})["en"]
+    assert bars[:4] == [0, 0, 0, 0] and np.allclose(bars[4:8], 0.06) and np.allclose(bars[8:], 0.15)
