@@ -1,4 +1,6 @@
 import hashlib
+import html
+import re
 
 from willowfold.llm import warc
 
@@ -34,3 +36,18 @@ def test_files_read_back(spark, tmp_path):
         headers, block = got[r.record_id]
         assert block == r.block and headers["WARC-Refers-To"] == r.refers_to and headers["WARC-Type"] == r.warc_type
         assert headers["WARC-Block-Digest"] == r.block_digest and headers["WARC-Source-Digest"] == r.source_digest
+
+
+def test_all_entities_are_decoded_once(spark):
+    raw = "&copy; 2026 &middot; caf&eacute; &#8217;&#xE9; &amp;lt; &amp;eacute; &nbsp;&#160;x &notanentity; &copy2 &#0; &#xD800; a & b &NotEqualTilde; \xa0|"
+    page = f"<html><head><title>Caf&eacute; &amp;copy; &#8212;</title></head><body><p>{raw}</p></body></html>"
+    pages = spark.createDataFrame([(1, "http://a", page)], "page_id long, url string, html string")
+    got = {r.warc_type: r.block for r in warc.derive(warc.responses(pages)).collect()}
+    plain = html.unescape(re.sub("&nbsp;|&#160;", " ", raw))
+    assert got["conversion"] == re.sub("[\x20\x09-\x0d]+", " ", plain).strip(" ")
+    assert got["metadata"].split("\r\n")[0] == "title: Café &copy; —"
+    given = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = {r.page_id: r.html for r in given.collect()}
+    for r in warc.derive(warc.responses(given)).where("warc_type = 'conversion'").collect():
+        text = html.unescape(re.sub(warc.REMOVED, " ", rows[r.page_id]).replace("&nbsp;", " "))
+        assert r.block == re.sub("[\x20\x09-\x0d]+", " ", text).strip(" ") and "©" in r.block

@@ -4,10 +4,11 @@ For every response two records are built: a ``metadata`` record of fields (title
 source headers) and a ``conversion`` record with the page's text.  Both keep the response's target URI and
 date, refer to it by WARC-Refers-To and carry digests of their own block; the conversion also keeps the response's payload
 digest as source digest.  Record ids are made from type and source id, so that a lost task makes the same ones again.
-Everything is built-in expressions on one row at a time: no shuffle, and one scan.
+Everything works on one row at a time: no shuffle, and one scan.  All but the decoding of entities is built-in expressions.
 
-Text: comments, scripts, styles and the head are removed, tags become blanks, the five common entities and the
-no-break space are decoded, white space is folded.
+Text: comments, scripts, styles and the head are removed, tags become blanks, all HTML entities, named and numeric, are
+decoded in one pass from left to right (so ``&amp;lt;`` becomes ``&lt;``), those of the no-break space to a blank, and
+white space is folded.  SQL has no such decoding: the query's SQL knows six entities and differs where a page has others.
 
 Defined results: a null html is an empty payload, with an empty title and text; a null url has an empty target URI;
 repeated rows give repeated records; an empty table gives none; other columns are not read.
@@ -15,30 +16,50 @@ repeated rows give repeated records; an empty table gives none; other columns ar
 
 from __future__ import annotations
 
+import html as html_entities
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from willowfold.llm.shared import small_batches
 
 DATE = "2026-01-01T00:00:00Z"
 MIME_HTML, MIME_TEXT, MIME_FIELDS = "text/html", "text/plain", "application/warc-fields"
 #: What is not text, read from left to right in one pass; RE2 and Java take the same alternatives.
 REMOVED = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>|head\b.*?</head\s*>|[^>]*>)"
+#: The entities that the SQL decodes.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 TITLE, CHARSET, LANGUAGE = r"(?is)<title[^>]*>(.*?)</title\s*>", r"(?i)<meta\s+charset=[\"']?([A-Za-z0-9_-]+)", r"(?i)<html[^>]*\slang=[\"']?([A-Za-z-]+)"
 
 
+_ENTITY = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+
+
+def decoded(text: str) -> str:
+    """text with its HTML entities decoded, those of the no-break space to a blank."""
+    return _ENTITY.sub(lambda m: html_entities.unescape(m[0]).replace("\xa0", " "), text) if "&" in text else text
+
+
+@F.arrow_udf(StringType())
+def _decoded(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else decoded(t) for t in texts.to_pylist()], pa.string())
+
+
 def _folded(text: Column) -> Column:
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
 
 
+def _raw_text(html: Column) -> Column:
+    return _decoded(F.regexp_replace(html, REMOVED, " "))
+
+
 def page_text(html: Column) -> Column:
     """The readable text of a page."""
-    return _folded(F.regexp_replace(html, REMOVED, " "))
+    return _folded(_raw_text(html))
 
 
 def record_id(*parts: Column | str) -> Column:
@@ -65,7 +86,10 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 def derive(source: DataFrame) -> DataFrame:
     """The two records of every response: (page_id, warc_type, record_id, refers_to, target_uri, date, content_type,
     source_headers, source_digest, block, block_digest, content_length)."""
-    title = _folded(F.regexp_replace(F.regexp_extract("payload", TITLE, 1), r"(?s)<[^>]*>", " "))
+    small_batches(source.sparkSession)
+    # a lambda must not call Python, so what it decodes is made before
+    source = source.withColumns({"_title": _decoded(F.regexp_replace(F.regexp_extract("payload", TITLE, 1), r"(?s)<[^>]*>", " ")), "_text": _raw_text(F.col("payload"))})
+    title = _folded(F.col("_title"))
 
     def records(text: Column) -> Column:
         fields = F.concat(
@@ -78,7 +102,7 @@ def derive(source: DataFrame) -> DataFrame:
         )
 
     # bound to a lambda's name, the text is made once for all its uses
-    made = F.flatten(F.transform(F.array(page_text(F.col("payload"))), records))
+    made = F.flatten(F.transform(F.array(_folded(F.col("_text"))), records))
     kept = source.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "date", F.col("http_headers").alias("source_headers"), F.col("payload_digest").alias("source_digest"), made.alias("made"))
     rows = kept.select("*", F.inline("made"))
     return rows.select(
