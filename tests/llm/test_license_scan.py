@@ -75,3 +75,31 @@ def test_documents_against_plain_search(spark):
 def test_odd_rows(odd, nothing):
     assert scan.scan_documents(odd).count() == 0
     assert scan.scan_documents(nothing).count() == 0
+
+
+def test_all_matches_of_edited_lines():
+    text = "\u0130ntro. released UNDER the mit-License! tail\nThis work is licensed under the GNU General Public License, version 3. Released under a MIT License."
+    assert [(m["license"], m["coverage"], text[m["start"] : m["end"]]) for m in scan.scan(text, INDEX)] == [
+        ("MIT", 1.0, "released UNDER the mit-License"), ("GPL-3.0-only", 1.0, "This work is licensed under the GNU General Public License, version 3"), ("MIT", 0.8, "Released under a MIT License"),
+    ]
+    (match,) = scan.scan("x Released under the terms of the MIT License", INDEX)
+    assert (match["license"], match["coverage"]) == ("MIT", 1.0)
+
+
+def test_randomly_edited_notices_are_found():
+    rng = random.Random(8)
+    for _ in range(600):
+        name, template = rng.choice(sorted(INDEX.words.items()))
+        if len(template) > 60:
+            continue
+        words = [(w, True) for w in template]
+        spread = rng.sample(range(len(words)), rng.randint(0, len(words) - INDEX.need[name]))
+        for at in spread:
+            words[at] = (0, False)
+        for _ in range(rng.randint(0, scan.BAND)):
+            words.insert(rng.randint(1, len(words) - 1), (0, False))
+        kept = sum(own for _, own in words)
+        back = {i: w for w, i in INDEX.vocabulary.items()}
+        text = "zz " * 9 + " ".join(back.get(w, "zz") for w, _ in words) + " zz" * 9
+        got = scan.scan(text, scan.Index({name: scan.TEMPLATES[name]}))
+        assert got and max(m["matched_words"] for m in got) >= kept, (name, text)

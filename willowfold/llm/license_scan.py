@@ -1,24 +1,26 @@
-"""License scans: winnowed fingerprints of templates pick candidates, banded alignment reports coverage and spans.
+"""License scans: rare words of templates pick candidates, banded alignment reports coverage and spans.
 
 Template and document words (runs of ASCII letters and digits, lower-cased) become numbers of the templates'
-vocabulary, 0 for words that no template has.  Three-word hashes are winnowed by windows of three, so a shared
-passage of five words has a fingerprint that both sides keep.  The inverted index maps fingerprints to templates
-and positions; hits of one template on near diagonals are one candidate, which is aligned within a band.  A
-match is reported if at least ``min_coverage`` of the template's words are aligned in order.
+vocabulary, 0 for words that no template has.  A match may miss some number k of a template's words, so of any k + 1
+of its words it has at least one: the rarest k + 1 are its fingerprints, single words that need no unbroken run.  The
+inverted index maps them to templates and positions.  A hit is a candidate if enough words of the template's vocabulary
+lie around it, and is aligned from that word to both sides, each within a band of ``band_of`` words off the diagonal.  A
+match is reported if at least ``min_coverage`` of the template's words are aligned in order.  So every alignment with that
+coverage whose words are shifted by the band at most against one of its fingerprints is found, whatever else was edited.
 
 The index holds the given templates only, so its size does not depend on the documents; documents are read once,
 whole, without a shuffle.
 
 Defined results: null and empty texts have no matches; a document has one row for each match, none without one;
 repeated rows give repeated matches; spans are character offsets into the text, end exclusive; of matches that
-overlap the one with more matched words stays, then the shorter template, the earlier place, the first name; extra columns are not read.
+overlap the one with more matched words stays, then the shorter template, the shorter span, the earlier place, the first name; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import bisect
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,73 +43,85 @@ TEMPLATES = {
     "Apache-2.0-header": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND",
 }
 
-GRAM = WINDOW = 3
 BAND = 6
+MIN_WORDS = 3
+#: Of longer templates an alignment is not looked for again from each of its own words.
+LONG = 60
+# Words that prose of the templates' language is full of, the last resort as fingerprints.
+COMMON = frozenset("a all an and any are as at be by can do for from has have in is it its may no not of on one or other such that the their they this to under was were which will with you".split())
 MIN_COVERAGE = 0.8
 _WORD = re.compile("[A-Za-z0-9]+")
 MATCH = "license string, coverage double, matched_words int, template_words int, start int, end int"
 
 
-def grams(words: np.ndarray) -> np.ndarray:
-    """Hashes of GRAM words in a row."""
-    h = np.zeros(max(0, len(words) - GRAM + 1), np.uint64)
-    for i in range(GRAM if len(h) else 0):
-        h = (h ^ words[i : i + len(h)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return h
-
-
-def winnowed(h: np.ndarray) -> np.ndarray:
-    """Positions of the last least hash of every window; all windows of a shorter text are one."""
-    if len(h) <= WINDOW:
-        return np.array([len(h) - 1 - int(np.argmin(h[::-1]))]) if len(h) else np.zeros(0, np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
-    return np.unique(np.arange(len(windows)) + WINDOW - 1 - np.argmin(windows[:, ::-1], axis=1))
-
-
 class Index:
-    """The templates' words and the inverted index of their winnowed fingerprints."""
+    """The templates' words and the inverted index of their fingerprints."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], min_coverage: float = MIN_COVERAGE):
         self.vocabulary: dict[str, int] = {}
         self.words = {}
         for name, text in sorted(templates.items()):
             self.words[name] = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in _WORD.findall(_ascii_lower(text))]
-            if len(self.words[name]) < GRAM + WINDOW - 1:
+            if len(self.words[name]) < MIN_WORDS:
                 raise ValueError(f"template {name} is too short for a sure fingerprint")
+        held = Counter(w for words in self.words.values() for w in set(words))
+        common = {self.vocabulary[w] for w in COMMON if w in self.vocabulary}
+        self.need = {name: least_words(len(words), min_coverage) for name, words in self.words.items()}
         self.postings: dict[int, list[tuple[str, int]]] = defaultdict(list)
         for name, words in self.words.items():
-            h = grams(np.array(words))
-            for at in winnowed(h).tolist():
-                self.postings[int(h[at])].append((name, at))
-        self.keys = np.array(sorted(self.postings), np.uint64)
-
-    def seeds(self, words: np.ndarray) -> dict[str, list[int]]:
-        """Places, less the place in the template, at which a fingerprint of a template lies."""
-        known = words > 0
-        if len(words) < GRAM or not (known[:-2] & known[1:-1] & known[2:]).any():
+            rarest = sorted(range(len(words)), key=lambda i: (words[i] in common, words.count(words[i]), held[words[i]], i))
+            for at in rarest[: len(words) - self.need[name] + 1]:
+                self.postings[words[at]].append((name, at))
+        self.keys = np.zeros(len(self.vocabulary) + 1, bool)
+        self.keys[list(self.postings)] = True
+        self.own = {name: np.isin(np.arange(len(self.vocabulary) + 1), words) for name, words in self.words.items()}
+
+    def seeds(self, words: np.ndarray) -> dict[str, list[tuple[int, int]]]:
+        """(place in words, place in the template) of fingerprints with enough of the template's words around them."""
+        hits = np.flatnonzero(self.keys[words])
+        if not len(hits):
             return {}
-        h = grams(words)
-        at = winnowed(h)
-        at = at[np.isin(h[at], self.keys)]
-        found = defaultdict(list)
-        for place in at.tolist():
-            for name, own in self.postings[int(h[place])]:
-                found[name].append(place - own)
+        found, kinds = {}, words[hits]
+        pairs: dict[str, list[tuple[np.ndarray, int]]] = defaultdict(list)
+        for kind in np.unique(kinds).tolist():
+            for name, own in self.postings[kind]:
+                pairs[name].append((hits[kinds == kind], own))
+        for name, lists in pairs.items():
+            places = np.concatenate([p for p, _ in lists])
+            owns = np.repeat([own for _, own in lists], [len(p) for p, _ in lists])
+            before = np.concatenate(([0], np.cumsum(self.own[name][words])))
+            if before[-1] < self.need[name]:
+                continue
+            band = band_of(self.words[name])
+            low = np.maximum(places - owns - band, 0)
+            high = np.minimum(places - owns + len(self.words[name]) + band, len(words))
+            near = before[high] - before[low] >= self.need[name]
+            if near.any():
+                found[name] = sorted(zip(places[near].tolist(), owns[near].tolist(), strict=True))
         return found
 
 
+def least_words(n: int, min_coverage: float) -> int:
+    """The words that a match needs of a template of n words."""
+    return next(k for k in range(1, n + 2) if k >= min_coverage * n)
+
+
 def band_of(template: list[int]) -> int:
-    """Words that an alignment may be off its diagonal; less for short templates, which may follow each other closely."""
-    return max(1, min(BAND, (len(template) - 1) // 2))
+    """Words that an alignment may be off its diagonal, on each side of its fingerprint; more for long templates."""
+    return max(BAND, len(template) // 12)
 
 
 def align(template: list[int], words: list[int]) -> list[int]:
-    """Positions in words aligned to equal words of the template, in order, most of them, within the band.
+    """Positions in words aligned to equal words of the template, in order, most of them, within the band."""
+    return [at for at, _ in pairs_of(template, words, band_of(template))]
+
+
+def pairs_of(template: list[int], words: list[int], band: int) -> list[tuple[int, int]]:
+    """(position in words, position in the template) of the alignment.
 
     The diagonal runs from the word after the band; ties prefer the earlier place.
     """
-    width = 2 * band_of(template) + 1
+    width = 2 * band + 1
     best = [[0] * (width + 2) for _ in range(len(template) + 1)]  # best[i][k]: template[i:], words[i + k - 1:]
     for i in range(len(template) - 1, -1, -1):
         row, below = best[i], best[i + 1]
@@ -119,7 +133,7 @@ def align(template: list[int], words: list[int]) -> list[int]:
     while i < len(template) and k <= width:
         at = i + k - 1
         if at < len(words) and template[i] == words[at] and best[i][k] == best[i + 1][k] + 1:
-            found.append(at)
+            found.append((at, i))
             i += 1
         elif best[i][k] == best[i + 1][k]:
             i += 1
@@ -130,7 +144,16 @@ def align(template: list[int], words: list[int]) -> list[int]:
     return found
 
 
-def scan(text: str, index: Index, min_coverage: float = MIN_COVERAGE) -> list[dict]:
+def aligned(template: list[int], words: list[int], place: int, own: int) -> list[tuple[int, int]]:
+    """(place in words, place in the template) of an alignment that joins words[place] and template[own], near words preferred."""
+    band = band_of(template)
+    blank = [0] * band
+    right = pairs_of(template[own + 1 :], blank + words[place + 1 : place + len(template) - own + band], band)
+    left = pairs_of(template[:own][::-1], blank + words[max(0, place - own - band) : place][::-1], band)
+    return [*((place - 1 - at + band, own - 1 - i) for at, i in left[::-1]), (place, own), *((place + 1 + at - band, own + 1 + i) for at, i in right)]
+
+
+def scan(text: str, index: Index) -> list[dict]:
     """The matches of one whole text."""
     get = index.vocabulary.get
     words = [get(w, 0) for w in _WORD.findall(text.lower() if text.isascii() else _ascii_lower(text))]
@@ -140,19 +163,17 @@ def scan(text: str, index: Index, min_coverage: float = MIN_COVERAGE) -> list[di
     spans = [m.span() for m in _WORD.finditer(text)]
     found = []
     for name, places in sorted(seeds.items()):
-        template, last = index.words[name], None
-        band = band_of(template)
-        for place in sorted(set(places)):
-            if last is not None and place - last <= band:
+        template, need, known = index.words[name], index.need[name], set()
+        for seed in places:
+            if seed in known:
                 continue
-            last = place
-            begin = place - band
-            part = [0] * max(0, -begin) + words[max(0, begin) : place + len(template) + band]
-            hits = [begin + i for i in align(template, part)]
-            if hits and len(hits) >= min_coverage * len(template):
-                found.append((len(hits), hits[0], hits[-1], name))
+            hits = aligned(template, words, *seed)
+            if len(hits) >= need:
+                if len(hits) == len(template) or len(template) > LONG:
+                    known.update(hits)
+                found.append((len(hits), hits[0][0], hits[-1][0], name))
     taken, starts, stops = [], [], []
-    for match in sorted(found, key=lambda x: (-x[0], len(index.words[x[3]]), x[1], x[3])):
+    for match in sorted(found, key=lambda x: (-x[0], len(index.words[x[3]]), x[2] - x[1], x[1], x[3])):
         at = bisect.bisect_left(starts, match[1])  # those taken do not overlap, so the neighbours tell
         if (at == len(starts) or match[2] < starts[at]) and (at == 0 or stops[at - 1] < match[1]):
             starts.insert(at, match[1])
@@ -179,9 +200,9 @@ def scan_documents(docs: DataFrame, templates: dict[str, str] | None = None, id_
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(templates)
+        index = Index(templates, min_coverage)
         for batch in batches:
-            matches = [scan(t or "", index, min_coverage) for t in batch.column(1).to_pylist()]
+            matches = [scan(t or "", index) for t in batch.column(1).to_pylist()]
             rows = [i for i, own in enumerate(matches) for _ in own]
             flat = [m for own in matches for m in own]
             types = {"license": pa.string(), "coverage": pa.float64(), "matched_words": pa.int32(), "template_words": pa.int32(), "start": pa.int32(), "end": pa.int32()}
