@@ -103,3 +103,20 @@ def test_randomly_edited_notices_are_found():
         text = "zz " * 9 + " ".join(back.get(w, "zz") for w, _ in words) + " zz" * 9
         got = scan.scan(text, scan.Index({name: scan.TEMPLATES[name]}))
         assert got and max(m["matched_words"] for m in got) >= kept, (name, text)
+
+
+def test_whole_texts_truncated_ones_and_variants():
+    for name in ("MIT-text", "BSD-2-Clause-text", "BSD-3-Clause-text", "ISC-text", "Unlicense-text", "Apache-2.0-notice", "MPL-2.0-notice", "AGPL-3.0-or-later-notice", "LGPL-3.0-only-notice"):
+        text = scan.TEMPLATES[name]
+        got = scan.scan("Copyright 2026 A. Holder\n\n" + text + "\n\nmain", INDEX)
+        assert [(m["license"], m["coverage"]) for m in got] == [(name, 1.0)]
+        ends = [m.end() for m in scan._WORD.finditer(text)]
+        (cut,) = scan.scan(text[: ends[int(len(ends) * 0.9)]], INDEX)
+        assert cut["license"] == name and 0.8 <= cut["coverage"] < 1
+        assert not [m for m in scan.scan(text[: ends[len(ends) // 2]], INDEX) if m["license"] == name]
+    held = scan.TEMPLATES["BSD-3-Clause-text"].replace("the copyright holder nor", "Some Company, Inc. and others nor")
+    assert [m["license"] for m in scan.scan(held, INDEX)] == ["BSD-3-Clause-text"]
+    for kind in ("BY", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        assert [m["license"] for m in scan.scan(f"Text. Licensed under CC {kind} 4.0. End", INDEX)] == [f"CC-{kind}-4.0-line"]
+    for name in ("MIT", "GPL-2.0-only", "GPL-2.0-or-later", "CC-BY-4.0", "LGPL-2.1-only"):
+        assert [m["license"] for m in scan.scan(f"# SPDX-License-Identifier: {name}\n", INDEX)] == [f"{name}-SPDX"]

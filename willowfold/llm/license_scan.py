@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from willowfold.llm.license_texts import more_templates
 from willowfold.llm.shared import small_batches
 
 # Notices of public licenses, by SPDX id.
@@ -42,6 +43,8 @@ TEMPLATES = {
     "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "Apache-2.0-header": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND",
 }
+# A template that has a text already keeps its name.
+TEMPLATES |= {name: text for name, text in more_templates().items() if text not in TEMPLATES.values()}
 
 BAND = 6
 MIN_WORDS = 3
