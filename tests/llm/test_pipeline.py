@@ -38,3 +38,32 @@ def test_stages_against_plain_versions(spark, documents):
 def test_run(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.columns[:3] == ["doc_id", "piece", "start"] and got.count() > 0
+
+
+def test_rows_are_decided_one_by_one(spark, documents):
+    base = [(r.doc_id, r.text, r.lang) for r in documents.where("doc_id < 40").collect()]
+    a, b, c = base[0], base[1], base[2]
+    extra = [
+        a, a,  # repeated rows
+        (None, b[1], "en"), (None, "?! 1", "en"), (None, None, None),  # null ids: a copy, two rejected rows
+        (c[0], "?! 2", c[2]), (c[0], a[1], c[2]),  # an id of a clean row with a rejected text and with a copy of another row
+        (None, "the and of " + c[1][::-1], "en"), (None, "the and of " + c[1][::-1], "en"),  # a group without any id
+    ]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in base + extra], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.identify(spark, docs, "")
+    rejected = [r for r in base + extra if not (r[1] and any(map(str.isalpha, r[1])))]
+    assert got.columns == docs.columns and not {r.text for r in got.collect()} & {r[1] for r in rejected}
+    assert got.count() >= docs.count() - len(rejected) - 2
+    clean = docs.where("text is not null and text not like '?!%'")
+    norm = {}
+    for d, t, _ in base + extra:
+        if t and not t.startswith("?!"):
+            norm.setdefault(re.sub("[\x20\x09-\x0d]+", " ", t), []).append(d)
+    want = sorted((min((d for d in ids if d is not None), default=-1), t) for t, ids in norm.items())
+    exact = corpus_pipeline.drop_copies(spark, clean, "")
+    assert sorted((-1 if r.doc_id is None else r.doc_id, re.sub("[\x20\x09-\x0d]+", " ", r.text)) for r in exact.collect()) == want
+    rows = sorted(((d if d is not None else 1 << 62, t) for d, t, _ in base + extra if t and not t.startswith("?!")), key=lambda r: r[0])
+    comps = plain_components([(i, plain_fingerprint(t)) for i, (_, t) in enumerate(rows)])
+    near = corpus_pipeline.drop_near_copies(spark, clean, "")
+    assert near.columns == docs.columns and near.count() == len(set(comps))
+    assert sorted(r.doc_id if r.doc_id is not None else 1 << 62 for r in near.collect()) == sorted(rows[c][0] for c in set(comps))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from willowfold.llm.shared import hinted, stash, without_ids
+from willowfold.llm.shared import hinted, keyed, stash, without_rows
 
 DIRECTORY_BITS = 12
 CAPACITY = 100_000
@@ -70,8 +70,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups does not keep, all columns as they were."""
-    return without_ids(docs, exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)), id_col)
+    """docs with one row of each group, the one with the smallest id (null only if none has one), all columns as they were.
+
+    Rows are told apart by keys, not ids: repeated rows are dropped, and rows of one id with other texts stay.
+    """
+    rows = keyed(docs, id_col)
+    return without_rows(rows, exact_groups(rows, "_key", text_col).where("not kept").select(F.col("doc_id").alias("_key")))
 
 
 ORACLE = """

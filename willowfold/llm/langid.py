@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from willowfold.llm.shared import small_batches, without_ids
+from willowfold.llm.shared import small_batches
 
 BITS = 16
 DIMENSIONS = 1 << BITS
@@ -231,5 +231,12 @@ def held_out(id_col: str = "doc_id") -> Column:
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without the rows that the distance rule rejects, all columns as they were."""
     model = fit(docs.where(~held_out(id_col)), id_col, text_col, lang_col)
-    rejected = predict(docs, model, id_col, text_col).where("rejected").select(F.col("doc_id").alias(id_col))
-    return without_ids(docs, rejected, id_col)
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # centroids of each language, whatever the table's size
+    at = docs.columns.index(text_col)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not rejected for _, _, rejected in shared.value.predict(batch.column(at).to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)  # row by row, whatever the ids

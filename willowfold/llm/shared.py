@@ -53,10 +53,20 @@ def hinted(keys: DataFrame, count: int) -> DataFrame:
     return F.broadcast(keys) if count <= BROADCAST_KEYS else keys
 
 
-def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs less the rows whose id is in dropped; rows with a null id stay."""
-    dropped = stash(dropped.select(id_col).distinct(), "dropped")  # read twice, once to be counted
-    return docs.join(hinted(dropped, dropped.count()), id_col, "left_anti").select(docs.columns)
+def keyed(docs: DataFrame, id_col: str = "doc_id", key: str = "_key") -> DataFrame:
+    """docs, written once, with a key of its own for every row: (no id, id, row number), so that the least key has the least id.
+
+    Row numbers are given where the rows are written and read back with them; a lost task cannot change them.
+    """
+    row = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    return row.select(*docs.columns, F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("_row").alias("row")).alias(key))
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame, key: str = "_key") -> DataFrame:
+    """Keyed docs less the rows whose key is in dropped, without the key."""
+    dropped = stash(dropped.select(F.col(f"{key}.row").alias("_row")), "dropped")  # read twice, once to be counted
+    rows = docs.withColumn("_row", F.col(f"{key}.row"))
+    return rows.join(hinted(dropped, dropped.count()), "_row", "left_anti").select(*[c for c in docs.columns if c != key])
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, read: dict[str, Column] | None = None) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from willowfold.llm.shared import components, small_batches, stash, without_ids
+from willowfold.llm.shared import components, keyed, small_batches, stash, without_rows
 
 RADIUS = 4
 SHINGLE = 4
@@ -193,6 +193,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the smallest id of each component, all columns as they were."""
-    found = near_duplicates(docs, id_col, text_col)
-    return without_ids(docs, found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)), id_col)
+    """docs with one row of each component, the one with the smallest id (null only if none has one), all columns as they were."""
+    rows = keyed(docs, id_col)
+    found = near_duplicates(rows, "_key", text_col)
+    return without_rows(rows, found.where("doc_id <> component_id").select(F.col("doc_id").alias("_key")))
