@@ -1,17 +1,21 @@
-"""New folders below the one that driver and executors share."""
+"""New folders below the one that driver and executors share, and tables kept in them."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def new_dir(spark: SparkSession, label: str) -> str:
-    """A path that does not exist yet; a local session without spark.checkpoint.dir gets a temporary folder."""
+    """A path that does not exist yet, below spark.checkpoint.dir; a local session without it gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
@@ -20,11 +24,41 @@ def new_dir(spark: SparkSession, label: str) -> str:
         if context.applicationId not in _own:
             _own[context.applicationId] = tempfile.mkdtemp(prefix="spark-willowfold-")
         base = _own[context.applicationId]
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read back: for a small result of a large input that several steps read."""
-    path = new_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def kept(df: DataFrame, label: str, codec: str = "zstd", path: str | None = None) -> DataFrame:
+    """df written to the shared folder and read back, so that later steps survive lost executors."""
+    spark = df.sparkSession
+    path = path or new_dir(spark, label)
+    df.write.option("compression", codec).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._kept_at = path
+    return back
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete kept tables that nothing reads any more: all that is made of them is written."""
+    for table in tables:
+        _delete(table.sparkSession, table._kept_at)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving what was kept inside; the results must be written to a path from outside by then."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        made = _made.get()
+        _made.reset(token)
+        for path in made:
+            _delete(spark, path)
