@@ -27,15 +27,31 @@ def test_against_plain_groups(documents):
     check(documents)
 
 
-def test_splits_and_overflow_pages(documents):
+def test_splits_and_overfull_buckets(documents):
+    check(documents, capacity=7)
     check(documents, capacity=7, bits=6)
     check(documents, capacity=1, bits=1)
 
 
-def test_directory_splits_overfull_buckets(spark):
-    entries = spark.createDataFrame([(0,)] * 5 + [(1,)] * 2 + [(4,)], "slot int")
-    got = {r.slot: (r.depth, r.bucket, r.pages) for r in exact_dedup.directory(entries, capacity=4, bits=3).collect()}
-    assert got == {0: (3, 0, 2), 1: (3, 1, 1), 4: (1, 1, 1)}
+def test_directory_doubles_until_buckets_fit(spark, documents):
+    filled = spark.createDataFrame([(0, 5), (1, 2), (4, 1)], "slot int, n long")
+    assert {tuple(r) for r in exact_dedup.directory(filled, 4, 3).collect()} == {(0, 3, 0), (1, 3, 1), (4, 1, 1)}
+    index = exact_dedup.build_index(exact_dedup.entries_of(documents, "doc_id", "text"), capacity=16).collect()
+    held = {}
+    for r in index:
+        assert r.bucket == (r.h & (1 << 64) - 1) >> (64 - r.depth) if r.depth else r.bucket == 0
+        held.setdefault((r.depth, r.bucket), []).append(r)
+    assert len(held) > 8 and max(map(len, held.values())) <= 16
+    assert sum(r.copies for r in index) == documents.count() and all(r.chained == (r.copies > 1) for r in index)
+
+
+def test_chains_need_no_shuffle_of_their_own(spark, documents):
+    folded = spark.createDataFrame([(0, 1)], "first_slot long, h long").repartitionByRange("first_slot")
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    plan = folded.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("first_slot", "h")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
 
 
 def test_odd_rows(odd, nothing):

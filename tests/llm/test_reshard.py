@@ -34,27 +34,57 @@ def test_flow_is_least():
         assert cost == least
 
 
-def check(docs, shards):
-    old = F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.col("n_chars") % 3), F.lit(7))
-    got = reshard.reshard(docs, old, shards).collect()
+def check(docs, shards, old=None, **kw):
+    old = F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.col("n_chars") % 3), F.lit(7)) if old is None else old
+    got = reshard.reshard(docs, old, shards, **kw).collect()
     want = sorted(((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in docs.select("doc_id", "text").collect()), key=str)
     assert sorted(((r.doc_id, r["size"], r.text_crc32) for r in got), key=str) == want
     slots = {}
     for r in got:
-        slots.setdefault(r.shard, []).append(r)
+        slots.setdefault(r.shard, []).append(r.slot)
     for own in slots.values():
-        assert sorted(r.slot for r in own) == list(range(len(own)))
-        ids = [r.doc_id or -1 for r in sorted(own, key=lambda r: r.slot)]
-        assert ids == sorted(ids)
-    return [len(slots.get(s, [])) for s in range(shards)]
+        assert sorted(own) == list(range(len(own)))
+    counts = [len(slots.pop(s, [])) for s in range(shards)]
+    assert not slots and max(counts) - min(counts) <= 1
+    return counts
 
 
 def test_counts_are_even_and_rows_whole(documents):
     for shards in (40, 3):
-        counts = check(documents, shards)
-        assert max(counts) - min(counts) <= 1
+        check(documents, shards)
+    check(documents, 5, file_bytes=20_000)
 
 
 def test_odd_rows(odd, nothing):
     check(odd, 4)
+    check(odd, 4, tied_rows=1)
     assert reshard.reshard(nothing, F.lit(0), 4).count() == 0
+
+
+def test_repeated_rows_keep_the_law(spark, documents):
+    schema = "doc_id long, text string, source string, n_chars long, to_shard int"
+    one = spark.createDataFrame([(7, "same text", "s", 1, 0)] * 1000 + [(i, "t" * (i % 50), "s", i, 0) for i in range(300)], schema)
+    null = spark.createDataFrame([(None, "same text", "s", 1, 0)] * 500 + [(i, None, "s", i, 0) for i in range(5)], schema)
+    for docs in (one, null):
+        for tied in (reshard.TIED_ROWS, 10):
+            assert min(check(docs, 40, tied_rows=tied)) > 0
+    some = documents.where("doc_id % 7 < 5")
+    check(some.union(some), 40)
+    check(some.union(some).union(some), 40)
+
+
+def test_only_changed_shards_are_written(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "x" * (i % 9), i % 3 if i < 6 else 3, "extra") for i in range(12)], "doc_id long, text string, home int, shard string")
+    path = str(tmp_path / "new")
+    got = reshard.reshard(docs, F.col("home"), 4, path=path).collect()
+    assert sorted(p.name for p in (tmp_path / "new").iterdir() if "=" in p.name) == [f"shard_={s}" for s in range(4)]
+    back = spark.read.parquet(path)
+    assert sorted(map(tuple, back.select(*docs.columns).collect())) == sorted(map(tuple, docs.collect()))
+    assert {(r.doc_id, r.shard_) for r in back.collect()} == {(r.doc_id, r.shard) for r in got}
+    # three shards are even already and one row is too many in none of them
+    even = docs.where("home < 3")
+    assert sorted((r.doc_id, r.shard) for r in reshard.reshard(even, F.col("home"), 3, path=str(tmp_path / "none")).collect()) == sorted((r.doc_id, r.home) for r in even.collect())
+    assert not (tmp_path / "none").exists()
+    two = spark.createDataFrame([(i, "x", s) for i, s in enumerate([0] * 4 + [1] * 2 + [2] * 3)], "doc_id long, text string, home int")
+    assert check(two, 3, F.col("home"), path=str(tmp_path / "two")) == [3, 3, 3]
+    assert sorted(p.name for p in (tmp_path / "two").iterdir() if "=" in p.name) == ["shard=0", "shard=1"]

@@ -1,17 +1,21 @@
 """Exact dedup through an extendible-hash index in shared files, in DataFrame operations only.
 
-Every row has an index entry: doc_id, the 64-bit hash of its normalised text and the text's SHA-256.
-The first DIRECTORY_BITS bits of the hash point into the directory.  The directory starts at depth 0 and
-doubles: a bucket that holds more than ``capacity`` entries is split by one more bit, so each slot has a
-local depth; at the last depth an overfull bucket (many copies share one hash, which no bit can part)
-gets overflow pages.  The directory has at most 2**DIRECTORY_BITS rows, the proven bound for which it
-may be broadcast.  Tasks own ranges of (bucket, page), fold their entries into chains of one hash and
-only for chains of several entries are texts read again and compared byte by byte, by grouping on the
-whole normalised text; copies fold inside the tasks that read them before anything is shuffled.
+Every row has an entry: doc_id, the 64-bit hash of its normalised text and the text's SHA-256.  Entries of one hash and
+SHA-256 fold first, map-side, so that a group of copies is one entry of the index however large it is.
+
+The first bits of the hash point into the directory.  The directory starts at depth 0 and doubles: a bucket that holds more
+than ``capacity`` entries is split by one more bit, so each slot has the depth of its bucket.  Default capacity and
+bits follow from the number of entries, so that the directory has some 2**DIRECTORY_BITS slots at most, and buckets fit long before the last
+depth; where bits are given and too few, the bucket of the last depth keeps what it has.
+
+A bucket is a range of hashes.  Each owner task takes a range of buckets, puts its entries in order of their hash and marks the
+chains: hashes with several rows or several SHA-256.  The index is written so.  Only for hashes in a chain are texts read again, by
+those who may broadcast the chains' hashes or shuffle by them, and compared byte by byte, by grouping on hash and whole normalised text; copies fold inside the
+tasks that read them before anything is shuffled.
 
 Defined results: a null text counts as empty; a row with a null doc_id has the answer of its group and is
 kept only if it is alone in its group; repeated rows of one
-doc_id count as members and share one answer; an empty table gives no rows.
+doc_id count as members and share one answer; an empty table gives no rows; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -21,8 +25,8 @@ from pyspark.sql import functions as F
 
 from willowfold.llm.shared import hinted, keyed, stash, without_rows
 
-DIRECTORY_BITS = 12
-CAPACITY = 100_000
+DIRECTORY_BITS = 18
+CAPACITY = 8192
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -30,43 +34,61 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, " ")
 
 
-def directory(entries: DataFrame, capacity: int = CAPACITY, bits: int = DIRECTORY_BITS) -> DataFrame:
-    """(slot, depth, bucket, pages) for every slot in use, from the number of entries in it."""
-    filled = entries.groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+def bits_for(entries: int, capacity: int) -> int:
+    """Bits that part so many entries into buckets of the capacity, and three to spare."""
+    return max(1, -(-entries // capacity) - 1).bit_length() + 3
+
+
+def slot(bits: int) -> Column:
+    return F.expr(f"cast(shiftrightunsigned(h, {64 - bits}) as int)")
+
+
+def directory(filled: DataFrame, capacity: int, bits: int) -> DataFrame:
+    """(slot, depth, bucket) for every slot in use, from (slot, n), the number of entries in it."""
     levels = filled.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(bits))))
     levels = levels.withColumn("bucket", F.expr(f"shiftrightunsigned(slot, {bits} - depth)"))
-    levels = levels.withColumn("held", F.sum("n").over(Window.partitionBy("depth", "bucket")))
-    fits = levels.where((F.col("held") <= capacity) | (F.col("depth") == bits))
-    chosen = fits.groupBy("slot").agg(F.min(F.struct("depth", "bucket", "held")).alias("b"))
-    return chosen.select("slot", "b.depth", "b.bucket", F.ceil(F.col("b.held") / capacity).cast("int").alias("pages"))
+    held = levels.groupBy("depth", "bucket").agg(F.sum("n").alias("held"))
+    fits = held.where((F.col("held") <= capacity) | (F.col("depth") == bits))
+    levels = levels.select("slot", "depth", "bucket").join(fits, ["depth", "bucket"])
+    return levels.groupBy("slot").agg(F.min(F.struct("depth", "bucket")).alias("b")).select("slot", "b.depth", "b.bucket")
 
 
-def build_index(docs: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY, bits: int = DIRECTORY_BITS) -> DataFrame:
-    """The entries of the index, read from the shared files that hold them by bucket and page."""
+def entries_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, h, sha) of every row, written to the shared folder."""
     text = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("t"))
-    entries = text.select("doc_id", F.xxhash64("t").alias("h"), F.unhex(F.sha2("t", 256)).alias("sha"))
-    entries = stash(entries.withColumn("slot", F.expr(f"cast(shiftrightunsigned(h, {64 - bits}) as int)")), "entries")
-    slots = F.broadcast(stash(directory(entries, capacity, bits), "directory"))
-    paged = entries.join(slots, "slot").withColumn("page", F.pmod(F.xxhash64("doc_id"), F.col("pages")).cast("int"))
-    paged = paged.select("depth", "bucket", "page", "h", "doc_id", "sha")
-    return stash(paged.repartition("depth", "bucket", "page").sortWithinPartitions("depth", "bucket", "page", "h"), "index")
+    return stash(text.select("doc_id", F.xxhash64("t").alias("h"), F.unhex(F.sha2("t", 256)).alias("sha")), "entries")
+
+
+def build_index(entries: DataFrame, capacity: int | None = None, bits: int | None = None) -> DataFrame:
+    """The index (depth, bucket, h, sha, copies, chained), an entry for each text, read from the files that owner tasks wrote."""
+    folded = stash(entries.groupBy("h", "sha").agg(F.count(F.lit(1)).alias("copies")), "folded")
+    n = folded.count()
+    capacity = capacity or max(CAPACITY, n >> (DIRECTORY_BITS - 3))
+    bits = bits or bits_for(n, capacity)
+    slots = stash(directory(folded.groupBy(slot(bits).alias("slot")).agg(F.count(F.lit(1)).alias("n")), capacity, bits), "directory")
+    placed = folded.withColumn("slot", slot(bits)).join(hinted(slots, 1 << bits), "slot")
+    first = F.expr(f"shiftleft(cast(bucket as long), {bits} - depth)")
+    owned = placed.select(first.alias("first_slot"), "depth", "bucket", "h", "sha", "copies").repartitionByRange("first_slot")
+    chain = Window.partitionBy("first_slot", "h")  # within the owner's range, so nothing moves
+    owned = owned.withColumn("chained", (F.col("copies") > 1) | (F.count(F.lit(1)).over(chain) > 1))
+    return stash(owned.drop("first_slot"), "index")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, bits: int = DIRECTORY_BITS) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None, bits: int | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of docs."""
-    index = build_index(docs, id_col, text_col, capacity, bits)
-    chains = index.groupBy("depth", "bucket", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    chains = stash(chains, "chains")
+    entries = entries_of(docs, id_col, text_col)
+    index = build_index(entries, capacity, bits)
+    chains = stash(index.where("chained").select("h").distinct(), "chains")
     texts = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("t")).withColumn("h", F.xxhash64("t"))
     members = texts.join(hinted(chains, chains.count()), "h", "left_semi")
     equal = members.groupBy("h", "t").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     equal = stash(equal.select("h", F.unhex(F.sha2("t", 256)).alias("sha"), "keep_id", "group_size"), "equal")
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
-    return index.join(equal, ["h", "sha"], "left").select(
-        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(keep == F.col("doc_id"), alone).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
-    )
+    size = F.coalesce("group_size", F.lit(1)).cast("long")
+    return entries.join(equal, ["h", "sha"], "left").select(
+        "doc_id", keep.alias("keep_id"), size.alias("group_size"), F.coalesce(keep == F.col("doc_id"), size == 1).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
+    )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,8 +96,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows are told apart by keys, not ids: repeated rows are dropped, and rows of one id with other texts stay.
     """
-    rows = keyed(docs, id_col)
-    return without_rows(rows, exact_groups(rows, "_key", text_col).where("not kept").select(F.col("doc_id").alias("_key")))
+    rows, key = keyed(docs, id_col)
+    return without_rows(rows, exact_groups(rows, key, text_col).where("not kept"), key)
 
 
 ORACLE = """

@@ -7,28 +7,39 @@ shard spares the move of that shard's largest candidate.  So each old shard has
 block of one row that may; a flow of least cost over these blocks decides the transfers between shards.
 
 The network has a few nodes for each shard and none for rows; only counts and one candidate row of each shard reach
-the driver.  Rows are ranked by size within their old shard, and a transfer is a range of ranks, joined back
-through the table of transfers (at most one for each pair of shards).
+the driver.  Rows are ranked by (size, id, CRC) within their old shard, and a transfer is a range of ranks.  A rank finds its
+row by its place (size, id, CRC): almost every place has one row, and whole places are told by a broadcast table of
+transfers where the texts are read.  Where several rows share a place that a transfer's end cuts, or very many do, they are written with
+numbers of their own, which are ranks when added to the place's first, so exactly the planned rows move.
 
 Law: ``rows`` - the counts of shards are at most one apart.
 
-Defined results: a null text has 16 bytes and the CRC of no bytes; rows with equal ids or texts are rows of
-their own; a null source belongs to an old shard of its own; rows of one id and
-one text may move together, beyond the law; slots follow doc_id, nulls first, then size and CRC; an empty table gives no rows; other columns are neither read nor written.
+Every shard that gave or got rows is written to a folder of its own, with all columns, in files of even bytes; the others
+are not touched.  A slot is a row's place in its shard's files.
+
+Defined results: a null text has 16 bytes and the CRC of no bytes; rows with equal ids or texts, whole repeated rows too, are rows of
+their own and the law holds for them; a null source belongs to an old shard of its own; slots of shards that stay follow size, id and CRC; an
+empty table gives no rows and writes no shard; columns of docs are written whatever their names.
+docs is read several times and must give the same rows each time, as tables do.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from willowfold.llm.shared import ranked, stash
+from willowfold.llm.shared import free_name, hinted, numbered, ranked, stash
+from willowfold.sources.shared_dir import new_dir
 
 SHARDS = 40
 OLD_SHARDS = 32
 HEADER = 16
+#: Bytes of text in a file, and in a task that writes one; rows of one place from which on they are dealt out by numbers.
+FILE_BYTES = 64 << 20
+TIED_ROWS = 10_000
+PLACE = ["size", "id", "crc"]
 
 
 def least_cost_flow(nodes: int, arcs: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
@@ -115,50 +126,115 @@ def transfers(held: dict[int, int], shards: int, spare_bytes: dict[int, int], bl
     return found
 
 
-def _rows(docs: DataFrame, old_shard: Column, id_col: str, text_col: str) -> DataFrame:
+def described(docs: DataFrame, old_shard: Column, id_col: str, text_col: str) -> DataFrame:
+    """(old_shard, size, id, crc, row) of every row, row being all its columns; a null id comes before all others."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    size = (F.octet_length(text) + HEADER).cast("long")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), size.alias("size"), old_shard.cast("int").alias("old_shard")).withColumn("place", F.struct("size", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.crc32(F.encode("text", "UTF-8")).alias("crc")))
+    size = (F.octet_length(text) + HEADER).cast("long").alias("size")
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id")
+    return docs.select(old_shard.cast("int").alias("old_shard"), size, own, F.crc32(F.encode(text, "UTF-8")).alias("crc"), F.struct("*").alias("row"))
 
 
-def assign(docs: DataFrame, old_shard: Column, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[int]]:
-    """(doc_id, text, size, old_shard, place, shard) of every row, and the shards whose rows change.
+def old_layout(rows: DataFrame) -> DataFrame:
+    """(old_shard, size, id, crc, rank) of every described row: its rank in its old shard, smallest first."""
+    return stash(ranked(rows.select("old_shard", *PLACE), ["old_shard"], PLACE, "rank"), "old-layout")
 
-    A transfer is a range of places (size, id, CRC) of its old shard, so rows find their shard where they are read.
-    """
-    spark = docs.sparkSession
-    rows = _rows(docs, old_shard, id_col, text_col)
-    order = stash(ranked(rows.select("old_shard", "place.*"), ["old_shard"], ["size", "id", "crc"], "rank"), "old-layout")
-    held = {r["old_shard"]: r["count"] for r in order.groupBy("old_shard").count().collect()}  # a row for each old shard
+
+def planned(order: DataFrame, shards: int) -> list[tuple[int, int, int, int]]:
+    """The transfers of least cost for an old layout; a few numbers for each old shard reach the driver."""
+    spark = order.sparkSession
+    held = {r["old_shard"]: r["count"] for r in order.groupBy("old_shard").count().collect()}
     base = sum(held.values()) // shards
     must = {s: max(0, n - base - 1) if s < shards else n for s, n in held.items()}
     musts = F.broadcast(spark.createDataFrame([*must.items()] or [(-1, 0)], "old_shard int, must long"))
     known = order.join(musts, "old_shard")
     costs = known.groupBy("old_shard").agg(F.sum(F.when(F.col("rank") < F.col("must"), F.col("size"))).alias("block"), F.sum(F.when(F.col("rank") == F.col("must"), F.col("size"))).alias("spare")).collect()
-    moves = transfers(held, shards, {r["old_shard"]: r["spare"] or 0 for r in costs}, {r["old_shard"]: r["block"] or 0 for r in costs})
+    return transfers(held, shards, {r["old_shard"]: r["spare"] or 0 for r in costs}, {r["old_shard"]: r["block"] or 0 for r in costs})
+
+
+def tied_places(order: DataFrame, moves: list[tuple[int, int, int, int]], most: int = TIED_ROWS) -> DataFrame:
+    """(old_shard, size, id, crc, first) of places with several rows that a transfer's end cuts, or with more than ``most`` rows."""
+    spark = order.sparkSession
+    cuts = {(s, r) for s, _, low, high in moves for r in (low, high + 1) if r}
+    ends = F.broadcast(spark.createDataFrame([*cuts] or [(-1, -1)], "old_shard int, cut long"))  # at most two for each pair of shards
+    several = order.groupBy("old_shard", *PLACE).agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = stash(several, "several")
+    cut = several.join(ends, "old_shard").where("first < cut and cut < first + n").select("old_shard", *PLACE, "first")
+    return stash(cut.union(several.where(F.col("n") > most).select("old_shard", *PLACE, "first")).distinct(), "tied")
+
+
+def assign(rows: DataFrame, order: DataFrame, moves: list[tuple[int, int, int, int]], most: int = TIED_ROWS) -> DataFrame:
+    """Described rows with ``shard``, their new one, and ``number`` among the tied rows of their place, else 0."""
+    spark = rows.sparkSession
     ends = {(s, r) for s, _, low, high in moves for r in (low, high + 1)}
     marks = F.broadcast(spark.createDataFrame([*ends] or [(-1, -1)], "old_shard int, rank long"))
-    at = {(r["old_shard"], r["rank"]): (r["size"], r["id"], r["crc"]) for r in order.join(marks, ["old_shard", "rank"]).collect()}  # at most two a transfer
-    ranges = [(s, t, at[s, low], at.get((s, high + 1))) for s, t, low, high in moves]
+    at = {(r["old_shard"], r["rank"]): tuple(r[c] for c in PLACE) for r in order.join(marks, ["old_shard", "rank"]).collect()}  # at most two a transfer
+    ranges = [(s, t, low, high, at[s, low], at.get((s, high + 1))) for s, t, low, high in moves]
     place = "struct<size: long, id: long, crc: long>"
-    table = F.broadcast(spark.createDataFrame(ranges or [(-1, -1, None, None)], f"from_shard int, to_shard int, low {place}, high {place}"))
-    within = (rows.old_shard == table.from_shard) & (rows.place >= table.low) & (table.high.isNull() | (rows.place < table.high))
-    found = rows.join(table, within, "left").select("doc_id", "text", "size", "old_shard", "place", F.coalesce("to_shard", "old_shard").alias("shard"))
-    return found, sorted({s for move in moves for s in move[:2]})
+    table = F.broadcast(spark.createDataFrame(ranges or [(-1, -1, -1, -1, None, None)], f"from_shard int, to_shard int, low_rank long, high_rank long, low {place}, high {place}"))
+    tied = tied_places(order, moves, most)
+    n = tied.count()
+    alone = rows.join(hinted(tied, n), ["old_shard", *PLACE], "left_anti") if n else rows
+    own = F.struct(*PLACE)
+    within = (alone.old_shard == table.from_shard) & (own >= table.low) & (table.high.isNull() | (own < table.high))
+    found = alone.join(table, within, "left").select(*rows.columns, F.coalesce("to_shard", "old_shard").alias("shard"), F.lit(0).cast("long").alias("number"))
+    if not n:
+        return found
+    keys = ["old_shard", *PLACE]
+    several = numbered(rows.join(hinted(tied, n), keys).sortWithinPartitions(*keys), keys, "number", "tied-rows")
+    rank = F.col("first") + F.col("number")
+    within = (several.old_shard == table.from_shard) & rank.between(table.low_rank, table.high_rank)
+    return found.unionByName(several.join(table, within, "left").select(*rows.columns, F.coalesce("to_shard", "old_shard").alias("shard"), "number"))
+
+
+def write(found: DataFrame, changed: list[int], path: str, shard_col: str, file_bytes: int = FILE_BYTES) -> None:
+    """Write the rows of changed shards to ``path/<shard_col>=<shard>``.
+
+    A shard has parts by its bytes, at most file_bytes each on average, and a row's part is a hash of its place and number; so no task holds more
+    than a part, and a part is a file.
+    """
+    spark = found.sparkSession
+    rows = found.where(F.col("shard").isin(changed))
+    sizes = {r["shard"]: r["bytes"] for r in rows.groupBy("shard").agg(F.sum("size").alias("bytes")).collect()}  # a row for each shard
+    parts, first = [], 0
+    for shard, held in sorted(sizes.items()):
+        n = -(-held // file_bytes)
+        parts.append((shard, first, n))
+        first += n
+    table = F.broadcast(spark.createDataFrame(parts, "shard int, first_part int, parts int"))
+    part = F.col("first_part") + F.pmod(F.xxhash64(*PLACE, "number"), F.col("parts"))
+    placed = rows.join(table, "shard").withColumn("part", part.cast("int")).repartitionById(first, "part")
+    placed = placed.sortWithinPartitions("shard", *PLACE, "number").select("row.*", F.col("shard").alias(shard_col))
+    placed.write.option("compression", "zstd").partitionBy(shard_col).parquet(path)
+
+
+def read_slots(spark: SparkSession, path: str, shard_col: str, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot) of every row of the shard folders below path, from the rows read."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # the place in the file takes the place of texts, so what is counted and joined is narrow
+    rows = spark.read.parquet(path).select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + HEADER).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.col(shard_col).cast("int").alias("shard"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    files = spark.read.parquet(path).select(F.col(shard_col).cast("int").alias("shard"), F.col("_metadata.file_name").alias("file")).groupBy("shard", "file").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    starts = stash(files.select("shard", "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "file-starts")
+    return rows.join(hinted(starts, starts.count()), ["shard", "file"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("at")).alias("slot"))
 
 
-def reshard(docs: DataFrame, old_shard: Column, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the files of every shard that gave or got rows; (doc_id, size, text_crc32, shard, slot) of all rows.
+def reshard(docs: DataFrame, old_shard: Column, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, file_bytes: int = FILE_BYTES, tied_rows: int = TIED_ROWS) -> DataFrame:
+    """Write the folder of every shard that gave or got rows below path, by default a new shared one; (doc_id, size, text_crc32, shard, slot) of all rows.
 
-    The files hold ranges of (shard, doc_id), so no task holds a whole shard; slots number a shard's rows in that
-    order.  What is returned of rewritten shards is read from their files; other shards keep their files, so their
-    rows come from docs.
+    What is returned of rewritten shards is read from their files; other shards keep what they have, so their rows come from docs.
     """
-    found, changed = assign(docs, old_shard, shards, id_col, text_col)
-    is_changed = F.col("shard").isin(changed) if changed else F.lit(False)
-    order = ["doc_id", "size", "text_crc32"]
-    found = found.withColumn("text_crc32", F.col("place.crc"))
-    of_file = {"doc_id": F.col("doc_id"), "size": F.col("size"), "text_crc32": F.crc32(F.encode("text", "UTF-8")), "shard": F.col("shard")}
-    written = ranked(found.where(is_changed).select("shard", *order, "text"), ["shard"], order, "slot", read=of_file)
-    kept = ranked(found.where(~is_changed).select("shard", *order), ["shard"], order, "slot").select(*of_file, "slot")
-    return written.unionByName(kept)
+    spark = docs.sparkSession
+    path = path or new_dir(spark, "shards")
+    rows = described(docs, old_shard, id_col, text_col)
+    order = old_layout(rows)
+    moves = planned(order, shards)
+    changed = sorted({s for move in moves for s in move[:2] if s < shards})
+    leaving = sorted({s for s, *_ in moves})
+    null_id = F.when(F.col("id") != -(1 << 63), F.col("id"))
+    stay = order.where(~F.col("old_shard").isin([*changed, *leaving])) if moves else order
+    kept = stay.select(null_id.alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.col("old_shard").alias("shard"), F.col("rank").alias("slot"))
+    if not moves:
+        return kept
+    shard_col = free_name(docs.columns, "shard")
+    write(assign(rows, order, moves, tied_rows), changed, path, shard_col, file_bytes)
+    return read_slots(spark, path, shard_col, id_col, text_col).unionByName(kept)

@@ -2,45 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from willowfold.sources.shared_dir import discard
+from willowfold.sources.shared_dir import kept as stash
+
 #: Keys below this count are sent to every executor (16 MB of 8-byte keys); above it the join is shuffled.
 BROADCAST_KEYS = 2_000_000
 
-_local_dirs: dict[str, str] = {}
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a local session may leave the setting out; it then gets one temporary folder of its own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.split("[")[0] == "local":
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    app = context.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="spark-willowfold-")
-    return _local_dirs[app]
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back, so that later steps survive lost executors."""
-    path = new_path(df.sparkSession, label)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound the rows of an Arrow batch, since one text may be a hundred times the mean."""
@@ -53,43 +23,57 @@ def hinted(keys: DataFrame, count: int) -> DataFrame:
     return F.broadcast(keys) if count <= BROADCAST_KEYS else keys
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", key: str = "_key") -> DataFrame:
-    """docs, written once, with a key of its own for every row: (no id, id, row number), so that the least key has the least id.
+def free_name(columns: list[str], name: str) -> str:
+    """name, with underscores behind it until no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """docs, written once, and the name of a key of its own for every row: (no id, id, row number), so that the least key has the least id.
 
     Row numbers are given where the rows are written and read back with them; a lost task cannot change them.
     """
-    row = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    return row.select(*docs.columns, F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("_row").alias("row")).alias(key))
+    row, key = free_name(docs.columns, "_row"), free_name(docs.columns, "_key")
+    rows = stash(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    return rows.select(*docs.columns, F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias(key)), key
 
 
-def without_rows(docs: DataFrame, dropped: DataFrame, key: str = "_key") -> DataFrame:
-    """Keyed docs less the rows whose key is in dropped, without the key."""
-    dropped = stash(dropped.select(F.col(f"{key}.row").alias("_row")), "dropped")  # read twice, once to be counted
-    rows = docs.withColumn("_row", F.col(f"{key}.row"))
-    return rows.join(hinted(dropped, dropped.count()), "_row", "left_anti").select(*[c for c in docs.columns if c != key])
+def without_rows(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """Keyed docs less the rows whose key is in dropped (doc_id), without the key."""
+    row = free_name(docs.columns, "_row")
+    dropped = stash(dropped.select(F.col("doc_id.row").alias(row)), "dropped")  # read twice, once to be counted
+    rows = docs.withColumn(row, F.col(f"{key}.row"))
+    return rows.join(hinted(dropped, dropped.count()), row, "left_anti").select(*[c for c in docs.columns if c != key])
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, read: dict[str, Column] | None = None) -> DataFrame:
-    """Add ``name``: 0, 1, ... within equal keys by order, without a task that holds a whole key.
+def numbered(df: DataFrame, keys: list[str], name: str, label: str = "numbered") -> DataFrame:
+    """df, written to the shared folder, with ``name``: 0, 1, ... within equal keys, in the order of the partitions and in them.
 
-    Rows are range-partitioned on keys and order, numbered within their partition, and shifted by the
-    counts of the partitions before; only those counts meet, a row for each (partition, key).
-    keys must not be null.  read: columns to make of the sorted rows where they are read back, in place of all; wide
-    columns then stay out of what follows.  Do not sort by wide columns, since the bounds are found from a sample of the order.
+    In each partition rows of equal keys must follow each other.  They are numbered by their row, less the first one's, plus the
+    counts of the partitions before; only those counts meet, a row for each (partition, key).  keys must not be null.
     """
     columns = df.columns
-    placed = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    placed = placed.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    placed = stash(placed, "ranked")
+    placed = df.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    placed = stash(placed, label)
     runs = placed.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = stash(runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))), "rank-runs")
-    if read is not None:
-        columns = list(read)
-        placed = placed.select("_part", "_row", *keys, *[c.alias(n) for n, c in read.items() if n not in keys])
+    runs = stash(runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))), "runs")
     return placed.join(hinted(runs, runs.count()), ["_part", *keys]).select(*columns, (F.col("_row") - F.col("_first") + F.col("_before")).alias(name))
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Add ``name``: 0, 1, ... within equal keys by order, without a task that holds a whole key or a whole run of ties.
+
+    For narrow rows: they are written with a row number, which breaks ties, so that a run of equal rows is dealt out like any other.
+    """
+    tied = stash(df.withColumn("_tie", F.monotonically_increasing_id()), "unranked")
+    by = [*keys, *order, "_tie"]
+    return numbered(tied.repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie"), keys, name, "ranked")
+
+
 def _signature(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
     return tuple(row)
@@ -108,11 +92,12 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stash(large, "large")
+        large, last = stash(large, "large"), edges
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stash(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")
         now = _signature(edges)
+        discard(last, large)
         if now == seen:
             break
         seen = now

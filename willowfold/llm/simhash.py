@@ -194,6 +194,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component, the one with the smallest id (null only if none has one), all columns as they were."""
-    rows = keyed(docs, id_col)
-    found = near_duplicates(rows, "_key", text_col)
-    return without_rows(rows, found.where("doc_id <> component_id").select(F.col("doc_id").alias("_key")))
+    rows, key = keyed(docs, id_col)
+    found = near_duplicates(rows, key, text_col)
+    return without_rows(rows, found.where("doc_id <> component_id"), key)
