@@ -40,34 +40,55 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, None if v is None else [None if c is None else float(c) for c in v], label, 5, 6) for i, label, v in rows], SCHEMA)
 
 
-@pytest.mark.parametrize("cell_rows", [8192, 16])
-def test_against_all_pairs(spark, cell_rows):
-    rng = np.random.default_rng(4)
+def clumps(dim, n, seed=4):
+    rng = np.random.default_rng(seed)
     rows = []
     for label in (0, 1):
-        centres = rng.standard_normal((40, 16))
-        for i in range(300):
-            v = centres[min(i % 60, 39)] + rng.standard_normal(16) * rng.choice([0, 0.05, 0.12, 1])
+        centres = rng.standard_normal((40, dim))
+        for i in range(n):
+            v = centres[min(i % 60, 39)] + rng.standard_normal(dim) * rng.choice([0, 0.05, 0.12, 1])
             rows.append((len(rows), label, np.round(v, 3).tolist()))
-    got = multi_index.near_vectors(frame(spark, rows), cell_rows=cell_rows).collect()
+    return rows
+
+
+@pytest.mark.parametrize(("dim", "cell_rows"), [(16, 8192), (16, 16), (6, 8192)])
+def test_all_links_are_found_with_recall_one(spark, dim, cell_rows):
+    rows = clumps(dim, 300)
+    got = multi_index.near_vectors(frame(spark, rows), recall=1.0, cell_rows=cell_rows).collect()
     want = plain(rows)
-    links = sum(n for _, n, _ in want)
-    found = sum(r.n_links for r in got)
-    assert 0.99 * links <= found <= links and links > 500
-    if found == links:
-        assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(want)
+    assert sum(n for _, n, _ in want) > 500
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(want)
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
-def test_multi_sequence_visits_nearest_cells_first(spark):
+def test_target_recall_is_reached(spark):
+    rows = clumps(16, 700, seed=5)
+    links = sum(n for _, n, _ in plain(rows))
+    found = sum(r.n_links for r in multi_index.near_vectors(frame(spark, rows)).collect())
+    assert 0.998 * links <= found <= links
+
+
+def test_visits_are_the_cells_within_the_radius(spark):
     rng = np.random.default_rng(1)
-    points = multi_index.unit(rng.standard_normal((200, 8)))
-    grid = multi_index.Grid(points[:9, :4], points[:7, 4:])
-    a, b = multi_index.squares(points[:, :4], grid.first), multi_index.squares(points[:, 4:], grid.second)
-    every = (a[:, :, None] + b[:, None, :]).reshape(len(points), -1)
-    for n in (1, 5, 20, 63):
-        cells = grid.sequence(points, n)
-        assert np.allclose(np.take_along_axis(every, cells, 1), np.sort(every, axis=1)[:, :n])
+    points = multi_index.unit(rng.standard_normal((300, 8)))
+    grid = multi_index.Grid(points[:9, :4], points[:7, 4:], 0.4)
+    a, b = grid.bounds(points)
+    home = grid.home(points)
+    bound = (a[:, :, None] + b[:, None, :]).reshape(len(points), -1)
+    assert (bound[np.arange(len(points)), home] == 0).all()
+    cells = np.arange(63)
+    want = {(i, c) for i in range(len(points)) for c in cells if c > home[i] and bound[i, c] <= 0.16}
+    row, cell = grid.visits(points)
+    assert len(row) == len(want) and set(zip(row.tolist(), cell.tolist(), strict=True)) == want
+    # no point that lives in a cell is nearer than the bound
+    apart = ((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
+    assert (bound[:, home] <= apart + 1e-9).all()
+
+
+def test_rows_of_one_id_have_their_own_links(spark):
+    rows = [(1, 0, [1, 0]), (1, 0, [0, 1]), (2, 0, [1, 0.01]), (3, 0, [0.01, 1])]
+    got = multi_index.near_vectors(frame(spark, rows)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
 
 
 def test_odd_rows(spark):

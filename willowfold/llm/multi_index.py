@@ -1,19 +1,22 @@
 """Near-duplicate vectors of equal label by an inverted multi-index.
 
 Vectors are cut in halves, each half has a codebook, and the product of the two is a grid of cells.  Every vector lies
-in the cell of its nearest codewords.  A vector visits the cells in the order of the multi-sequence algorithm, by the sum of
-its squared distances to the two codewords, until the target recall is reached: how many cells that takes is measured
-on sampled vectors and partners drawn for them at the very threshold, the hardest case.  Vectors met in a cell
-are verified by their cosine in double precision, so no pair below the threshold is linked.
+in the cell of its nearest codewords.  In each half, a vector is at least as far from all that lies with a codeword as from the plane
+between that codeword and its own nearest one; the squares of the two halves' bounds add up to a bound for the cell.  A vector visits
+cells in the order of the multi-sequence algorithm, by the sum of those bounds, until the bound passes the radius.
 
-Identical vectors are folded into one class first.  A cell does not emit its pairs but the sums of links it
+The radius sets the recall.  For recall 1 it is the distance of unit vectors at the threshold: no link can lie beyond it, so
+all are found.  For less it is the bound that the target part of partners drawn at the very threshold, the hardest case, do not pass.
+Vectors met in a cell are verified by their cosine in double precision, so no pair below the threshold is linked.
+
+Identical vectors are folded into one class first, with a number of its own.  Of two vectors the one with the lower home cell visits the other, so a pair is met
+once.  A cell does not emit its pairs but the sums of links it
 found for each vector, and links enough to keep its vectors connected, so its output is no larger than its input.  A
-cell with more members or visitors than CELL_ROWS is dealt out as pairs of blocks.  A pair that could be met in two cells is
-counted in one of them by a rule on the cells visited.
+cell with more members or visitors than CELL_ROWS is dealt out as pairs of blocks.
 
 Defined results: vectors that are null, empty or zero, hold null or non-finite components, have no label or no id
-link with nothing (0 links, their own component); vectors of different lengths do not link; identical rows, repeated ids
-included, are linked as vectors of their own; an empty table gives no rows; extra columns are not read.
+link with nothing (0 links, their own component); vectors of different lengths do not link; identical rows are linked as
+vectors of their own; rows of one id with different vectors each have their own links; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,15 +28,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from willowfold.llm.shared import components, stash
+from willowfold.llm.shared import components, hinted, stash
 from willowfold.llm.simhash import merge
 
 THRESHOLD = 0.98
-TARGET_RECALL = 0.995
-SAMPLE = 8192
+TARGET_RECALL = 0.999
+#: Codebooks are fitted on so many vectors at least, and so many for each codeword.
+SAMPLE, SAMPLE_PER_WORD = 8192, 16
 CELL_MEMBERS = 24
-MOST_WORDS = 256
+MOST_WORDS = 4096
 CELL_ROWS = 8192
 _BLOCK = 1024
 
@@ -44,12 +49,12 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def codebook(points: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -> np.ndarray:
-    """Up to k k-means centres."""
+    """Up to k different k-means centres."""
     words = points[rng.choice(len(points), min(k, len(points)), replace=False)]
     for _ in range(rounds):
         own = np.argmin(squares(points, words), axis=1)
         words = np.array([points[own == c].mean(axis=0) if (own == c).any() else words[c] for c in range(len(words))])
-    return words
+    return np.unique(words, axis=0)
 
 
 def squares(points: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -57,81 +62,128 @@ def squares(points: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 class Grid:
-    """Two codebooks, and how many cells a vector visits."""
+    """Two codebooks, and how far the cells that a vector visits may be from it."""
 
-    def __init__(self, first: np.ndarray, second: np.ndarray, visits: int = 1):
-        self.first, self.second, self.visits = first, second, visits
+    def __init__(self, first: np.ndarray, second: np.ndarray, radius: float):
+        self.words, self.radius = (first, second), radius
+        self.apart = [np.sqrt(np.maximum(squares(w, w), 0)) for w in self.words]
+        for apart in self.apart:
+            np.fill_diagonal(apart, np.inf)
 
     @classmethod
     def fit(cls, sample: np.ndarray, k: int, threshold: float, recall: float) -> Grid:
         rng = np.random.default_rng(2012)
         points = unit(sample)
         half = points.shape[1] // 2
-        grid = cls(codebook(points[:, :half], k, rng), codebook(points[:, half:], k, rng))
-        some = points[:1024]
-        noise = rng.standard_normal(some.shape)
-        noise -= (noise * some).sum(axis=1, keepdims=True) * some
-        size = np.linalg.norm(noise, axis=1, keepdims=True)
-        partners = threshold * some + np.sqrt(1 - threshold**2) * noise / np.where(size > 0, size, 1)
-        # either of a pair may visit the other's cell
-        rank = np.minimum(grid.rank_of(some, grid.sequence(partners, 1)[:, 0]), grid.rank_of(partners, grid.sequence(some, 1)[:, 0]))
-        grid.visits = int(np.quantile(rank, recall, method="higher")) + 1
+        farthest = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6  # to spare for the rounding of squares
+        grid = cls(codebook(points[:, :half], k, rng), codebook(points[:, half:], k, rng), farthest)
+        if recall < 1:
+            some = points[:4096]
+            noise = rng.standard_normal(some.shape)
+            noise -= (noise * some).sum(axis=1, keepdims=True) * some
+            size = np.linalg.norm(noise, axis=1, keepdims=True)
+            partners = threshold * some + np.sqrt(1 - threshold**2) * noise / np.where(size > 0, size, 1)
+            lower = grid.home(some) <= grid.home(partners)
+            visitor, host = np.where(lower[:, None], some, partners), np.where(lower[:, None], partners, some)
+            a, b = grid.bounds(visitor)
+            i, j = np.divmod(grid.home(host), len(grid.words[1]))
+            rows = np.arange(len(some))
+            grid.radius = min(farthest, float(np.sqrt(np.quantile(a[rows, i] + b[rows, j], recall, method="higher"))) + 1e-6)
         return grid
 
-    def _sorted(self, points: np.ndarray) -> tuple[np.ndarray, ...]:
+    def _halves(self, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         half = points.shape[1] // 2
-        a, b = squares(points[:, :half], self.first), squares(points[:, half:], self.second)
-        i, j = np.argsort(a, axis=1, kind="stable"), np.argsort(b, axis=1, kind="stable")
-        return i, j, np.take_along_axis(a, i, 1), np.take_along_axis(b, j, 1)
-
-    def sequence(self, points: np.ndarray, n: int | None = None) -> np.ndarray:
-        """The first n cells of each point's multi-sequence, home first.
-
-        Before the cell of the r-th and s-th nearest codewords come at least (r+1)(s+1)-1 others, so only
-        cells with (r+1)(s+1) <= n can be among the first n: those are summed, and the least taken.
-        """
-        n = min(self.visits if n is None else n, len(self.first) * len(self.second))
-        i, j, a, b = self._sorted(points)
-        r, s = (np.array(x) for x in zip(*[(r, s) for r in range(min(n, a.shape[1])) for s in range(min(n // (r + 1), b.shape[1]))], strict=True))
-        order = np.argsort(a[:, r] + b[:, s], axis=1, kind="stable")[:, :n]
-        return np.take_along_axis(i[:, r] * len(self.second) + j[:, s], order, 1)
-
-    def rank_of(self, points: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        every = self.sequence(points, len(self.first) * len(self.second))
-        return np.argmax(every == cells[:, None], axis=1)
+        for part, words, apart in zip((points[:, :half], points[:, half:]), self.words, self.apart, strict=True):
+            yield squares(part, words), words, apart
+
+    def home(self, points: np.ndarray) -> np.ndarray:
+        i, j = (np.argmin(s, axis=1) for s, _, _ in self._halves(points))
+        return i * len(self.words[1]) + j
+
+    def bounds(self, points: np.ndarray) -> list[np.ndarray]:
+        """For each half, the squares of the least distances from each point to what lies with each codeword."""
+        found = []
+        for s, _, apart in self._halves(points):
+            own = np.argmin(s, axis=1)
+            found.append(((s - s[np.arange(len(s)), own][:, None]) / (2 * apart[own])) ** 2)
+        return found
+
+    def visits(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of every visit: cells within the radius after the row's home, nearest codewords first."""
+        home, most = self.home(points), self.radius**2
+        bounds = self.bounds(points)
+        order = [np.argsort(b, axis=1, kind="stable") for b in bounds]
+        a, b = (np.take_along_axis(x, o, 1) for x, o in zip(bounds, order, strict=True))
+        rows, cells = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for r in range(a.shape[1]):
+            some = np.flatnonzero(a[:, r] <= most)
+            if not len(some):
+                break
+            n = (b[some] <= most - a[some, r][:, None]).sum(axis=1)  # the staircase of the multi-sequence
+            row = np.repeat(some, n)
+            s = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            rows.append(row)
+            cells.append(order[0][row, r] * len(self.words[1]) + order[1][row, s])
+        row, cell = np.concatenate(rows), np.concatenate(cells)
+        later = cell > home[row]
+        return row[later], cell[later]
+
+
+PREPARED = "vec_id long, label long, dim int, x binary"
+PLACED = "label long, dim int, cell int, part long, visitor boolean, block int, class long, copies long, x binary"
+_NAMES = [c.split()[0] for c in PLACED.split(", ")]
 
 
-PLACED = "label long, dim int, cell int, part long, visitor boolean, block int, rep long, copies long, home int, visited array<int>, embedding array<double>"
-_NAMES = [c.split()[0] for c in PLACED.split(", ")]
+def _bytes(x: np.ndarray) -> pa.Array:
+    """A binary for each row."""
+    width = x.shape[1] * x.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, len(x) * width + 1, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
 
 
-def _matrix(column: pa.Array, rows: np.ndarray, dim: int) -> np.ndarray:
-    column = column.take(pa.array(rows))
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dim)
+def _matrix(column: pa.Array, dim: int, kind: str) -> np.ndarray:
+    data = np.frombuffer(b"".join(column.to_pylist()), kind)
+    return data.reshape(len(column), dim).astype(np.float64)
 
 
-def _placed(batches: Iterator[pa.RecordBatch], grids: dict[int, Grid]) -> Iterator[pa.RecordBatch]:
-    """A member row in the home cell and a visitor row in each other cell visited."""
+def _prepared(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """Rows with the bytes of their vector, null where it can link with nothing."""
     for batch in batches:
+        vec_id, label, vectors = batch.columns
+        known = vec_id.is_valid().to_numpy(zero_copy_only=False) & label.is_valid().to_numpy(zero_copy_only=False)
+        sizes = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        for dim in np.unique(sizes).tolist():
+            rows = np.flatnonzero(sizes == dim)
+            good = np.zeros(len(rows), bool)
+            if dim:
+                x = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dim)
+                good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1) & known[rows]
+                at = pa.array(rows[good])
+                yield pa.RecordBatch.from_arrays([vec_id.take(at), label.take(at), pa.array(np.full(len(at), dim, np.int32)), _bytes((x[good] + 0.0).astype(kind))], ["vec_id", "label", "dim", "x"])
+            at = pa.array(rows[~good])
+            yield pa.RecordBatch.from_arrays([vec_id.take(at), label.take(at), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], ["vec_id", "label", "dim", "x"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch], grids: dict[int, Grid], kind: str) -> Iterator[pa.RecordBatch]:
+    """A member row in the home cell and a visitor row in each other cell visited."""
+    for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
         dims = batch.column("dim").to_numpy()
         for dim in np.unique(dims).tolist():
-            rows = np.flatnonzero(dims == dim)
-            x = _matrix(batch.column("embedding"), rows, dim)
-            cells = grids[dim].sequence(unit(x)) if dim in grids else np.zeros((len(rows), 1), np.int64)
-            n = cells.shape[1]
-            visited = pa.ListArray.from_arrays(np.arange(0, len(rows) * n + 1, n, dtype=np.int32), pa.array(cells.ravel(), pa.int32()))
-            values = pa.ListArray.from_arrays(np.arange(0, len(rows) * dim + 1, dim, dtype=np.int32), pa.array(x.ravel(), pa.float64()))
-            label, rep, copies = (batch.column(c).take(pa.array(rows)) for c in ("label", "rep", "copies"))
-            for k in range(n):
-                home = pa.array(cells[:, 0], pa.int32())
-                same = [pa.array(np.full(len(rows), v), t) for v, t in ((dim, pa.int32()), (0, pa.int64()), (k > 0, pa.bool_()), (0, pa.int32()))]
-                columns = [label, same[0], pa.array(cells[:, k], pa.int32()), same[1], same[2], same[3], rep, copies, home, visited, values]
-                yield pa.RecordBatch.from_arrays(columns, _NAMES)
-
-
-def _links_of(rows: dict, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            own = batch.take(pa.array(np.flatnonzero(dims == dim)))
+            n = own.num_rows
+            row, cell = np.arange(n), np.zeros(n, np.int64)
+            if dim in grids:
+                points = unit(_matrix(own.column("x"), dim, kind))
+                more, visited = grids[dim].visits(points)
+                row, cell = np.concatenate((row, more)), np.concatenate((grids[dim].home(points), visited))
+            at = pa.array(row)
+            label, number, copies, x = (own.column(c).take(at) for c in ("label", "class", "copies", "x"))
+            zero = np.zeros(len(row), np.int64)
+            columns = [label, pa.array(zero + dim, pa.int32()), pa.array(cell, pa.int32()), pa.array(zero), pa.array(np.arange(len(row)) >= n), pa.array(zero, pa.int32()), number, copies, x]
+            yield pa.RecordBatch.from_arrays(columns, _NAMES)
+
+
+def _links_of(x: np.ndarray, visitor: np.ndarray, block: np.ndarray, copies: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the rows of one cell: links found for each row, and the forest that joins them (a, b)."""
-    x, visitor, block = rows["x"], rows["visitor"], rows["block"]
     x = x / np.abs(x).max(axis=1, keepdims=True)
     norm = np.sqrt((x * x).sum(axis=1))
     members, guests = np.flatnonzero(~visitor), np.flatnonzero(visitor)
@@ -147,12 +199,8 @@ def _links_of(rows: dict, threshold: float) -> tuple[np.ndarray, np.ndarray, np.
                 i, j = a[i], b[j]
                 if alike:
                     i, j = i[i < j], j[i < j]
-                elif visitor[a[0]]:  # met in the other's home as well, if that one visits it: then the lower home counts
-                    twice = (rows["visited"][j] == rows["home"][i][:, None]).any(axis=1)
-                    once = ~twice | (rows["home"][j] < rows["home"][i])
-                    i, j = i[once], j[once]
-                np.add.at(links, i, rows["copies"][j])
-                np.add.at(links, j, rows["copies"][i])
+                np.add.at(links, i, copies[j])
+                np.add.at(links, j, copies[i])
                 merge(label, i, j)
 
     if len(blocks) == 2:
@@ -166,7 +214,7 @@ def _links_of(rows: dict, threshold: float) -> tuple[np.ndarray, np.ndarray, np.
     return links, own, label[own]
 
 
-def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], threshold: float, kind: str) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by cell and part; (a, b, links): a link of the forest, or with b null the sum of a's links."""
     held: list[pa.RecordBatch] = []
     for batch in itertools.chain(batches, [None]):
@@ -180,37 +228,40 @@ def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         keys = np.stack([table.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("label", "dim", "cell", "part")])
         starts = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1))
         stop = len(starts) if batch is None else len(starts) - 1
+        found: list[tuple[np.ndarray, ...]] = []
         for n in range(stop):
             low, high = starts[n], starts[n + 1] if n + 1 < len(starts) else table.num_rows
+            if high - low == 1:
+                continue
             part = table.slice(low, high - low)
-            every = np.arange(part.num_rows)
-            rows = {c: part.column(c).to_numpy(zero_copy_only=False) for c in ("visitor", "block", "rep", "copies", "home")}
-            rows |= {"x": _matrix(part.column("embedding"), every, int(keys[1, low])), "visited": _matrix(part.column("visited"), every, len(part.column("visited")[0]))}
-            links, a, b = _links_of(rows, threshold)
-            some, rep = np.flatnonzero(links), rows["rep"]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((rep[a], rep[some])), pa.int64()), pa.array([*rep[b].tolist(), *[None] * len(some)], pa.int64()), pa.array(np.concatenate((np.zeros(len(a), np.int64), links[some])), pa.int64())], ["a", "b", "links"])
+            visitor, block, number, copies = (part.column(c).to_numpy(zero_copy_only=False) for c in ("visitor", "block", "class", "copies"))
+            links, a, b = _links_of(_matrix(part.column("x"), int(keys[1, low]), kind), visitor, block, copies, threshold)
+            some = np.flatnonzero(links)
+            found.append((np.concatenate((number[a], number[some])), np.concatenate((number[b], np.full(len(some), -1))), np.concatenate((np.zeros(len(a), np.int64), links[some]))))
+        if found:
+            a, b, links = (np.concatenate(c) for c in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64(), mask=b < 0), pa.array(links)], ["a", "b", "links"])
         held = [] if batch is None else [table.slice(starts[-1])]
 
 
-def classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows as (vec_id, label, embedding) with embedding null where nothing can link, and the classes of identical ones."""
-    x = F.col(vector_col).cast("array<double>")
-    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
-    usable = F.coalesce(finite & F.col(label_col).isNotNull() & F.col(id_col).isNotNull(), F.lit(False))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.when(usable, x).alias("embedding"))
-    found = rows.where("embedding is not null").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    return rows, stash(found.select("label", F.size("embedding").alias("dim"), "rep", "copies", "embedding"), "classes")
+def grids_of(found: DataFrame, threshold: float, recall: float, kind: str, sample: int = SAMPLE) -> dict[int, Grid]:
+    """A grid for each length of vectors.
 
-
-def grids_of(found: DataFrame, threshold: float, recall: float, sample: int = SAMPLE) -> dict[int, Grid]:
-    """A grid for each length of vectors, from at most ``sample`` classes with the least hash of their id."""
-    sizes = found.groupBy("dim", "label").count().groupBy("dim").agg(F.max("count").alias("n")).collect()  # a row for each length
+    Codebooks are fitted on the ``sample``, or SAMPLE_PER_WORD for each codeword, classes with the least hash: at most MOST_WORDS * SAMPLE_PER_WORD vectors.
+    """
+    sizes: dict[int, list[int]] = {}
+    for r in found.groupBy("dim", "label").count().groupBy("dim").agg(F.max("count").alias("most"), F.sum("count").alias("n")).collect():  # a row for each length
+        sizes[r["dim"]] = [r["most"], r["n"]]
     grids = {}
-    for r in sizes:
-        k = min(MOST_WORDS, int((r["n"] / CELL_MEMBERS) ** 0.5))
-        if k > 1 and r["dim"] > 1:
-            rows = found.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").collect()
-            grids[r["dim"]] = Grid.fit(np.array([list(x[0]) for x in rows]), k, threshold, recall)
+    for dim, (most, n) in sizes.items():
+        k = min(MOST_WORDS, int((most / CELL_MEMBERS) ** 0.5))
+        if k > 1 and dim > 1:
+            wanted = max(sample, SAMPLE_PER_WORD * k)
+            share = min(1.0, 1.5 * wanted / n + 100 / n)  # almost surely enough; the exact cut follows
+            h = F.xxhash64("label", "x")
+            rows = found.where((F.col("dim") == dim) & (h <= int(-(1 << 63) + share * ((1 << 64) - 1025)))).select(h.alias("h"), "x").collect()
+            rows = sorted((r["h"], bytes(r["x"])) for r in rows)[:wanted]
+            grids[dim] = Grid.fit(np.frombuffer(b"".join(x for _, x in rows), kind).reshape(-1, dim).astype(np.float64), k, threshold, recall)
     return grids
 
 
@@ -225,36 +276,45 @@ def dealt(placed: DataFrame, cell_rows: int) -> DataFrame:
     sizes = sizes.where((F.col("m") > cell_rows) | (F.col("v") > cell_rows))
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / cell_rows)).cast("int")
     hot = stash(sizes.select(*cell, blocks("m").alias("mb"), blocks("v").alias("vb")), "hot-cells")
-    if hot.isEmpty():
+    n = hot.count()
+    if not n:
         return placed
-    cut = placed.join(hot, cell)
-    member = cut.where("not visitor").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("mb")).cast("int"))
+    cut = placed.join(hinted(hot, n), cell)
+    member = cut.where("not visitor").withColumn("block", F.pmod(F.xxhash64("class"), F.col("mb")).cast("int"))
     pairs = member.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)))
     pairs = pairs.withColumn("part", F.least("block", "_o").cast("long") * F.col("mb") + F.greatest("block", "_o"))
     after = F.col("mb").cast("long") * F.col("mb")
     hosts = member.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("vb") - 1))).withColumn("part", after + F.col("block").cast("long") * F.col("vb") + F.col("_o")).withColumn("block", F.lit(-1))
-    guests = cut.where("visitor").withColumn("_v", F.pmod(F.xxhash64("rep"), F.col("vb"))).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)))
+    guests = cut.where("visitor").withColumn("_v", F.pmod(F.xxhash64("class"), F.col("vb"))).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)))
     guests = guests.withColumn("part", after + F.col("_o").cast("long") * F.col("vb") + F.col("_v"))
-    found = placed.join(hot, cell, "left_anti").select(*_NAMES)
+    found = placed.join(hinted(hot, n), cell, "left_anti").select(*_NAMES)
     for part in (pairs, hosts, guests):
         found = found.unionByName(part.select(*_NAMES))
     return found
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, recall: float = TARGET_RECALL, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row."""
-    rows, found = classes(vectors, id_col, vector_col, label_col)
-    grids = grids_of(found, threshold, recall)
-    placed = found.mapInArrow(lambda it: _placed(it, grids), PLACED)
+    """(vec_id, n_links, component_id, kept) for every row; all links are found with recall 1."""
+    kind = "<f4" if isinstance(vectors.schema[vector_col].dataType.elementType, FloatType) else "<f8"
+    given = vectors.select(F.col(id_col).cast("long"), F.col(label_col).cast("long"), F.col(vector_col).cast("array<float>" if kind == "<f4" else "array<double>"))
+    rows = given.mapInArrow(lambda it: _prepared(it, kind), PREPARED)
+    found = rows.where("x is not null").groupBy("label", "dim", "x").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    found = stash(found.withColumn("class", F.monotonically_increasing_id()), "classes")  # numbered where they are written
+    grids = grids_of(found, threshold, recall, kind)
+    placed = found.select("label", "dim", "class", "copies", "x").mapInArrow(lambda it: _placed(it, grids, kind), PLACED)
     keys = ["label", "dim", "cell", "part"]
     placed = dealt(placed, cell_rows).repartition(*keys).sortWithinPartitions(*keys)
-    linked = stash(placed.mapInArrow(lambda it: _linked(it, threshold), "a long, b long, links long"), "vector-links")
-    sums = linked.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
-    roots = components(linked.where("b is not null"), "a", "b")
-    ranked = found.join(sums, found.rep == sums.a, "left").join(roots, found.rep == roots.node, "left")
-    ranked = ranked.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "rep").alias("root"))
-    known = rows.join(ranked, ["label", "embedding"], "left")
-    component = F.coalesce("root", "vec_id")
+    linked = stash(placed.mapInArrow(lambda it: _linked(it, threshold, kind), "a long, b long, links long"), "vector-links")
+    sums = linked.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
+    roots = components(linked.where("b is not null"), "a", "b").select(F.col("node").alias("class"), "root")
+    roots = stash(roots.union(roots.select("root", "root").distinct()), "class-roots")
+    least = found.select("class", "first").join(roots, "class").groupBy("root").agg(F.min("first").alias("component_id"))
+    answers = sums.join(roots.join(least, "root"), "class", "full").select("class", "links", "component_id")
+    digest = F.unhex(F.sha2("x", 256)).alias("digest")
+    answers = found.select("class", "label", "dim", "first", "copies", digest).join(answers, "class", "left")
+    answers = answers.select("label", "dim", "digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component_id", "first").alias("component"))
+    known = rows.select("vec_id", "label", "dim", digest).join(answers, ["label", "dim", "digest"], "left")
+    component = F.coalesce("component", "vec_id")
     return known.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
