@@ -8,13 +8,12 @@ from willowfold.llm import wavelet
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
-TOKENIZER.encode_special_tokens = True
 
 
 def test_rank_select_access():
     rng = np.random.default_rng(0)
     ids = rng.zipf(1.3, 3000).clip(0, 49407).astype(np.uint16)
-    matrix = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.of(ids, 16).to_bytes())
+    matrix = wavelet.WaveletMatrix.unpacked(len(ids), *wavelet.WaveletMatrix.of(ids, 16).packed())
     assert (matrix.ids(np.uint16) == ids).all()
     assert all(matrix.access(i) == ids[i] for i in range(0, 3000, 13))
     for value in (1, 2, 3, 7, 49407, 5000, 1 << 20):
@@ -23,6 +22,7 @@ def test_rank_select_access():
         assert matrix.count(value, 100, 2000) == ((places >= 100) & (places < 2000)).sum()
         assert [matrix.select(value, n) for n in range(0, len(places), 17)] == places[::17].tolist()
         assert matrix.select(value, len(places)) == -1
+        assert matrix.places(value).tolist() == places.tolist()
 
 
 def check(docs, **kw):
@@ -46,7 +46,38 @@ def test_files_give_the_ids_back(documents):
     check(documents, shard_rows=37, segment_ids=2000)
 
 
-def test_odd_rows(odd, nothing):
+def test_odd_rows(spark, odd, nothing):
     check(odd)
     check(odd, shard_rows=3)
     assert wavelet.read_digests(wavelet.write(nothing, PATH, 2)).count() == 0
+
+
+def test_added_tokens_are_the_library_s_own(spark):
+    texts = ["hello <|endoftext|> world", "<|startoftext|>a<|endoftext|>", "<|ENDOFTEXT|>", "a <|endoftext|", "<|endoftext|>" * 3, "x<|Åendoftext|>", "<| endoftext |>", "plain"]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert wavelet.WordIds(PATH).encode(["hello <|endoftext|> world"])[0] == np.array(TOKENIZER.encode("hello <|endoftext|> world", add_special_tokens=False).ids, np.uint16).tobytes()
+
+
+def test_ids_of_many_rows_have_shards_of_their_own(spark):
+    rows = [(None, "no id")] * 50 + [(7, f"word{i} more") for i in range(40)] + [(i, "one two") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check(docs, shard_rows=10)
+    held = wavelet.write(docs, PATH, 2, shard_rows=10).select("shard", "doc_ids").collect()
+    assert max(sum(len(r.doc_ids) for r in held if r.shard == s) for s in {r.shard for r in held}) <= 25
+    assert all(set(r.doc_ids) in ({None}, {7}) for r in held if 7 in r.doc_ids and len(r.doc_ids) > 1 or None in r.doc_ids)
+
+
+def test_lookups_from_files(spark, documents, tmp_path):
+    path = str(tmp_path / "ids")
+    segments = wavelet.write(documents, PATH, 2, shard_rows=40, segment_ids=3000, path=path)
+    assert len(list((tmp_path / "ids").glob("shard=*/*.parquet"))) == segments.select("shard").distinct().count() > 3
+    every = []
+    for r in sorted(documents.select("doc_id", "text").collect()):
+        every += [(r.doc_id, i, t) for i, t in enumerate([*TOKENIZER.encode(r.text or "", add_special_tokens=False).ids, 2])]
+    for token in (2, 269, 49407):
+        want = [(d, i, p) for p, (d, i, t) in enumerate(every) if t == token]
+        assert sorted(map(tuple, wavelet.lookup(segments, token).collect())) == sorted(want)
+        assert sum(r.n for r in wavelet.count(segments, token).collect()) == len(want)
+    asked = [0, 5, len(every) - 1, len(every), len(every) // 2, 5]
+    got = wavelet.access(wavelet.read(spark, path), asked)
+    assert sorted(map(tuple, got.collect())) == sorted((p, every[p][2]) for p in set(asked) if p < len(every))

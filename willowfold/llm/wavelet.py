@@ -1,17 +1,20 @@
-"""Token ids in wavelet matrices: one compressed file row for each shard segment, with rank and select.
+"""Token ids in wavelet matrices: one compressed file for each shard, with rank and select.
 
-Documents are encoded by a tokenizer file, cut into shards of ascending doc_id, and each shard is written as
+Documents are encoded by a tokenizer file and cut into shards of ascending doc_id; each shard is a folder with one file of
 segments.  A segment holds a wavelet matrix of its ids: for each bit of an id, highest first, a plane of
 bits, with the ids whose bit is 0 before those whose bit is 1 for the next plane.  Ones are counted in steps of
-512 bits, so access to a position, the count of an id before a position and the place of its n-th occurrence
-take one step a plane, without the ids themselves.
+512 bits and stored with the planes, each of which is compressed alone, so access to a position, the count of an id before a position and the place of its
+n-th occurrence take one step a plane, without the ids themselves.  ``access`` opens the files of the shards asked for only.
+
+Shards hold about ``shard_rows`` documents; their bounds are quantiles of a sample of ids, which decides the shards' sizes alone.  An id with more
+documents than that (rows without an id, say) has shards of its own, among which its rows are dealt out by number.
 
 Cached pieces: white space between words is a certain cut for such a tokenizer, so the ids of a word are
-asked from the tokenizers library once and kept; the kept table is bounded.  Strings of special tokens in
-a text are ordinary text.
+asked from the tokenizers library once and kept; the kept table is bounded.  A text that may hold one of the file's added tokens
+goes to the library whole, which makes it that token.
 
 Defined results: null counts as empty and has only the end id; a null doc_id sorts before all others;
-repeated doc_ids each keep a place, next to each other; an empty table gives no rows; columns other than
+repeated doc_ids each keep a place, next to each other; an empty table gives no rows and no file; columns other than
 id and text are not read.
 """
 
@@ -19,8 +22,8 @@ from __future__ import annotations
 
 import gc
 import itertools
-import json
 import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,24 +32,27 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from willowfold.llm.shared import small_batches, stash
+from willowfold.llm.shared import hinted, numbered, small_batches, stash
+from willowfold.sources.shared_dir import new_dir
 
 KEPT_WORDS, KEPT_PIECES = 1_300_000, 700_000
 STEP = 512
 SHARD_ROWS = 4096
 MOST_SHARDS = 1 << 16
+SHARD_SAMPLE = 64
 SEGMENT_IDS = 1 << 19
+_LOWEST = -(1 << 63)
 
 
 class WaveletMatrix:
     """Ids as bit planes."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
+    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], ones: list[np.ndarray] | None = None):
         self.n, self.planes, self.zeros = n, planes, zeros
-        self._ones: list[np.ndarray] | None = None
+        self._ones = ones
 
     @classmethod
     def of(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
@@ -66,7 +72,7 @@ class WaveletMatrix:
             self._ones = []
             for plane in self.planes:
                 counts = np.bitwise_count(np.pad(plane, (0, -len(plane) % (STEP // 8)))).reshape(-1, STEP // 8).sum(axis=1, dtype=np.int64)
-                self._ones.append(np.concatenate(([0], np.cumsum(counts))))
+                self._ones.append(np.concatenate(([0], np.cumsum(counts))).astype(np.uint32))
         return self._ones
 
     def _rank1(self, level: int, at: int) -> int:
@@ -122,6 +128,19 @@ class WaveletMatrix:
             at = low
         return at
 
+    def places(self, value: int) -> np.ndarray:
+        """The positions of all occurrences of an id, ascending."""
+        if value >> len(self.zeros):
+            return np.zeros(0, np.int64)
+        at = np.arange(*self._range(value, 0, self.n))
+        for level in range(len(self.zeros) - 1, -1, -1):
+            if not len(at):
+                break
+            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            is_one = value >> (len(self.zeros) - 1 - level) & 1
+            at = np.flatnonzero(one)[at - self.zeros[level]] if is_one else np.flatnonzero(~one)[at]
+        return at
+
     def ids(self, kind: type = np.uint32) -> np.ndarray:
         """All ids, from the last plane back to the first."""
         values, top = np.zeros(self.n, kind), len(self.planes) - 1
@@ -134,18 +153,15 @@ class WaveletMatrix:
             values = order
         return values
 
-    def to_bytes(self) -> bytes:
-        head = json.dumps({"n": self.n, "zeros": self.zeros}).encode()
-        body = zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in self.planes))
-        return len(head).to_bytes(4, "little") + head + body
+    def packed(self) -> tuple[list[int], list[bytes], list[bytes]]:
+        """(zeros, planes, ones): what a file keeps of each plane."""
+        pack = zstandard.ZstdCompressor(level=1)
+        return self.zeros, [pack.compress(p.tobytes()) for p in self.planes], [o.tobytes() for o in self.ones]
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> WaveletMatrix:
-        size = int.from_bytes(data[:4], "little")
-        head = json.loads(data[4 : 4 + size])
-        body = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[4 + size :]), np.uint8)
-        width = -(-head["n"] // 8)
-        return cls(head["n"], [body[i * width : (i + 1) * width] for i in range(len(head["zeros"]))], head["zeros"])
+    def unpacked(cls, n: int, zeros: list[int], planes: list[bytes], ones: list[bytes]) -> WaveletMatrix:
+        unpack = zstandard.ZstdDecompressor()
+        return cls(n, [np.frombuffer(unpack.decompress(p), np.uint8) for p in planes], zeros, [np.frombuffer(o, np.uint32) for o in ones])
 
 
 class WordIds:
@@ -160,7 +176,10 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Added tokens, lower-cased as the file's texts are, and of each some characters that lower case keeps, or none.
+        self.added = [_normal(token) for token in added if token]
+        self.marks = sorted({(_MARK.search(token) or [""])[0] for token in self.added})
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.kind = np.uint16 if self.bits <= 16 else np.uint32
         self.code = "H" if self.kind is np.uint16 else "I"
@@ -186,8 +205,19 @@ class WordIds:
         words.update([(w, b"".join(map(get, own))) for w, own in cut.items()])
         words.update(self._ask(list(new.difference(whole).difference(cut))))
 
+    def may_hold_added(self, text: str) -> bool:
+        if not any(mark in text for mark in self.marks):
+            return False
+        text = _normal(text)
+        return any(token in text for token in self.added)
+
     def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
         """The ids of each text, with those of ``end`` behind them."""
+        whole = {i: t for i, t in enumerate(texts) if self.may_hold_added(t)}
+        if whole:
+            rest = iter(self.encode([t for i, t in enumerate(texts) if i not in whole], end))
+            own = {i: array(self.code, self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() + end for i, t in whole.items()}
+            return [own[i] if i in own else next(rest) for i in range(len(texts))]
         cut = [_SPACE.split(t) if any(c in t for c in _ODD) else t.split() for t in texts]
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
@@ -211,6 +241,13 @@ _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
+_MARK = re.compile("[!-@\\[-`{-~]+")  # ASCII less letters
+
+
+def _normal(text: str) -> str:
+    return unicodedata.normalize("NFC", text).lower()
+
+
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     """One for each Python worker, so that its words serve all tasks."""
@@ -220,32 +257,30 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, layout: Layout) -> Iterator[pa.RecordBatch]:
     own = word_ids(path)
     end = np.array([end_id], own.kind).tobytes()
     for batch in batches:
         gc.disable()  # a batch makes no cycles, but lists enough to have the collector walk through the tables again and again
         ids = pa.array(own.encode([t or "" for t in batch.column(1).to_pylist()], end), pa.binary())
         gc.enable()
-        lowest = np.iinfo(np.int64).min
-        docs = np.array([lowest if d is None else d for d in batch.column(0).to_pylist()], np.int64)
-        shard = pa.array(np.searchsorted(bounds, docs, "left"), pa.int32())
-        yield pa.RecordBatch.from_arrays([shard, batch.column(0), ids], ["shard", "doc_id", "ids"])
+        docs, number = batch.column(0).fill_null(_LOWEST).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([pa.array(layout.shard_of(docs, number), pa.int32()), batch.column(0), ids], ["shard", "doc_id", "ids"])
+
+
+_SEGMENT_NAMES = ["segment", "doc_ids", "counts", "n_ids", "zeros", "planes", "ones", "shard"]
+SEGMENT = "segment int, doc_ids array<long>, counts array<long>, n_ids long, zeros array<int>, planes array<binary>, ones array<binary>, shard int"
 
 
 def _segment(shard: int, number: int, docs: list, ids: list[bytes], own: WordIds) -> pa.RecordBatch:
     flat = np.frombuffer(b"".join(ids), own.kind)
     counts = np.array([len(i) // own.kind().itemsize for i in ids], np.int64)
-    matrix = WaveletMatrix.of(flat, own.bits).to_bytes()
-    columns = [[shard], [number], [docs], [counts], [len(flat)], [matrix]]
-    types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+    columns = [[number], [docs], [counts], [len(flat)], *([x] for x in WaveletMatrix.of(flat, own.bits).packed()), [shard]]
+    longs, binaries = pa.list_(pa.int64()), pa.list_(pa.binary())
+    types = [pa.int32(), longs, longs, pa.int64(), pa.list_(pa.int32()), binaries, binaries, pa.int32()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _SEGMENT_NAMES)
 
 
-_SEGMENT_NAMES = ["shard", "segment", "doc_ids", "counts", "n_ids", "matrix"]
-SEGMENT = "shard int, segment int, doc_ids array<long>, counts array<long>, n_ids long, matrix binary"
-
-
 def _segments(batches: Iterator[pa.RecordBatch], path: str, most: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by shard and doc_id."""
     own = word_ids(path)
@@ -263,46 +298,146 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, most: int) -> Iterat
             yield _segment(shard, number, docs, ids, own)
 
 
-def shard_bounds(docs: DataFrame, id_col: str, shard_rows: int) -> list[int]:
-    """Ids that part docs into shards of about shard_rows rows, at most MOST_SHARDS shards; one number a shard reaches the driver."""
-    shards = min(MOST_SHARDS, max(1, -(-docs.count() // shard_rows)))
-    if shards == 1:
-        return []
-    cuts = docs.agg(F.percentile_approx(id_col, [i / shards for i in range(1, shards)], 20 * shards)).first()[0]
-    return sorted(set(cuts or []))
+class Layout:
+    """Which shard a document goes to: a range of ids, or for an id of many rows a range of their numbers."""
+
+    def __init__(self, cuts: list[int], many: dict[int, int], shard_rows: int):
+        """cuts: last ids of shards.  many: ids with more than shard_rows rows, and how many."""
+        ends = sorted({*cuts, *many, *(i - 1 for i in many if i > _LOWEST)})
+        self.ends, self.rows = np.array(ends, np.int64), shard_rows
+        more = np.zeros(len(ends) + 1, np.int64)
+        for i, n in many.items():
+            more[ends.index(i)] = -(-n // shard_rows) - 1
+        self.first = np.arange(len(ends) + 1) + np.cumsum(more) - more
+        self.shards = int(self.first[-1]) + 1
+
+    def shard_of(self, docs: np.ndarray, number: np.ndarray) -> np.ndarray:
+        return self.first[np.searchsorted(self.ends, docs, "left")] + number // self.rows
+
+
+def _own_id() -> Column:
+    return F.coalesce("doc_id", F.lit(_LOWEST))
+
 
+def layout_of(docs: DataFrame, shard_rows: int) -> tuple[Layout, DataFrame]:
+    """The layout for docs (doc_id, ...), and the ids of many rows (own_id).
 
-def write(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = SHARD_ROWS, segment_ids: int = SEGMENT_IDS) -> DataFrame:
-    """Encode docs, write the segments to the shared folder and return them as read back."""
-    small_batches(docs.sparkSession)
+    SHARD_SAMPLE ids a shard, those with the least hash, at most SHARD_SAMPLE * MOST_SHARDS, reach the driver and every id of many rows, at most
+    a shard's share of them.
+    """
+    counts = stash(docs.groupBy(_own_id().alias("own_id")).agg(F.count(F.lit(1)).alias("n")), "id-counts")
+    total, rows = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    shard_rows = max(shard_rows, -(-rows // MOST_SHARDS))
+    shards = max(1, -(-rows // shard_rows))
+    many = counts.where(F.col("n") > shard_rows)
+    share = min(1.0, SHARD_SAMPLE * shards / max(1, total))
+    few = counts.where((F.col("n") <= shard_rows) & (F.xxhash64("own_id") <= int(_LOWEST + share * ((1 << 64) - 1025)))).orderBy("own_id").toArrow()
+    ids, upto = few.column("own_id").to_numpy(), np.cumsum(few.column("n").to_numpy())
+    alone = shards - sum(-(-r["n"] // shard_rows) for r in many.collect())
+    cuts = ids[np.searchsorted(upto, upto[-1] * np.arange(1, alone) / alone)].tolist() if len(ids) and alone > 1 else []
+    return Layout(cuts, {r["own_id"]: r["n"] for r in many.collect()}, shard_rows), many.select("own_id")
+
+
+def write(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = SHARD_ROWS, segment_ids: int = SEGMENT_IDS, path: str | None = None) -> DataFrame:
+    """Encode docs, write a file of segments for each shard to ``path``, by default a new shared folder, and return them as read back."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    path = path or new_dir(spark, "wavelet")
     placed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bounds = np.array(shard_bounds(placed, "doc_id", shard_rows), np.int64)
-    ids = placed.mapInArrow(lambda it: _encode(it, path, end_id, bounds), "shard int, doc_id long, ids binary")
-    ids = ids.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id")
-    return stash(ids.mapInArrow(lambda it: _segments(it, path, segment_ids), SEGMENT), "wavelet", codec="none")
+    layout, many = layout_of(placed, shard_rows)
+    n = many.count()
+    rows = placed.withColumn("number", F.lit(0).cast("long"))
+    if n:  # rows of these ids are written with numbers of their own
+        owned = placed.withColumn("own_id", _own_id())
+        several = numbered(owned.join(hinted(many, n), "own_id").sortWithinPartitions("own_id"), ["own_id"], "number", "many-rows")
+        rows = owned.join(hinted(many, n), "own_id", "left_anti").select("doc_id", "text", F.lit(0).cast("long").alias("number")).unionByName(several.select("doc_id", "text", "number"))
+    ids = rows.mapInArrow(lambda it: _encode(it, tokenizer, end_id, layout), "shard int, doc_id long, ids binary")
+    ids = ids.repartitionById(layout.shards, "shard").sortWithinPartitions("shard", "doc_id")
+    ids.mapInArrow(lambda it: _segments(it, tokenizer, segment_ids), SEGMENT).write.option("compression", "none").partitionBy("shard").parquet(path)
+    return read(spark, path)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The segments of all shards below path."""
+    return spark.read.schema(SEGMENT).parquet(path)
+
+
+def bases(segments: DataFrame) -> DataFrame:
+    """(shard, segment, n_ids, base): how many ids lie before each segment."""
+    shards = segments.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard, at most MOST_SHARDS
+    shards = shards.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("shard_start"))
+    within = Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    starts = segments.select("shard", "segment", "n_ids", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("segment_start"))
+    return starts.join(shards, "shard").select("shard", "segment", "n_ids", (F.col("shard_start") + F.col("segment_start")).alias("base"))
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, WaveletMatrix]]:
+    """One segment at a time."""
     for batch in batches:
-        for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):  # one segment at a time
-            matrix = WaveletMatrix.from_bytes(row["matrix"])
-            ids = matrix.ids(np.uint16 if len(matrix.planes) <= 16 else np.uint32).astype("<u4")
-            stops = np.cumsum(row["counts"])
-            starts = stops - row["counts"]
-            crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
-            n = len(crc)
-            columns = [pa.array([row["shard"]] * n, pa.int32()), pa.array([row["segment"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(row["counts"], pa.int64()), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "segment", "doc_id", "at", "n_tokens", "ids_crc32"])
+        for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+            yield row, WaveletMatrix.unpacked(row["n_ids"], row["zeros"], row["planes"], row["ones"])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row, matrix in _matrices(batches):
+        ids = matrix.ids(np.uint16 if len(matrix.planes) <= 16 else np.uint32).astype("<u4")
+        stops = np.cumsum(row["counts"])
+        starts = stops - row["counts"]
+        crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+        n = len(crc)
+        columns = [pa.array([row["shard"]] * n, pa.int32()), pa.array([row["segment"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(row["counts"], pa.int64()), pa.array(crc, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["shard", "segment", "doc_id", "at", "n_tokens", "ids_crc32"])
 
 
 def read_digests(segments: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the segments' bit planes."""
-    shards = segments.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
-    shards = shards.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("shard_start"))
-    within = Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    starts = segments.select("shard", "segment", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("segment_start"))
-    starts = starts.join(shards, "shard").select("shard", "segment", (F.col("shard_start") + F.col("segment_start")).alias("base"))
-    found = segments.select("shard", "segment", "doc_ids", "counts", "matrix")
-    found = found.mapInArrow(_digests, "shard int, segment int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    found = segments.mapInArrow(_digests, "shard int, segment int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    starts = bases(segments).select("shard", "segment", "base")
     return found.join(starts, ["shard", "segment"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def count(segments: DataFrame, token: int) -> DataFrame:
+    """(shard, segment, n): how often a token occurs in each segment, by two ranks a plane."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, matrix in _matrices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([row["shard"]], pa.int32()), pa.array([row["segment"]], pa.int32()), pa.array([matrix.count(token)], pa.int64())], ["shard", "segment", "n"])
+
+    return segments.withColumns({"doc_ids": F.lit(None).cast("array<long>"), "counts": F.lit(None).cast("array<long>")}).mapInArrow(counted, "shard int, segment int, n long")
+
+
+def lookup(segments: DataFrame, token: int) -> DataFrame:
+    """(doc_id, at, position) of every occurrence of a token: its place in the document and among all ids."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, matrix in _matrices(batches):
+            places = matrix.places(token)
+            stops = np.cumsum(row["counts"])
+            doc = np.searchsorted(stops, places, "right")
+            at = places - (stops - row["counts"])[doc]
+            n = len(places)
+            columns = [pa.array([row["shard"]] * n, pa.int32()), pa.array([row["segment"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()).take(pa.array(doc)), pa.array(at, pa.int64()), pa.array(places, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "segment", "doc_id", "at", "place"])
+
+    rows = segments.mapInArrow(found, "shard int, segment int, doc_id long, at long, place long")
+    return rows.join(bases(segments).select("shard", "segment", "base"), ["shard", "segment"]).select("doc_id", "at", (F.col("base") + F.col("place")).alias("position"))
+
+
+def access(segments: DataFrame, positions: list[int]) -> DataFrame:
+    """(position, token) of the asked positions among all ids; those beyond the end have no row.  Only the shards that hold them are opened."""
+    spark = segments.sparkSession
+    asked = F.broadcast(spark.createDataFrame([(int(p),) for p in set(positions)], "position long"))
+    starts = bases(segments)
+    held = starts.join(asked, (asked.position >= starts.base) & (asked.position < starts.base + starts.n_ids))
+    wanted: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for r in held.collect():  # one row for each asked position
+        wanted.setdefault((r["shard"], r["segment"]), []).append((r["position"], r["position"] - r["base"]))
+
+    def read_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, matrix in _matrices(batches):
+            pairs = [(p, matrix.access(at)) for p, at in wanted.get((row["shard"], row["segment"]), ())]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in pairs], pa.int64()), pa.array([t for _, t in pairs], pa.int32())], ["position", "token"])
+
+    some = segments.where(F.col("shard").isin(sorted({s for s, _ in wanted})) & F.col("segment").isin(sorted({s for _, s in wanted})))
+    return some.mapInArrow(read_out, "position long, token int")
