@@ -44,27 +44,32 @@ def test_against_all_pairs(spark, documents):
     assert got == want
 
 
-def test_dense_cells_are_cut_again(spark):
+def test_dense_cells_are_cut_again_and_denser_parts_meet_at_midpoints(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
     flips = [np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, rng.integers(0, 7), replace=False).astype(np.uint64)) for _ in range(400)]
     fps = np.unique(np.array([base[i % 4] ^ f for i, f in enumerate(flips)], np.uint64))
-    want = plain_components([(i, int(p)) for i, p in enumerate(fps)])
-    for limit in (20, 10_000):
-        distinct = spark.createDataFrame([(int(np.int64(p)),) for p in fps.view(np.int64)], "fp long")
-        cells = distinct.mapInArrow(simhash._cells, "cell long, part long, fp long")
-        hot = cells.groupBy("cell").count().where(f"count > {limit}").select("cell")
-        cut = cells.join(hot, "cell", "left_semi").select("cell", "fp").mapInArrow(simhash._cut_again, "cell long, part long, fp long")
-        dealt = cells.join(hot, "cell", "left_anti").select("cell", "part", "fp").union(cut)
-        dealt = dealt.repartition(3, "cell", "part").sortWithinPartitions("cell", "part", "fp")
-        links = dealt.mapInArrow(lambda it: simhash._links(it, 4), "a long, b long")
-        roots = {r.node % (1 << 64): r.root for r in simhash.components(links, "a", "b").collect()}
+    distinct = spark.createDataFrame([(int(np.int64(p)),) for p in fps.view(np.int64)], "fp long")
+    for limit, radius in ((2, 4), (2, 3), (60, 4)):
+        want = plain_components([(i, int(p)) for i, p in enumerate(fps)], radius)
+        roots = {r.node % (1 << 64): r.root for r in simhash.components(simhash.links_of(distinct, radius, limit), "a", "b").collect()}
         groups = {}
         for i, p in enumerate(fps):
             groups.setdefault(roots.get(int(p), int(np.int64(p.view(np.int64)))), []).append(i)
         assert sorted(map(tuple, groups.values())) == sorted(tuple(i for i in range(len(fps)) if want[i] == w) for w in set(want))
 
 
+def test_every_choice_of_blocks_keeps_four_bits_apart():
+    rng = np.random.default_rng(5)
+    assert [simhash.blocks_for(n, 4096) for n in (0, 10**6, 10**9, 10**10, 10**11, 10**13)] == [6, 6, 6, 7, 8, 8]
+    for blocks in (6, 7, 8):
+        columns = simhash.choices(blocks)
+        assert max(map(len, columns)) <= 33
+        for _ in range(300):
+            bits = rng.choice(64, 4, replace=False)
+            assert any(not np.isin(bits, c).any() for c in columns)
+
+
 def test_odd_rows(spark, odd, nothing):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == odd.count()

@@ -2,17 +2,24 @@
 
 A pivot distance table holds the Hamming distance of every fingerprint to many reference
 fingerprints.  By the triangle inequality two fingerprints within ``radius`` bits differ by at most
-``radius`` in every column.  Two kinds of references are used:
+``radius`` in every column.  Three kinds of references are used:
 
 * ``UNIT`` references, a base and the base with one bit turned: the difference of such a column to
-  the base column is +1 or -1.  The columns fall into six blocks; a difference of up to four bits leaves
-  at least two blocks of columns alike, so the fifteen pairs of blocks give the cells in which all
-  partners of a fingerprint lie.
+  the base column is +1 or -1, so these columns are the fingerprint's bits in another form, and what follows is a search by blocks
+  of bits that agree.  The columns fall into blocks; a difference of up to four bits leaves all blocks but four alike, so every choice of
+  the others gives cells in which all partners of a fingerprint lie.  There are six blocks, or more for very many fingerprints, so that the mean
+  cell stays small.
 * ``SPREAD`` references, which are far from each other: inside a cell pairs are discarded by the
   largest difference of these columns, and the survivors verified by their exact distance.
+* Midpoints, for what is dense: two fingerprints within ``radius`` have a reference between them, half of the radius from either, and all that lie so near
+  to one reference are within the radius of each other.
 
-Cells with more than CELL_ROWS fingerprints are cut again by the columns of the remaining blocks, so
-the work of a cell stays bounded however many near copies there are; no pair is lost by it.
+A cell with more than CELL_ROWS fingerprints is cut again by the columns outside its blocks.  A part that is still larger emits for each of its fingerprints the
+midpoints in the columns that its members do not share, at most a few hundred, and all at one midpoint are linked to the first.
+So no cell compares more than CELL_ROWS fingerprints with each other, the work of larger ones is in proportion to their members, and no pair is lost.
+
+Joining links into components goes by star steps; the links of one node meet in one key, which holds at most its own
+neighbours' links and which the planner may split.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; texts of
 fewer words than the shingle have one shingle; repeated shingles count repeatedly; equal fingerprints
@@ -31,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from willowfold.llm.shared import components, keyed, small_batches, stash, without_rows
+from willowfold.llm.shared import components, discard, hinted, keyed, small_batches, stash, without_rows
 
 RADIUS = 4
 SHINGLE = 4
@@ -44,8 +51,7 @@ _rng = np.random.default_rng(20140601)
 BASE = np.uint64(_rng.integers(0, 1 << 63, dtype=np.uint64))
 SPREAD = _rng.integers(0, np.iinfo(np.uint64).max, size=24, dtype=np.uint64)
 UNIT = BASE ^ (np.uint64(1) << np.arange(BITS, dtype=np.uint64))
-#: Columns of the unit references, in six blocks.
-BLOCKS = np.array_split(np.arange(BITS), 6)
+CELL = "cell long, part long, fp long"
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -84,38 +90,96 @@ def distances(fps: np.ndarray, references: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ references[None, :]).astype(np.int8)
 
 
-def _codes(fps: np.ndarray) -> list[np.ndarray]:
-    """For each block, the number that the signs of its columns spell."""
-    signs = (distances(fps, UNIT) > distances(fps, np.array([BASE]))).astype(np.int64)
-    return [signs[:, b] @ (np.int64(1) << np.arange(len(b), dtype=np.int64)) for b in BLOCKS]
+def _signs(fps: np.ndarray) -> np.ndarray:
+    """The columns of the unit references less the base column, as 0 and 1."""
+    return (distances(fps, UNIT) > distances(fps, np.array([BASE]))).astype(np.int64)
+
+
+def _code(signs: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The number that some columns spell."""
+    return signs[:, columns] @ (np.int64(1) << np.arange(len(columns), dtype=np.int64))
+
+
+def blocks_for(fingerprints: int, cell_rows: int) -> int:
+    """The least number of blocks, from six on, with which the mean cell is at most an eighth of a hot one."""
+    return next((b for b in range(6, 9) if fingerprints >> BITS * (b - RADIUS) // b <= cell_rows // 8), 8)
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def choices(blocks: int) -> list[np.ndarray]:
+    """For every table the columns that its cells share: all blocks but four."""
+    parts = np.array_split(np.arange(BITS), blocks)
+    return [np.concatenate(some) for some in itertools.combinations(parts, blocks - RADIUS)]
+
+
+def _cells(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
+    """A cell is a table's number above the number that its columns spell, which has 33 bits at most."""
     for batch in batches:
-        fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        codes = _codes(fps)
-        for k, (i, j) in enumerate(itertools.combinations(range(len(BLOCKS)), 2)):
-            cell = (np.int64(k) << np.int64(32)) | (codes[i] << np.int64(11)) | codes[j]
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.zeros(len(fps), np.int64)), batch.column(0)], ["cell", "part", "fp"])
+        signs = _signs(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        for k, columns in enumerate(choices(blocks)):
+            cell = (np.int64(k) << np.int64(40)) | _code(signs, columns)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.zeros(len(cell), np.int64)), batch.column(0)], ["cell", "part", "fp"])
+
+
+def _second(columns: np.ndarray) -> list[np.ndarray]:
+    """For every part of a hot cell the further columns that it shares: any 4 of 8 groups of those outside the cell's blocks."""
+    groups = np.array_split(np.setdiff1d(np.arange(BITS), columns), 8)
+    return [np.concatenate(four) for four in itertools.combinations(groups, 4)]
 
 
-def _cut_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells by the columns outside the two blocks of a hot cell: 8 parts, any 4 of them alike."""
-    pairs = list(itertools.combinations(range(len(BLOCKS)), 2))
+def _cut_again(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cells, fps = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        signs = (distances(fps.view(np.uint64), UNIT) > distances(fps.view(np.uint64), np.array([BASE]))).astype(np.int64)
-        for k in np.unique(cells >> 32):
-            own = np.flatnonzero(cells >> 32 == k)
-            rest = np.array_split(np.concatenate([BLOCKS[b] for b in range(len(BLOCKS)) if b not in pairs[k]]), 8)
-            codes = [signs[np.ix_(own, r)] @ (np.int64(1) << np.arange(len(r), dtype=np.int64)) for r in rest]
-            for n, four in enumerate(itertools.combinations(range(8), 4)):
-                part = np.full(len(own), n + 1, np.int64)
-                for c in four:
-                    part = (part << 6) | codes[c]
+        signs = _signs(fps.view(np.uint64))
+        for k in np.unique(cells >> 40).tolist():
+            own = np.flatnonzero(cells >> 40 == k)
+            for n, columns in enumerate(_second(choices(blocks)[k])):
+                part = (np.int64(n + 1) << np.int64(40)) | _code(signs[own], columns)
                 yield pa.RecordBatch.from_arrays([pa.array(cells[own]), pa.array(part), pa.array(fps[own])], ["cell", "part", "fp"])
 
 
+def turned(columns: np.ndarray, most: int) -> np.ndarray:
+    """Masks that turn up to ``most`` of some columns' bits."""
+    bits = [int(np.uint64(1) << np.uint64(c)) for c in columns]
+    return np.array([sum(some) for n in range(most + 1) for some in itertools.combinations(bits, n)], np.uint64)
+
+
+def _midpoints(batches: Iterator[pa.RecordBatch], blocks: int, radius: int) -> Iterator[pa.RecordBatch]:
+    """Every fingerprint of a dense part with the references that are half of the radius away, rounded down (near) or up."""
+    for batch in (b.slice(at, 4096) for b in batches for at in range(0, b.num_rows, 4096)):
+        cells, parts, fps = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        kinds = np.stack((cells >> 40, parts >> 40))
+        for k, n in np.unique(kinds, axis=1).T.tolist():
+            own = np.flatnonzero((kinds[0] == k) & (kinds[1] == n))
+            shared = choices(blocks)[k]
+            free = np.setdiff1d(np.arange(BITS), np.concatenate((shared, _second(shared)[n - 1])))
+            masks, near = turned(free, -(-radius // 2)), len(turned(free, radius // 2))
+            for at in range(0, len(masks), 64):
+                some = masks[at : at + 64]
+                middle = (fps[own].view(np.uint64)[:, None] ^ some[None, :]).ravel().view(np.int64)
+                far = np.tile(np.arange(at, at + len(some)) >= near, len(own))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cells[own], len(some))), pa.array(np.repeat(parts[own], len(some))), pa.array(middle), pa.array(far), pa.array(np.repeat(fps[own], len(some)))], ["cell", "part", "middle", "far", "fp"])
+
+
+def _at_midpoints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by midpoint, near ones first: links of all rows of a midpoint to its first, if that is near."""
+    last: tuple | None = None  # the midpoint that the batch before ended with, and the first row there
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        *keys, far, fps = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        fresh = np.ones(len(fps), bool)
+        fresh[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        goes_on = last is not None and last[0] == tuple(int(k[0]) for k in keys)
+        starts = np.flatnonzero(fresh)
+        run = np.cumsum(fresh) - 1
+        hub, is_near = fps[starts], ~far[starts]
+        if goes_on:
+            hub[0], is_near[0] = last[1:]
+        linked_rows = is_near[run] & (fps != hub[run])
+        last = (tuple(int(k[-1]) for k in keys), hub[-1], is_near[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(fps[linked_rows]), pa.array(hub[run][linked_rows])], ["a", "b"])
+
+
 def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Join the sets of a and b in label, in place; a label is the smallest member's index."""
     while len(a):
@@ -177,21 +241,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("radius must be 0 to 4")
     owned = stash(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = stash(owned.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    cells = stash(distinct.select("fp").mapInArrow(_cells, "cell long, part long, fp long"), "cells")
-    hot = stash(cells.groupBy("cell").count().where(F.col("count") > cell_rows).select("cell"), "hot")
-    if hot.isEmpty():
-        dealt = cells
-    else:
-        again = cells.join(hot, "cell", "left_semi").select("cell", "fp").mapInArrow(_cut_again, "cell long, part long, fp long")
-        dealt = cells.join(hot, "cell", "left_anti").select("cell", "part", "fp").union(again)
-    dealt = dealt.repartition("cell", "part").sortWithinPartitions("cell", "part", "fp")
-    roots = components(dealt.mapInArrow(lambda it: _links(it, radius), "a long, b long"), "a", "b")
+    links = stash(links_of(distinct.select("fp"), radius, cell_rows), "fp-links")
+    roots = components(links, "a", "b")
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = stash(rooted, "rooted")
+    discard(links, distinct)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return owned.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def links_of(fps: DataFrame, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Links (a, b) that join all different fingerprints within radius, as far as components go."""
+    blocks = blocks_for(fps.count(), cell_rows)
+    cells = stash(fps.mapInArrow(lambda it: _cells(it, blocks), CELL), "cells")
+    dealt, dense = cells, None
+    hot = stash(cells.groupBy("cell").count().where(F.col("count") > cell_rows).select("cell"), "hot")
+    if n := hot.count():
+        parts = cells.join(hinted(hot, n), "cell", "left_semi").select("cell", "fp").mapInArrow(lambda it: _cut_again(it, blocks), CELL)
+        parts = stash(parts, "parts")
+        dealt = cells.join(hinted(hot, n), "cell", "left_anti").select("cell", "part", "fp")
+        full = stash(parts.groupBy("cell", "part").count().where(F.col("count") > cell_rows).select("cell", "part"), "dense")
+        if m := full.count():
+            dense = parts.join(hinted(full, m), ["cell", "part"], "left_semi").select("cell", "part", "fp")
+            parts = parts.join(hinted(full, m), ["cell", "part"], "left_anti").select("cell", "part", "fp")
+        dealt = dealt.union(parts)
+    dealt = dealt.repartition("cell", "part").sortWithinPartitions("cell", "part", "fp")
+    links = dealt.mapInArrow(lambda it: _links(it, radius), "a long, b long")
+    if dense is None:
+        return links
+    middles = dense.mapInArrow(lambda it: _midpoints(it, blocks, radius), "cell long, part long, middle long, far boolean, fp long")
+    at = ["cell", "part", "middle"]
+    return links.union(middles.repartition(*at).sortWithinPartitions(*at, "far", "fp").mapInArrow(_at_midpoints, "a long, b long"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component, the one with the smallest id (null only if none has one), all columns as they were."""
     rows, key = keyed(docs, id_col)
