@@ -1,7 +1,11 @@
+import gzip
 import hashlib
 import html
+import random
 import re
 
+import duckdb
+
 from willowfold.llm import warc
 
 HTML = "<!DOCTYPE html><html LANG='fr'><head><meta charset=\"UTF-8\"><title>A &amp; <b>B</b>\n</title><style>p{}</style></head><body><!-- <p>no</p> --><script>var t='</p>';</script><p>One&nbsp;two &lt;3&gt;</p>\n<p>x</p></body></html>"
@@ -36,6 +40,36 @@ def test_files_read_back(spark, tmp_path):
         headers, block = got[r.record_id]
         assert block == r.block and headers["WARC-Refers-To"] == r.refers_to and headers["WARC-Type"] == r.warc_type
         assert headers["WARC-Block-Digest"] == r.block_digest and headers["WARC-Source-Digest"] == r.source_digest
+        own = r.source_headers.split("\r\n")
+        assert headers["WARC-Source-HTTP-Status"] == own[0] == "HTTP/1.1 200 OK"
+        assert all(headers["WARC-Source-HTTP-" + line.split(": ")[0]] == line.split(": ")[1] for line in own[1:])
+        if r.warc_type == "metadata":
+            assert block.split("\r\n")[5:] == ["source-status: HTTP/1.1 200 OK", *("source-" + line for line in own[1:]), ""]
+
+
+def test_gzip_and_foreign_responses(spark, tmp_path):
+    def record(kind, number, block):
+        head = f"WARC/1.{number % 2}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{number}>\r\nWARC-Target-URI: http://a/{number}\r\nWARC-Date: 2020-01-0{number}T00:00:00Z\r\nContent-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 404 Not Found\r\nServer: x: y\r\nContent-Type: text/html\r\n\r\n"
+    inner = b"<p>a record\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc</p>"
+    records = [record("warcinfo", 1, b"\xff\xfe"), record("response", 2, http + inner), record("response", 3, http + "<p>é</p>".encode()), record("response", 4, b"HTTP/1.1 204 No Content")]
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain/a.warc").write_bytes(b"".join(records))
+    (tmp_path / "gz").mkdir()
+    (tmp_path / "gz/a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))  # a member for each record
+    for path in ("plain", "gz"):
+        rows = warc.read(spark, str(tmp_path / path))
+        assert [bytes(r.block) for r in rows.collect()] == [b"\xff\xfe", http + inner, http + "<p>é</p>".encode(), b"HTTP/1.1 204 No Content"]
+        got = {(r.refers_to, r.warc_type): r for r in warc.derive(warc.responses_of(rows)).collect()}
+        assert len(got) == 6
+        assert got["<urn:uuid:3>", "conversion"].block == "é" and got["<urn:uuid:3>", "conversion"].date == "2020-01-03T00:00:00Z"
+        assert got["<urn:uuid:2>", "conversion"].block == "a record WARC/1.0 WARC-Type: response Content-Length: 3 abc"
+        assert "source-status: HTTP/1.1 404 Not Found\r\nsource-Server: x: y\r\n" in got["<urn:uuid:2>", "metadata"].block
+        assert got["<urn:uuid:4>", "metadata"].source_headers == "HTTP/1.1 204 No Content" and got["<urn:uuid:4>", "conversion"].block == ""
+    warc.write(warc.derive(warc.responses_of(rows)), str(tmp_path / "out"), "gzip")
+    assert warc.read(spark, str(tmp_path / "out/part-*")).count() == 6
 
 
 def test_all_entities_are_decoded_once(spark):
@@ -51,3 +85,13 @@ def test_all_entities_are_decoded_once(spark):
     for r in warc.derive(warc.responses(given)).where("warc_type = 'conversion'").collect():
         text = html.unescape(re.sub(warc.REMOVED, " ", rows[r.page_id]).replace("&nbsp;", " "))
         assert r.block == re.sub("[\x20\x09-\x0d]+", " ", text).strip(" ") and "©" in r.block
+
+
+def test_sql_decodes_as_the_operator():
+    bits = ["&copy;", "&copy", "&notit;", "&not", "&#65;", "&#x41;", "&#0;", "&#128;", "&#xD800;", "&#x110000;", "&#99999999999999999999;", "&#xFDD0;", "&nbsp;", "&#160;", "&amp;lt;", "&", "&;", "&x;", "&eacute", "&NotEqualTilde;", "&#x;", "a", " ", "\n", "é", "&amp", "lt;", "'", "\xa0"]
+    rng = random.Random(1)
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(500)]
+    con = duckdb.connect()
+    con.execute("create table t as select unnest(?) as x", [texts])
+    got = con.execute(f"with {warc._SQL_NAMES} select x, {warc._sql_decoded('x')} from t, names").fetchall()
+    assert len(got) == 500 and all(d == warc.decoded(t) for t, d in got)

@@ -1,14 +1,16 @@
 """WARC derivatives: metadata and plain-text conversion records for response records, linked to them.
 
-For every response two records are built: a ``metadata`` record of fields (title, charset, language, counts,
-source headers) and a ``conversion`` record with the page's text.  Both keep the response's target URI and
-date, refer to it by WARC-Refers-To and carry digests of their own block; the conversion also keeps the response's payload
-digest as source digest.  Record ids are made from type and source id, so that a lost task makes the same ones again.
+For every response two records are built: a ``metadata`` record of fields (title, charset, language, counts, and the
+source's HTTP headers, each behind ``source-``) and a ``conversion`` record with the page's text.  Both keep the response's target URI and
+date, refer to it by WARC-Refers-To, carry a digest of their own block and the response's payload digest as WARC-Source-Digest, and in files
+the source's HTTP headers, each behind ``WARC-Source-HTTP-``.  Record ids are made from type and source id, so that a lost task makes the same ones again.
 Everything works on one row at a time: no shuffle, and one scan.  All but the decoding of entities is built-in expressions.
 
 Text: comments, scripts, styles and the head are removed, tags become blanks, all HTML entities, named and numeric, are
 decoded in one pass from left to right (so ``&amp;lt;`` becomes ``&lt;``), those of the no-break space to a blank, and
-white space is folded.  SQL has no such decoding: the query's SQL knows six entities and differs where a page has others.
+white space is folded.  The query's SQL has the standard's names and rules itself.
+
+Files are read by record, so neither their size nor gzip matters; a record's block has the length that its header tells, whatever it holds.
 
 Defined results: a null html is an empty payload, with an empty title and text; a null url has an empty target URI;
 repeated rows give repeated records; an empty table gives none; other columns are not read.
@@ -17,6 +19,7 @@ repeated rows give repeated records; an empty table gives none; other columns ar
 from __future__ import annotations
 
 import html as html_entities
+import html.entities
 import re
 from collections.abc import Iterator
 
@@ -31,8 +34,6 @@ DATE = "2026-01-01T00:00:00Z"
 MIME_HTML, MIME_TEXT, MIME_FIELDS = "text/html", "text/plain", "application/warc-fields"
 #: What is not text, read from left to right in one pass; RE2 and Java take the same alternatives.
 REMOVED = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>|head\b.*?</head\s*>|[^>]*>)"
-#: The entities that the SQL decodes.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 TITLE, CHARSET, LANGUAGE = r"(?is)<title[^>]*>(.*?)</title\s*>", r"(?i)<meta\s+charset=[\"']?([A-Za-z0-9_-]+)", r"(?i)<html[^>]*\slang=[\"']?([A-Za-z-]+)"
 
 
@@ -83,6 +84,28 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     )
 
 
+def _prefixed(headers: Column, before: str, status: str) -> Column:
+    """HTTP headers with something before the status line and before each name."""
+    return F.concat(F.lit(before + status), F.regexp_replace(headers, r"\r\n", "\r\n" + before))
+
+
+def responses_of(records: DataFrame) -> DataFrame:
+    """The responses, in the shape of ``responses``, among records (headers, block) that were read from WARC files; page_id is their record id.
+
+    A block without an empty line has headers only.  A payload digest that the record has is kept.
+    """
+    at = lambda name: F.try_element_at("headers", F.lit(name))
+    rows = records.where(at("WARC-Type") == "response").withColumn("_text", F.col("block").cast("string"))
+    end = F.instr("_text", "\r\n\r\n")
+    head = F.when(end > 0, F.substring("_text", F.lit(1), end - 1)).otherwise(F.col("_text"))
+    payload = F.when(end > 0, F.substring("_text", end + 4, F.length("_text"))).otherwise(F.lit(""))
+    rows = rows.select("headers", head.alias("http_headers"), payload.alias("payload"))
+    return rows.select(
+        at("WARC-Record-ID").alias("page_id"), at("WARC-Record-ID").alias("record_id"), F.coalesce(at("WARC-Target-URI"), F.lit("")).alias("target_uri"), F.coalesce(at("WARC-Date"), F.lit(DATE)).alias("date"),
+        "http_headers", "payload", F.coalesce(at("WARC-Payload-Digest"), digest(F.col("payload"))).alias("payload_digest"),
+    )
+
+
 def derive(source: DataFrame) -> DataFrame:
     """The two records of every response: (page_id, warc_type, record_id, refers_to, target_uri, date, content_type,
     source_headers, source_digest, block, block_digest, content_length)."""
@@ -90,11 +113,12 @@ def derive(source: DataFrame) -> DataFrame:
     # a lambda must not call Python, so what it decodes is made before
     source = source.withColumns({"_title": _decoded(F.regexp_replace(F.regexp_extract("payload", TITLE, 1), r"(?s)<[^>]*>", " ")), "_text": _raw_text(F.col("payload"))})
     title = _folded(F.col("_title"))
+    headers = lambda before, status: _prefixed(F.col("http_headers"), before, status)
 
     def records(text: Column) -> Column:
         fields = F.concat(
             F.lit("title: "), title, F.lit("\r\ncharset: "), F.lower(F.regexp_extract("payload", CHARSET, 1)), F.lit("\r\nlanguage: "), F.lower(F.regexp_extract("payload", LANGUAGE, 1)),
-            F.lit("\r\nhtml-bytes: "), F.octet_length("payload").cast("string"), F.lit("\r\ntext-bytes: "), F.octet_length(text).cast("string"), F.lit("\r\n"),
+            F.lit("\r\nhtml-bytes: "), F.octet_length("payload").cast("string"), F.lit("\r\ntext-bytes: "), F.octet_length(text).cast("string"), F.lit("\r\n"), headers("source-", "status: "), F.lit("\r\n"),
         )
         return F.array(
             F.struct(F.lit("metadata").alias("warc_type"), F.lit(MIME_FIELDS).alias("content_type"), fields.alias("block")),
@@ -116,41 +140,83 @@ def serialised(records: DataFrame) -> DataFrame:
     head = F.concat_ws(
         "\r\n", F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), "warc_type"), F.concat(F.lit("WARC-Record-ID: "), "record_id"), F.concat(F.lit("WARC-Refers-To: "), "refers_to"),
         F.concat(F.lit("WARC-Target-URI: "), "target_uri"), F.concat(F.lit("WARC-Date: "), "date"), F.concat(F.lit("WARC-Source-Digest: "), "source_digest"),
-        F.concat(F.lit("WARC-Block-Digest: "), "block_digest"), F.concat(F.lit("Content-Type: "), "content_type"), F.concat(F.lit("Content-Length: "), F.col("content_length").cast("string")),
+        F.concat(F.lit("WARC-Block-Digest: "), "block_digest"), _prefixed(F.col("source_headers"), "WARC-Source-HTTP-", "Status: "), F.concat(F.lit("Content-Type: "), "content_type"), F.concat(F.lit("Content-Length: "), F.col("content_length").cast("string")),
     )
     return records.select(F.concat(head, F.lit("\r\n\r\n"), "block").alias("value"))
 
 
-def write(records: DataFrame, path: str) -> None:
-    """Write WARC files: Spark's text files with the end of a record as their line end."""
-    serialised(records).write.option("lineSep", "\r\n\r\n").text(path)
+def write(records: DataFrame, path: str, compression: str = "none") -> None:
+    """Write WARC files, with compression "gzip" as one stream each: Spark's text files with the end of a record as their line end."""
+    serialised(records).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
-_HEAD = re.compile(rb"WARC/1\.[01]\r\n(.*?)\r\n\r\n", re.S)
+#: What stands between two records; each row that the text reader makes ends before it.
+_BETWEEN = b"\r\n\r\nWARC/1."
+_HEAD = re.compile(rb"(?:WARC/1\.)?[01]\r\n(.*?)\r\n\r\n", re.S)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block that holds the mark of a record itself came in several rows, which are put together until its length is reached."""
+    held = b""
     for batch in batches:
+        headers, blocks = [], []
         for data in batch.column(0).to_pylist():
-            at, headers, blocks = 0, [], []
-            while head := _HEAD.match(data, at):
-                named = dict(line.split(b": ", 1) for line in head[1].split(b"\r\n"))
-                size = int(named[b"Content-Length"])
-                headers.append([(k.decode(), v.decode()) for k, v in named.items()])
-                blocks.append(data[head.end() : head.end() + size])
-                at = head.end() + size + 4
-            yield pa.RecordBatch.from_arrays([pa.array(headers, pa.map_(pa.string(), pa.string())), pa.array(blocks, pa.binary())], ["headers", "block"])
+            held = held + _BETWEEN + data if held else data
+            if not (head := _HEAD.match(held)):
+                if held.strip():
+                    raise ValueError(f"no WARC record: {held[:80]!r}")
+                held = b""
+                continue
+            named = dict(line.split(b": ", 1) for line in head[1].split(b"\r\n"))
+            size = int(named[b"Content-Length"])
+            if len(held) - head.end() < size:
+                continue
+            headers.append([(k.decode(), v.decode()) for k, v in named.items()])
+            blocks.append(held[head.end() : head.end() + size])
+            held = b""
+        yield pa.RecordBatch.from_arrays([pa.array(headers, pa.map_(pa.string(), pa.string())), pa.array(blocks, pa.binary())], ["headers", "block"])
+    if held:
+        raise ValueError("the last record is cut short")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(headers, block) of the records in WARC files; a task reads a file at a time."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_parsed, "headers map<string,string>, block binary")
+    """(headers, block) of the records in WARC files, plain or gzip.
+
+    Plain files are split like any text.  Only a block that holds the mark of a record may then be torn by a split, which fails and is not passed over;
+    such files are to be compressed.
+    """
+    small_batches(spark)
+    rows = spark.read.option("lineSep", _BETWEEN.decode()).text(path).select(F.col("value").cast("binary"))
+    return rows.mapInArrow(_parsed, "headers map<string,string>, block binary")
+
+
+def _sql_text(text: str) -> str:
+    """A DuckDB literal; what is not printable ASCII is spelled by numbers."""
+    return " || ".join("'" + c.replace("'", "''") + "'" if c.isascii() and c.isprintable() else f"chr({ord(c)})" for c in text) or "''"
+
+
+def _sql_map(pairs: dict) -> str:
+    names = ", ".join(_sql_text(k) if isinstance(k, str) else str(k) for k in pairs)
+    return f"map([{names}], [{', '.join(_sql_text(v) for v in pairs.values())}])"
+
+
+#: The names and the odd numbers of the HTML standard, as one row; its functions in SQL are the lambdas' steps below.
+_SQL_NAMES = f"""names AS (SELECT {_sql_map(html_entities.entities.html5)} AS named, {_sql_map(html_entities._invalid_charrefs)} AS odd, {sorted(html_entities._invalid_codepoints)} AS dropped)"""
+
+
+def _sql_decoded(text: str) -> str:
+    """All entities of a text in one pass: what lies between them, and what each becomes, put together."""
+    number = "CASE WHEN m[3] IN ('x', 'X') THEN try_cast('0x' || rtrim(m[4:], ';') AS BIGINT) ELSE try_cast(rtrim(m[3:], ';') AS BIGINT) END"
+    by_number = f"list_transform([{number}], lambda n: CASE WHEN n IS NULL OR n > 1114111 OR n BETWEEN 55296 AND 57343 THEN coalesce(odd[n], chr(65533)) WHEN map_contains(odd, n) THEN odd[n] WHEN list_contains(dropped, n) THEN '' ELSE chr(n::int) END)[1]"
+    longest = "list_filter(range(length(m) - 2, 1, -1), lambda i: map_contains(named, m[2:i + 1]))[1]"
+    by_name = f"CASE WHEN map_contains(named, m[2:]) THEN named[m[2:]] ELSE list_transform([{longest}], lambda i: CASE WHEN i IS NULL THEN m ELSE named[m[2:i + 1]] || m[i + 2:] END)[1] END"
+    each = f"lambda m: replace(CASE WHEN m[2] = '#' THEN {by_number} ELSE {by_name} END, chr(160), ' ')"
+    pattern = "'" + _ENTITY.pattern.replace("'", "''") + "'"
+    found = f"list_append(list_transform(regexp_extract_all({text}, {pattern}), {each}), '')"
+    return f"array_to_string(list_transform(list_zip(regexp_split_to_array({text}, {pattern}), {found}), lambda z: z[1] || z[2]), '')"
 
 
 def _sql_folded(text: str) -> str:
-    for entity, char in ENTITIES:
-        text = "replace({}, '{}', '{}')".format(text, entity, char.replace("'", "''"))
     return f"trim(regexp_replace({text}, '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
 
 
@@ -159,21 +225,21 @@ def _sql_uuid(text: str) -> str:
 
 
 def oracle() -> str:
-    text = f"regexp_replace(payload, '{REMOVED}', ' ', 'g')"
     quoted = [p.replace("'", "''") for p in (TITLE, CHARSET, LANGUAGE)]
-    title = _sql_folded(f"regexp_replace(regexp_extract(payload, '{quoted[0]}', 1), '(?s)<[^>]*>', ' ', 'g')")
     end = "chr(13) || chr(10)"
     return f"""
-WITH r AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages),
-s AS (SELECT *, {_sql_uuid("'response|' || coalesce(page_id::varchar, '') || '|' || target_uri")} AS refers_to, {_sql_folded(text)} AS txt,
+WITH {_SQL_NAMES},
+p AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages),
+r AS (SELECT *, regexp_replace(payload, '{REMOVED}', ' ', 'g') AS bare, regexp_replace(regexp_extract(payload, '{quoted[0]}', 1), '(?s)<[^>]*>', ' ', 'g') AS raw_title FROM p),
+s AS (SELECT page_id, target_uri, payload, {_sql_uuid("'response|' || coalesce(page_id::varchar, '') || '|' || target_uri")} AS refers_to, {_sql_folded(_sql_decoded("bare"))} AS txt, {_sql_folded(_sql_decoded("raw_title"))} AS title,
              'sha256:' || sha256(payload) AS source_digest,
-             'HTTP/1.1 200 OK' || {end} || 'Content-Type: text/html; charset=utf-8' || {end} || 'Content-Length: ' || octet_length(encode(payload)) AS source_headers FROM r),
+             'HTTP/1.1 200 OK' || {end} || 'Content-Type: text/html; charset=utf-8' || {end} || 'Content-Length: ' || octet_length(encode(payload)) AS source_headers FROM r, names),
 d AS (SELECT page_id, refers_to, target_uri, source_headers, source_digest, 'conversion' AS warc_type, '{MIME_TEXT}' AS content_type, txt AS block FROM s
       UNION ALL
       SELECT page_id, refers_to, target_uri, source_headers, source_digest, 'metadata', '{MIME_FIELDS}',
-             'title: ' || {title} || {end} || 'charset: ' || lower(regexp_extract(payload, '{quoted[1]}', 1)) || {end} ||
+             'title: ' || title || {end} || 'charset: ' || lower(regexp_extract(payload, '{quoted[1]}', 1)) || {end} ||
              'language: ' || lower(regexp_extract(payload, '{quoted[2]}', 1)) || {end} || 'html-bytes: ' || octet_length(encode(payload)) || {end} ||
-             'text-bytes: ' || octet_length(encode(txt)) || {end} FROM s)
+             'text-bytes: ' || octet_length(encode(txt)) || {end} || 'source-status: ' || replace(source_headers, {end}, {end} || 'source-') || {end} FROM s)
 SELECT page_id, warc_type, {_sql_uuid("'warc_type|' || warc_type || '|' || refers_to")} AS record_id, refers_to, target_uri, '{DATE}' AS date, content_type,
        source_headers, source_digest, block, 'sha256:' || sha256(block) AS block_digest, octet_length(encode(block)) AS content_length
 FROM d
