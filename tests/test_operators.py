@@ -121,10 +121,11 @@ def test_nearest_peer_in_grid_equals_all_pairs(spark):
 
 def test_distribution_problems(spark):
     good = [("a", "x", r, w) for r, w in zip(matchups.RESULTS, (30, 30, 10, 15, 10, 5), strict=True)]
-    bad = [("a", "y", "0", 120), ("a", "y", "1", -20), ("b", "x", "0", 50)]
-    weights = spark.createDataFrame(good + bad, "batting string, bowling string, result string, weight int")
-    got = {(r.batting, r.bowling): list(r.problems) for r in matchups.validate_distribution(weights, ["a", "b"], ["x", "y"]).collect()}
-    assert got == {("a", "y"): ["keys", "negative"], ("b", "x"): ["keys", "total"], ("b", "y"): ["missing"]}
+    bad = [("a", "y", "0", 120.0), ("a", "y", "1", -20.0), ("b", "x", "0", 50.0), *[("c", "x", r, w) for r, w in zip(matchups.RESULTS, (100.0, 0.0, 0.0, 0.0, 0.0, None), strict=True)]]
+    bad += [("c", "y", r, w) for r, w in zip(matchups.RESULTS, (100.0, 0.0, 0.0, 0.0, float("inf"), float("nan")), strict=True)]
+    weights = spark.createDataFrame([(*g[:3], float(g[3])) for g in good] + bad, "batting string, bowling string, result string, weight double")
+    got = {(r.batting, r.bowling): list(r.problems) for r in matchups.validate_distribution(weights, ["a", "b", "c"], ["x", "y"]).collect()}
+    assert got == {("a", "y"): ["keys", "weight"], ("b", "x"): ["keys", "total"], ("b", "y"): ["missing"], ("c", "x"): ["weight"], ("c", "y"): ["weight", "total"]}
 
 
 def test_rank_as_of_with_delisting(spark):
@@ -164,15 +165,77 @@ def test_scalars(spark):
 
 
 def test_label_budget_shares_one_counter(spark):
-    rows = [(i, False, True, 99.0 - i / 10) for i in range(8)] + [(100 + i, True, True, float(i)) for i in range(12)] + [(200, True, False, 100.0)]
+    rows = [(i, False, True, 99.0 - i / 10) for i in range(8)] + [(100 + i, True, True, float(i)) for i in range(12)] + [(200, True, False, 100.0), (201, False, False, 100.0)]
     df = spark.createDataFrame(rows, "player int, is_focus boolean, eligible boolean, raw_overall double")
     got = [r.player for r in serve.label_budget(df).orderBy("position").collect()]
     assert got == [0, 1, 2, 3, 4, 5, 111, 110, 109, 108]
 
 
 def test_find_and_leaders(spark):
-    df = spark.createDataFrame([(2, "Ann Lee", "Ann Lee", "x"), (1, "Joann Lee", "Joann Lee", "x")], "player int, latin_name string, display_name string, country string")
+    df = spark.createDataFrame([(2, "Ann Lee", "Ann Lee", "x", True), (1, "Joann Lee", "Joann Lee", "x", True), (0, "Ann Lee", "Lee", "x", False)], "player int, latin_name string, display_name string, country string, is_focus boolean")
     assert [serve.find_player(df, q).first()[0] for q in ("ann lee", "LEE", "jo")] == [2, 1, 1] and serve.find_player(df, "zz").count() == 0
+    assert serve.find_player(df, "").count() == serve.find_player(df, "  ").count() == 0
+    assert {r.name for r in serve.name_index(df).collect()} == {"Ann Lee", "Joann Lee"}
+    df = df.where("is_focus")
     leaders = spark.createDataFrame([({"bat_adjusted": [2], "bat": [1]},)], "lists map<string,array<int>>")
     flags = lambda mode: {r.player: r.is_leader for r in serve.leader_flag(df, leaders, "bat", mode).collect()}
     assert flags("adjusted") == {1: False, 2: True} and flags("raw") == {1: True, 2: False}
+
+
+RATED = "player int, display_name string, latin_name string, country string, is_focus boolean, eligible boolean, innings int, balls int, raw_x_pct double, raw_y_pct double, raw_overall double"
+
+
+def rated_rows(spark):
+    rows = [
+        (1, "A", "A", "JAPAN", True, True, 5, 9, 90.0, 10.0, 50.0), (2, "B", "B", "JAPAN", True, False, 5, 9, 99.0, 99.0, 99.0), (3, "C", "C", "X", False, True, 5, 9, 80.0, 80.0, 80.0),
+        (4, "D", "D", "X", False, False, 5, 9, 70.0, 70.0, 70.0), (5, "E", "E", "JAPAN", True, True, 5, 9, 20.0, 90.0, 55.0), (6, "F", "F", "JAPAN", True, True, 5, 9, None, 90.0, None), (7, "G", "G", "X", False, True, 5, 9, 60.0, 60.0, 60.0),
+    ]
+    return spark.createDataFrame(rows, RATED)
+
+
+def test_lists_of_readers(spark):
+    df = rated_rows(spark)
+    assert [(r.player, r.total) for r in serve.directory_page(df).collect()] == [(5, 5), (1, 5), (2, 5), (3, 5), (7, 5)]
+    assert [(r.player, r.total) for r in serve.directory_page(df, 2, 1, " japan").collect()] == [(1, 3), (2, 3)]
+    assert serve.directory_page(df, q="zz").count() == 0
+    assert serve.insights(df).collect() == [(5, 1)]
+    assert [r.player for r in serve.spotlight(df).collect()] == [5, 1]
+    assert [r.player for r in serve.label_budget(df, top=70).orderBy("position").collect()] == [3, 5, 1]
+
+
+def test_fmt_groups_digits(spark):
+    df = spark.createDataFrame([(1234567.891,), (-1234.5,), (999.0,), (None,), (-0.001,), (0.005,)], "v double")
+    assert [tuple(r) for r in df.select(sc.fmt(F.col("v"), 2), sc.fmt(F.col("v"), 0)).collect()] == [("1,234,567.89", "1,234,568"), ("-1,234.50", "-1,235"), ("999.00", "999"), ("—", "—"), ("0.00", "0"), ("0.01", "0")]
+
+
+def test_scope_meta(spark):
+    schema = "match_id int, innings int, striker int, bowler int, batting_country string, bowling_country string, over_no int, runs_off_bat int, extras int, wides int, noballs int, wicket_type string"
+    rows = [(m, 1, 1, 2, "A" if m < 3 else "C", "B", 0, 1, 0, 0, 0, None) for m in (1, 1, 2, 3)] + [(3, 2, 2, 1, "B", "C", 7, 0, 0, 0, 0, "bowled")]
+    dates = spark.createDataFrame([(m, dt.date(2024, 1, m)) for m in (1, 2, 3)], "match_id int, date date")
+    (r,) = totals.scope_meta(deliveries.delivery_flags(spark.createDataFrame(rows, schema)), "A", dates, min_innings=2, min_balls=2, min_wickets=0).collect()
+    assert (r.matches, r.deliveries, r.first_date, r.last_date) == (3, 5, dt.date(2024, 1, 1), dt.date(2024, 1, 3))
+    assert (r.focus_matches, r.focus_last_date, r.players, r.focus_players) == (2, dt.date(2024, 1, 2), 2, 1)
+    assert (r.eligible_batters, r.eligible_bowlers) == (1, 1)
+
+
+def test_time_off_the_list(spark):
+    day = lambda m, d: dt.date(2022, m, d)
+    rows = [("men", "A", day(1, 1), 50), ("men", "A", day(3, 1), 48), ("men", "A", day(9, 27), None), ("men", "A", day(10, 2), None), ("men", "A", day(11, 26), 51), ("men", "A", day(12, 28), 53)]
+    got = rankings.rank_change(spark.createDataFrame(rows, "gender string, team string, date date, rank int")).orderBy("date").collect()
+    assert [(r.step, r.days_since, r.gained, r.days_off) for r in got] == [(None, None, 0, 0), (2, 59, 2, 0), (None, 210, None, None), (None, 215, None, None), (-3, 270, -1, 60), (-2, 32, -3, 0)]
+
+
+def test_rating_periods_of_the_annual_update(spark):
+    rows = [("men", "A", dt.date(2025, 5, 1), 100), ("men", "A", dt.date(2025, 4, 30), 40), ("men", "A", dt.date(2023, 5, 1), 10), ("men", "A", dt.date(2023, 4, 30), 999), ("men", "A", dt.date(2026, 7, 1), 60)]
+    results = spark.createDataFrame(rows, "gender string, team string, date date, points long")
+    dates = spark.createDataFrame([(dt.date(2026, 7, 24),), (dt.date(2026, 4, 30),)], "as_of date")
+    got = {str(r.as_of): (r.matches, r.rating) for r in rankings.team_rating(results, dates, update_month=5).collect()}
+    # after the update: 100 and 60 in full, 40 and 10 by half; before it the year runs from May 2024 and the rest from May 2022
+    assert got == {"2026-07-24": (4, 62), "2026-04-30": (4, round((2 * 100 + 2 * 40 + 10 + 999) / 6))}
+
+
+def test_folded_peers_of_one_point(spark):
+    rows = [(3, 50.0, 50.0, True, False), (1, 50.0, 50.0, True, False), (2, 50.0, 50.0, True, False), (9, 50.0, 50.0, False, True), (4, 51.0, 50.0, True, False), (5, None, 1.0, True, False)]
+    df = spark.createDataFrame(rows, "player int, raw_x_pct double, raw_y_pct double, eligible boolean, is_focus boolean")
+    assert {r.player: (r.peer, r.distance2) for r in ratings.nearest_peer(df).collect()} == {1: (2, 0), 2: (1, 0), 3: (1, 0), 9: (1, 0), 4: (1, 1)}
+    assert ratings.nearest_peer(df.where("player = 1")).count() == 0

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from willowfold.sources.shared_dir import kept
-
 
 def midrank(df: DataFrame, value: str, member: str, keys: list[str], name: str, inverse: bool = False) -> DataFrame:
     """Add ``name``: where value stands among the members (a boolean column) of equal keys, 0 to 100.
@@ -20,20 +18,25 @@ def midrank(df: DataFrame, value: str, member: str, keys: list[str], name: str,
     return df.join(places, [*keys, value], "left").select(*df.columns, name)
 
 
+def _bucket(value: Column) -> Column:
+    """A whole number that never falls as the value rises; values less than a thousandth apart (near 0; relative to their size beyond 1) may share one."""
+    value = value.cast("double")
+    return F.when(F.isnan(value), F.lit((1 << 63) - 1)).otherwise(F.floor(F.signum(value) * F.log1p(F.abs(value)) * 1024))
+
+
 def _places(rows: DataFrame, value: str, member: str, keys: list[str], inverse: Column) -> DataFrame:
     """(keys, value, _place) of every distinct value.
 
-    The counts of distinct values are range-partitioned and kept; each part sums its own, and only the sums of the parts
-    meet, so no task holds all values of a metric.
+    Distinct values are counted and summed within buckets; only the sums of the buckets, a row for each, meet for the members before a
+    bucket, so no task holds all values of a metric.
     """
-    counts = rows.groupBy(*keys, value).agg(F.count_if(F.col(member)).alias("_equal"))
-    counts = kept(counts.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()), "value-counts")
-    sums = counts.groupBy("_part", *keys).agg(F.sum("_equal").alias("_sum"))
-    whole = Window.partitionBy(*keys)  # a row for each part
-    sums = sums.withColumns({"_before": F.coalesce(F.sum("_sum").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_sum").over(whole)})
-    within = Window.partitionBy("_part", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, value).agg(F.count_if(F.col(member)).alias("_equal")).withColumn("_bucket", _bucket(F.col(value)))
+    sums = counts.groupBy(*keys, "_bucket").agg(F.sum("_equal").alias("_sum"))
+    whole = Window.partitionBy(*keys)
+    sums = sums.withColumns({"_before": F.coalesce(F.sum("_sum").over(whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_sum").over(whole)})
+    within = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_within", F.coalesce(F.sum("_equal").over(within), F.lit(0)))
-    counts = counts.join(sums, ["_part", *keys]).withColumn("_less", F.col("_before") + F.col("_within"))
+    counts = counts.join(sums, [*keys, "_bucket"]).withColumn("_less", F.col("_before") + F.col("_within"))
     worse = F.when(inverse, F.col("_n") - F.col("_less") - F.col("_equal")).otherwise(F.col("_less"))
     raw = 100 * (worse + F.greatest(F.lit(0), F.col("_equal") - 1) / 2) / (F.col("_n") - 1)
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw))

@@ -45,8 +45,11 @@ def badges(*scored: tuple[str, Column], limit: float = BADGE_FROM) -> Column:
 
 
 def fmt(value: Column, decimals: int) -> Column:
-    """Fixed decimals without grouping, a dash for null."""
-    return F.coalesce(value.cast(f"decimal(30,{decimals})").cast("string"), F.lit(DASH))
+    """Fixed decimals, digits grouped by threes, a dash for null or what is no number; halves go away from zero."""
+    text = F.abs(value.cast(f"decimal(30,{decimals})")).cast("string")
+    whole = F.regexp_replace(F.substring_index(text, ".", 1), r"(?<=[0-9])(?=(?:[0-9]{3})+$)", ",")
+    sign = F.when(value.cast(f"decimal(30,{decimals})") < 0, "-").otherwise("")
+    return F.coalesce(F.concat(sign, whole, F.substring(text, F.length(F.substring_index(text, ".", 1)) + 1, F.lit(decimals + 1))), F.lit(DASH))
 
 
 def short_label(text: Column, most: int = 24, kept: int = 22) -> Column:

@@ -52,8 +52,9 @@ def resolve_person(deliveries: DataFrame, registry: DataFrame, roles: tuple[str,
     A match's registry is one small map, so one join by match_id serves all roles.  Of several persons of one name in a
     match the least id is taken.
     """
-    own = registry.groupBy("match_id", "name").agg(F.min("person_id").alias("person_id")).where("name is not null")
-    people = own.groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "person_id"))).alias("_people"))
+    listed = registry.where("name is not null").groupBy("match_id").agg(F.sort_array(F.collect_set(F.struct("name", "person_id"))).alias("_all"))
+    first = F.filter("_all", lambda x, i: (i == 0) | (F.get("_all", i - 1)["name"] != x["name"]))
+    people = listed.select("match_id", F.map_from_entries(first).alias("_people"))
     found = deliveries.join(people, "match_id", "left")
     return found.withColumns({f"{role}_id": F.try_element_at("_people", F.col(role)) for role in roles}).drop("_people")
 

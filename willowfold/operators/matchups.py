@@ -30,15 +30,20 @@ def matchup_summary(matrix: DataFrame) -> DataFrame:
 
 
 def validate_distribution(weights: DataFrame, batting: list[str], bowling: list[str]) -> DataFrame:
-    """(batting, bowling, problems) of every pair of the domain whose weights are missing, miskeyed, negative or not 100.
+    """(batting, bowling, problems) of every pair of the domain whose weights are missing, miskeyed, no numbers or negative, or do not sum to 100.
 
-    The domain is the product of two given lists, as large as a table of rules.
+    The domain is the product of two given lists, as large as a table of rules.  A weight that is null, not finite or below zero is a "weight"
+    problem; what is no number counts 0 in the total.
     """
     spark = weights.sparkSession
     domain = spark.createDataFrame([(a, b) for a in batting for b in bowling], "batting string, bowling string")
-    own = weights.groupBy("batting", "bowling").agg(F.collect_set("result").alias("keys"), F.sum("weight").alias("total"), F.min("weight").alias("least"))
+    value = F.col("weight").cast("double")
+    bad = F.coalesce(F.isnan(value) | (F.abs(value) == float("inf")) | (value < 0), F.lit(True))
+    counted = F.when(value.isNull() | F.isnan(value), 0.0).otherwise(value)
+    own = weights.groupBy("batting", "bowling").agg(F.collect_set("result").alias("keys"), F.sum(counted).alias("total"), F.bool_or(bad).alias("bad"))
     df = domain.join(own, ["batting", "bowling"], "left")
     keys = F.sort_array("keys") != F.array(*[F.lit(r) for r in RESULTS])
-    missing = F.col("keys").isNull()
-    problems = F.array_compact(F.array(F.when(missing, "missing"), F.when(~missing & keys, "keys"), F.when(F.col("least") < 0, "negative"), F.when(~missing & (F.abs(F.col("total") - 100) > 1e-9), "total")))
+    there = F.col("keys").isNotNull()
+    off = F.isnan("total") | (F.abs(F.col("total") - 100) > 1e-9)
+    problems = F.array_compact(F.array(F.when(~there, "missing"), F.when(there & keys, "keys"), F.when(F.col("bad"), "weight"), F.when(there & off, "total")))
     return df.select("batting", "bowling", problems.alias("problems")).where(F.size("problems") > 0)

@@ -13,17 +13,30 @@ def _years_before(as_of: Column, years: int) -> Column:
     return F.add_months(as_of, -12 * years)
 
 
-def team_rating(results: DataFrame, dates: DataFrame) -> DataFrame:
+def period_start(as_of: Column, years: int, update_month: int | None = None) -> Column:
+    """The last day before the period of so many years: rolling up to as_of, or whole years of the annual update in a month.
+
+    With the update in May, from May 2026 on results since May 2025 are the last year and the two years before are the rest.
+    """
+    if update_month is None:
+        return _years_before(as_of, years)
+    updated = F.make_date(F.year(as_of) - F.when(F.month(as_of) < update_month, 1).otherwise(0), F.lit(update_month), F.lit(1))
+    return F.date_sub(_years_before(updated, years), 1)
+
+
+def team_rating(results: DataFrame, dates: DataFrame, update_month: int | None = None) -> DataFrame:
     """(gender, team, as_of, matches, rating): points a match, the last year in full and the two before by half.
 
-    A result is dealt only to the dates within three years after it, so nothing meets dates it does not count for: both
-    sides are keyed by year and joined on the year and the three after.
+    The three years roll with as_of, our reading where none is given; with update_month they are those of the annual update, and results since then
+    count in full.  A result is dealt only to the dates within four years after it, so nothing meets dates it does not count for: both
+    sides are keyed by year and joined on the year and those after.
     """
-    rows = results.withColumn("_year", F.explode(F.sequence(F.year("date"), F.year("date") + 3)))
+    rows = results.withColumn("_year", F.explode(F.sequence(F.year("date"), F.year("date") + (3 if update_month is None else 4))))
     on_year = dates.select("as_of").distinct().withColumn("_year", F.year("as_of"))
-    rows = rows.join(on_year, "_year").where((F.col("date") <= F.col("as_of")) & (F.col("date") > _years_before(F.col("as_of"), 3)))
+    start = lambda years: period_start(F.col("as_of"), years, update_month)
+    rows = rows.join(on_year, "_year").where((F.col("date") <= F.col("as_of")) & (F.col("date") > start(3)))
     # doubled weights, 2 and 1, so that all sums are whole
-    weight = F.when(F.col("date") > _years_before(F.col("as_of"), 1), 2).otherwise(1)
+    weight = F.when(F.col("date") > start(1), 2).otherwise(1)
     own = rows.groupBy("gender", "team", "as_of").agg(F.count(F.lit(1)).alias("matches"), F.sum(weight * F.col("points")).alias("p"), F.sum(weight).alias("w"))
     return own.select("gender", "team", "as_of", "matches", F.floor(F.col("p") / F.col("w") + F.lit(0.5)).cast("long").alias("rating"))
 
@@ -61,10 +74,20 @@ def rank_as_of(history: DataFrame, dates: list[str]) -> DataFrame:
 
 
 def rank_change(history: DataFrame) -> DataFrame:
-    """Each entry with the change from the one before and the days between, and the gain since the first."""
+    """Each entry with the change from the ranked entry before and the days since it, the gain since the first rank, and the days off the list before it.
+
+    An entry with a null rank says that the team is off the list from then on; the next entry with a rank ends that.
+    """
     order = Window.partitionBy("gender", "team").orderBy("date")
-    before, first = F.lag("rank").over(order), F.first("rank").over(order)
-    return history.select("gender", "team", "date", "rank", (before - F.col("rank")).alias("step"), F.datediff("date", F.lag("date").over(order)).alias("days_since"), (first - F.col("rank")).alias("gained"))
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.last(F.when(F.col("rank").isNotNull(), F.col(c)), ignorenulls=True).over(past)
+    first = F.first("rank", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    # the first unranked entry after the last ranked one
+    unranked = F.lag(F.col("rank").isNull()).over(order)
+    left = F.when(F.col("rank").isNull() & ~F.coalesce(unranked, F.lit(False)), F.col("date"))
+    df = history.withColumns({"_left": left, "_unranked": F.coalesce(unranked, F.lit(False))})
+    off = F.when(F.col("rank").isNotNull(), F.when(F.col("_unranked"), F.datediff("date", F.last("_left", ignorenulls=True).over(past))).otherwise(0))
+    return df.select("gender", "team", "date", "rank", (before("rank") - F.col("rank")).alias("step"), F.datediff("date", before("date")).alias("days_since"), (first - F.col("rank")).alias("gained"), off.cast("int").alias("days_off"))
 
 
 def rank_men_women(ranks: DataFrame) -> DataFrame:

@@ -16,6 +16,11 @@ MIN_PHASE_BALLS = 60
 RAW = {"bat": (("strike_rate", False), ("balls_per_out", False)), "bowl": (("economy", True), ("wickets_per_100", False))}
 
 
+def folded(cell: DataFrame) -> DataFrame:
+    """balls, runs and outs of each (player, opponent, phase); folding again changes nothing."""
+    return cell.groupBy("player", "opponent", "phase").agg(*[F.sum(c).alias(c) for c in ("balls", "runs", "outs")])
+
+
 def par_rates(cell: DataFrame, min_balls: int = MIN_CELL_BALLS) -> DataFrame:
     """runs and outs per ball of each (opponent, phase), of the phase as a whole where the opponent has too few balls."""
     own = cell.groupBy("opponent", "phase").agg(*[F.sum(c).alias(c) for c in ("balls", "runs", "outs")])
@@ -25,27 +30,26 @@ def par_rates(cell: DataFrame, min_balls: int = MIN_CELL_BALLS) -> DataFrame:
     return own.join(whole, "phase").select("opponent", "phase", "balls", rate("runs").alias("par_runs"), rate("outs").alias("par_outs"))
 
 
-def attach_par(cell: DataFrame, par: DataFrame) -> DataFrame:
-    """Cells of (player, opponent, phase) with what par expects of their balls."""
-    own = cell.groupBy("player", "opponent", "phase").agg(*[F.sum(c).alias(c) for c in ("balls", "runs", "outs")])
+def attach_par(own: DataFrame, par: DataFrame) -> DataFrame:
+    """Folded cells of (player, opponent, phase) with what par expects of their balls."""
     rates = par.select("opponent", "phase", "par_runs", "par_outs")
     expected = lambda c: (F.col("balls") * F.coalesce(c, F.lit(0.0)))
     return own.join(rates, ["opponent", "phase"], "left").withColumns({"expected_runs": expected(F.col("par_runs")), "expected_outs": expected(F.col("par_outs"))}).drop("par_runs", "par_outs")
 
 
-def adjusted_indices(parred: DataFrame, role: str, by_phase: bool = False) -> DataFrame:
-    """adj_x and adj_y, 100 being par.  Speed and wickets are ratios to par; survival is smoothed by one dismissal on both
+def adjusted_indices(parred: DataFrame, role: str, by_phase: bool = False, sums: tuple[str, ...] = ()) -> DataFrame:
+    """adj_x and adj_y, 100 being par, and the sums asked for.  Speed and wickets are ratios to par; survival is smoothed by one dismissal on both
     sides; control is par over runs, so more is better on every axis.  Nothing expected, or no run conceded, is par."""
     if by_phase:
         parred = parred.withColumn("phase", F.explode(F.array(F.lit("all"), F.col("phase")))).where("phase is not null")
     keys = ["player", "phase"] if by_phase else ["player"]
-    own = parred.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("runs", "outs", "expected_runs", "expected_outs")])
+    own = parred.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in (*sums, "runs", "outs", "expected_runs", "expected_outs")])
     runs, outs, e_runs, e_outs = (F.col(c) for c in ("runs", "outs", "expected_runs", "expected_outs"))
     if role == "bat":
         x, y = F.when(e_runs == 0, 100.0).otherwise(100 * runs / e_runs), 100 * (e_outs + 1) / (outs + 1)
     else:
         x, y = F.when((e_runs == 0) | (runs == 0), 100.0).otherwise(100 * e_runs / runs), F.when(e_outs == 0, 100.0).otherwise(100 * outs / e_outs)
-    return own.select(*keys, x.alias("adj_x"), y.alias("adj_y"))
+    return own.select(*keys, *sums, x.alias("adj_x"), y.alias("adj_y"))
 
 
 def two_axis_overall(x: Column, y: Column, stored: Column | None = None) -> Column:
@@ -57,12 +61,13 @@ def two_axis_overall(x: Column, y: Column, stored: Column | None = None) -> Colu
 def ratings(cell: DataFrame, role: str, **limits: int) -> DataFrame:
     """Totals, rates, eligibility, raw and adjusted axes with their percentiles and overall scores of every player.
 
-    Balls are read once: cells, and then players, are kept in the shared folder for the steps that read them again.
+    Cells are folded once to (player, opponent, phase) and once to innings, from one shuffle of the balls; players are kept in the shared folder for
+    the steps that read them again.
     """
-    cell = kept(cell, "cells")
     rates = batting_rates if role == "bat" else bowling_rates
     df = rates(totals(cell)).withColumn("eligible", eligible(role, **limits))
-    df = df.join(adjusted_indices(attach_par(cell, par_rates(cell)), role), "player")
+    own = folded(cell)
+    df = df.join(adjusted_indices(attach_par(own, par_rates(own)), role), "player")
     df = kept(df.withColumn("role", F.lit(role)), "players")
     axes = dict(zip(("raw_x_pct", "raw_y_pct", "adj_x_pct", "adj_y_pct"), (*RAW[role], ("adj_x", False), ("adj_y", False)), strict=True))
     df = midranks(df, axes, "eligible", [], "player")
@@ -74,36 +79,45 @@ def ratings(cell: DataFrame, role: str, **limits: int) -> DataFrame:
 
 def phase_score(cell: DataFrame, role: str, min_phase_balls: int = MIN_PHASE_BALLS, **limits: int) -> DataFrame:
     """(player, phase, balls, pct): mean of both adjusted percentiles within the phase, for eligible players with enough balls."""
-    cell = kept(cell, "cells")
+    own = folded(cell)
     rated = totals(cell).where(eligible(role, **limits)).select("player")
-    balls = totals(cell, by_phase=True).where("phase <> 'all'").select("player", "phase", "balls")
-    df = adjusted_indices(attach_par(cell, par_rates(cell)), role, by_phase=True).where("phase <> 'all'")
-    df = df.join(balls, ["player", "phase"]).join(rated, "player", "left_semi").where(F.col("balls") >= min_phase_balls).withColumn("member", F.lit(True))
+    df = adjusted_indices(attach_par(own, par_rates(own)), role, by_phase=True, sums=("balls",)).where((F.col("phase") != "all") & (F.col("balls") >= min_phase_balls))
+    df = kept(df.join(rated, "player", "left_semi").withColumn("member", F.lit(True)), "phases")
     df = midranks(df, {"x_pct": ("adj_x", False), "y_pct": ("adj_y", False)}, "member", ["phase"], "player")
     return df.select("player", "phase", "balls", ((F.col("x_pct") + F.col("y_pct")) / 2).alias("pct"))
 
 
-def nearest_peer(players: DataFrame, x: str = "raw_x_pct", y: str = "raw_y_pct", cell: float = 5.0) -> DataFrame:
+def nearest_peer(players: DataFrame, x: str = "raw_x_pct", y: str = "raw_y_pct", members: int = 4) -> DataFrame:
     """(player, peer, distance2): the nearest eligible player outside the focus team, other than itself; smallest id on ties.
 
-    Percentiles lie in a square of 0 to 100, so players are put into cells of ``cell`` and look in the 3 x 3 cells
+    Percentiles lie in a square of 0 to 100.  Peers of one point fold to the two with the smallest ids, which is all that anybody can need of them, and
+    the square is cut into cells, about one for each ``members`` points.  Players look in the 3 x 3 cells
     around theirs; whoever finds none nearer than the ring's width looks again with cells four times as wide, the last time in
     the whole square.  Every row meets only the candidates of its cells.
     """
-    seek = players.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select("player", F.col(x).alias("x"), F.col(y).alias("y"))
-    pool = players.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col("eligible") & ~F.col("is_focus"))
-    pool = pool.select(F.col("player").alias("peer"), F.col(x).alias("px"), F.col(y).alias("py"))
-    found = None
+    players = players.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    seek = kept(players.select("player", F.col(x).alias("x"), F.col(y).alias("y"), (F.col("eligible") & ~F.col("is_focus")).alias("is_peer")), "seekers")
+    peers = seek.where("is_peer").select(F.col("player").alias("peer"), F.col("x").alias("px"), F.col("y").alias("py"))
+    first = peers.groupBy("px", "py").agg(F.min("peer").alias("first"))
+    second = peers.join(first, ["px", "py"]).groupBy("px", "py").agg(F.min("first").alias("first"), F.min(F.when(F.col("peer") > F.col("first"), F.col("peer"))).alias("second"))
+    pool = kept(second, "peers")
+    cell = 100 / max(1, int((pool.count() / members) ** 0.5))
+    seek, found = seek.select("player", "x", "y"), None
     while True:
-        own = seek.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-        around = F.sequence(F.lit(-1), F.lit(1))
-        probes = own.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy")})
-        homes = pool.withColumns({"cx": F.floor(F.col("px") / cell), "cy": F.floor(F.col("py") / cell)})
+        at = lambda c: F.floor(F.col(c) / cell)  # noqa: E731, B023
+        around = lambda c: F.sequence(at(c) - 1, at(c) + 1)  # noqa: E731, B023
+        probes = seek.withColumn("cx", F.explode(around("x"))).withColumn("cy", F.explode(around("y")))
+        homes = pool.withColumns({"cx": at("px"), "cy": at("py")})
         d2 = (F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2
-        near = probes.join(homes, ["cx", "cy"]).where("player <> peer").withColumn("d2", d2)
-        best = near.groupBy("player").agg(F.min(F.struct("d2", "peer")).alias("b")).select("player", F.col("b.peer").alias("peer"), F.col("b.d2").alias("distance2"))
-        sure = best.where(F.col("distance2") <= cell * cell) if cell < 100 else best
+        near = probes.join(homes, ["cx", "cy"]).withColumn("peer", F.when(F.col("first") == F.col("player"), F.col("second")).otherwise(F.col("first")))
+        near = near.where("peer is not null").select("player", F.struct(d2.alias("d2"), "peer").alias("b"))
+        best = near.groupBy("player").agg(F.min("b").alias("b")).select("player", F.col("b.peer").alias("peer"), F.col("b.d2").alias("distance2"))
+        last = cell >= 100
+        sure = kept(best if last else best.where(F.col("distance2") <= cell * cell), "nearest")
         found = sure if found is None else found.unionByName(sure)
-        if cell >= 100:
+        if last:
+            return found
+        seek = kept(seek.join(sure, "player", "left_anti"), "seekers")
+        if seek.isEmpty():
             return found
-        seek, cell = seek.join(sure, "player", "left_anti"), cell * 4
+        cell = min(cell * 4, 100)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from willowfold.sources.shared_dir import kept
+
+#: Fixed value: how the focus country may be written.
 FOCUS_PATTERN = "japan|日本"
 
 
@@ -25,8 +28,14 @@ def search_players(players: DataFrame, q: str) -> DataFrame:
 
 
 def find_player(players: DataFrame, q: str) -> DataFrame:
-    """The first player of that very name, else the first whose name contains it; names are either name, first is by id."""
+    """The first focus player of that very name, else the first whose name contains it; names are either name, first is by id.
+
+    An empty text finds nobody.
+    """
     q = q.strip().lower()
+    if not q:
+        return players.limit(0)
+    players = players.where("is_focus")
     names = [F.lower("display_name"), F.lower("latin_name")]
     exact = F.coalesce(names[0] == q, F.lit(False)) | F.coalesce(names[1] == q, F.lit(False))
     part = F.coalesce(F.contains(names[0], F.lit(q)), F.lit(False)) | F.coalesce(F.contains(names[1], F.lit(q)), F.lit(False))
@@ -34,16 +43,21 @@ def find_player(players: DataFrame, q: str) -> DataFrame:
     return players.withColumn("_level", level).where("_level is not null").orderBy("_level", "player").limit(1).drop("_level")
 
 
-def spotlight(rated: DataFrame, k: int = 3, score: str = "raw_overall") -> DataFrame:
-    """The k best eligible players of the focus team."""
-    return rated.where(F.col("is_focus") & F.col("eligible")).orderBy(F.desc(score), "player").limit(k)
+def spotlight(rated: DataFrame, k: int = 3, score: str = "raw_overall", x: str = "raw_x_pct", y: str = "raw_y_pct") -> DataFrame:
+    """The k best eligible players of the focus team who have a point in the chart."""
+    return plottable(rated, x, y).where(F.col("is_focus") & F.col("eligible")).orderBy(F.desc_nulls_last(score), "player").limit(k)
 
 
-def directory_page(rated: DataFrame, limit: int = 60, offset: int = 0, score: str = "raw_overall") -> DataFrame:
-    """A page of the directory, focus team first, eligible first, best first, with the count of all rows."""
-    total = rated.agg(F.count(F.lit(1)).alias("total"))
-    page = rated.orderBy(F.desc("is_focus"), F.desc("eligible"), F.desc_nulls_last(score), "player").offset(offset).limit(limit)
-    return page.join(total, F.lit(True))  # one row
+def directory_page(rated: DataFrame, limit: int = 60, offset: int = 0, q: str = "", score: str = "raw_overall", x: str = "raw_x_pct", y: str = "raw_y_pct") -> DataFrame:
+    """A page of the directory, focus team first, eligible first, best first, with the count of all that are listed: eligible or focus
+    players with both scores whose names or country contain the text.
+
+    The list is made once and kept, since its count and its page are read from it.
+    """
+    listed = rated.where((F.col("eligible") | F.col("is_focus")) & F.col(x).isNotNull() & F.col(y).isNotNull())
+    listed = kept(search_players(listed, q) if q.strip() else listed, "directory")
+    page = listed.orderBy(F.desc("is_focus"), F.desc("eligible"), F.desc_nulls_last(score), "player").offset(offset).limit(limit)
+    return page.withColumn("total", F.lit(listed.count()).cast("long"))
 
 
 def chart_table(rated: DataFrame, score: str = "raw_overall") -> DataFrame:
@@ -52,17 +66,17 @@ def chart_table(rated: DataFrame, score: str = "raw_overall") -> DataFrame:
 
 
 def insights(rated: DataFrame, score: str = "raw_overall", x: str = "raw_x_pct") -> DataFrame:
-    """One row: the focus player with the best overall and the one with the best x; smallest id on ties."""
-    own = rated.where("is_focus")
+    """One row: the eligible focus player with the best overall and the one with the best x; smallest id on ties."""
+    own = rated.where(F.col("is_focus") & F.col("eligible"))
     best = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct((-F.col(c)).alias("s"), F.col("player").alias("player"))))["player"]
     return own.agg(best(score).alias("best_overall"), best(x).alias("best_x"))
 
 
 def label_budget(rated: DataFrame, score: str = "raw_overall", top: float = 90, others: int = 6, budget: int = 10) -> DataFrame:
-    """Players whose labels are drawn: up to ``others`` outside the focus team from ``top`` on, then eligible focus players
+    """Players whose labels are drawn: up to ``others`` eligible ones outside the focus team from ``top`` on, then eligible focus players
     until ``budget`` labels are used."""
     order = [F.desc(score), F.col("player")]
-    far = rated.where(~F.col("is_focus") & (F.col(score) >= top)).orderBy(*order).limit(others)
+    far = rated.where(~F.col("is_focus") & F.col("eligible") & (F.col(score) >= top)).orderBy(*order).limit(others)
     near = rated.where(F.col("is_focus") & F.col("eligible") & F.col(score).isNotNull()).orderBy(*order).limit(budget)
     rows = far.withColumn("_g", F.lit(0)).unionByName(near.withColumn("_g", F.lit(1)))  # at most others + budget rows
     position = F.row_number().over(Window.orderBy("_g", *order))
@@ -79,8 +93,8 @@ def leader_flag(rated: DataFrame, leaders: DataFrame, role: str, mode: str) -> D
 
 
 def name_index(players: DataFrame) -> DataFrame:
-    """Every distinct name that is not empty."""
-    return players.select(F.explode(F.array("latin_name", "display_name")).alias("name")).where("name <> ''").distinct()
+    """Every distinct name of a focus player that is not empty."""
+    return players.where("is_focus").select(F.explode(F.array("latin_name", "display_name")).alias("name")).where("name <> ''").distinct()
 
 
 def compare_pair(rated: DataFrame, a: int, b: int, metrics: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from willowfold.sources.shared_dir import kept
+
 #: Thresholds of a rated player.
 MIN_INNINGS, MIN_BALLS, MIN_WICKETS = 10, {"bat": 200, "bowl": 120}, 5
 
@@ -86,12 +88,22 @@ def threshold_audit(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.agg(*[F.count_if(rule).alias(name) for name, rule in rules.items()])
 
 
-def scope_meta(flagged: DataFrame, focus: str) -> DataFrame:
-    """One row: matches, deliveries and players, and those of the focus team; folded by match and player first."""
-    is_focus = (F.col("batting_country") == focus) | (F.col("bowling_country") == focus)
-    matches = flagged.groupBy("match_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(is_focus).alias("focus"))
-    both = F.explode(F.array(F.struct(F.col("striker").alias("p"), F.col("batting_country").alias("c")), F.struct(F.col("bowler").alias("p"), F.col("bowling_country").alias("c"))))
-    players = flagged.groupBy("striker", "batting_country", "bowler", "bowling_country").agg(F.lit(1).alias("_")).select(both.alias("x")).select("x.*").distinct()
-    a = matches.agg(F.count(F.lit(1)).alias("matches"), F.sum("n").alias("deliveries"), F.count_if(F.col("focus")).alias("focus_matches"), F.min("match_id").alias("first_match"), F.max("match_id").alias("last_match"))
-    b = players.agg(F.count(F.lit(1)).alias("players"), F.count_if(F.col("c") == focus).alias("focus_players"))
-    return a.join(b, F.lit(True))  # one row each
+def scope_meta(flagged: DataFrame, focus: str, matches: DataFrame | None = None, **limits: int) -> DataFrame:
+    """One row: matches, deliveries and players of the scope, its first and last date, matches, players and last match date of the focus team, and
+    the players eligible in each role.
+
+    matches: (match_id, date); without it dates are null.  Balls are folded to cells of each role and kept; everything is counted from them.
+    """
+    made = [cells(flagged, role).withColumn("role", F.lit(role)) for role in ("bat", "bowl")]
+    both = kept(made[0].unionByName(made[1]), "scope-cells")
+    bat = both.where("role = 'bat'")
+    dates = matches.select("match_id", "date") if matches is not None else bat.select("match_id", F.lit(None).cast("date").alias("date")).limit(0)
+    # a batting cell's opponent is the bowling side, a bowling cell's the batting side
+    of = both.groupBy("match_id").agg(F.sum(F.when(F.col("role") == "bat", F.col("events"))).alias("n"), F.bool_or(F.col("opponent") == focus).alias("focus"))
+    of = of.join(dates, "match_id", "left")
+    a = of.agg(F.count(F.lit(1)).alias("matches"), F.sum("n").alias("deliveries"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count_if(F.col("focus")).alias("focus_matches"), F.max(F.when(F.col("focus"), F.col("date"))).alias("focus_last_date"))
+    sides = flagged.groupBy("striker", "batting_country", "bowler", "bowling_country").agg(F.lit(1).alias("_"))
+    sides = sides.select(F.inline(F.array(F.struct(F.col("striker").alias("p"), F.col("batting_country").alias("c")), F.struct(F.col("bowler").alias("p"), F.col("bowling_country").alias("c"))))).distinct()
+    b = sides.agg(F.count_distinct("p").alias("players"), F.count_distinct(F.when(F.col("c") == focus, F.col("p"))).alias("focus_players"))
+    rated = [totals(both.where(F.col("role") == role)).agg(F.count_if(eligible(role, **limits)).alias(f"eligible_{name}")) for role, name in (("bat", "batters"), ("bowl", "bowlers"))]
+    return a.join(b, F.lit(True)).join(rated[0], F.lit(True)).join(rated[1], F.lit(True))  # one row each

@@ -15,10 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as deliveries without an order: a ball for each line, players by a skewed hash of part and supplier."""
+    """lineitem as deliveries without an order: a ball for each line, 32 orders to a match, and for every hundred matches fifty players of each role by a
+    skewed hash of part and supplier, so that matches and players grow with the table."""
     rows = table(spark, sf_dir, "lineitem").selectExpr(
-        "l_orderkey % 400 AS match_id", "CAST((l_orderkey div 400) % 2 + 1 AS INT) AS innings",
-        "CAST(floor(sqrt((l_partkey*31 + l_suppkey) % 10000)) AS INT) AS striker", "CAST(floor(sqrt((l_partkey*7919 + l_suppkey*13) % 10000)) AS INT) AS bowler",
+        "l_orderkey div 32 AS match_id", "CAST((l_orderkey div 16) % 2 + 1 AS INT) AS innings",
+        "CAST((l_orderkey div 3200) * 50 + floor(sqrt((l_partkey*31 + l_suppkey) % 2500)) AS INT) AS striker", "CAST((l_orderkey div 3200) * 50 + floor(sqrt((l_partkey*7919 + l_suppkey*13) % 2500)) AS INT) AS bowler",
         "CAST((l_orderkey + 3*l_linenumber) % 20 AS INT) AS over_no", "CAST(l_quantity AS INT) AS q", "CAST(round(l_discount*100) AS INT) AS d", "CAST(round(l_tax*100) AS INT) AS t",
         "l_returnflag", "l_linestatus",
     )
@@ -33,8 +34,8 @@ def bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BULK_SQL = """
-bulk0 AS (SELECT l_orderkey % 400 AS match_id, CAST((l_orderkey // 400) % 2 + 1 AS INT) AS innings,
-    CAST(floor(sqrt((l_partkey*31 + l_suppkey) % 10000)) AS INT) AS striker, CAST(floor(sqrt((l_partkey*7919 + l_suppkey*13) % 10000)) AS INT) AS bowler,
+bulk0 AS (SELECT l_orderkey // 32 AS match_id, CAST((l_orderkey // 16) % 2 + 1 AS INT) AS innings,
+    CAST((l_orderkey // 3200) * 50 + floor(sqrt((l_partkey*31 + l_suppkey) % 2500)) AS INT) AS striker, CAST((l_orderkey // 3200) * 50 + floor(sqrt((l_partkey*7919 + l_suppkey*13) % 2500)) AS INT) AS bowler,
     CAST((l_orderkey + 3*l_linenumber) % 20 AS INT) AS over_no, CAST(l_quantity AS INT) AS q, CAST(round(l_discount*100) AS INT) AS d, CAST(round(l_tax*100) AS INT) AS t,
     l_returnflag, l_linestatus FROM lineitem),
 bulk1 AS (SELECT match_id, innings, striker, bowler, over_no,
@@ -52,7 +53,7 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as deliveries in order: 120 to an innings, two innings to a match."""
     rows = table(spark, sf_dir, "events").selectExpr(
         "event_id", "event_id div 240 AS match_id", "CAST((event_id % 240) div 120 + 1 AS INT) AS innings", "CAST((event_id % 120) div 6 AS INT) AS over_no", "CAST(event_id % 6 + 1 AS INT) AS ball_no",
-        "user_id AS striker", "(user_id*7 + event_id) % 150 AS bowler", "event_type",
+        "user_id AS striker", "(user_id*7 + event_id) % 150 + (event_id div 10000) * 150 AS bowler", "event_type",
         "CASE WHEN event_type = 'error' AND value < 8 THEN 'W' WHEN value < 15 THEN '0' WHEN value < 40 THEN '1' WHEN value < 60 THEN '2' WHEN value < 100 THEN '4' ELSE '6' END AS result",
     )
     rows = rows.selectExpr("*", "CASE WHEN result = 'W' THEN 0 ELSE CAST(result AS INT) END AS runs_off_bat", "CASE WHEN result = 'W' THEN CASE WHEN event_id % 4 = 0 THEN 'run out' WHEN event_id % 4 = 1 THEN 'caught' WHEN event_id % 4 = 2 THEN 'stumped' ELSE 'bowled' END END AS wicket_type")
@@ -62,7 +63,7 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LOG_SQL = """
 log0 AS (SELECT event_id, event_id // 240 AS match_id, CAST((event_id % 240) // 120 + 1 AS INT) AS innings, CAST((event_id % 120) // 6 AS INT) AS over_no, CAST(event_id % 6 + 1 AS INT) AS ball_no,
-    user_id AS striker, (user_id*7 + event_id) % 150 AS bowler, event_type, CASE WHEN event_id % 29 = 0 THEN 1 ELSE 0 END AS wides,
+    user_id AS striker, (user_id*7 + event_id) % 150 + (event_id // 10000) * 150 AS bowler, event_type, CASE WHEN event_id % 29 = 0 THEN 1 ELSE 0 END AS wides,
     CASE WHEN event_type = 'error' AND value < 8 THEN 'W' WHEN value < 15 THEN '0' WHEN value < 40 THEN '1' WHEN value < 60 THEN '2' WHEN value < 100 THEN '4' ELSE '6' END AS result FROM events),
 log1 AS (SELECT *, CASE WHEN result = 'W' THEN 0 ELSE CAST(result AS INT) END AS runs_off_bat,
     CASE WHEN result = 'W' THEN CASE WHEN event_id % 4 = 0 THEN 'run out' WHEN event_id % 4 = 1 THEN 'caught' WHEN event_id % 4 = 2 THEN 'stumped' ELSE 'bowled' END END AS wicket_type FROM log0),

@@ -134,9 +134,12 @@ def _(s, d):
     return dl.scope_matches(matches, dt.date(1997, 3, 1), dt.date(1999, 10, 15)).select("match_id", "date")
 
 
-@query("prj1_delivery_flags", "SELECT phase, is_legal, is_ball_faced, is_dot, is_boundary, bowler_wicket, count(*) AS n, CAST(sum(total_runs) AS BIGINT) AS total_runs, CAST(sum(bowler_runs) AS BIGINT) AS bowler_runs FROM bulk GROUP BY ALL", ad.BULK_SQL)
+_FLAGS = ["phase", "is_legal", "is_ball_faced", "is_dot", "is_boundary", "is_out", "bowler_wicket", "total_runs", "bowler_runs"]
+
+
+@query("prj1_delivery_flags", f"SELECT match_id, innings, striker, bowler, over_no, {', '.join(_FLAGS)} FROM bulk", ad.BULK_SQL)
 def _(s, d):
-    return ad.bulk(s, d).groupBy("phase", "is_legal", "is_ball_faced", "is_dot", "is_boundary", "bowler_wicket").agg(F.count(F.lit(1)).alias("n"), F.sum("total_runs").alias("total_runs"), F.sum("bowler_runs").alias("bowler_runs"))
+    return ad.bulk(s, d).select("match_id", "innings", "striker", "bowler", "over_no", *_FLAGS)
 
 
 @query("prj2_phase_of", "SELECT over_no, phase, count(*) AS n FROM bulk GROUP BY ALL", ad.BULK_SQL)
@@ -170,9 +173,13 @@ def _(s, d):
     return serve.search_players(rated(s, d, "bat"), " PLAYER 1 ").select("player", "latin_name")
 
 
-@query("fil7_find_player", "SELECT player, latin_name FROM rated WHERE lower(latin_name) = 'player 12'", *BAT_R)
+@query("fil7_find_player", """, focus AS (SELECT player, latin_name, CASE WHEN name_local = '' THEN latin_name ELSE name_local END AS display_name FROM rated WHERE is_focus)
+SELECT 'exact' AS asked, player, latin_name FROM focus WHERE lower(latin_name) = 'player 12' UNION ALL (SELECT 'part', player, latin_name FROM focus WHERE contains(lower(latin_name), 'layer') OR contains(display_name, 'layer') ORDER BY player LIMIT 1)""", *BAT_R)
 def _(s, d):
-    return serve.find_player(rated(s, d, "bat"), "Player 12").select("player", "latin_name")
+    """A whole name, a part of many, the name of a player outside the focus team and no text: the last two find nobody."""
+    players = kept(rated(s, d, "bat"), "rated")
+    found = [serve.find_player(players, q).select(F.lit(name).alias("asked"), "player", "latin_name") for name, q in (("exact", " Player 12"), ("part", "LAYER"), ("other", "player 249"), ("none", " "))]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
 
 
 @query("fil8_venue_search", "SELECT n, p FROM venues WHERE contains(lower(n || ' ' || p || ' ' || c || ' ' || a), 'city 1') AND u_match AND u_practice", ad.VENUES_SQL)
@@ -199,25 +206,27 @@ def _(s, d):
 
 # ---- joins ----------------------------------------------------------------------------------------------------------
 
-@query("jn1_attach_match", "SELECT year(o_orderdate) AS year, phase, count(*) AS n, CAST(sum(total_runs) AS BIGINT) AS runs FROM bulk JOIN orders ON o_orderkey = match_id GROUP BY ALL", ad.BULK_SQL)
+@query("jn1_attach_match", "SELECT match_id, innings, striker, bowler, over_no, total_runs, year(o_orderdate) AS year FROM bulk JOIN orders ON o_orderkey = match_id", ad.BULK_SQL)
 def _(s, d):
     matches = ad.table(s, d, "orders").select(F.col("o_orderkey").alias("match_id"), F.year("o_orderdate").alias("year"))
-    return dl.attach_match(ad.bulk(s, d), matches).groupBy("year", "phase").agg(F.count(F.lit(1)).alias("n"), F.sum("total_runs").alias("runs"))
+    return dl.attach_match(ad.bulk(s, d), matches).select("match_id", "innings", "striker", "bowler", "over_no", "total_runs", "year")
 
 
 @query("jn2_resolve_person", """, registry AS (SELECT DISTINCT match_id, name, (name * 31 + match_id % 2) AS person_id FROM (SELECT match_id, striker AS name FROM log UNION SELECT match_id, bowler FROM log) WHERE (name + match_id) % 7 <> 0)
-SELECT a.person_id AS striker_id, b.person_id AS bowler_id, count(*) AS n FROM log LEFT JOIN registry a ON a.match_id = log.match_id AND a.name = striker LEFT JOIN registry b ON b.match_id = log.match_id AND b.name = bowler GROUP BY ALL""", ad.LOG_SQL)
+SELECT event_id, a.person_id AS striker_id, b.person_id AS bowler_id, c.person_id AS player_dismissed_id FROM log LEFT JOIN registry a ON a.match_id = log.match_id AND a.name = striker LEFT JOIN registry b ON b.match_id = log.match_id AND b.name = bowler
+LEFT JOIN registry c ON c.match_id = log.match_id AND c.name = CASE WHEN is_out THEN striker END""", ad.LOG_SQL)
 def _(s, d):
     log = ad.log(s, d)
-    names = log.select("match_id", F.explode(F.array("striker", "bowler")).alias("name")).distinct()
+    names = log.select("match_id", F.explode(F.array("striker", "bowler")).alias("name"))
     registry = names.where((F.col("name") + F.col("match_id")) % 7 != 0).withColumn("person_id", F.col("name") * 31 + F.col("match_id") % 2)
-    return dl.resolve_person(log, registry, ("striker", "bowler")).groupBy("striker_id", "bowler_id").agg(F.count(F.lit(1)).alias("n"))
+    found = dl.resolve_person(log.withColumn("player_dismissed", F.when(F.col("is_out"), F.col("striker"))), registry)
+    return found.select("event_id", "striker_id", "bowler_id", "player_dismissed_id")
 
 
 @query("jn3_attach_par", "SELECT player, opponent, phase, balls, round(expected_runs, 6) AS expected_runs, round(expected_outs, 6) AS expected_outs FROM bat_exp", *BAT_I[:-1])
 def _(s, d):
-    c = kept(cells(s, d, "bat"), "cells")
-    df = rt.attach_par(c, rt.par_rates(c))
+    own = rt.folded(cells(s, d, "bat"))
+    df = rt.attach_par(own, rt.par_rates(own))
     return _r(df.select("player", "opponent", "phase", "balls", "expected_runs", "expected_outs"), "expected_runs", "expected_outs")
 
 
@@ -318,9 +327,10 @@ def _(s, d):
     return _r(tt.bowling_rates(tt.totals(cells(s, d, "bowl"))).select("player", "economy", "wickets_per_100"), "economy", "wickets_per_100")
 
 
-@query("ag6_dot_boundary_rate", "SELECT player, round(100 * sum(is_dot::int) / count(*)::double, 6) AS dot_rate, round(100 * sum(is_boundary::int) / count(*)::double, 6) AS boundary_rate FROM bat_balls GROUP BY player", *BAT)
+@query("ag6_dot_boundary_rate", " UNION ALL ".join(f"SELECT '{r}' AS role, player, round(100 * sum(is_dot::int) / count(*)::double, 6) AS dot_rate, round(100 * sum(is_boundary::int) / count(*)::double, 6) AS boundary_rate FROM {r}_balls GROUP BY player" for r in ("bat", "bowl")), *BAT, _cells_sql("bowl"))
 def _(s, d):
-    return _r(tt.dot_boundary_rate(cells(s, d, "bat")), "dot_rate", "boundary_rate")
+    parts = [tt.dot_boundary_rate(cells(s, d, r)).withColumn("role", F.lit(r)) for r in ("bat", "bowl")]
+    return _r(parts[0].unionByName(parts[1]), "dot_rate", "boundary_rate")
 
 
 @query("ag7_phase_splits", "SELECT player, coalesce(phase, 'all') AS phase, count(DISTINCT (match_id, innings)) AS innings, CAST(sum(ball) AS BIGINT) AS balls, CAST(sum(runs) AS BIGINT) AS runs, CAST(sum(outs) AS BIGINT) AS outs FROM bat_balls GROUP BY GROUPING SETS ((player), (player, phase))", *BAT)
@@ -343,8 +353,8 @@ def _(s, d):
 def _(s, d):
     parts = []
     for role in ("bat", "bowl"):
-        c = kept(cells(s, d, role), "cells")
-        parts.append(rt.adjusted_indices(rt.attach_par(c, rt.par_rates(c)), role, by_phase=True).withColumn("role", F.lit(role)))
+        own = rt.folded(cells(s, d, role))
+        parts.append(rt.adjusted_indices(rt.attach_par(own, rt.par_rates(own)), role, by_phase=True).withColumn("role", F.lit(role)))
     return _r(parts[0].unionByName(parts[1]), "adj_x", "adj_y")
 
 
@@ -354,11 +364,14 @@ def _(s, d):
     return tt.threshold_audit(tt.totals(cells(s, d, "bowl")), {"balls": balls, "balls_innings": balls & innings, "balls_wickets": balls & outs, "all_three": balls & innings & outs})
 
 
-@query("ag12_scope_meta", """, p AS (SELECT DISTINCT * FROM (SELECT striker AS p, batting_country AS c FROM bulk UNION ALL SELECT bowler, bowling_country FROM bulk))
-SELECT count(DISTINCT match_id) AS matches, count(*) AS deliveries, count(DISTINCT match_id) FILTER (batting_country = 'NATION_12' OR bowling_country = 'NATION_12') AS focus_matches, min(match_id) AS first_match, max(match_id) AS last_match,
-  (SELECT count(*) FROM p) AS players, (SELECT count(*) FROM p WHERE c = 'NATION_12') AS focus_players FROM bulk""", ad.BULK_SQL)
+@query("ag12_scope_meta", """, p AS (SELECT striker AS p, batting_country AS c FROM bulk UNION ALL SELECT bowler, bowling_country FROM bulk),
+dated AS (SELECT bulk.*, CAST(o_orderdate AS DATE) AS date, batting_country = 'NATION_12' OR bowling_country = 'NATION_12' AS focus FROM bulk LEFT JOIN orders ON o_orderkey = match_id)
+SELECT count(DISTINCT match_id) AS matches, count(*) AS deliveries, min(date) AS first_date, max(date) AS last_date, count(DISTINCT match_id) FILTER (focus) AS focus_matches, max(date) FILTER (focus) AS focus_last_date,
+  (SELECT count(DISTINCT p) FROM p) AS players, (SELECT count(DISTINCT p) FROM p WHERE c = 'NATION_12') AS focus_players,
+  (SELECT count(*) FROM bat_totals WHERE innings >= 10 AND balls >= 200) AS eligible_batters, (SELECT count(*) FROM bowl_totals WHERE innings >= 10 AND balls >= 120 AND outs >= 5) AS eligible_bowlers FROM dated""", *BAT_T, *BOWL_T[1:])
 def _(s, d):
-    return tt.scope_meta(ad.bulk(s, d), ad.FOCUS)
+    matches = ad.table(s, d, "orders").select(F.col("o_orderkey").alias("match_id"), F.col("o_orderdate").cast("date").alias("date"))
+    return tt.scope_meta(ad.bulk(s, d), ad.FOCUS, matches)
 
 
 @query("ag13_innings_totals", "SELECT * FROM totals", ad.LOG_SQL, _TOT_SQL)
@@ -408,12 +421,17 @@ def _(s, d):
     return _r(mu.matchup_summary(_matrix(s, d)), "expected_runs", "boundary_pct", "wicket_pct")
 
 
-@query("ag18_validate_distribution", """, w AS (SELECT event_type AS batting, CAST(bowler % 5 AS VARCHAR) AS bowling, result, count(*) AS weight FROM log GROUP BY ALL),
-g AS (SELECT batting, bowling, count(*) AS k, sum(weight) AS total FROM w GROUP BY ALL),
+@query("ag18_validate_distribution", """, w AS (SELECT event_type AS batting, CAST(bowler % 5 AS VARCHAR) AS bowling, result, CASE WHEN result = 'W' AND bowler % 5 = 1 THEN NULL WHEN result = '6' AND bowler % 5 = 2 THEN -1 WHEN result = '4' AND bowler % 5 = 3 THEN 'inf'::double ELSE count(*) END::double AS weight FROM log GROUP BY event_type, bowler % 5, result),
+g AS (SELECT batting, bowling, count(*) AS k, sum(weight) AS total, bool_or(weight IS NULL OR NOT isfinite(weight) OR weight < 0) AS bad FROM w GROUP BY ALL),
 dom AS (SELECT * FROM (VALUES ('click'), ('view'), ('purchase'), ('error'), ('signup'), ('none')) a(batting), (VALUES ('0'), ('1'), ('2'), ('3'), ('4')) b(bowling))
-SELECT batting, bowling, array_to_string(list_filter([CASE WHEN k IS NULL THEN 'missing' END, CASE WHEN k <> 6 THEN 'keys' END, CASE WHEN total <> 100 THEN 'total' END], lambda x: x IS NOT NULL), ',') AS problems FROM dom LEFT JOIN g USING (batting, bowling) WHERE k IS NULL OR k <> 6 OR total <> 100""", ad.LOG_SQL)
-def _(s, d):
-    weights = ad.log(s, d).groupBy(F.col("event_type").alias("batting"), (F.col("bowler") % 5).cast("string").alias("bowling"), "result").agg(F.count(F.lit(1)).alias("weight"))
+SELECT batting, bowling, array_to_string(list_filter([CASE WHEN k IS NULL THEN 'missing' END, CASE WHEN k <> 6 THEN 'keys' END, CASE WHEN bad THEN 'weight' END, CASE WHEN total <> 100 THEN 'total' END], lambda x: x IS NOT NULL), ',') AS problems FROM dom LEFT JOIN g USING (batting, bowling) WHERE k IS NULL OR k <> 6 OR bad OR total <> 100""", ad.LOG_SQL)
+def _(s, d):
+    """Counts as weights, with one weight of some kinds made null, negative or infinite."""
+    kind = F.col("bowler") % 5
+    count = F.count(F.lit(1)).cast("double")
+    odd = F.when((F.col("result") == "W") & (F.col("kind") == 1), None).when((F.col("result") == "6") & (F.col("kind") == 2), -1.0).when((F.col("result") == "4") & (F.col("kind") == 3), float("inf")).otherwise(F.col("n"))
+    counts = ad.log(s, d).groupBy(F.col("event_type").alias("batting"), kind.alias("kind"), "result").agg(count.alias("n"))
+    weights = counts.select("batting", F.col("kind").cast("string").alias("bowling"), "result", odd.alias("weight"))
     found = mu.validate_distribution(weights, ["click", "view", "purchase", "error", "signup", "none"], list("01234"))
     return found.withColumn("problems", F.array_join("problems", ","))
 
@@ -423,6 +441,15 @@ def _(s, d):
     return _rating(s, d)
 
 
+@query("ag19_rating_at_update", f"""SELECT gender, team, as_of, count(*) AS matches, CAST(floor(sum(w * points) / sum(w)::double + 0.5) AS BIGINT) AS rating FROM (
+    SELECT *, CASE WHEN date >= updated - INTERVAL 12 MONTH THEN 2 ELSE 1 END AS w FROM results, (SELECT as_of, make_date(year(as_of) - CASE WHEN month(as_of) < 5 THEN 1 ELSE 0 END, 5, 1) AS updated FROM (VALUES {_DATES}) AS t(as_of))
+    WHERE date <= as_of AND date >= updated - INTERVAL 36 MONTH) GROUP BY ALL""", ad.RESULTS_SQL)
+def _(s, d):
+    """The periods of the annual update in May."""
+    dates = s.createDataFrame([(x,) for x in ad.AS_OF], "x string").select(F.col("x").cast("date").alias("as_of"))
+    return rk.team_rating(ad.results(s, d), dates, update_month=5)
+
+
 @query("ag20_over_progress", "SELECT match_id, innings, over_no, CAST(sum(total_runs) AS BIGINT) AS runs, count(*) FILTER (is_out) AS wickets FROM log GROUP BY ALL", ad.LOG_SQL)
 def _(s, d):
     return inn.over_progress(ad.log(s, d))
@@ -459,16 +486,20 @@ def _(s, d):
     return _r(rated(s, d, "bowl").select("player", "role", "raw_overall", "adj_overall"), "raw_overall", "adj_overall")
 
 
-_PHASE_SQL = f"""
-pop AS (SELECT i.*, b.balls, true AS member FROM bat_index i JOIN (SELECT player, phase, CAST(sum(ball) AS BIGINT) AS balls FROM bat_balls GROUP BY ALL) b ON b.player = i.player AND b.phase = i.phase
-    JOIN bat_totals t ON t.player = i.player AND t.innings >= 10 AND t.balls >= 200 WHERE b.balls >= 60),
-phased AS (SELECT q.player, q.phase, q.balls, ({_midrank_sql("adj_x", part=" AND p.phase = q.phase", member="member")} + {_midrank_sql("adj_y", part=" AND p.phase = q.phase", member="member")}) / 2 AS pct FROM pop q)
+def _phase_sql(role: str) -> str:
+    ok = "t.innings >= 10 AND t.balls >= 200" if role == "bat" else "t.innings >= 10 AND t.balls >= 120 AND t.outs >= 5"
+    pct = lambda v: _midrank_sql(v, part=" AND p.phase = q.phase", member="member").replace("FROM pop p", f"FROM {role}_pop p")
+    return f"""
+{role}_pop AS (SELECT i.*, b.balls, true AS member FROM {role}_index i JOIN (SELECT player, phase, CAST(sum(ball) AS BIGINT) AS balls FROM {role}_balls GROUP BY ALL) b ON b.player = i.player AND b.phase = i.phase
+    JOIN {role}_totals t ON t.player = i.player AND {ok} WHERE b.balls >= 60),
+{role}_phased AS (SELECT q.player, q.phase, q.balls, ({pct("adj_x")} + {pct("adj_y")}) / 2 AS pct FROM {role}_pop q)
 """
 
 
-@query("wn4_phase_score", "SELECT player, phase, balls, round(pct, 6) AS pct FROM phased", *BAT_I, _PHASE_SQL)
+@query("wn4_phase_score", "SELECT 'bat' AS role, player, phase, balls, round(pct, 6) AS pct FROM bat_phased UNION ALL SELECT 'bowl', player, phase, balls, round(pct, 6) FROM bowl_phased", *BAT_I, _phase_sql("bat"), *BOWL_I[1:], _phase_sql("bowl"))
 def _(s, d):
-    return _r(rt.phase_score(cells(s, d, "bat"), "bat"), "pct")
+    parts = [rt.phase_score(cells(s, d, r), r).withColumn("role", F.lit(r)) for r in ("bat", "bowl")]
+    return _r(parts[0].unionByName(parts[1]), "pct")
 
 
 @query("wn5_legal_ball_number", "SELECT match_id, innings, over_no, ball_no, balls AS legal_ball FROM run", ad.LOG_SQL)
@@ -491,11 +522,20 @@ def _(s, d):
     return _r(inn.chase_state(_cut(s, d), 60).select("match_id", "over_no", "ball_no", "needed", "balls_left", "reached", "required_rate"), "required_rate")
 
 
-@query("wn9_rank_change", "SELECT gender, team, as_of AS date, rank, lag(rank) OVER w - rank AS step, CAST(date_diff('day', lag(as_of) OVER w, as_of) AS INT) AS days_since, first_value(rank) OVER w - rank AS gained FROM ranks WINDOW w AS (PARTITION BY gender, team ORDER BY as_of)", ad.RESULTS_SQL, RATING_SQL, _RANKS_SQL)
+@query("wn9_rank_change", "SELECT gender, team, as_of AS date, rank, lag(rank) OVER w - rank AS step, CAST(date_diff('day', lag(as_of) OVER w, as_of) AS INT) AS days_since, first_value(rank) OVER w - rank AS gained, CAST(0 AS INT) AS days_off FROM ranks WINDOW w AS (PARTITION BY gender, team ORDER BY as_of)", ad.RESULTS_SQL, RATING_SQL, _RANKS_SQL)
 def _(s, d):
     return rk.rank_change(_ranks(s, d).withColumnRenamed("as_of", "date"))
 
 
+@query("wn9_time_off_list", """, listed AS (SELECT gender, team, as_of AS date, CASE WHEN rank > 6 THEN NULL ELSE rank END AS rank FROM ranks),
+gone AS (SELECT *, lag(rank IS NULL, 1, false) OVER w AS was_off, CASE WHEN rank IS NULL AND NOT lag(rank IS NULL, 1, false) OVER w THEN date END AS gone FROM listed WINDOW w AS (PARTITION BY gender, team ORDER BY date))
+SELECT gender, team, date, rank, CAST(CASE WHEN rank IS NULL THEN NULL WHEN was_off THEN date_diff('day', (SELECT max(g.gone) FROM gone g WHERE g.gender = gone.gender AND g.team = gone.team AND g.date < gone.date), date) ELSE 0 END AS INT) AS days_off FROM gone""", ad.RESULTS_SQL, RATING_SQL, _RANKS_SQL)
+def _(s, d):
+    """Only the first six are listed, so teams leave the list and return."""
+    listed = _ranks(s, d).select("gender", "team", F.col("as_of").alias("date"), F.when(F.col("rank") <= 6, F.col("rank")).alias("rank"))
+    return rk.rank_change(listed).select("gender", "team", "date", "rank", "days_off")
+
+
 @query("wn10_rolling_matches", "SELECT gender, team, date, CAST(sum(n) OVER (PARTITION BY gender, team ORDER BY date RANGE BETWEEN INTERVAL 1094 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS rolling FROM (SELECT gender, team, date, count(*) AS n FROM results GROUP BY ALL)", ad.RESULTS_SQL)
 def _(s, d):
     return rk.rolling_matches(ad.results(s, d))
@@ -506,7 +546,7 @@ def _(s, d):
     return _ranks(s, d).select("gender", "team", "as_of", "rank")
 
 
-@query("wn12_label_budget", """, far AS (SELECT player, 0 AS g, raw_overall FROM rated WHERE NOT is_focus AND raw_overall >= 70 ORDER BY raw_overall DESC, player LIMIT 6),
+@query("wn12_label_budget", """, far AS (SELECT player, 0 AS g, raw_overall FROM rated WHERE NOT is_focus AND eligible AND raw_overall >= 70 ORDER BY raw_overall DESC, player LIMIT 6),
 near AS (SELECT player, 1 AS g, raw_overall FROM rated WHERE is_focus AND eligible AND raw_overall IS NOT NULL)
 SELECT player, CAST(position AS INT) AS position FROM (SELECT player, row_number() OVER (ORDER BY g, raw_overall DESC, player) AS position FROM (SELECT * FROM far UNION ALL SELECT * FROM near)) WHERE position <= 10""", *BAT_R)
 def _(s, d):
@@ -515,14 +555,15 @@ def _(s, d):
 
 # ---- sorts, limits, sets --------------------------------------------------------------------------------------------
 
-@query("tk1_spotlight", "SELECT player, round(raw_overall, 6) AS raw_overall FROM rated WHERE is_focus AND eligible ORDER BY rated.raw_overall DESC, player LIMIT 3", *BAT_R)
+@query("tk1_spotlight", "SELECT player, round(raw_overall, 6) AS raw_overall FROM rated WHERE is_focus AND eligible AND raw_x_pct IS NOT NULL AND raw_y_pct IS NOT NULL ORDER BY rated.raw_overall DESC, player LIMIT 3", *BAT_R)
 def _(s, d):
     return _r(serve.spotlight(rated(s, d, "bat")).select("player", "raw_overall"), "raw_overall")
 
 
-@query("tk2_directory_page", "SELECT player, (SELECT count(*) FROM rated) AS total FROM rated ORDER BY is_focus DESC, eligible DESC, raw_overall DESC NULLS LAST, player LIMIT 60 OFFSET 20", *BAT_R)
+@query("tk2_directory_page", """, listed AS (SELECT * FROM rated WHERE (eligible OR is_focus) AND raw_x_pct IS NOT NULL AND raw_y_pct IS NOT NULL AND contains(lower(CASE WHEN name_local = '' THEN latin_name ELSE name_local END || ' ' || latin_name || ' ' || country), 'nation_1'))
+SELECT player, (SELECT count(*) FROM listed) AS total FROM listed ORDER BY is_focus DESC, eligible DESC, raw_overall DESC NULLS LAST, player LIMIT 60 OFFSET 2""", *BAT_R)
 def _(s, d):
-    return serve.directory_page(rated(s, d, "bat"), 60, 20).select("player", "total")
+    return serve.directory_page(rated(s, d, "bat"), 60, 2, " Nation_1").select("player", "total")
 
 
 @query("tk3_chart_table", "SELECT player, eligible, round(raw_overall, 6) AS raw_overall FROM rated", *BOWL_R)
@@ -530,7 +571,7 @@ def _(s, d):
     return _r(serve.chart_table(rated(s, d, "bowl")).select("player", "eligible", "raw_overall"), "raw_overall")
 
 
-@query("tk4_insights", "SELECT (SELECT player FROM rated WHERE is_focus AND raw_overall IS NOT NULL ORDER BY raw_overall DESC, player LIMIT 1) AS best_overall, (SELECT player FROM rated WHERE is_focus AND raw_x_pct IS NOT NULL ORDER BY raw_x_pct DESC, player LIMIT 1) AS best_x", *BAT_R)
+@query("tk4_insights", "SELECT (SELECT player FROM rated WHERE is_focus AND eligible AND raw_overall IS NOT NULL ORDER BY raw_overall DESC, player LIMIT 1) AS best_overall, (SELECT player FROM rated WHERE is_focus AND eligible AND raw_x_pct IS NOT NULL ORDER BY raw_x_pct DESC, player LIMIT 1) AS best_x", *BAT_R)
 def _(s, d):
     return serve.insights(rated(s, d, "bat"))
 
@@ -541,7 +582,7 @@ def _(s, d):
     return rk.top_teams(rk.rank_men_women(_ranks(s, d).where("as_of = DATE '2000-12-28'")), focus=ad.FOCUS)
 
 
-@query("set1_name_index", "SELECT latin_name AS name FROM rated UNION SELECT name_local FROM rated WHERE name_local <> ''", *BAT_R)
+@query("set1_name_index", "SELECT latin_name AS name FROM rated WHERE is_focus UNION SELECT name_local FROM rated WHERE name_local <> '' AND is_focus", *BAT_R)
 def _(s, d):
     return serve.name_index(rated(s, d, "bat"))
 
@@ -558,10 +599,11 @@ def _(s, d):
     return _r(serve.compare_pair(rated(s, d, "bat"), 99, 98, ["runs", "strike_rate", "raw_overall"]), "a", "b", "difference")
 
 
-@query("set4_snapshot_diff", "SELECT coalesce(a.striker, b.striker) AS player, CASE WHEN a.striker IS NULL THEN 'added' WHEN b.striker IS NULL THEN 'removed' ELSE 'kept' END AS state FROM (SELECT DISTINCT striker FROM log WHERE match_id % 3 = 0) a FULL JOIN (SELECT DISTINCT striker FROM log WHERE match_id % 3 = 1) b ON a.striker = b.striker", ad.LOG_SQL)
+@query("set4_snapshot_diff", "SELECT coalesce(a.striker, b.striker) AS player, CASE WHEN a.striker IS NULL THEN 'added' WHEN b.striker IS NULL THEN 'removed' ELSE 'kept' END AS state FROM (SELECT DISTINCT striker FROM log WHERE innings = 1) a FULL JOIN (SELECT DISTINCT striker FROM log WHERE innings = 2) b ON a.striker = b.striker", ad.LOG_SQL)
 def _(s, d):
-    part = lambda n: ad.log(s, d).where(F.col("match_id") % 3 == n).select(F.col("striker").alias("player"))
-    return serve.snapshot_diff(part(0), part(1))
+    """Who batted in first innings against who batted in second ones: every ball is in one of the two."""
+    part = lambda n: ad.log(s, d).where(F.col("innings") == n).select(F.col("striker").alias("player"))
+    return serve.snapshot_diff(part(1), part(2))
 
 
 # ---- scalars --------------------------------------------------------------------------------------------------------
@@ -595,9 +637,10 @@ def _(s, d):
     return rated(s, d, "bat").select("player", F.array_join(sc.badges(("speed", own("adj_x_pct")), ("survival", own("adj_y_pct"))), ",").alias("badges"))
 
 
-@query("sc6_fmt", "SELECT player, CASE WHEN outs > 3 THEN CAST(CAST(runs / 4.0::double AS DECIMAL(30, 2)) AS VARCHAR) ELSE '—' END AS shown FROM bowl_totals", *BOWL_T)
+@query("sc6_fmt", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN format('{:,}', CAST(trunc(v) AS BIGINT)) || '.' || lpad(CAST(abs(CAST(round(v * 100) AS BIGINT)) % 100 AS VARCHAR), 2, '0') ELSE '—' END AS shown, CASE WHEN o_orderkey % 7 > 0 THEN format('{:,}', o_orderkey * 1000) ELSE '—' END AS whole FROM (SELECT o_orderkey, o_orderkey * 1234 / 4.0::double + 10 AS v FROM orders)")
 def _(s, d):
-    return tt.totals(cells(s, d, "bowl")).select("player", sc.fmt(F.when(F.col("outs") > 3, F.col("runs") / 4), 2).alias("shown"))
+    v = F.col("o_orderkey") * 1234 / 4 + 10
+    return ad.table(s, d, "orders").select("o_orderkey", sc.fmt(F.when(F.col("o_orderkey") % 5 > 0, v), 2).alias("shown"), sc.fmt(F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderkey") * 1000), 0).alias("whole"))
 
 
 @query("sc7_short_label", "SELECT p_partkey, CASE WHEN length(l) > 24 THEN l[1:22] || '…' ELSE l END AS label FROM (SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type AS l FROM part)")
@@ -662,13 +705,14 @@ def _(s, d):
 
 @query("src3_read_snapshot", "SELECT CAST(player AS VARCHAR) AS player_id, 'Player ' || player AS latin_name, innings, balls, runs, outs, innings >= 10 AND balls >= 200 AS eligible FROM bat_totals", *BAT_T)
 def _(s, d):
-    """Batting totals packed as a snapshot of format 3, a file a player, and read back."""
+    """Batting totals packed as snapshots of format 3, a file for every fifty players, and read back."""
     path = new_dir(s, "snapshot")
     df = ad.people(tt.totals(cells(s, d, "bat")).withColumn("eligible", tt.eligible("bat")))
     q = lambda c: F.to_json(F.array(F.col(c).cast("string"))).substr(F.lit(2), F.length(F.to_json(F.array(F.col(c).cast("string")))) - 2)
     role = F.concat(F.lit("["), F.concat_ws(",", *[F.col(c).cast("string") for c in ("eligible", "innings", "balls", "runs", "outs")]), F.lit("]"))
-    packed = F.concat(F.lit('{"format":3,"players":[['), F.concat_ws(",", q("player"), q("latin_name"), q("name_local"), q("country"), F.col("is_focus").cast("string"), F.lit("0"), role, F.lit("null")), F.lit("]]}"))
-    df.select("player", packed.alias("value")).write.partitionBy("player").text(path)
+    packed = F.concat(F.lit("["), F.concat_ws(",", q("player"), q("latin_name"), q("name_local"), q("country"), F.col("is_focus").cast("string"), F.lit("0"), role, F.lit("null")), F.lit("]"))
+    some = df.groupBy(F.floor(F.col("player") / 50).alias("part")).agg(F.collect_list(packed).alias("players"))
+    some.select("part", F.concat(F.lit('{"format":3,"players":['), F.concat_ws(",", "players"), F.lit("]}")).alias("value")).write.partitionBy("part").text(path)
     found = cricket.read_snapshot(s, path).where("role = 'bat'")
     return found.select("player_id", "latin_name", F.col("innings").cast("long").alias("innings"), F.col("balls").cast("long").alias("balls"), F.col("runs").cast("long").alias("runs"), F.col("outs").cast("long").alias("outs"), "eligible")
 
@@ -690,17 +734,18 @@ def _(s, d):
     return scoreboard.latest(s, f"{base}/out")
 
 
-@query("src2_read_match_info", "SELECT CAST(match_id AS VARCHAR) AS match_id, 'male' AS gender, DATE '2024-01-01' + CAST(match_id % 28 AS INT) AS date, count(DISTINCT striker) AS players FROM log GROUP BY match_id", ad.LOG_SQL)
+@query("src2_read_match_info", """SELECT CAST(match_id AS VARCHAR) AS match_id, 'male' AS gender, 'T20' AS match_type, DATE '2024-01-01' + CAST(match_id % 28 AS INT) AS date, count(DISTINCT striker) AS players, count(DISTINCT striker) AS registered FROM log GROUP BY match_id""", ad.LOG_SQL)
 def _(s, d):
-    """Match info of the log as ragged rows, a folder a match, named by it as the files are."""
+    """Match info of the log as ragged rows, a folder a match; its files are named <match>_info.csv as the source's are, and read by the reader."""
     path = new_dir(s, "info")
     log = ad.log(s, d)
     one = log.select("match_id").distinct()
     rows = [("gender", F.lit("male")), ("match_type", F.lit("T20")), ("date", F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("match_id") % 28).cast("int")), "yyyy/MM/dd")), ("team", F.lit("A")), ("team", F.lit("B"))]
     lines = one.select("match_id", F.explode(F.array(*[F.concat(F.lit(f"info,{k},"), v) for k, v in rows])).alias("value"))
-    players = log.select("match_id", "striker").distinct().select("match_id", F.concat(F.lit("info,player,A,Player "), "striker").alias("value"))
-    lines.unionByName(players).repartition("match_id").write.partitionBy("match_id").text(path)
-    files = s.read.schema("tag string, key string, v1 string, v2 string, v3 string, match_id string").csv(path)
-    matches, players, _ = cricket.split_match_info(files)
-    found = matches.join(players.groupBy("match_id").agg(F.count(F.lit(1)).alias("players")), "match_id")
-    return found.select("match_id", "gender", "date", "players")
+    names = log.select("match_id", "striker").distinct()
+    named = names.select("match_id", F.explode(F.array(F.concat(F.lit("info,player,A,Player "), "striker"), F.concat(F.lit("info,registry,people,Player "), "striker", F.lit(",id"), "striker"))).alias("value"))
+    lines.unionByName(named).repartition("match_id").sortWithinPartitions("match_id").write.partitionBy("match_id").text(path)
+    cricket.name_files(s, path, "match_id", "_info.csv")
+    matches, players, registry = cricket.read_match_info(s, path)
+    found = matches.join(players.groupBy("match_id").agg(F.count(F.lit(1)).alias("players")), "match_id").join(registry.groupBy("match_id").agg(F.count_distinct("person_id").alias("registered")), "match_id")
+    return found.select("match_id", "gender", "match_type", "date", "players", "registered")

@@ -42,6 +42,18 @@ def _info(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("match_id", F.regexp_extract("_metadata.file_name", r"^(.*)_info\.csv$", 1))
 
 
+def name_files(spark: SparkSession, path: str, key: str, end: str) -> None:
+    """Give the one file of every folder <key>=<value> below path the name <value><end>, as the source names its files."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.globStatus(at(f"{path}/{key}=*")):
+        value = folder.getPath().getName().split("=", 1)[1]
+        for n, part in enumerate(fs.globStatus(at(f"{folder.getPath()}/part-*"))):
+            if n:
+                raise ValueError(f"{folder.getPath()} has several files")
+            fs.rename(part.getPath(), at(f"{folder.getPath()}/{value}{end}"))
+
+
 def read_match_info(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(matches, match_players, match_registry) from ragged info files; the match is named by its file."""
     return split_match_info(_info(spark, path))
