@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from willowfold.functions.percentiles import midranks
@@ -22,19 +22,26 @@ def folded(cell: DataFrame) -> DataFrame:
 
 
 def par_rates(cell: DataFrame, min_balls: int = MIN_CELL_BALLS) -> DataFrame:
-    """runs and outs per ball of each (opponent, phase), of the phase as a whole where the opponent has too few balls."""
+    """runs and outs per ball of each (opponent, phase), of the phase as a whole where the opponent has too few balls; no rates outside the phases.
+
+    Rows are few, opponents by phases, so the whole is a window over them.
+    """
     own = cell.groupBy("opponent", "phase").agg(*[F.sum(c).alias(c) for c in ("balls", "runs", "outs")])
-    whole = own.groupBy("phase").agg(*[F.sum(c).alias(f"all_{c}") for c in ("balls", "runs", "outs")])
+    whole = lambda c: F.sum(c).over(Window.partitionBy("phase"))
     enough = F.col("balls") >= min_balls
-    rate = lambda c: F.when(enough, F.col(c) / F.col("balls")).otherwise(F.when(F.col("all_balls") > 0, F.col(f"all_{c}") / F.col("all_balls")))
-    return own.join(whole, "phase").select("opponent", "phase", "balls", rate("runs").alias("par_runs"), rate("outs").alias("par_outs"))
+    rate = lambda c: F.when(F.col("phase").isNotNull(), F.when(enough, F.col(c) / F.col("balls")).otherwise(F.when(whole("balls") > 0, whole(c) / whole("balls"))))
+    return own.select("opponent", "phase", "balls", rate("runs").alias("par_runs"), rate("outs").alias("par_outs"))
 
 
 def attach_par(own: DataFrame, par: DataFrame) -> DataFrame:
-    """Folded cells of (player, opponent, phase) with what par expects of their balls."""
-    rates = par.select("opponent", "phase", "par_runs", "par_outs")
+    """Folded cells of (player, opponent, phase) with what par expects of their balls.
+
+    Keys are compared null-safely, which asks no filter of either side: where par comes of the same cells, both read one shuffle of them.
+    """
+    rates = par.select(F.col("opponent").alias("_opponent"), F.col("phase").alias("_phase"), "par_runs", "par_outs")
     expected = lambda c: (F.col("balls") * F.coalesce(c, F.lit(0.0)))
-    return own.join(rates, ["opponent", "phase"], "left").withColumns({"expected_runs": expected(F.col("par_runs")), "expected_outs": expected(F.col("par_outs"))}).drop("par_runs", "par_outs")
+    same = F.col("opponent").eqNullSafe(F.col("_opponent")) & F.col("phase").eqNullSafe(F.col("_phase"))
+    return own.join(rates, same, "left").withColumns({"expected_runs": expected(F.col("par_runs")), "expected_outs": expected(F.col("par_outs"))}).drop("par_runs", "par_outs", "_opponent", "_phase")
 
 
 def adjusted_indices(parred: DataFrame, role: str, by_phase: bool = False, sums: tuple[str, ...] = ()) -> DataFrame:
