@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -19,6 +20,25 @@ def test_tables_of_many_pieces_agree_with_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == REFERENCE.encode_ordinary(text)
 
 
+def test_pieces_of_all_code_points_agree_with_the_library():
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    cut = lambda t: [p for c in byte_bpe._CHUNK.findall(t) for p in byte_bpe.pieces_of(c)]
+    # ids of single bytes, so that what a kind of character matches is what is left of a text of all of them
+    single = {bytes([b]): b for b in range(256)}
+    kinds = {k: tiktoken.Encoding("one", pat_str=k, mergeable_ranks=single, special_tokens={}) for k in (r"\p{L}", r"\p{N}", r"\s")}
+    held = {k: set("".join(e.decode(e.encode_ordinary("".join(points[at : at + 20_000]))) for at in range(0, len(points), 20_000))) for k, e in kinds.items()}
+    for c in points:
+        letter, number, white = (c in held[k] for k in kinds)
+        assert white == bool(re.fullmatch(f"[{byte_bpe.WHITE}]", c))
+        if not white:
+            assert len(cut(f"a{c}a")) == (1 if letter else 3) and len(cut(f"1{c}1")) == (1 if number else 3), hex(ord(c))
+    texts = ["".join(f"a{c}b {c}1{c} {c}" for c in points[at : at + 64]) for at in range(0, len(points), 64)]
+    assert all("".join(cut(t)) == t for t in texts)
+    some = texts[:1200] + texts[1200::40]
+    for text, ids in zip(some, CODEC.encode_texts(some), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == REFERENCE.encode_ordinary(text)
+
+
 def test_appends_and_edits():
     rng = random.Random(6)
     for _ in range(300):

@@ -58,6 +58,17 @@ def test_added_tokens_are_the_library_s_own(spark):
     assert wavelet.WordIds(PATH).encode(["hello <|endoftext|> world"])[0] == np.array(TOKENIZER.encode("hello <|endoftext|> world", add_special_tokens=False).ids, np.uint16).tobytes()
 
 
+def test_words_of_all_code_points_agree_with_the_library():
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b {c}1{c} {c}S's" for c in points[at : at + 64]) for at in range(0, len(points), 64)]
+    own = wavelet.WordIds(PATH)
+    some = texts[:1100] + texts[1100::20]
+    for at in range(0, len(some), 256):
+        part = some[at : at + 256]
+        want = [e.ids for e in TOKENIZER.encode_batch(part, add_special_tokens=False)]
+        assert [np.frombuffer(i, own.kind).tolist() for i in own.encode(part)] == want
+
+
 def test_ids_of_many_rows_have_shards_of_their_own(spark):
     rows = [(None, "no id")] * 50 + [(7, f"word{i} more") for i in range(40)] + [(i, "one two") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -32,13 +32,31 @@ from willowfold.llm.shared import small_batches
 
 #: White space as in Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0  -     　"
+# The rank files' pattern, in two steps; its \s is Unicode's property, to which Python's two modules add control characters.
 _CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^ \p{L}\p{N}]+")
+# Code points that are letters or numbers in the Unicode version of Python's module and unassigned in the library's.
+NEWER = (
+    "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a "
+    "11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff3 16ff4-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 "
+    "18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 "
+    "1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
+)
+_RANGES = "".join("-".join(chr(int(c, 16)) for c in r.split("-")) for r in NEWER.split())
+_NEWER = re.compile(f"[{_RANGES}]")
+_PIECE_WITH_NEWER = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?(?:(?![{_RANGES}])\p{{L}})+| ?(?:(?![{_RANGES}])\p{{N}})+| ?(?:[^ \p{{L}}\p{{N}}]|[{_RANGES}])+")
 KEPT_CHUNKS = 600_000
 KEPT_PAIRS = 1_000_000
 LONG_PIECE = 64
 
 
+def pieces_of(chunk: str) -> list[str]:
+    """The matches of the pattern in a chunk."""
+    if chunk.isspace():
+        return [chunk]
+    return (_PIECE if chunk.isascii() or not _NEWER.search(chunk) else _PIECE_WITH_NEWER).findall(chunk)
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Bytes and rank of every token of a rank file."""
     with open(path, "rb") as lines:
@@ -234,7 +252,7 @@ class Codec:
         if len(known) + len(new) > KEPT_CHUNKS:
             wanted = set().union(*cut)
             known = self.chunks = {c: i for c, i in known.items() if c in wanted}
-        pieces = {c: [c.encode()] if c.isspace() else [p.encode() for p in _PIECE.findall(c)] for c in new}
+        pieces = {c: [p.encode() for p in pieces_of(c)] for c in new}
         ids = self.encode_pieces(list({p for own in pieces.values() for p in own}))
         known.update((c, b"".join([ids[p] for p in own])) for c, own in pieces.items())
         return [b"".join(map(known.__getitem__, c)) for c in cut]

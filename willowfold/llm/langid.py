@@ -11,7 +11,8 @@ FLOOR of the median, so that a few foreign rows among the learned ones do not lo
 shorter text never has a higher bar than a longer one; lengths that no learning row has take the next shorter one's.
 
 Document frequencies are counted over all learning rows.  Only the clustering runs on a sample: the SAMPLE learning
-rows of each language with the least hash of their id, a bound that does not depend on the table.
+rows of each language with the least hash of their id, a bound that does not depend on the table.  What reaches the driver grows with the number of
+languages: about twice SAMPLE sparse rows and CLASSES * BINS counts for each.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, and rejected; very short texts are
 classified like others; ties go to the language first in order; a table without any labelled row gives ``und``

@@ -2,7 +2,7 @@
 
 Packing needs only how many pieces there are of each length, so Spark counts lengths, one small table of at most
 ``max(sizes)`` rows is packed, and the plan, as runs of equal bins, is joined back to the pieces by their rank
-within their length.  Nothing else reaches the driver, and a bin number is arithmetic on the rank.
+within their length.  Nothing else reaches the driver, and a bin number is arithmetic on the rank.  Runs are broadcast only while their counted number is small.
 
 * A document longer than the largest size is cut into full pieces and a rest.
 * Pieces go in by length, longest first, each into the open bin with the least room that takes it.
@@ -25,7 +25,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from willowfold.llm.shared import ranked, stash
+from willowfold.llm.shared import hinted, ranked, stash
 
 SIZES = (2048, 4096, 8192, 16384)
 #: The price of a sequence: its length, plus a fixed part for each sequence, plus attention's growth with length.
@@ -114,11 +114,12 @@ def pack(docs: DataFrame, sizes: tuple[int, ...] = SIZES, id_col: str = "doc_id"
     found = stash(found, "pieces")
     counts = {r["length"]: r["count"] for r in found.groupBy("length").count().toLocalIterator()}  # at most max(sizes) rows
     names = "run_length long, first_rank long, last_rank long, first_bin long, each long, filled long, bin_size int, bin_used int"
-    runs = spark.createDataFrame(plan(counts, sizes, use) or [(0, 0, -1, 0, 1, 0, 0, 0)], names)
+    planned = plan(counts, sizes, use) or [(0, 0, -1, 0, 1, 0, 0, 0)]
+    runs = spark.createDataFrame(planned, names)
     on_run = (found["length"] == runs.run_length) & found["rank"].between(runs.first_rank, runs.last_rank)
     within = F.col("rank") - F.col("first_rank")
     offset = F.col("filled") + within % F.col("each") * F.col("length")
-    return found.join(F.broadcast(runs), on_run).select(
+    return found.join(hinted(runs, 8 * len(planned)), on_run).select(
         "doc_id", "piece", "start", F.col("length").cast("int").alias("length"), (F.col("first_bin") + F.floor(within / F.col("each"))).alias("bin_id"),
         "bin_size", "bin_used", offset.cast("int").alias("bin_offset"),
     )
