@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from willowfold.llm import exact_dedup, langid, packing, simhash
 from willowfold.llm.shared import stash
+from willowfold.sources.shared_dir import new_dir, scratch
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what a stage kept on its way is deleted once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name)
+        path = new_dir(spark, name)
+        with scratch(spark):
+            docs = stash(stage(spark, docs, sf_dir), name, path=path)
     return STAGES[-1][1](spark, docs, sf_dir)
