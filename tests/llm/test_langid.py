@@ -1,3 +1,4 @@
+import base64
 import random
 
 import numpy as np
@@ -55,6 +56,10 @@ def test_unlearned_languages_are_rejected_at_any_length(spark):
         for words in (5, 50, 500, 5000):
             texts = [" ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(words)) for _ in range(5)]
             assert all(rejected for _, _, rejected in model.predict(texts)), (letters, words)
+    junk = [base64.b64encode(rng.randbytes(rng.randint(20, 300))).decode() for _ in range(100)] + [rng.randbytes(rng.randint(20, 100)).hex() for _ in range(50)]
+    junk += ["for (int i = 0; i < n; i++) { total += values[i] * weight[i]; }", "SELECT a.id, count(*) FROM t1 a JOIN t2 b ON a.id = b.ref GROUP BY a.id HAVING count(*) > 3;", "$ sudo apt-get -y install libssl-dev && make -j8"]
+    junk += ["import os, sys; print(os.path.join(sys.argv[1], 'a.txt'))", "var el = document.getElementById('x'); el.addEventListener('click', e => { e.preventDefault(); });"]
+    assert np.mean([rejected for _, _, rejected in model.predict(junk)]) >= 0.95
     # the beginnings of learned languages stay, however short
     texts = [r.text for r in docs.where(langid.held_out()).select("text").limit(100).collect()]
     for words in (5, 20, 100):

@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("radius must be 0 to 4")
     owned = stash(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = stash(owned.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    links = stash(links_of(distinct.select("fp"), radius, cell_rows), "fp-links")
+    links = links_of(distinct.select("fp"), radius, cell_rows)
     roots = components(links, "a", "b")
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = stash(rooted, "rooted")
@@ -251,27 +251,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def links_of(fps: DataFrame, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Links (a, b) that join all different fingerprints within radius, as far as components go."""
+    """Links (a, b), written, that join all different fingerprints within radius, as far as components go."""
     blocks = blocks_for(fps.count(), cell_rows)
     cells = stash(fps.mapInArrow(lambda it: _cells(it, blocks), CELL), "cells")
-    dealt, dense = cells, None
     hot = stash(cells.groupBy("cell").count().where(F.col("count") > cell_rows).select("cell"), "hot")
+    dealt, dense, kept = cells, None, [cells, hot]
     if n := hot.count():
         parts = cells.join(hinted(hot, n), "cell", "left_semi").select("cell", "fp").mapInArrow(lambda it: _cut_again(it, blocks), CELL)
         parts = stash(parts, "parts")
-        dealt = cells.join(hinted(hot, n), "cell", "left_anti").select("cell", "part", "fp")
         full = stash(parts.groupBy("cell", "part").count().where(F.col("count") > cell_rows).select("cell", "part"), "dense")
+        kept += [parts, full]
+        dealt = cells.join(hinted(hot, n), "cell", "left_anti").select("cell", "part", "fp")
         if m := full.count():
             dense = parts.join(hinted(full, m), ["cell", "part"], "left_semi").select("cell", "part", "fp")
             parts = parts.join(hinted(full, m), ["cell", "part"], "left_anti").select("cell", "part", "fp")
         dealt = dealt.union(parts)
     dealt = dealt.repartition("cell", "part").sortWithinPartitions("cell", "part", "fp")
     links = dealt.mapInArrow(lambda it: _links(it, radius), "a long, b long")
-    if dense is None:
-        return links
-    middles = dense.mapInArrow(lambda it: _midpoints(it, blocks, radius), "cell long, part long, middle long, far boolean, fp long")
-    at = ["cell", "part", "middle"]
-    return links.union(middles.repartition(*at).sortWithinPartitions(*at, "far", "fp").mapInArrow(_at_midpoints, "a long, b long"))
+    if dense is not None:
+        middles = dense.mapInArrow(lambda it: _midpoints(it, blocks, radius), "cell long, part long, middle long, far boolean, fp long")
+        at = ["cell", "part", "middle"]
+        links = links.union(middles.repartition(*at).sortWithinPartitions(*at, "far", "fp").mapInArrow(_at_midpoints, "a long, b long"))
+    links = stash(links, "fp-links")
+    discard(*kept)
+    return links
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
