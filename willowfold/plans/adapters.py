@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from willowfold.operators.deliveries import delivery_flags
+from willowfold.sources.tables import spread
 
 FOCUS = "NATION_12"
 
@@ -17,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as deliveries without an order: a ball for each line, 32 orders to a match, and for every hundred matches fifty players of each role by a
     skewed hash of part and supplier, so that matches and players grow with the table."""
-    rows = table(spark, sf_dir, "lineitem").selectExpr(
+    used = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+    rows = spread(table(spark, sf_dir, "lineitem").select(*used)).selectExpr(
         "l_orderkey div 32 AS match_id", "CAST((l_orderkey div 16) % 2 + 1 AS INT) AS innings",
         "CAST((l_orderkey div 3200) * 50 + floor(sqrt((l_partkey*31 + l_suppkey) % 2500)) AS INT) AS striker", "CAST((l_orderkey div 3200) * 50 + floor(sqrt((l_partkey*7919 + l_suppkey*13) % 2500)) AS INT) AS bowler",
         "CAST((l_orderkey + 3*l_linenumber) % 20 AS INT) AS over_no", "CAST(l_quantity AS INT) AS q", "CAST(round(l_discount*100) AS INT) AS d", "CAST(round(l_tax*100) AS INT) AS t",
