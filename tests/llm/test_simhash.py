@@ -47,10 +47,10 @@ def test_against_all_pairs(spark, documents):
 def test_dense_cells_are_cut_again_and_denser_parts_meet_at_midpoints(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
-    flips = [np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, rng.integers(0, 7), replace=False).astype(np.uint64)) for _ in range(400)]
+    flips = [np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, rng.integers(0, 7), replace=False).astype(np.uint64)) for _ in range(240)]
     fps = np.unique(np.array([base[i % 4] ^ f for i, f in enumerate(flips)], np.uint64))
     distinct = spark.createDataFrame([(int(np.int64(p)),) for p in fps.view(np.int64)], "fp long")
-    for limit, radius in ((2, 4), (2, 3), (60, 4)):
+    for limit, radius in ((2, 4), (2, 3), (40, 4)):
         want = plain_components([(i, int(p)) for i, p in enumerate(fps)], radius)
         roots = {r.node % (1 << 64): r.root for r in simhash.components(simhash.links_of(distinct, radius, limit), "a", "b").collect()}
         groups = {}

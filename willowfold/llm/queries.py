@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from willowfold.llm import byte_bpe, exact_dedup, langid, license_scan, multi_index, packing, reshard, simhash, warc, wavelet
+from willowfold.sources.tables import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
