@@ -12,18 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from willowfold.llm import exact_dedup, langid, packing, simhash
 from willowfold.llm.shared import stash
 from willowfold.sources.shared_dir import new_dir, scratch
+from willowfold.sources.tables import spread
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.drop_rejected(docs)
+    return langid.drop_rejected(spread(docs))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.drop_copies(docs)
+    return exact_dedup.drop_copies(spread(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return simhash.keep_one(spread(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
