@@ -1,21 +1,21 @@
 """Exact dedup through an extendible-hash index in shared files, in DataFrame operations only.
 
-Every row has an entry: doc_id, the 64-bit hash of its normalised text and the text's SHA-256.  Entries of one hash and
-SHA-256 fold first, map-side, so that a group of copies is one entry of the index however large it is.
+Every row has an entry: doc_id, the 64-bit hash of its normalised text and the text's SHA-256.  Entries of one
+hash and SHA-256 fold first, map-side, so that a group of copies is one entry of the index however large it is.
 
-The first bits of the hash point into the directory.  The directory starts at depth 0 and doubles: a bucket that holds more
-than ``capacity`` entries is split by one more bit, so each slot has the depth of its bucket.  Default capacity and
-bits follow from the number of entries, so that the directory has some 2**DIRECTORY_BITS slots at most, and buckets fit long before the last
-depth; where bits are given and too few, the bucket of the last depth keeps what it has.
+The first bits of the hash point into the directory.  The directory starts at depth 0 and doubles: a bucket that
+holds more than ``capacity`` entries is split by one more bit, so each slot has the depth of its bucket.  Capacity
+and bits follow from the number of entries unless given: the directory has some 2**DIRECTORY_BITS slots at most, and
+buckets fit before the last depth; where given bits are too few, a bucket of the last depth keeps what it has.
 
-A bucket is a range of hashes.  Each owner task takes a range of buckets, puts its entries in order of their hash and marks the
-chains: hashes with several rows or several SHA-256.  The index is written so.  Only for hashes in a chain are texts read again, by
-those who may broadcast the chains' hashes or shuffle by them, and compared byte by byte, by grouping on hash and whole normalised text; copies fold inside the
-tasks that read them before anything is shuffled.
+A bucket is a range of hashes.  Each owner task takes a range of buckets and marks the chains among its entries, the
+hashes with several rows or several SHA-256; the index is written so.  Only texts of hashes in a chain are read
+again and compared byte by byte, by grouping on hash and whole normalised text; copies fold inside the tasks that
+read them before anything is shuffled.
 
 Defined results: a null text counts as empty; a row with a null doc_id has the answer of its group and is
-kept only if it is alone in its group; repeated rows of one
-doc_id count as members and share one answer; an empty table gives no rows; columns other than id and text are not read.
+kept only if it is alone in its group; repeated rows of one doc_id count as members and share one answer; an
+empty table gives no rows; columns other than id and text are not read.
 """
 
 from __future__ import annotations

@@ -1,22 +1,25 @@
 """Near-duplicate vectors of equal label by an inverted multi-index.
 
 Vectors are cut in halves, each half has a codebook, and the product of the two is a grid of cells.  Every vector lies
-in the cell of its nearest codewords.  In each half, a vector is at least as far from all that lies with a codeword as from the plane
-between that codeword and its own nearest one; the squares of the two halves' bounds add up to a bound for the cell.  A vector visits
-cells in the order of the multi-sequence algorithm, by the sum of those bounds, until the bound passes the radius.
+in the cell of its nearest codewords.  In each half, a vector is at least as far from all that lies with a codeword as
+from the plane between that codeword and its own nearest one; the squares of the two halves' bounds add up to a
+bound for the cell.  A vector visits cells in the order of the multi-sequence algorithm, by the sum of those bounds,
+until the bound passes the radius.
 
-The radius sets the recall.  For recall 1 it is the distance of unit vectors at the threshold: no link can lie beyond it, so
-all are found.  For less it is the bound that the target part of partners drawn at the very threshold, the hardest case, do not pass.
-Vectors met in a cell are verified by their cosine in double precision, so no pair below the threshold is linked.
+The radius sets the recall.  For recall 1 it is the distance of unit vectors at the threshold: no link can lie beyond
+it, so all are found.  For less it is the bound that the target part of partners drawn at the very threshold, the
+hardest case, do not pass.  Vectors met in a cell are verified by their cosine in double precision, so no pair
+below the threshold is linked.
 
-Identical vectors are folded into one class first, with a number of its own.  Of two vectors the one with the lower home cell visits the other, so a pair is met
-once.  A cell does not emit its pairs but the sums of links it
-found for each vector, and links enough to keep its vectors connected, so its output is no larger than its input.  A
-cell with more members or visitors than CELL_ROWS is dealt out as pairs of blocks.
+Identical vectors are folded into one class first, with a number of its own.  Of two vectors the one with the lower
+home cell visits the other, so a pair is met once.  A cell does not emit its pairs but the sums of links it found for
+each vector, and links enough to keep its vectors connected, so its output is no larger than its input.  A cell with
+more members or visitors than CELL_ROWS is dealt out as pairs of blocks.
 
 Defined results: vectors that are null, empty or zero, hold null or non-finite components, have no label or no id
-link with nothing (0 links, their own component); vectors of different lengths do not link; identical rows are linked as
-vectors of their own; rows of one id with different vectors each have their own links; an empty table gives no rows; extra columns are not read.
+link with nothing (0 links, their own component); vectors of different lengths do not link; identical rows are linked
+as vectors of their own; rows of one id with different vectors each have their own links; an empty table gives no
+rows; extra columns are not read.
 """
 
 from __future__ import annotations

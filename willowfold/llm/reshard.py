@@ -7,20 +7,21 @@ shard spares the move of that shard's largest candidate.  So each old shard has
 block of one row that may; a flow of least cost over these blocks decides the transfers between shards.
 
 The network has a few nodes for each shard and none for rows; only counts and one candidate row of each shard reach
-the driver.  Rows are ranked by (size, id, CRC) within their old shard, and a transfer is a range of ranks.  A rank finds its
-row by its place (size, id, CRC): almost every place has one row, and whole places are told by a broadcast table of
-transfers where the texts are read.  Where several rows share a place that a transfer's end cuts, or very many do, they are written with
-numbers of their own, which are ranks when added to the place's first, so exactly the planned rows move.
+the driver.  Rows are ranked by (size, id, CRC) within their old shard, and a transfer is a range of ranks.  A rank
+finds its row by its place (size, id, CRC): almost every place has one row, and whole places are told by a broadcast
+table of transfers where the texts are read.  Where several rows share a place that a transfer's end cuts, or very
+many do, they are written with numbers of their own, which are ranks when added to the place's first, so exactly the
+planned rows move.
 
 Law: ``rows`` - the counts of shards are at most one apart.
 
-Every shard that gave or got rows is written to a folder of its own, with all columns, in files of even bytes; the others
-are not touched.  A slot is a row's place in its shard's files.
+Every shard that gave or got rows is written to a folder of its own, with all columns, in files of even bytes; the
+others are not touched.  A slot is a row's place in its shard's files.
 
-Defined results: a null text has 16 bytes and the CRC of no bytes; rows with equal ids or texts, whole repeated rows too, are rows of
-their own and the law holds for them; a null source belongs to an old shard of its own; slots of shards that stay follow size, id and CRC; an
-empty table gives no rows and writes no shard; columns of docs are written whatever their names.
-docs is read several times and must give the same rows each time, as tables do.
+Defined results: a null text has 16 bytes and the CRC of no bytes; rows with equal ids or texts, whole repeated rows
+too, are rows of their own and the law holds for them; a null source belongs to an old shard of its own; slots of
+shards that stay follow size, id and CRC; an empty table gives no rows and writes no shard; columns of docs are
+written whatever their names.  docs is read several times and must give the same rows each time, as tables do.
 """
 
 from __future__ import annotations

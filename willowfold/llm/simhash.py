@@ -5,21 +5,21 @@ fingerprints.  By the triangle inequality two fingerprints within ``radius`` bit
 ``radius`` in every column.  Three kinds of references are used:
 
 * ``UNIT`` references, a base and the base with one bit turned: the difference of such a column to
-  the base column is +1 or -1, so these columns are the fingerprint's bits in another form, and what follows is a search by blocks
-  of bits that agree.  The columns fall into blocks; a difference of up to four bits leaves all blocks but four alike, so every choice of
-  the others gives cells in which all partners of a fingerprint lie.  There are six blocks, or more for very many fingerprints, so that the mean
-  cell stays small.
+  the base column is +1 or -1, so these columns are the fingerprint's bits in another form, and what
+  follows is a search by blocks of bits that agree.  The columns fall into blocks; a difference of up to
+  four bits leaves all blocks but four alike, so every choice of the others gives cells in which all partners
+  of a fingerprint lie.  There are six blocks, or more for very many fingerprints, so that the mean cell stays small.
 * ``SPREAD`` references, which are far from each other: inside a cell pairs are discarded by the
   largest difference of these columns, and the survivors verified by their exact distance.
-* Midpoints, for what is dense: two fingerprints within ``radius`` have a reference between them, half of the radius from either, and all that lie so near
-  to one reference are within the radius of each other.
+* Midpoints, for what is dense: two fingerprints within ``radius`` have a reference between them, half of
+  the radius from either, and all that lie so near to one reference are within the radius of each other.
 
-A cell with more than CELL_ROWS fingerprints is cut again by the columns outside its blocks.  A part that is still larger emits for each of its fingerprints the
-midpoints in the columns that its members do not share, at most a few hundred, and all at one midpoint are linked to the first.
-So no cell compares more than CELL_ROWS fingerprints with each other, the work of larger ones is in proportion to their members, and no pair is lost.
+A cell with more than CELL_ROWS fingerprints is cut again by the columns outside its blocks.  A part that is
+still larger emits for each of its fingerprints the midpoints in the columns that its members do not share, at
+most a few hundred, and all at one midpoint are linked to the first.  So no cell compares more than CELL_ROWS
+fingerprints with each other, the work of larger ones is in proportion to their members, and no pair is lost.
 
-Joining links into components goes by star steps; the links of one node meet in one key, which holds at most its own
-neighbours' links and which the planner may split.
+Joining links into components goes by star steps; the links of one node meet in one key, which the planner may split.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; texts of
 fewer words than the shingle have one shingle; repeated shingles count repeatedly; equal fingerprints

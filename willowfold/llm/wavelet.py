@@ -1,17 +1,19 @@
 """Token ids in wavelet matrices: one compressed file for each shard, with rank and select.
 
-Documents are encoded by a tokenizer file and cut into shards of ascending doc_id; each shard is a folder with one file of
-segments.  A segment holds a wavelet matrix of its ids: for each bit of an id, highest first, a plane of
+Documents are encoded by a tokenizer file and cut into shards of ascending doc_id; each shard is a folder with one
+file of segments.  A segment holds a wavelet matrix of its ids: for each bit of an id, highest first, a plane of
 bits, with the ids whose bit is 0 before those whose bit is 1 for the next plane.  Ones are counted in steps of
-512 bits and stored with the planes, each of which is compressed alone, so access to a position, the count of an id before a position and the place of its
-n-th occurrence take one step a plane, without the ids themselves.  ``access`` opens the files of the shards asked for only.
+512 bits and stored with the planes, each of which is compressed alone, so access to a position, the count of an id
+before a position and the place of its n-th occurrence take one step a plane, without the ids themselves.
+``access`` opens the files of the shards asked for only.
 
-Shards hold about ``shard_rows`` documents; their bounds are quantiles of a sample of ids, which decides the shards' sizes alone.  An id with more
-documents than that (rows without an id, say) has shards of its own, among which its rows are dealt out by number.
+Shards hold about ``shard_rows`` documents; their bounds are quantiles of a sample of ids, which decides the shards'
+sizes alone.  An id with more documents than that (rows without an id, say) has shards of its own, among which its
+rows are dealt out by number.
 
 Cached pieces: white space between words is a certain cut for such a tokenizer, so the ids of a word are
-asked from the tokenizers library once and kept; the kept table is bounded.  A text that may hold one of the file's added tokens
-goes to the library whole, which makes it that token.
+asked from the tokenizers library once and kept; the kept table is bounded.  A text that may hold one of the file's
+added tokens goes to the library whole, which makes it that token.
 
 Defined results: null counts as empty and has only the end id; a null doc_id sorts before all others;
 repeated doc_ids each keep a place, next to each other; an empty table gives no rows and no file; columns other than
