@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from willowfold.llm import byte_bpe, conversation, exact_dedup, langid, license_scan, multi_index, packing, reshard, simhash, warc, wavelet
+from willowfold.llm import byte_bpe, conversation, exact_dedup, langid, license_scan, multi_index, packing, reshard, simhash, spelling, warc, wavelet
 from willowfold.sources.tables import spread
 
 
@@ -75,10 +75,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.reported(conversations, conversation.damage(conversations))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.of_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_language_id, op3_exact_dedup, op4_reshard, op5_byte_bpe, op6_wavelet, op7_multi_index, op8_warc_derivatives, op9_best_fit, op10_license_scan, op12_conversation_repair)
+    found = (op1_simhash, op2_language_id, op3_exact_dedup, op4_reshard, op5_byte_bpe, op6_wavelet, op7_multi_index, op8_warc_derivatives, op9_best_fit, op10_license_scan, op12_conversation_repair, op13_spelling_variants)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE, "op7_multi_index": multi_index.ORACLE, "op8_warc_derivatives": warc.oracle(), "op12_conversation_repair": conversation.ORACLE}
+    return {"op3_exact_dedup": exact_dedup.ORACLE, "op7_multi_index": multi_index.ORACLE, "op8_warc_derivatives": warc.oracle(), "op12_conversation_repair": conversation.ORACLE, "op13_spelling_variants": spelling.ORACLE}
