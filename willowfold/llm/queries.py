@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from willowfold.llm import byte_bpe, conversation, exact_dedup, langid, license_scan, multi_index, packing, reshard, simhash, spelling, warc, wavelet
+from willowfold.llm import byte_bpe, conversation, exact_dedup, langid, license_scan, multi_index, packing, pitman_yor, reshard, simhash, spelling, warc, wavelet
 from willowfold.sources.tables import spread
 
 
@@ -70,6 +70,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.log_probabilities(_table(spark, sf_dir, "documents"), ~pitman_yor.held_out())
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = _table(spark, sf_dir, "conversations")
     return conversation.reported(conversations, conversation.damage(conversations))
@@ -80,7 +84,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_language_id, op3_exact_dedup, op4_reshard, op5_byte_bpe, op6_wavelet, op7_multi_index, op8_warc_derivatives, op9_best_fit, op10_license_scan, op12_conversation_repair, op13_spelling_variants)
+    found = (op1_simhash, op2_language_id, op3_exact_dedup, op4_reshard, op5_byte_bpe, op6_wavelet, op7_multi_index, op8_warc_derivatives, op9_best_fit, op10_license_scan, op11_pitman_yor, op12_conversation_repair, op13_spelling_variants)
     return {f.__name__: f for f in found}
 
 

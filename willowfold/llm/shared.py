@@ -12,10 +12,15 @@ from willowfold.sources.shared_dir import kept as stash
 BROADCAST_KEYS = 2_000_000
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, since one text may be a hundred times the mean."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 16 << 20) -> None:
+    """Bound the rows and the bytes of an Arrow batch, since one text may be many times the mean; a batch always holds one row.
+
+    Both bounds are the session's: Spark reads them when a plan runs, which is after an operator has returned it.  Smaller ones stay as they are.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def hinted(keys: DataFrame, count: int) -> DataFrame:
