@@ -5,6 +5,7 @@ import random
 import re
 
 import duckdb
+import pytest
 
 from willowfold.llm import warc
 
@@ -61,7 +62,7 @@ def test_gzip_and_foreign_responses(spark, tmp_path):
     (tmp_path / "gz/a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))  # a member for each record
     for path in ("plain", "gz"):
         rows = warc.read(spark, str(tmp_path / path))
-        assert [bytes(r.block) for r in rows.collect()] == [b"\xff\xfe", http + inner, http + "<p>é</p>".encode(), b"HTTP/1.1 204 No Content"]
+        assert sorted(bytes(r.block) for r in rows.collect()) == sorted([b"\xff\xfe", http + inner, http + "<p>é</p>".encode(), b"HTTP/1.1 204 No Content"])  # records come in no order
         got = {(r.refers_to, r.warc_type): r for r in warc.derive(warc.responses_of(rows)).collect()}
         assert len(got) == 6
         assert got["<urn:uuid:3>", "conversion"].block == "é" and got["<urn:uuid:3>", "conversion"].date == "2020-01-03T00:00:00Z"
@@ -95,3 +96,87 @@ def test_sql_decodes_as_the_operator():
     con.execute("create table t as select unnest(?) as x", [texts])
     got = con.execute(f"with {warc._SQL_NAMES} select x, {warc._sql_decoded('x')} from t, names").fetchall()
     assert len(got) == 500 and all(d == warc.decoded(t) for t, d in got)
+
+
+def _raw(number, block, kind="response", length=None, head=None):
+    head = head or f"WARC-Type: {kind}\r\nWARC-Record-ID: <urn:{number}>\r\nContent-Length: {len(block) if length is None else length}"
+    return f"WARC/1.1\r\n{head}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def _files(folder, files, packed):
+    folder.mkdir()
+    for name, data in files.items():
+        (folder / (name + ".warc" + ".gz" * packed)).write_bytes(gzip.compress(data) if packed else data)
+    return str(folder)
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_a_torn_record_is_reported_and_takes_nothing(spark, tmp_path, packed):
+    files = {f"g{i:02}": b"".join(_raw(f"{i}-{j}", b"block %d" % j) for j in range(1 + 2 * (i % 2))) for i in range(31)}
+    files["a"] = _raw("torn", b"four", length=60)[:-4]
+    files["m"] = _raw("m1", b"one") + _raw("m2", b"two", length=50) + _raw("m3", b"three") + _raw("m4", b"a longer one", length=3)
+    files["j"] = b"no record\r\n" + b"\r\n\r\n" + _raw("j", b"x")
+    rows = warc.read(spark, _files(tmp_path / "in", files, packed)).collect()
+    good = {r.headers["WARC-Record-ID"]: bytes(r.block) for r in rows if not r.fault}
+    want = {f"<urn:{i}-{j}>": b"block %d" % j for i in range(31) for j in range(1 + 2 * (i % 2))}
+    assert good == want | {"<urn:m1>": b"one", "<urn:m3>": b"three", "<urn:j>": b"x"}
+    bad = {r.headers.get("WARC-Record-ID", ""): (bytes(r.block), r.fault) for r in rows if r.fault}
+    assert bad["<urn:torn>"] == (b"four", "cut short") and bad["<urn:m2>"] == (b"two", "cut short") and bad["<urn:m4>"] == (b"a l", "longer than its length")
+    assert [f for _, f in bad.values()].count("no WARC record") == 1 and all("/" in r.path for r in rows)
+    assert warc.responses_of(warc.read(spark, str(tmp_path / "in"))).count() == len(good)
+
+
+def test_inner_records_at_every_split(spark, tmp_path):
+    inner = _raw("inner", b"inside") + _raw("inner2", b"")
+    records = [_raw(1, b"plain"), _raw(2, b"x" + inner + inner + b"y"), _raw(3, inner[:-4]), _raw(4, b""), _raw(5, b"\r\n\r\nWARC/1." * 5), _raw(6, b"end")]
+    want = {"<urn:1>": b"plain", "<urn:2>": b"x" + inner + inner + b"y", "<urn:3>": inner[:-4], "<urn:4>": b"", "<urn:5>": b"\r\n\r\nWARC/1." * 5, "<urn:6>": b"end"}
+    path = _files(tmp_path / "in", {"a": b"".join(records), "b": records[1]}, False)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (31, 64, 100, 177, 256, 400, 1000, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = warc.read(spark, path).collect()
+            assert sorted((r.path[-6:], r.headers["WARC-Record-ID"], bytes(r.block)) for r in rows) == sorted([*(("a.warc", i, b) for i, b in want.items()), ("b.warc", "<urn:2>", want["<urn:2>"])]), size
+            assert not any(r.fault for r in rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r.headers["WARC-Record-ID"]: bytes(r.block) for r in warc.read(spark, _files(tmp_path / "gz", {"a": b"".join(records)}, True)).collect()} == want
+
+
+def test_legal_heads(spark, tmp_path):
+    heads = [
+        "WARC-Type:response\r\nWARC-Record-ID:<urn:1>\r\nContent-Length:5", "warc-type: response\r\nwarc-record-id: <urn:2>\r\ncontent-length: 5",
+        "WARC-Type: response\r\nWARC-Record-ID: <urn:3>\r\nWARC-Target-URI: http://a/\r\n\tb\r\nContent-Length  :\t5 ", "WARC-Type: response\r\nWARC-Record-ID: <urn:4>\r\nWARC-Concurrent-To: <x>\r\nwarc-concurrent-to: <y>\r\nX-Own: é\r\nContent-Length: 5",
+    ]
+    for packed in (False, True):
+        path = _files(tmp_path / f"in{packed}", {"a": b"".join(_raw(0, b"HTTP/", head=h) for h in heads)}, packed)
+        rows = {r.headers["WARC-Record-ID"]: r for r in warc.read(spark, path).collect()}
+        assert set(rows) == {f"<urn:{i}>" for i in range(1, 5)} and not any(r.fault for r in rows.values())
+        assert rows["<urn:3>"].headers["WARC-Target-URI"] == "http://a/ b" and rows["<urn:4>"].headers["WARC-Concurrent-To"] == "<x>, <y>" and rows["<urn:4>"].headers["X-Own"] == "é"
+        assert warc.responses_of(warc.read(spark, path)).count() == 4
+
+
+def test_charsets(spark, tmp_path):
+    def page(text, codec, header="", meta=""):
+        return f"HTTP/1.1 200 OK\r\nContent-Type: text/html{header}\r\n\r\n".encode() + f"<html><head>{meta}</head><body>{text}</body></html>".encode(codec)
+
+    pages = [
+        (page("café €", "cp1252", "; charset=ISO-8859-1"), "café €"), (page("日本語", "cp932", '; Charset="Shift_JIS"'), "日本語"), (page("Привет", "koi8-r", meta="<meta charset='koi8-r'>"), "Привет"),
+        (page("ñ", "latin-1", meta="<meta http-equiv=Content-Type content='text/html; charset=latin1'>"), "ñ"), (page("été", "utf-8"), "été"), (page("été", "utf-8", "; charset=no-such"), "été"), (page("été", "utf-8", "; charset=hex"), "été"),
+        (page("x", "utf-8").replace(b"<html>", b"\xef\xbb\xbf<html>"), "x"), (b"HTTP/1.1 200 OK\r\n\r\n" + "﻿<p>ö</p>".encode("utf-16-le"), "ö"), (page("a", "utf-8").replace(b">a<", b">\xff<"), "�"),
+    ]
+    path = _files(tmp_path / "in", {"a": b"".join(_raw(i, block) for i, (block, _) in enumerate(pages))}, False)
+    source = warc.responses_of(warc.read(spark, path))
+    got = {(r.refers_to, r.warc_type): r for r in warc.derive(source).collect()}
+    for i, (block, text) in enumerate(pages):
+        payload = block.split(b"\r\n\r\n", 1)[1]
+        own = got[f"<urn:{i}>", "conversion"]
+        assert own.block == text and own.source_digest == "sha256:" + hashlib.sha256(payload).hexdigest()
+        assert f"html-bytes: {len(payload)}\r\n" in got[f"<urn:{i}>", "metadata"].block
+
+
+def test_nothing_to_read(spark, tmp_path):
+    path = _files(tmp_path / "in", {"a": b""}, False)
+    assert warc.read(spark, path).count() == 0 and warc.derive(warc.responses_of(warc.read(spark, path))).count() == 0
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.derive(warc.responses(empty)).count() == 0
