@@ -3,6 +3,8 @@ import random
 
 import numpy as np
 
+import pytest
+
 from willowfold.llm import langid
 
 
@@ -71,3 +73,9 @@ def test_bars_by_length():
     held[4, 200], held[8, 0], held[8, 600], held[10, 500] = 50, 1, 3000, 10
     bars = langid.bars_of({"en": held})["en"]
     assert bars[:4] == [0, 0, 0, 0] and np.allclose(bars[4:8], 0.06) and np.allclose(bars[8:], 0.15)
+
+
+def test_too_many_labels_are_refused(spark):
+    rows = [(i, f"some words {i}", f"label{i}") for i in range(langid.MAX_LANGUAGES + 5)]
+    with pytest.raises(ValueError, match="different labels"):
+        langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))

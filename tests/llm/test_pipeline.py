@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from test_packing import plain as plain_bins
 from test_simhash import plain_components, plain_fingerprint
@@ -67,3 +69,17 @@ def test_rows_are_decided_one_by_one(spark, documents):
     near = corpus_pipeline.drop_near_copies(spark, clean, "")
     assert near.columns == docs.columns and near.count() == len(set(comps))
     assert sorted(r.doc_id if r.doc_id is not None else 1 << 62 for r in near.collect()) == sorted(rows[c][0] for c in set(comps))
+
+
+def test_a_table_without_labels_is_kept(spark, documents):
+    docs = documents.where("doc_id < 50").selectExpr("doc_id", "text", "cast(null as string) as lang", "source", "n_chars")
+    with pytest.warns(UserWarning, match="no row has a label"):
+        kept = corpus_pipeline.identify(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_empty_table_through_all_stages(spark, documents):
+    got = documents.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, got, "")
+        assert got.count() == 0, name

@@ -16,11 +16,12 @@ languages: about twice SAMPLE sparse rows and CLASSES * BINS counts for each.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, and rejected; very short texts are
 classified like others; ties go to the language first in order; a table without any labelled row gives ``und``
-everywhere; repeated rows count repeatedly; null labels are not learned from; extra columns are not read.
+everywhere, and drop_rejected keeps its rows; repeated rows count repeatedly; null labels are not learned from; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ LOW, MARGIN, FLOOR = 0.001, 0.3, 0.15
 BINS = 1000
 CLASSES = BITS + 1
 UND = "und"
+#: Labels beyond this number are refused: the model has a megabyte for each, and is sent to every executor.
+MAX_LANGUAGES = 256
 
 _KEEP = np.array([c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256)], np.uint8)
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -93,14 +96,18 @@ class Model:
     """Weights of n-grams, the centroids with their languages, and the bars by language and length class."""
 
     def __init__(self, idf: np.ndarray, centroids: np.ndarray, languages: list[str], max_distance: float = MAX_DISTANCE, bars: dict[str, list[float]] | None = None):
-        self.idf, self.centroids, self.languages, self.max_distance, self.bars = idf, centroids, languages, max_distance, bars or {}
-        self._by_gram = np.ascontiguousarray(centroids.T, np.float32)
+        self.idf, self.languages, self.max_distance, self.bars = idf, languages, max_distance, bars or {}
+        self.by_gram = np.ascontiguousarray(centroids.T, np.float32)  # a row for each n-gram, the one copy that travels
+
+    @property
+    def centroids(self) -> np.ndarray:
+        return self.by_gram.T
 
     def nearest(self, text: str) -> tuple[str, float, int]:
         """(language, score, length class) of a text with a letter."""
         gram, n = np.unique(grams(text), return_counts=True)
         weights = np.log1p(n.astype(np.float32)) * self.idf[gram]
-        near = weights @ self._by_gram[gram] / (float(np.linalg.norm(weights)) or 1.0)
+        near = weights @ self.by_gram[gram] / (float(np.linalg.norm(weights)) or 1.0)
         best = int(np.argmax(near))
         return self.languages[best], min(1.0, max(0.0, float(near[best]))), length_class(len(gram))
 
@@ -182,17 +189,17 @@ def fit(learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     """A model from the labelled rows of learn."""
     small_batches(learn.sparkSession)
     rows = learn.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, F.length(text_col)).alias("h"), F.col(text_col).alias("text"))
-    n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(n) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} different labels in {lang_col}: they are no languages")
     df = np.zeros(DIMENSIONS)
     for r in rows.select("text").mapInArrow(_frequencies, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         df[r["gram"]] = r["n"]
     idf = (np.log((1 + sum(n.values())) / (1 + df)) + 1).astype(np.float32)
     # twice the wanted share of the hash range holds at least the wanted rows almost surely; the exact cut follows
-    wanted = F.lit(False)
-    for lang, held in sorted(n.items()):
-        share = min(1.0, 2 * sample / held + 20 / held)
-        wanted = wanted | ((F.col("lang") == lang) & (F.col("h") <= int(-(1 << 63) + share * ((1 << 64) - 1025))))
-    picked = rows.where(wanted).select("lang", "h", "text").mapInArrow(_sampled, "lang string, h long, counts binary").collect()
+    cuts = [(lang, int(-(1 << 63) + min(1.0, 2 * sample / held + 20 / held) * ((1 << 64) - 1025))) for lang, held in sorted(n.items())]
+    cuts = F.broadcast(learn.sparkSession.createDataFrame(cuts, "lang string, cut long"))  # MAX_LANGUAGES rows at most
+    picked = rows.join(cuts, "lang").where("h <= cut").select("lang", "h", "text").mapInArrow(_sampled, "lang string, h long, counts binary").collect()
     by: dict[str, list] = {lang: [] for lang in sorted(n)}
     for r in sorted(picked, key=lambda r: (r["h"], bytes(r["counts"]))):
         if len(by[r["lang"]]) < sample:
@@ -230,8 +237,14 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the rows that the distance rule rejects, all columns as they were."""
+    """docs without the rows that the distance rule rejects, all columns as they were.
+
+    Where no row has a label there is nothing to be far from: all rows stay, and a warning says so.
+    """
     model = fit(docs.where(~held_out(id_col)), id_col, text_col, lang_col)
+    if not model.languages:
+        warnings.warn(f"no row has a label in {lang_col}, so no row can be rejected", stacklevel=2)
+        return docs
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # centroids of each language, whatever the table's size
     at = docs.columns.index(text_col)
