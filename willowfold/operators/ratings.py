@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from willowfold.functions.percentiles import midranks
-from willowfold.operators.totals import batting_rates, bowling_rates, eligible, totals
+from willowfold.operators.totals import batting_rates, bowling_rates, eligible, eligible_by_role, totals
 from willowfold.sources.shared_dir import kept
 
 # Fixed value: balls that a phase needs; the cell's bound is our own.
@@ -16,46 +18,49 @@ MIN_PHASE_BALLS = 60
 RAW = {"bat": (("strike_rate", False), ("balls_per_out", False)), "bowl": (("economy", True), ("wickets_per_100", False))}
 
 
-def folded(cell: DataFrame) -> DataFrame:
-    """balls, runs and outs of each (player, opponent, phase); folding again changes nothing."""
-    return cell.groupBy("player", "opponent", "phase").agg(*[F.sum(c).alias(c) for c in ("balls", "runs", "outs")])
+def folded(cell: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """balls, runs and outs of each (player, opponent, phase), in each group of by; folding again changes nothing."""
+    return cell.groupBy(*by, "player", "opponent", "phase").agg(*[F.sum(c).alias(c) for c in ("balls", "runs", "outs")])
 
 
-def par_rates(cell: DataFrame, min_balls: int = MIN_CELL_BALLS) -> DataFrame:
+def par_rates(cell: DataFrame, min_balls: int = MIN_CELL_BALLS, by: tuple[str, ...] = ()) -> DataFrame:
     """runs and outs per ball of each (opponent, phase), of the phase as a whole where the opponent has too few balls; no rates outside the phases.
 
     Rows are few, opponents by phases, so the whole is a window over them.
     """
-    own = cell.groupBy("opponent", "phase").agg(*[F.sum(c).alias(c) for c in ("balls", "runs", "outs")])
-    whole = lambda c: F.sum(c).over(Window.partitionBy("phase"))
+    own = cell.groupBy(*by, "opponent", "phase").agg(*[F.sum(c).alias(c) for c in ("balls", "runs", "outs")])
+    whole = lambda c: F.sum(c).over(Window.partitionBy(*by, "phase"))
     enough = F.col("balls") >= min_balls
     rate = lambda c: F.when(F.col("phase").isNotNull(), F.when(enough, F.col(c) / F.col("balls")).otherwise(F.when(whole("balls") > 0, whole(c) / whole("balls"))))
-    return own.select("opponent", "phase", "balls", rate("runs").alias("par_runs"), rate("outs").alias("par_outs"))
+    return own.select(*by, "opponent", "phase", "balls", rate("runs").alias("par_runs"), rate("outs").alias("par_outs"))
 
 
-def attach_par(own: DataFrame, par: DataFrame) -> DataFrame:
+def attach_par(own: DataFrame, par: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Folded cells of (player, opponent, phase) with what par expects of their balls.
 
     Keys are compared null-safely, which asks no filter of either side: where par comes of the same cells, both read one shuffle of them.
     """
-    rates = par.select(F.col("opponent").alias("_opponent"), F.col("phase").alias("_phase"), "par_runs", "par_outs")
+    keys = [*by, "opponent", "phase"]
+    rates = par.select(*[F.col(k).alias(f"_{k}") for k in keys], "par_runs", "par_outs")
     expected = lambda c: (F.col("balls") * F.coalesce(c, F.lit(0.0)))
-    same = F.col("opponent").eqNullSafe(F.col("_opponent")) & F.col("phase").eqNullSafe(F.col("_phase"))
-    return own.join(rates, same, "left").withColumns({"expected_runs": expected(F.col("par_runs")), "expected_outs": expected(F.col("par_outs"))}).drop("par_runs", "par_outs", "_opponent", "_phase")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return own.join(rates, same, "left").withColumns({"expected_runs": expected(F.col("par_runs")), "expected_outs": expected(F.col("par_outs"))}).drop("par_runs", "par_outs", *[f"_{k}" for k in keys])
 
 
-def adjusted_indices(parred: DataFrame, role: str, by_phase: bool = False, sums: tuple[str, ...] = ()) -> DataFrame:
+def adjusted_indices(parred: DataFrame, role: str | None, by_phase: bool = False, sums: tuple[str, ...] = ()) -> DataFrame:
     """adj_x and adj_y, 100 being par, and the sums asked for.  Speed and wickets are ratios to par; survival is smoothed by one dismissal on both
-    sides; control is par over runs, so more is better on every axis.  Nothing expected, or no run conceded, is par."""
+    sides; control is par over runs, so more is better on every axis.  Nothing expected, or no run conceded, is par.  Without a role the rows tell it, and both
+    are indexed at once."""
     if by_phase:
         parred = parred.withColumn("phase", F.explode(F.array(F.lit("all"), F.col("phase")))).where("phase is not null")
-    keys = ["player", "phase"] if by_phase else ["player"]
+    keys = [*([] if role else ["role"]), "player", *(["phase"] if by_phase else [])]
     own = parred.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in (*sums, "runs", "outs", "expected_runs", "expected_outs")])
     runs, outs, e_runs, e_outs = (F.col(c) for c in ("runs", "outs", "expected_runs", "expected_outs"))
-    if role == "bat":
-        x, y = F.when(e_runs == 0, 100.0).otherwise(100 * runs / e_runs), 100 * (e_outs + 1) / (outs + 1)
-    else:
-        x, y = F.when((e_runs == 0) | (runs == 0), 100.0).otherwise(100 * e_runs / runs), F.when(e_outs == 0, 100.0).otherwise(100 * outs / e_outs)
+    axes = {
+        "bat": (F.when(e_runs == 0, 100.0).otherwise(100 * runs / e_runs), 100 * (e_outs + 1) / (outs + 1)),
+        "bowl": (F.when((e_runs == 0) | (runs == 0), 100.0).otherwise(100 * e_runs / runs), F.when(e_outs == 0, 100.0).otherwise(100 * outs / e_outs)),
+    }
+    x, y = axes[role] if role else (F.when(F.col("role") == "bat", a).otherwise(b) for a, b in zip(*axes.values(), strict=True))
     return own.select(*keys, *sums, x.alias("adj_x"), y.alias("adj_y"))
 
 
@@ -84,14 +89,29 @@ def ratings(cell: DataFrame, role: str, **limits: int) -> DataFrame:
     })
 
 
+def role_indices(cell: DataFrame, by_phase: bool = True, sums: tuple[str, ...] = (), keep: bool = True) -> DataFrame:
+    """adjusted_indices of both roles from cells that tell their role: one fold, kept, since par and players both read it; not if the cells themselves are."""
+    own = folded(cell, ("role",))
+    own = kept(own, "role-cells") if keep else own
+    return adjusted_indices(attach_par(own, par_rates(own, by=("role",)), ("role",)), None, by_phase, sums)
+
+
+def phase_scores(cell: DataFrame, min_phase_balls: int = MIN_PHASE_BALLS, **limits: int) -> DataFrame:
+    """(role, player, phase, balls, pct): mean of both adjusted percentiles within role and phase, for eligible players with enough balls.
+
+    cell tells its role; it is read once, and kept while it is folded to phases and to innings.
+    """
+    cell = kept(cell, "cells")
+    rated = totals(cell, by=("role",)).where(eligible_by_role(**limits)).select("role", "player")
+    df = role_indices(cell, sums=("balls",), keep=False).where((F.col("phase") != "all") & (F.col("balls") >= min_phase_balls))
+    df = kept(df.join(rated, ["role", "player"], "left_semi").withColumn("member", F.lit(True)), "phases")
+    df = midranks(df, {"x_pct": ("adj_x", False), "y_pct": ("adj_y", False)}, "member", ["role", "phase"], "player")
+    return df.select("role", "player", "phase", "balls", ((F.col("x_pct") + F.col("y_pct")) / 2).alias("pct"))
+
+
 def phase_score(cell: DataFrame, role: str, min_phase_balls: int = MIN_PHASE_BALLS, **limits: int) -> DataFrame:
-    """(player, phase, balls, pct): mean of both adjusted percentiles within the phase, for eligible players with enough balls."""
-    own = folded(cell)
-    rated = totals(cell).where(eligible(role, **limits)).select("player")
-    df = adjusted_indices(attach_par(own, par_rates(own)), role, by_phase=True, sums=("balls",)).where((F.col("phase") != "all") & (F.col("balls") >= min_phase_balls))
-    df = kept(df.join(rated, "player", "left_semi").withColumn("member", F.lit(True)), "phases")
-    df = midranks(df, {"x_pct": ("adj_x", False), "y_pct": ("adj_y", False)}, "member", ["phase"], "player")
-    return df.select("player", "phase", "balls", ((F.col("x_pct") + F.col("y_pct")) / 2).alias("pct"))
+    """``phase_scores`` of the cells of one role, without the role."""
+    return phase_scores(cell.withColumn("role", F.lit(role)), min_phase_balls, **limits).drop("role")
 
 
 def nearest_peer(players: DataFrame, x: str = "raw_x_pct", y: str = "raw_y_pct", members: int = 4) -> DataFrame:

@@ -15,31 +15,45 @@ def _long(c: Column) -> Column:
     return c.cast("long")
 
 
+#: Of each role: who has the ball, against whom, whether it counts, its runs and its out.
+SIDES = {"bat": ("striker", "bowling_country", "is_ball_faced", "runs_off_bat", "is_out"), "bowl": ("bowler", "batting_country", "is_legal", "bowler_runs", "bowler_wicket")}
+_KEYS = ("player", "opponent", "phase", "match_id", "innings")
+
+
+def _side(role: str) -> list[Column]:
+    return [F.col(c).alias(n) for c, n in zip(SIDES[role], ("player", "opponent", "_ball", "_runs", "_out"), strict=True)]
+
+
+def _celled(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys, *_KEYS).agg(
+        _long(F.count_if(F.col("_ball"))).alias("balls"), _long(F.sum("_runs")).alias("runs"), _long(F.count_if(F.col("_out"))).alias("outs"),
+        F.count(F.lit(1)).alias("events"), _long(F.count_if(F.col("is_dot"))).alias("dots"), _long(F.count_if(F.col("is_boundary"))).alias("boundaries"),
+    )
+
+
 def cells(flagged: DataFrame, role: str) -> DataFrame:
     """One row for each (player, opponent, phase, match, innings): the only pass over all balls of a role.
 
     balls are balls faced or legal balls; runs are off the bat or the bowler's; outs are dismissals or the bowler's wickets.
     """
-    if role == "bat":
-        player, opponent, ball, runs, out = "striker", "bowling_country", "is_ball_faced", "runs_off_bat", "is_out"
-    else:
-        player, opponent, ball, runs, out = "bowler", "batting_country", "is_legal", "bowler_runs", "bowler_wicket"
-    rows = flagged.select(F.col(player).alias("player"), F.col(opponent).alias("opponent"), "phase", "match_id", "innings", ball, F.col(runs).alias("_runs"), out, "is_dot", "is_boundary")
-    return rows.groupBy("player", "opponent", "phase", "match_id", "innings").agg(
-        _long(F.count_if(F.col(ball))).alias("balls"), _long(F.sum("_runs")).alias("runs"), _long(F.count_if(F.col(out))).alias("outs"),
-        F.count(F.lit(1)).alias("events"), _long(F.count_if(F.col("is_dot"))).alias("dots"), _long(F.count_if(F.col("is_boundary"))).alias("boundaries"),
-    )
+    return _celled(flagged.select("phase", "match_id", "innings", "is_dot", "is_boundary", *_side(role)))
+
 
+def role_cells(flagged: DataFrame) -> DataFrame:
+    """The cells of both roles, with the role as first column, from one pass over the balls: each is laid down for its striker and for its bowler, folded before it is shuffled."""
+    sides = F.array(*[F.struct(F.lit(role).alias("role"), *_side(role)) for role in SIDES])
+    return _celled(flagged.select("phase", "match_id", "innings", "is_dot", "is_boundary", F.inline(sides)), "role")
 
-def totals(cell: DataFrame, by_phase: bool = False) -> DataFrame:
-    """innings, balls, runs and outs of each player; with by_phase also of each phase, the whole being phase "all".
+
+def totals(cell: DataFrame, by_phase: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """innings, balls, runs and outs of each player; with by_phase also of each phase, the whole being phase "all"; with by, of each of its groups.
 
     Innings are counted by folding to (player, match, innings) first, in place of a distinct count over all cells.
     """
     sums = [F.sum(c).alias(c) for c in ("balls", "runs", "outs")]
     if by_phase:
         cell = cell.withColumn("phase", F.explode(F.array(F.lit("all"), F.col("phase")))).where("phase is not null")
-    keys = ["player", "phase"] if by_phase else ["player"]
+    keys = [*by, "player", "phase"] if by_phase else [*by, "player"]
     innings = cell.groupBy(*keys, "match_id", "innings").agg(*sums)
     return innings.groupBy(*keys).agg(F.count(F.lit(1)).alias("innings"), *sums)
 
@@ -62,14 +76,19 @@ def eligible(role: str, min_innings: int = MIN_INNINGS, min_balls: int | None =
     return enough & (F.col("outs") >= min_wickets) if role == "bowl" else enough
 
 
+def eligible_by_role(**limits: int) -> Column:
+    """``eligible`` for rows of both roles, told by their column role."""
+    return F.when(F.col("role") == "bat", eligible("bat", **limits)).otherwise(eligible("bowl", **limits))
+
+
 def has_observed() -> Column:
     return (F.col("innings") > 0) & (F.col("balls") > 0)
 
 
-def dot_boundary_rate(cell: DataFrame) -> DataFrame:
-    """Percent of a player's deliveries without a run, and hit for four or six."""
+def dot_boundary_rate(cell: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Percent of a player's deliveries without a run, and hit for four or six, in each group of by."""
     share = lambda c: 100 * F.sum(c) / F.sum("events")
-    return cell.groupBy("player").agg(share("dots").alias("dot_rate"), share("boundaries").alias("boundary_rate"))
+    return cell.groupBy(*by, "player").agg(share("dots").alias("dot_rate"), share("boundaries").alias("boundary_rate"))
 
 
 def player_matches(cell: DataFrame) -> DataFrame:
@@ -94,8 +113,7 @@ def scope_meta(flagged: DataFrame, focus: str, matches: DataFrame | None = None,
 
     matches: (match_id, date); without it dates are null.  Balls are folded to cells of each role and kept; everything is counted from them.
     """
-    made = [cells(flagged, role).withColumn("role", F.lit(role)) for role in ("bat", "bowl")]
-    both = kept(made[0].unionByName(made[1]), "scope-cells")
+    both = kept(role_cells(flagged), "scope-cells")
     bat = both.where("role = 'bat'")
     dates = matches.select("match_id", "date") if matches is not None else bat.select("match_id", F.lit(None).cast("date").alias("date")).limit(0)
     # a batting cell's opponent is the bowling side, a bowling cell's the batting side

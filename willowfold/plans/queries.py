@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from willowfold.functions import nested
 from willowfold.functions import scalars as sc
 from willowfold.functions.percentiles import midrank
 from willowfold.operators import deliveries as dl
+from willowfold.operators import incremental as inc
 from willowfold.operators import innings as inn
 from willowfold.operators import matchups as mu
+from willowfold.operators import name_index as ni
 from willowfold.operators import rankings as rk
 from willowfold.operators import ratings as rt
 from willowfold.operators import serve, venues
 from willowfold.operators import totals as tt
+from willowfold.operators import venue_index as vi
 from willowfold.plans import adapters as ad
-from willowfold.sources import cricket
+from willowfold.sources import cricket, store
 from willowfold.sources.shared_dir import kept, new_dir
-from willowfold.streaming import scoreboard
+from willowfold.streaming import innings_state, scoreboard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -149,8 +154,7 @@ def _(s, d):
 
 @query("fil2_eligible", "SELECT 'bat' AS role, player FROM bat_totals WHERE innings >= 10 AND balls >= 200 UNION ALL SELECT 'bowl', player FROM bowl_totals WHERE innings >= 10 AND balls >= 120 AND outs >= 5", *BAT_T, *BOWL_T[1:])
 def _(s, d):
-    parts = [tt.totals(cells(s, d, r)).where(tt.eligible(r)).select(F.lit(r).alias("role"), "player") for r in ("bat", "bowl")]
-    return parts[0].unionByName(parts[1])
+    return tt.totals(tt.role_cells(ad.bulk(s, d)), by=("role",)).where(tt.eligible_by_role()).select("role", "player")
 
 
 @query("fil3_has_observed", "SELECT player, balls FROM bowl_totals WHERE innings > 0 AND balls > 0", *BOWL_T)
@@ -329,8 +333,7 @@ def _(s, d):
 
 @query("ag6_dot_boundary_rate", " UNION ALL ".join(f"SELECT '{r}' AS role, player, round(100 * sum(is_dot::int) / count(*)::double, 6) AS dot_rate, round(100 * sum(is_boundary::int) / count(*)::double, 6) AS boundary_rate FROM {r}_balls GROUP BY player" for r in ("bat", "bowl")), *BAT, _cells_sql("bowl"))
 def _(s, d):
-    parts = [tt.dot_boundary_rate(cells(s, d, r)).withColumn("role", F.lit(r)) for r in ("bat", "bowl")]
-    return _r(parts[0].unionByName(parts[1]), "dot_rate", "boundary_rate")
+    return _r(tt.dot_boundary_rate(tt.role_cells(ad.bulk(s, d)), ("role",)), "dot_rate", "boundary_rate")
 
 
 @query("ag7_phase_splits", "SELECT player, coalesce(phase, 'all') AS phase, count(DISTINCT (match_id, innings)) AS innings, CAST(sum(ball) AS BIGINT) AS balls, CAST(sum(runs) AS BIGINT) AS runs, CAST(sum(outs) AS BIGINT) AS outs FROM bat_balls GROUP BY GROUPING SETS ((player), (player, phase))", *BAT)
@@ -345,17 +348,12 @@ def _(s, d):
 
 @query("ag9_par_rates", "SELECT 'bat' AS role, opponent, phase, balls, round(par_runs, 8) AS par_runs, round(par_outs, 8) AS par_outs FROM bat_par UNION ALL SELECT 'bowl', opponent, phase, balls, round(par_runs, 8), round(par_outs, 8) FROM bowl_par", *BAT, _par_sql("bat"), _cells_sql("bowl"), _par_sql("bowl"))
 def _(s, d):
-    parts = [rt.par_rates(cells(s, d, r)).withColumn("role", F.lit(r)) for r in ("bat", "bowl")]
-    return _r(parts[0].unionByName(parts[1]), "par_runs", "par_outs", digits=8)
+    return _r(rt.par_rates(tt.role_cells(ad.bulk(s, d)), by=("role",)), "par_runs", "par_outs", digits=8)
 
 
 @query("ag10_adjusted_indices", "SELECT 'bat' AS role, player, phase, round(adj_x, 6) AS adj_x, round(adj_y, 6) AS adj_y FROM bat_index UNION ALL SELECT 'bowl', player, phase, round(adj_x, 6), round(adj_y, 6) FROM bowl_index", *BAT_I, *BOWL_I[1:])
 def _(s, d):
-    parts = []
-    for role in ("bat", "bowl"):
-        own = rt.folded(cells(s, d, role))
-        parts.append(rt.adjusted_indices(rt.attach_par(own, rt.par_rates(own)), role, by_phase=True).withColumn("role", F.lit(role)))
-    return _r(parts[0].unionByName(parts[1]), "adj_x", "adj_y")
+    return _r(rt.role_indices(tt.role_cells(ad.bulk(s, d))), "adj_x", "adj_y")
 
 
 @query("ag11_threshold_audit", "SELECT count(*) FILTER (balls >= 120) AS balls, count(*) FILTER (balls >= 120 AND innings >= 10) AS balls_innings, count(*) FILTER (balls >= 120 AND outs >= 5) AS balls_wickets, count(*) FILTER (balls >= 120 AND innings >= 10 AND outs >= 5) AS all_three FROM bowl_totals", *BOWL_T)
@@ -498,8 +496,7 @@ def _phase_sql(role: str) -> str:
 
 @query("wn4_phase_score", "SELECT 'bat' AS role, player, phase, balls, round(pct, 6) AS pct FROM bat_phased UNION ALL SELECT 'bowl', player, phase, balls, round(pct, 6) FROM bowl_phased", *BAT_I, _phase_sql("bat"), *BOWL_I[1:], _phase_sql("bowl"))
 def _(s, d):
-    parts = [rt.phase_score(cells(s, d, r), r).withColumn("role", F.lit(r)) for r in ("bat", "bowl")]
-    return _r(parts[0].unionByName(parts[1]), "pct")
+    return _r(rt.phase_scores(tt.role_cells(ad.bulk(s, d))), "pct")
 
 
 @query("wn5_legal_ball_number", "SELECT match_id, innings, over_no, ball_no, balls AS legal_ball FROM run", ad.LOG_SQL)
@@ -749,3 +746,165 @@ def _(s, d):
     matches, players, registry = cricket.read_match_info(s, path)
     found = matches.join(players.groupBy("match_id").agg(F.count(F.lit(1)).alias("players")), "match_id").join(registry.groupBy("match_id").agg(F.count_distinct("person_id").alias("registered")), "match_id")
     return found.select("match_id", "gender", "match_type", "date", "players", "registered")
+
+
+# ---- stores, indexes and state ----------------------------------------------------------------------------------------
+
+_DATED = "dated AS (SELECT o_orderkey // 32 AS match_id, min(CAST(o_orderdate AS DATE)) AS date FROM orders GROUP BY 1)"
+
+
+def _dated(s, d):
+    """A match for every 32 orders, dated by its first one; a third are women's, a quarter no T20."""
+    first = ad.table(s, d, "orders").groupBy(F.expr("o_orderkey div 32").alias("match_id")).agg(F.min(F.col("o_orderdate").cast("date")).alias("date"))
+    return first.select("match_id", "date", F.when(F.col("match_id") % 3 == 0, "female").otherwise("male").alias("gender"), F.when(F.col("match_id") % 4 == 0, "ODI").otherwise("T20").alias("match_type"))
+
+
+@query("fil1_pruned_store", "SELECT match_id, date, count(*) AS deliveries, CAST(sum(total_runs) AS BIGINT) AS runs FROM bulk JOIN dated USING (match_id) WHERE date BETWEEN DATE '1997-03-01' AND DATE '1998-10-15' AND match_id % 3 <> 0 AND match_id % 4 <> 0 GROUP BY ALL", ad.BULK_SQL, _DATED)
+def _(s, d):
+    import datetime as dt
+
+    path, matches = new_dir(s, "store"), kept(_dated(s, d), "dated")
+    store.write_store(ad.bulk(s, d).select("match_id", "innings", "total_runs"), matches, path)
+    scope = store.read_scope(s, path, matches, start=dt.date(1997, 3, 1), end=dt.date(1998, 10, 15))
+    return scope.groupBy("match_id", "date").agg(F.count(F.lit(1)).alias("deliveries"), F.sum("total_runs").cast("long").alias("runs"))
+
+
+def bucketed_chain(s, d, buckets=8):
+    """The log, its matches and its registry in buckets by match: attached, resolved and run up."""
+    log = ad.log(s, d).withColumn("striker", F.concat(F.lit("Player "), "striker"))
+    one = log.groupBy("match_id").agg(F.min("event_id").alias("first_event"))
+    people = log.groupBy("match_id", F.col("striker").alias("name")).agg(F.lit(1).alias("_")).select("match_id", "name", F.concat(F.lit("id"), F.substring("name", 8, 20)).alias("person_id"))
+    log, one, people = (store.write_buckets(df, buckets, new_dir(s, "buckets"), order) for df, order in ((log, ("innings", "over_no", "ball_no")), (one, ()), (people, ("name",))))
+    return inn.innings_progress(dl.resolve_person(dl.attach_match(log, one), people, ("striker",)))
+
+
+@query("jn1_bucketed_log", "SELECT match_id, innings, over_no, ball_no, match_id * 240 AS first_event, 'id' || striker AS striker_id, score, wickets, balls FROM run", ad.LOG_SQL)
+def _(s, d):
+    return bucketed_chain(s, d).select("match_id", "innings", "over_no", "ball_no", "first_event", "striker_id", "score", "wickets", "balls")
+
+
+@query("st1_innings_state", """SELECT match_id, innings, CAST(over_no * 6 + ball_no - 1 AS INT) AS seq, score, wickets, balls, CASE WHEN innings = 2 THEN target END AS target,
+    CASE WHEN innings = 2 THEN greatest(0, target - score) END AS needed, 60 - balls AS balls_left FROM cut""", ad.LOG_SQL, _CUT_SQL)
+def _(s, d):
+    """The log as it may arrive: in the order of a hash, a tenth of it twice."""
+    base = new_dir(s, "innings")
+    rows = ad.log(s, d).select(
+        "match_id", "innings", innings_state.seq_in_order("over_no", "ball_no").alias("seq"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id")).alias("time"),
+        F.col("total_runs").cast("int").alias("total_runs"), "is_out", "is_legal", ((F.col("over_no") == 19) & (F.col("ball_no") == 6)).alias("is_last"), "event_id",
+    )
+    again = rows.where("event_id % 10 = 3")
+    rows.unionByName(again).repartition(6, F.xxhash64("event_id", F.rand(7))).drop("event_id").write.parquet(f"{base}/in")
+    innings_state.run(s, f"{base}/in", f"{base}/out", f"{base}/state", 60, 3, delay="1000000 hours", files=2).awaitTermination()
+    return s.read.parquet(f"{base}/out").where("kind = 'ball'").select("match_id", "innings", "seq", "score", "wickets", "balls", "target", "needed", "balls_left")
+
+
+@query("st1_event_time", "SELECT match_id, innings, score, wickets, balls, DATE '2024-01-01' + CAST(match_id % 28 AS INT) AS date FROM totals", ad.LOG_SQL, _TOT_SQL)
+def _(s, d):
+    """Six days of the log, a step for each; a day brings one over of the day before again, and the last one has rows of the first day, which are too late."""
+    base, log = new_dir(s, "days"), ad.log(s, d)
+    last = ad.table(s, d, "events").agg(F.max("event_id")).first()[0] or 0
+    part = F.expr(f"least(5, match_id div {max(1, (last // 240 + 6) // 6)})")
+    rows = log.select("match_id", "innings", "over_no", "ball_no", F.col("total_runs").cast("int").alias("total_runs"), "is_out", "is_legal", part.alias("day"))
+    at = lambda day: F.timestamp_seconds(F.lit(1_700_000_000) + day * 86_400 + F.col("ball_no"))
+    for day in range(6):
+        own, replay = rows.where(F.col("day") == day), rows.where((F.col("day") == day - 1) & (F.col("over_no") == 3))
+        step = own.unionByName(replay).withColumn("time", at(F.lit(day)))
+        if day == 5:
+            step = step.unionByName(rows.where("day = 0").withColumn("over_no", F.col("over_no") + 100).withColumn("time", at(F.lit(0))))
+        step.drop("day").repartition(2).write.mode("append").parquet(f"{base}/in")
+    matches = log.select("match_id").distinct().select("match_id", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("match_id") % 28).cast("int")).alias("date"))
+    scoreboard.run(s, f"{base}/in", f"{base}/out", f"{base}/state", ("time", "36 hours"), 2, matches).awaitTermination()
+    return scoreboard.latest(s, f"{base}/out", "date")
+
+
+@query("ag1_kept_totals", """SELECT role, player, innings, balls, runs, outs FROM (
+  SELECT 'bat' AS role, player, count(DISTINCT (match_id, innings)) AS innings, CAST(sum(ball) AS BIGINT) AS balls, CAST(sum(runs) AS BIGINT) AS runs, CAST(sum(outs) AS BIGINT) AS outs FROM bat_balls GROUP BY player
+  UNION ALL SELECT 'bowl', player, count(DISTINCT (match_id, innings)), CAST(sum(ball) AS BIGINT), CAST(sum(runs) AS BIGINT), CAST(sum(outs) AS BIGINT) FROM bowl_balls GROUP BY player)""",
+    ad.BULK_SQL.replace("FROM bulk1)", "FROM bulk1 WHERE match_id % 11 <> 5 AND NOT (match_id % 7 = 2 AND wides = 1))"), _cells_sql("bat"), _cells_sql("bowl"))
+def _(s, d):
+    """Four loads: most matches, the others, corrected scorecards of every seventh, and every eleventh taken away."""
+    path, balls = new_dir(s, "loads"), ad.bulk(s, d)
+    m = F.col("match_id")
+    inc.load(balls.where(m % 5 != 0), tt.role_cells, path, 0)
+    inc.load(balls.where(m % 5 == 0), tt.role_cells, path, 1)
+    inc.load(balls.where((m % 7 == 2) & (F.col("wides") == 0)), tt.role_cells, path, 2)
+    inc.load(balls.limit(0), tt.role_cells, path, 3, balls.where(m % 11 == 5).select("match_id"))
+    return tt.totals(inc.current(s, path), by=("role",)).select("role", "player", "innings", "balls", "runs", "outs")
+
+
+@query("sc1_alias_paths", """SELECT c_custkey AS id, CASE WHEN c_custkey % 4 IN (0, 1) THEN c_name WHEN c_custkey % 4 = 2 THEN 'alt ' || c_custkey ELSE 'Player' END AS name,
+    CASE WHEN c_custkey % 3 = 0 THEN 'N' || c_nationkey WHEN c_custkey % 3 = 1 THEN 'T' || c_nationkey ELSE '—' END AS country, CASE WHEN c_custkey % 5 = 0 THEN c_custkey::double WHEN c_custkey % 5 = 1 THEN 7.5 ELSE 0 END AS matches FROM customer""")
+def _(s, d):
+    """Customers as nested rows whose names are at one place or another: missing, null, empty or no object on the way."""
+    k = F.col("c_custkey") % 4
+    text = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    name = F.when(k == 0, F.concat(F.lit('"display_name":'), text("c_name"))).when(k == 1, F.concat(F.lit('"display_name":null,"profile":{"displayName":'), text("c_name"), F.lit("}")))
+    name = name.when(k == 2, F.concat(F.lit('"display_name":"","profile":{"displayName":""},"names":["x",{"latin":"alt '), "c_custkey", F.lit('"}]'))).otherwise('"display_name":"","profile":7,"names":null')
+    c, m = F.col("c_custkey") % 3, F.col("c_custkey") % 5
+    country = F.when(c == 0, F.concat(F.lit('"country":"N'), "c_nationkey", F.lit('"'))).when(c == 1, F.concat(F.lit('"country":"","team":{"short":"T'), "c_nationkey", F.lit('"}'))).otherwise('"team":null')
+    matches = F.when(m == 0, F.concat(F.lit('"matches":'), "c_custkey")).when(m == 1, F.lit('"match_count":" 7.5 "')).when(m == 2, F.lit('"matches":"many","games":3')).otherwise('"games":null')
+    row = nested.parsed(F.concat(F.lit("{"), F.concat_ws(",", name, country, matches), F.lit("}")))
+    rows = ad.table(s, d, "customer").select(F.col("c_custkey").alias("id"), row.alias("v"))
+    v = F.col("v")
+    return rows.select(
+        "id", nested.first_path(v, ["display_name", "profile.displayName.text", "profile.displayName", "names[1].latin"], F.lit("Player")).alias("name"),
+        nested.first_path(v, ["country", "team.short"], F.lit("—")).alias("country"), nested.first_number(v, ["matches", "match_count", "games"], F.lit(0.0)).alias("matches"),
+    )
+
+
+_SOUGHT = ("r", "er", "1", "12", "选", "選手3", "player 20", "nation_1", "R 1", "zz", "9 nation")
+
+
+@query("fil6_name_index", f"""SELECT q, player FROM (SELECT DISTINCT striker AS player FROM bulk), (SELECT unnest({list(_SOUGHT)}) AS q)
+WHERE contains(lower(concat_ws(' ', CASE WHEN player % 3 = 0 THEN '選手' || player ELSE 'Player ' || player END, 'Player ' || player, 'NATION_' || (player % 25))), lower(q))""", ad.BULK_SQL)
+def _(s, d):
+    """Parts of names of one, two and many characters, in either script."""
+    path = new_dir(s, "grams")
+    players = ad.people(ad.bulk(s, d).select(F.col("striker").alias("player")).distinct())
+    players = kept(players.withColumn("display_name", sc.first_present(F.col("name_local"), F.col("latin_name"))), "players")
+    text = ni.searched("display_name", "latin_name", "country")
+    ni.write_grams(players, text, path)
+    found = [ni.find(s, path, players, text, q).select(F.lit(q).alias("q"), "player") for q in _SOUGHT]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("tk2_pages_by_key", """, ranked AS (SELECT player, raw_overall, is_focus, eligible, row_number() OVER (ORDER BY is_focus DESC, eligible DESC, raw_overall DESC NULLS LAST, player) AS at, count(*) OVER () AS total
+  FROM rated WHERE (eligible OR is_focus) AND raw_x_pct IS NOT NULL AND raw_y_pct IS NOT NULL)
+SELECT asked, player, round(raw_overall, 6) AS raw_overall, at - asked AS place, total FROM ranked, (SELECT unnest([0, 25, 60, 110]) AS asked) WHERE at > asked AND at <= asked + 25""", *BAT_R)
+def _(s, d):
+    path, order = new_dir(s, "pages"), ni.directory_order()
+    ni.write_pages(ni.listed(rated(s, d, "bat")), order, path, parts=8)
+    pages = []
+    for asked in (0, 25, 60, 110):
+        page = kept(ni.page(s, path, order, asked, 25), "page")  # 25 rows
+        place = F.row_number().over(Window.orderBy(*order, "player")).cast("long")
+        pages.append(page.select(F.lit(asked).alias("asked"), "player", "raw_overall", place.alias("place"), "total"))
+    return _r(reduce(DataFrame.unionByName, pages), "raw_overall")
+
+
+_CHOSEN = (("", "", ()), ("", "", ("match",)), ("city 1", "", ("practice", "match")), ("", "PREF_3", ()), ("street 2", "PREF_5", ("indoor",)), ("no such", "", ()))
+
+
+def _chosen_sql(text: str, prefecture: str, uses: tuple[str, ...]) -> str:
+    asked = [f"contains(lower(n || ' ' || p || ' ' || c || ' ' || a), '{text}')"] * bool(text) + [f"p = '{prefecture}'"] * bool(prefecture) + [f"u_{u}" for u in uses]
+    return " AND ".join(asked) or "true"
+
+
+@query("ag21_facet_bitmaps", ", " + ", ".join(f"s{i} AS (SELECT {i} AS chosen, * FROM venues WHERE {_chosen_sql(*c)})" for i, c in enumerate(_CHOSEN)) + ", shown AS (" + " UNION ALL ".join(f"FROM s{i}" for i in range(len(_CHOSEN))) + """)
+SELECT chosen, 'all' AS facet, 'venues' AS value, count(*) AS n FROM shown GROUP BY chosen UNION ALL SELECT chosen, 'prefecture', p, count(*) FROM shown GROUP BY ALL
+UNION ALL SELECT chosen, 'use', 'match', count(*) FROM shown WHERE u_match GROUP BY ALL UNION ALL SELECT chosen, 'use', 'practice', count(*) FROM shown WHERE u_practice GROUP BY ALL UNION ALL SELECT chosen, 'use', 'indoor', count(*) FROM shown WHERE u_indoor GROUP BY ALL""", ad.VENUES_SQL)
+def _(s, d):
+    rows = kept(ad.venues(s, d).withColumn("number", F.regexp_extract("n", r"(\d+)$", 1).cast("long")), "venues")
+    bitmaps = kept(vi.facet_bitmaps(rows), "bitmaps")
+    parts = [vi.counts_under(bitmaps, vi.selected(bitmaps, rows, *c)).select(F.lit(i).alias("chosen"), "facet", "value", "n") for i, c in enumerate(_CHOSEN)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_BOXES = ((30, 42.2, 130, 141.1), (31.5, 33.25, 134, 136), (41.9, 60, 139, 180), (0, 29.9, 0, 180), (35.125, 35.125, 130, 142))
+
+
+@query("sc12_box_search", " UNION ALL ".join(f"SELECT {i} AS box, n, lat, lon FROM venues WHERE lat BETWEEN {b[0]} AND {b[1]} AND lon BETWEEN {b[2]} AND {b[3]}" for i, b in enumerate(_BOXES)), ad.VENUES_SQL)
+def _(s, d):
+    path = new_dir(s, "curve")
+    vi.write_curve(ad.venues(s, d), path)
+    return reduce(DataFrame.unionByName, [vi.in_box(s, path, *b).select(F.lit(i).alias("box"), "n", "lat", "lon") for i, b in enumerate(_BOXES)])

@@ -25,18 +25,24 @@ def scoreboard(deliveries: DataFrame, watermark: tuple[str, str] | None = None)
     )
 
 
-def run(spark: SparkSession, source: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Follow the Parquet files of a folder; each micro-batch writes the totals that changed, with its number."""
+def run(spark: SparkSession, source: str, out: str, checkpoint: str, watermark: tuple[str, str] | None = None, files: int = 4, matches: DataFrame | None = None) -> StreamingQuery:
+    """Follow the Parquet files of a folder; each micro-batch writes the totals that changed, with its number.
+
+    watermark: as ``scoreboard``'s; the files then have that column, a timestamp.  matches: rows by match_id that are joined to the totals.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
 
-    stream = scoreboard(spark.readStream.schema(DELIVERY).option("maxFilesPerTrigger", 4).parquet(source))
+    schema = f"{DELIVERY}, {watermark[0]} timestamp" if watermark else DELIVERY
+    stream = scoreboard(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source), watermark)
+    if matches is not None:
+        stream = stream.join(matches, "match_id", "left")
     return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, out: str) -> DataFrame:
-    """The totals as of the last batch; a batch written again after a failure repeats the same rows."""
+def latest(spark: SparkSession, out: str, *more: str) -> DataFrame:
+    """The totals as of the last batch, with more columns if asked for; a batch written again after a failure repeats the same rows."""
     rows = spark.read.parquet(out)
-    last = F.max(F.struct("batch", "score", "wickets", "balls")).alias("x")
-    return rows.groupBy("match_id", "innings").agg(last).select("match_id", "innings", "x.score", "x.wickets", "x.balls")
+    last = F.max(F.struct("batch", "score", "wickets", "balls", *more)).alias("x")
+    return rows.groupBy("match_id", "innings").agg(last).select("match_id", "innings", *[f"x.{c}" for c in ("score", "wickets", "balls", *more)])
