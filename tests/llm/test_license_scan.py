@@ -127,3 +127,64 @@ def test_whole_texts_truncated_ones_and_variants():
         assert [m["license"] for m in scan.scan(f"Text. Licensed under CC {kind} 4.0. End", INDEX)] == [f"CC-{kind}-4.0-line"]
     for name in ("MIT", "GPL-2.0-only", "GPL-2.0-or-later", "CC-BY-4.0", "LGPL-2.1-only"):
         assert [m["license"] for m in scan.scan(f"# SPDX-License-Identifier: {name}\n", INDEX)] == [f"{name}-SPDX"]
+
+
+def test_no_license_is_named_for_anothers_word():
+    name = lambda text: [m["license"] for m in scan.scan(text, INDEX)]
+    for version in ("1", "4", "2.1", "3.0.1"):
+        assert name(f"This work is licensed under the GNU General Public License, version {version}.") == []
+    assert name("This work is licensed under the GNU Lesser General Public License, version 2.0.") == []
+    assert name("Released under the License.") == [] and name("Released under the ZZZ License.") == []
+    assert name("Licensed under the Apachee License, Version 2.0.") == ["Apache-2.0"]  # an unknown word may be a misspelt one, if only one license fits
+    for own, other in (("MIT", "ISC"), ("MIT", "BSD"), ("ISC", "MIT")):
+        line = {"MIT": "Released under the MIT License.", "ISC": "Released under the ISC License."}[own]
+        assert all(own not in found for found in name(line.replace(own, other)))
+    short = {n: t for n, t in scan.TEMPLATES.items() if len(INDEX.texts[n]) <= scan.NOTICE and not n.endswith("-SPDX")}
+    back = {tuple(words): n for n, words in INDEX.texts.items()}
+    swaps = sorted({INDEX.texts[n][i] for n in short for i in INDEX.deciding[n]})
+    rng = random.Random(6)
+    for n in short:
+        words = INDEX.texts[n]
+        for i in INDEX.deciding[n]:
+            for other in rng.sample(swaps, 6):
+                if other == words[i] or other.isdigit() != words[i].isdigit():
+                    continue
+                changed = [*words[:i], other, *words[i + 1 :]]
+                if words.count(words[i]) == 1 and tuple(changed) not in back:
+                    assert n not in name(" ".join(changed)), (n, words[i], other)
+
+
+def test_spdx_expressions():
+    def found(text):
+        return [(m["license"], text[m["start"] : m["end"]]) for m in scan.scan(text, INDEX)]
+
+    assert found("SPDX-License-Identifier: LGPL-2.0-only") == []
+    assert [n for n, _ in found("// SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0")] == ["GPL-2.0-only WITH Classpath-exception-2.0-SPDX"]
+    assert found("SPDX-License-Identifier: GPL-2.0-only WITH No-such-exception") == []
+    text = "# SPDX-License-Identifier: (mit OR Apache-2.0) AND GPL-3.0-only+\nx"
+    assert found(text) == [("MIT-SPDX", "SPDX-License-Identifier: (mit"), ("Apache-2.0-SPDX", "Apache-2.0"), ("GPL-3.0-only+-SPDX", "GPL-3.0-only+")]
+    assert [n for n, _ in found("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: ISC")] == ["MIT-SPDX", "ISC-SPDX"]
+    for name in scan.SPDX:
+        assert [n for n, _ in found(f"/* SPDX-License-Identifier: {name} */")] == [f"{name}-SPDX"]
+
+
+def test_whole_published_texts():
+    import time
+
+    for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"):
+        text = scan.TEMPLATES[f"{name}-text"]
+        began = time.process_time()
+        first = scan.scan("Intro\n" + text, INDEX)[0]
+        assert (first["license"], first["coverage"]) == (f"{name}-text", 1.0) and time.process_time() - began < 10
+        ends = [m.end() for m in scan._WORD.finditer(text)]
+        cut = scan.scan(text[: ends[int(len(ends) * 0.85)]], INDEX)
+        assert [m["license"] for m in cut if m["coverage"] > 0.8][:1] == [f"{name}-text"]
+
+
+def test_repeats_cost_little():
+    import time
+
+    text = "Released under the MPL License. This is MIT License of the GNU General Public, version 9 or so. " * 3400
+    began = time.process_time()
+    scan.scan(text, INDEX)
+    assert time.process_time() - began < 4

@@ -1,4 +1,6 @@
-"""Whole texts of short public licenses, and the notices that long ones ask to be put in a file, by SPDX id."""
+"""Whole texts of public licenses, and the notices that long ones ask to be put in a file, by SPDX id."""
+
+from importlib.resources import files
 
 # Word for word, less the copyright line, which differs from file to file.
 TEXTS = {
@@ -137,16 +139,31 @@ TEXTS = {
 
 _CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
 _CC_VERSIONS = {"4.0": "International", "3.0": "Unported"}
-_SPDX = (
+SPDX = (
     "MIT", "MIT-0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "Unlicense", "Zlib", "BSL-1.0", "MPL-2.0", "EPL-2.0", "CC0-1.0",
     *(f"{n}-{how}" for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for how in ("only", "or-later")),
     *(f"CC-{kind}-{version}" for kind in _CC for version in _CC_VERSIONS),
 )
 
 
+#: Licenses whose whole texts, as published, lie in the folder beside this module.
+WHOLE = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")
+
+# Words that tell licenses apart, and those that make another license of the word they stand next to.
+FAMILIES = frozenset("mit isc bsd 0bsd apache mozilla mpl gnu gpl lgpl agpl cc cc0 by creative commons unlicense zlib bsl epl eclipse boost only later attribution sharealike noderivatives noncommercial sa nd nc lesser affero library clause".split())
+MODIFIERS = frozenset("lesser affero library sharealike noderivatives noncommercial sa nd nc".split())
+# Exceptions that SPDX names behind WITH.
+EXCEPTIONS = ("Classpath-exception-2.0", "GCC-exception-2.0", "GCC-exception-3.1", "LLVM-exception", "Linux-syscall-note", "Autoconf-exception-2.0", "Autoconf-exception-3.0", "Bison-exception-2.2", "Font-exception-2.0", "OCaml-LGPL-linking-exception", "openvpn-openssl-exception", "Qt-GPL-exception-1.0", "u-boot-exception-2.0", "WxWindows-exception-3.1")
+
+
+def whole_texts() -> dict[str, str]:
+    folder = files("willowfold.llm") / "licenses"
+    return {f"{name}-text": (folder / f"{name}.txt").read_text(encoding="utf-8") for name in WHOLE}
+
+
 def more_templates() -> dict[str, str]:
     """The texts, the sentences of the Creative Commons licenses, and SPDX lines."""
-    found = dict(TEXTS)
+    found = TEXTS | whole_texts()
     for kind, name in _CC.items():
         for version, where in _CC_VERSIONS.items():
             found[f"CC-{kind}-{version}-name"] = f"This work is licensed under a Creative Commons {name} {version} {where} License."
@@ -158,4 +175,4 @@ def more_templates() -> dict[str, str]:
     found["ISC-line"] = "Released under the ISC License."
     found["BSD-2-Clause-line"] = "Released under the BSD 2-Clause License."
     found["BSD-3-Clause-line"] = "Released under the BSD 3-Clause License."
-    return found | {f"{name}-SPDX": f"SPDX-License-Identifier: {name}" for name in _SPDX}
+    return found | {f"{name}-SPDX": f"SPDX-License-Identifier: {name}" for name in SPDX}
