@@ -80,3 +80,31 @@ def test_odd_rows(spark, odd, nothing):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
     assert simhash.near_duplicates(nothing).count() == 0
+
+
+def test_links_of_clumps_are_few(spark):
+    rng = np.random.default_rng(11)
+    fps = set()
+    for centre in rng.integers(0, 1 << 63, 3, dtype=np.uint64):
+        while len(fps) % 244 != 243:
+            turned = rng.choice(64, rng.integers(0, 4), replace=False)
+            fps.add(int(np.bitwise_xor.reduce(np.uint64(1) << turned.astype(np.uint64), initial=centre)))
+        fps.add(int(centre ^ np.uint64(1)))
+    fps = sorted(fps)
+    table = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
+    own = plain_components(list(enumerate(fps)))
+    for cell_rows in (40, 6):
+        links = simhash.links_of(table, cell_rows=cell_rows)
+        assert links.count() <= 20 * len(fps)
+        label = {f: i for i, f in enumerate(fps)}
+        parent = list(range(len(fps)))
+
+        def root(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for r in links.collect():
+            a, b = (root(label[int(np.int64(v).view(np.uint64))]) for v in (r.a, r.b))
+            parent[max(a, b)] = min(a, b)
+        assert [root(i) for i in range(len(fps))] == list(own)

@@ -19,6 +19,8 @@ still larger emits for each of its fingerprints the midpoints in the columns tha
 most a few hundred, and all at one midpoint are linked to the first.  So no cell compares more than CELL_ROWS
 fingerprints with each other, the work of larger ones is in proportion to their members, and no pair is lost.
 
+A task folds its links before they are written: what they join stays joined by one link for each of its fingerprints, so that
+tables and midpoints that meet the same pairs again do not multiply them.
 Joining links into components goes by star steps; the links of one node meet in one key, which the planner may split.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; texts of
@@ -232,6 +234,33 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
 
+def folded(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Links that join what a task's links join, at most one for each of its fingerprints; folded again whenever there are ``most``."""
+    left, right, held = [], [], 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        fps, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+        label, half = np.arange(len(fps)), len(at) // 2
+        merge(label, at[:half], at[half:])
+        own = np.flatnonzero(label != np.arange(len(fps)))
+        return fps[own], fps[label[own]]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        left, right, held = [*left, a], [*right, b], held + len(a)
+        if held >= most:
+            a, b = joined()
+            if len(a) >= most // 2:  # so many fingerprints: these are done with
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                a, b = a[:0], b[:0]
+            left, right, held = [a], [b], len(a)
+    if held:
+        a, b = joined()
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id is the smallest id reachable by links.
 
@@ -267,11 +296,11 @@ def links_of(fps: DataFrame, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -
             parts = parts.join(hinted(full, m), ["cell", "part"], "left_anti").select("cell", "part", "fp")
         dealt = dealt.union(parts)
     dealt = dealt.repartition("cell", "part").sortWithinPartitions("cell", "part", "fp")
-    links = dealt.mapInArrow(lambda it: _links(it, radius), "a long, b long")
+    links = dealt.mapInArrow(lambda it: folded(_links(it, radius)), "a long, b long")
     if dense is not None:
         middles = dense.mapInArrow(lambda it: _midpoints(it, blocks, radius), "cell long, part long, middle long, far boolean, fp long")
         at = ["cell", "part", "middle"]
-        links = links.union(middles.repartition(*at).sortWithinPartitions(*at, "far", "fp").mapInArrow(_at_midpoints, "a long, b long"))
+        links = links.union(middles.repartition(*at).sortWithinPartitions(*at, "far", "fp").mapInArrow(lambda it: folded(_at_midpoints(it)), "a long, b long"))
     links = stash(links, "fp-links")
     discard(*kept)
     return links
