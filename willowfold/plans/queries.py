@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from willowfold.functions import nested
@@ -908,3 +908,107 @@ def _(s, d):
     path = new_dir(s, "curve")
     vi.write_curve(ad.venues(s, d), path)
     return reduce(DataFrame.unionByName, [vi.in_box(s, path, *b).select(F.lit(i).alias("box"), "n", "lat", "lon") for i, b in enumerate(_BOXES)])
+
+
+# ---- sources, sinks and scores in full --------------------------------------------------------------------------------
+
+#: Every column of the source, as SQL over the log that Spark and DuckDB both take; blanks are null.
+_COLUMNS = {
+    "match_id": "CAST(match_id AS VARCHAR(20))", "season": "CASE WHEN match_id % 2 = 0 THEN '2024/25' ELSE '2024' END", "start_date": "CAST('2024-01-05' AS DATE)", "venue": "concat('Ground ', CAST(match_id % 7 AS VARCHAR(20)), ', East')",
+    "innings": "innings", "ball": "concat(CAST(over_no AS VARCHAR(20)), '.', CAST(ball_no AS VARCHAR(20)))", "actual_delivery": "concat(CAST(over_no AS VARCHAR(20)), '.', CAST(ball_no AS VARCHAR(20)))",
+    "batting_team": "CASE WHEN innings = 1 THEN 'Home' ELSE 'Away' END", "bowling_team": "CASE WHEN innings = 1 THEN 'Away' ELSE 'Home' END",
+    "striker": "concat('Player ', CAST(striker AS VARCHAR(20)))", "non_striker": "concat('Player ', CAST(striker + 1 AS VARCHAR(20)))", "bowler": "concat('Bowler ', CAST(bowler AS VARCHAR(20)))",
+    "runs_off_bat": "runs_off_bat", "extras": "CAST(CASE WHEN event_id % 31 = 0 THEN wides + 2 ELSE wides END AS INT)", "wides": "CAST(CASE WHEN wides > 0 THEN wides END AS INT)", "noballs": "CAST(CASE WHEN event_id % 41 = 0 THEN 1 END AS INT)",
+    "byes": "CAST(CASE WHEN event_id % 31 = 0 THEN 2 END AS INT)", "legbyes": "CAST(CASE WHEN event_id % 43 = 0 THEN 1 END AS INT)", "penalty": "CAST(CASE WHEN event_id % 997 = 0 THEN 5 END AS INT)", "non_boundary": "CASE WHEN event_id % 37 = 0 THEN runs_off_bat = 4 END",
+    "wicket_type": "wicket_type", "player_dismissed": "CASE WHEN wicket_type IS NOT NULL THEN concat('Player ', CAST(striker AS VARCHAR(20))) END", "other_wicket_type": "CASE WHEN event_id % 499 = 0 THEN 'retired hurt' END",
+    "other_player_dismissed": "CASE WHEN event_id % 499 = 0 THEN concat('Player ', CAST(striker + 1 AS VARCHAR(20))) END", "fielder_1": "CASE WHEN wicket_type IN ('caught', 'run out') THEN 'Field, A' END",
+    "fielder_2": "CASE WHEN wicket_type = 'run out' THEN 'Field B' END", "fielder_3": "CASE WHEN wicket_type = 'run out' AND event_id % 8 = 0 THEN 'Field C' END",
+}
+
+
+@query("src1_all_columns", f"SELECT {', '.join(f'{c} AS {n}' for n, c in _COLUMNS.items())}, over_no, ball_no FROM log", ad.LOG_SQL)
+def _(s, d):
+    """The log as delivery files of all 27 columns, written and read back."""
+    path = new_dir(s, "deliveries")
+    rows = ad.log(s, d).select(*[F.expr(c).cast("string").alias(n) for n, c in _COLUMNS.items()])
+    rows.select([c.split()[0] for c in cricket.DELIVERIES.split(",")]).write.option("header", True).csv(path)
+    return cricket.read_deliveries(s, path)
+
+
+def _packed_sql(role: str) -> str:
+    """Rows of one role in the shape of a read snapshot; the percentiles of a phase stand for any."""
+    ok = "t.innings >= 10 AND t.balls >= 200" if role == "bat" else "t.innings >= 10 AND t.balls >= 120 AND t.outs >= 5"
+    phase = lambda p: f"(SELECT CAST(sum(ball) AS INT) FROM {role}_balls b WHERE b.player = t.player AND b.phase = '{p}')"
+    return f"""SELECT CAST(t.player AS VARCHAR) AS player_id, 'Player ' || t.player AS latin_name, 'NATION_' || (t.player % 25) AS country, t.player % 25 = 12 AS is_focus, CASE WHEN t.player % 2 = 0 THEN t.player % 4 = 0 END AS squad,
+    CAST(t.player % 90 AS INT) AS matches, '{role}' AS role, {ok} AS eligible, CAST(t.innings AS INT) AS innings, CAST(t.balls AS INT) AS balls, CAST(t.runs AS INT) AS runs, CAST(t.outs AS INT) AS outs, t.runs / 8.0::double AS avg_or_econ,
+    CASE WHEN t.player % 3 > 0 THEN t.player % 101 / 2.0::double END AS raw_overall_pct, {phase("early")} AS early_balls, {phase("early")} % 101 / 2.0::double AS early_pct, {phase("late")} AS late_balls, {phase("late")} % 101 / 2.0::double AS late_pct FROM {role}_totals t"""
+
+
+@query("src3_snapshot_roles", f"{_packed_sql('bat')} UNION ALL {_packed_sql('bowl')}", *BAT_T, *BOWL_T[1:])
+def _(s, d):
+    """Totals and phases of both roles packed as snapshots, even players in format 2 and odd ones in format 3, and read back."""
+    path, cell = new_dir(s, "snapshot"), kept(tt.role_cells(ad.bulk(s, d)), "cells")
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    listed = lambda *c: F.concat(F.lit("["), F.concat_ws(",", *c), F.lit("]"))
+    split = tt.totals(cell, by_phase=True, by=("role",)).where("phase <> 'all'").groupBy("role", "player").agg(F.map_from_entries(F.collect_list(F.struct("phase", "balls"))).alias("of"))
+    df = tt.totals(cell, by=("role",)).withColumn("eligible", tt.eligible_by_role()).join(split, ["role", "player"], "left")
+    two, odd = F.col("player") % 2 == 0, F.lit("null")
+
+    def phase(name: str) -> Column:
+        balls = F.try_element_at("of", F.lit(name))
+        pct = text(balls % 101 / 2)
+        return F.when(balls.isNull(), "[]").when(two, listed(text(balls), odd, odd, odd, pct)).otherwise(listed(text(balls), pct))
+
+    overall = F.when(F.col("player") % 3 > 0, F.col("player") % 101 / 2)
+    role = listed(text(F.col("eligible")), *[text(F.col(c)) for c in ("innings", "balls", "runs", "outs")], text(F.col("runs") / 8), odd, odd, odd, text(overall), *[odd] * 5, listed(*map(phase, ("early", "middle", "late"))))
+    both = df.groupBy("player").agg(*[F.max(F.when(F.col("role") == r, role)).alias(r) for r in ("bat", "bowl")])
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    head = [quoted(text(F.col("player"))), quoted(F.concat(F.lit("Player "), "player")), F.lit('""'), quoted(F.concat(F.lit("NATION_"), F.col("player") % 25)), text(F.col("player") % 25 == 12)]
+    roles, matches = [text(F.col("bat")), text(F.col("bowl"))], text(F.col("player") % 90)
+    packed = F.when(two, listed(*head, text(F.col("player") % 4 == 0), matches, F.lit("[]"), F.lit("[]"), *roles)).otherwise(listed(*head, matches, *roles))
+    files = both.groupBy(F.floor(F.col("player") / 50).alias("part"), F.when(two, 2).otherwise(3).alias("format")).agg(F.collect_list(packed).alias("players"))  # 25 players a file
+    files.select("part", F.concat(F.lit('{"format":'), "format", F.lit(',"players":['), F.concat_ws(",", "players"), F.lit("]}")).alias("value")).repartition("part", "format").write.partitionBy("part").option("maxRecordsPerFile", 1).text(path)
+    rows = cricket.read_snapshot(s, path)
+    of = lambda p, c: F.try_element_at("phases", F.lit(p))[c].alias(f"{p}_{c}")
+    names = ["player_id", "latin_name", "country", "is_focus", "squad", "matches", "role", "eligible", "innings", "balls", "runs", "outs", "avg_or_econ", "raw_overall_pct"]
+    return rows.select(*names, of("early", "balls"), of("early", "pct"), of("late", "balls"), of("late", "pct"))
+
+
+@query("wn3_stored_overall", "SELECT player, round(CASE WHEN player % 3 = 0 THEN player % 101 / 2.0::double ELSE (raw_x_pct + raw_y_pct) / 2 END, 6) AS overall FROM rated", *BAT_R)
+def _(s, d):
+    """Every third player has a stored overall, which is taken before the mean of the axes."""
+    stored = F.when(F.col("player") % 3 == 0, F.col("player") % 101 / 2)
+    return _r(rated(s, d, "bat").select("player", rt.two_axis_overall(F.col("raw_x_pct"), F.col("raw_y_pct"), stored).alias("overall")), "overall")
+
+
+_BADGES = ("speed", "survival", "early", "middle", "late")
+
+
+@query("sc5_phase_badges", """, wide AS (SELECT player, max(pct) FILTER (phase = 'early') AS early, max(pct) FILTER (phase = 'middle') AS middle, max(pct) FILTER (phase = 'late') AS late FROM bat_phased GROUP BY player)
+SELECT r.player, array_to_string(list_filter([CASE WHEN adj_x_pct >= 75 THEN 'speed' END, CASE WHEN adj_y_pct >= 75 THEN 'survival' END, CASE WHEN early >= 75 THEN 'early' END, CASE WHEN middle >= 75 THEN 'middle' END, CASE WHEN late >= 75 THEN 'late' END], lambda x: x IS NOT NULL), ',') AS badges
+FROM rated r LEFT JOIN wide w ON w.player = r.player WHERE eligible""", *BAT_R, _phase_sql("bat"))
+def _(s, d):
+    """Badges of both axes and of the three phases."""
+    cell = kept(cells(s, d, "bat"), "cells")
+    wide = rt.phase_score(cell, "bat").groupBy("player").agg(*[F.max(F.when(F.col("phase") == p, F.col("pct"))).alias(p) for p in _BADGES[2:]])
+    rows = rt.ratings(cell, "bat").where("eligible").select("player", F.col("adj_x_pct").alias("speed"), F.col("adj_y_pct").alias("survival")).join(wide, "player", "left")
+    return rows.select("player", F.array_join(sc.badges(*[(b, F.col(b)) for b in _BADGES]), ",").alias("badges"))
+
+
+@query("snk1_snapshot_meta", "SELECT count(*) AS generated_players, count(*) FILTER (eligible) AS eligible_players FROM rated", *BAT_R)
+def _(s, d):
+    """The one row of meta, read back from the snapshot."""
+    path = new_dir(s, "written")
+    players = kept(rated(s, d, "bat").select("player", "role", "raw_overall", "eligible"), "players")
+    meta = players.agg(F.count(F.lit(1)).alias("generated_players"), F.count_if("eligible").alias("eligible_players"))
+    cricket.write_snapshot(players, meta, path)
+    return s.read.schema("generated_players long, eligible_players long").json(f"{path}/meta")
+
+
+@query("jn10_role_list", "SELECT 'adjusted' AS mode, player, player IN (SELECT s_suppkey % 100 FROM supplier WHERE s_nationkey < 3) AS is_leader FROM players UNION ALL SELECT 'raw', player, player IN (SELECT s_suppkey % 100 FROM supplier WHERE s_nationkey > 20) FROM players", ad.BULK_SQL, _PLAYERS)
+def _(s, d):
+    """A list for role and mode goes before the list of the role."""
+    ids = lambda rule: F.collect_set(F.when(rule, (F.col("s_suppkey") % 100).cast("int")))  # noqa: E731  # at most 100 ids
+    lists = F.create_map(F.lit("bat_adjusted"), ids(F.col("s_nationkey") < 3), F.lit("bat"), ids(F.col("s_nationkey") > 20))
+    leaders, players = ad.table(s, d, "supplier").agg(lists.alias("lists")), _players(s, d).select("player")
+    return reduce(DataFrame.unionByName, [serve.leader_flag(players, leaders, "bat", mode).select(F.lit(mode).alias("mode"), "player", "is_leader") for mode in ("adjusted", "raw")])
