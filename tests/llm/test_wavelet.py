@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
 from willowfold.llm import wavelet
@@ -92,3 +93,39 @@ def test_lookups_from_files(spark, documents, tmp_path):
     asked = [0, 5, len(every) - 1, len(every), len(every) // 2, 5]
     got = wavelet.access(wavelet.read(spark, path), asked)
     assert sorted(map(tuple, got.collect())) == sorted((p, every[p][2]) for p in set(asked) if p < len(every))
+
+
+def test_select_of_rare_ids_opens_what_it_steps_into():
+    rng = np.random.default_rng(4)
+    ids = rng.integers(0, 40, 60_000).astype(np.uint16)
+    ids[[5, 5_000, 59_999]] = 49_000
+    ids[30_000:30_400] = 41
+    matrix = wavelet.WaveletMatrix.unpacked(len(ids), *wavelet.WaveletMatrix.of(ids, 16).packed())
+    assert matrix.count(9_000) == 0 and len(matrix.planes.open) <= 6  # the range is empty before the last planes
+    assert matrix.places(49_000).tolist() == [5, 5_000, 59_999] and matrix.select(49_000, 3) == -1
+    assert matrix.places(41).tolist() == list(range(30_000, 30_400))
+    for value in (0, 17, 39, 41):
+        places = np.flatnonzero(ids == value)
+        assert [matrix.select(value, n) for n in (0, 1, len(places) // 2, len(places) - 1)] == places[[0, 1, len(places) // 2, -1]].tolist()
+
+
+def test_rare_tokens_open_their_shards_only(spark, tmp_path):
+    path, rng = str(tmp_path / "ids"), np.random.default_rng(5)
+    rows = [(i, "the cat sat on the mat " * 3000 + "zyzzyva " * (i == 77) + " ".join(f"w{n}" for n in rng.integers(0, 100_000, 3000))) for i in range(60, 120)]
+    segments = wavelet.write(spark.createDataFrame(rows, "doc_id long, text string"), PATH, 2, shard_rows=4, path=path)
+    ids = TOKENIZER.encode("zyzzyva", add_special_tokens=False).ids
+    others = set(TOKENIZER.encode(" ".join(t for _, t in rows).replace("zyzzyva ", ""), add_special_tokens=False).ids)
+    token = next(t for t in ids if t not in others)
+    (only,) = wavelet.shards_with(segments, token)
+    assert [r.doc_id for r in wavelet.lookup(segments, token).collect()] == [77]
+    size, read = 0, 0
+    for f in (tmp_path / "ids").glob("shard=*/*.parquet"):
+        group = pq.ParquetFile(f).metadata.row_group(0)
+        own = {}
+        for i in range(group.num_columns):
+            column = group.column(i)
+            own[column.path_in_schema.split(".")[0]] = own.get(column.path_in_schema.split(".")[0], 0) + column.total_compressed_size
+        size += sum(own.values())
+        read += sum(own.values()) if int(f.parent.name.split("=")[1]) == only else own["held"]
+    assert read <= size / 5  # one of fifteen shards, and of the others what they hold, a twentieth of so small ones
+    assert wavelet.shards_with(segments, 49_407) == [] and wavelet.lookup(segments, 49_407).count() == 0 and wavelet.count(segments, 49_407).count() == 0

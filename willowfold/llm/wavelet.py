@@ -5,7 +5,8 @@ file of segments.  A segment holds a wavelet matrix of its ids: for each bit of
 bits, with the ids whose bit is 0 before those whose bit is 1 for the next plane.  Ones are counted in steps of
 512 bits and stored with the planes, each of which is compressed alone, so access to a position, the count of an id
 before a position and the place of its n-th occurrence take one step a plane, without the ids themselves.
-``access`` opens the files of the shards asked for only.
+A segment also keeps which ids it has, a bitmap: ``lookup`` and ``count`` open the shards with the token only, ``access`` those asked for, planes are
+opened when they are stepped into, and rare ids are found by select.
 
 Shards hold about ``shard_rows`` documents; their bounds are quantiles of a sample of ids, which decides the shards'
 sizes alone.  An id with more documents than that (rows without an id, say) has shards of its own, among which its
@@ -42,6 +43,8 @@ from willowfold.sources.shared_dir import new_dir
 
 KEPT_WORDS, KEPT_PIECES = 1_300_000, 700_000
 STEP = 512
+#: An id that is rarer than one of so many is looked up by select, plane by plane.
+FEW = 4096
 SHARD_ROWS = 4096
 MOST_SHARDS = 1 << 16
 SHARD_SAMPLE = 64
@@ -49,10 +52,25 @@ SEGMENT_IDS = 1 << 19
 _LOWEST = -(1 << 63)
 
 
+class Packed:
+    """Compressed arrays, each opened when it is first asked for."""
+
+    def __init__(self, arrays: list[bytes], kind: type):
+        self.arrays, self.kind, self.open = arrays, kind, {}
+
+    def __len__(self) -> int:
+        return len(self.arrays)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if i not in self.open:
+            self.open[i] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.arrays[i]), self.kind)
+        return self.open[i]
+
+
 class WaveletMatrix:
     """Ids as bit planes."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], ones: list[np.ndarray] | None = None):
+    def __init__(self, n: int, planes: list[np.ndarray] | Packed, zeros: list[int], ones: list[np.ndarray] | None = None):
         self.n, self.planes, self.zeros = n, planes, zeros
         self._ones = ones
 
@@ -94,6 +112,8 @@ class WaveletMatrix:
 
     def _range(self, value: int, start: int, stop: int) -> tuple[int, int]:
         for level, zeros in enumerate(self.zeros):
+            if start >= stop:
+                break
             a, b = self._rank1(level, start), self._rank1(level, stop)
             if value >> (len(self.zeros) - 1 - level) & 1:
                 start, stop = zeros + a, zeros + b
@@ -115,26 +135,30 @@ class WaveletMatrix:
         start, stop = self._range(value, 0, self.n)
         if start + nth >= stop:
             return -1
-        at = start + nth
+        return self._up(value, start + nth)
+
+    def _up(self, value: int, at: int) -> int:
+        """The position among all ids of what stands behind the last plane at a position of this id."""
         for level in range(len(self.zeros) - 1, -1, -1):
             one = value >> (len(self.zeros) - 1 - level) & 1
-            rank = at - self.zeros[level] if one else at
-            low, high = 0, self.n
-            while low < high:  # the first prefix that holds rank + 1 such bits
-                mid = (low + high) // 2
-                ones = self._rank1(level, mid + 1) if mid < self.n else 0
-                if (ones if one else mid + 1 - ones) > rank:
-                    high = mid
-                else:
-                    low = mid + 1
-            at = low
+            at = self._select(level, one, at - self.zeros[level] if one else at)
         return at
 
+    def _select(self, level: int, bit: int, rank: int) -> int:
+        """The position of a plane's bit with so many equal ones before it: the step by the stored counts, then the place in it."""
+        ones = self.ones[level].astype(np.int64)
+        before = ones if bit else np.arange(len(ones)) * STEP - ones
+        step = int(np.searchsorted(before, rank, "right")) - 1
+        part = np.unpackbits(self.planes[level][step * STEP // 8 : (step + 1) * STEP // 8], bitorder="little")
+        return step * STEP + int(np.flatnonzero(part == bit)[rank - int(before[step])])
+
     def places(self, value: int) -> np.ndarray:
         """The positions of all occurrences of an id, ascending."""
         if value >> len(self.zeros):
             return np.zeros(0, np.int64)
         at = np.arange(*self._range(value, 0, self.n))
+        if len(at) * FEW < self.n:  # a rare id: a select a plane, and nothing is unpacked
+            return np.array([self._up(value, i) for i in at.tolist()], np.int64)
         for level in range(len(self.zeros) - 1, -1, -1):
             if not len(at):
                 break
@@ -162,8 +186,7 @@ class WaveletMatrix:
 
     @classmethod
     def unpacked(cls, n: int, zeros: list[int], planes: list[bytes], ones: list[bytes]) -> WaveletMatrix:
-        unpack = zstandard.ZstdDecompressor()
-        return cls(n, [np.frombuffer(unpack.decompress(p), np.uint8) for p in planes], zeros, [np.frombuffer(o, np.uint32) for o in ones])
+        return cls(n, Packed(planes, np.uint8), zeros, [np.frombuffer(o, np.uint32) for o in ones])
 
 
 class WordIds:
@@ -270,16 +293,19 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, layout: L
         yield pa.RecordBatch.from_arrays([pa.array(layout.shard_of(docs, number), pa.int32()), batch.column(0), ids], ["shard", "doc_id", "ids"])
 
 
-_SEGMENT_NAMES = ["segment", "doc_ids", "counts", "n_ids", "zeros", "planes", "ones", "shard"]
-SEGMENT = "segment int, doc_ids array<long>, counts array<long>, n_ids long, zeros array<int>, planes array<binary>, ones array<binary>, shard int"
+_SEGMENT_NAMES = ["segment", "doc_ids", "counts", "n_ids", "zeros", "planes", "ones", "held", "shard"]
+SEGMENT = "segment int, doc_ids array<long>, counts array<long>, n_ids long, zeros array<int>, planes array<binary>, ones array<binary>, held binary, shard int"
 
 
 def _segment(shard: int, number: int, docs: list, ids: list[bytes], own: WordIds) -> pa.RecordBatch:
     flat = np.frombuffer(b"".join(ids), own.kind)
     counts = np.array([len(i) // own.kind().itemsize for i in ids], np.int64)
-    columns = [[number], [docs], [counts], [len(flat)], *([x] for x in WaveletMatrix.of(flat, own.bits).packed()), [shard]]
+    there = np.zeros(1 << own.bits, bool)
+    there[flat] = True
+    held = zstandard.ZstdCompressor(level=1).compress(np.packbits(there, bitorder="little").tobytes())  # which ids the segment has
+    columns = [[number], [docs], [counts], [len(flat)], *([x] for x in WaveletMatrix.of(flat, own.bits).packed()), [held], [shard]]
     longs, binaries = pa.list_(pa.int64()), pa.list_(pa.binary())
-    types = [pa.int32(), longs, longs, pa.int64(), pa.list_(pa.int32()), binaries, binaries, pa.int32()]
+    types = [pa.int32(), longs, longs, pa.int64(), pa.list_(pa.int32()), binaries, binaries, pa.binary(), pa.int32()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _SEGMENT_NAMES)
 
 
@@ -399,14 +425,35 @@ def read_digests(segments: DataFrame) -> DataFrame:
     return found.join(starts, ["shard", "segment"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def _has(held: bytes, token: int) -> bool:
+    bits = zstandard.ZstdDecompressor().decompress(held)
+    return token >> 3 < len(bits) and bool(bits[token >> 3] >> (token & 7) & 1)
+
+
+def shards_with(segments: DataFrame, token: int) -> list[int]:
+    """The shards that have a token, by the column of what segments hold, a hundredth of the files; at most MOST_SHARDS numbers."""
+
+    def having(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["shard"]).filter(pa.array([_has(h, token) for h in batch.column(1).to_pylist()], pa.bool_()))
+
+    return sorted(r["shard"] for r in segments.select("shard", "held").mapInArrow(having, "shard int").distinct().collect())
+
+
+def _opened(segments: DataFrame, token: int) -> DataFrame:
+    """The segments of the shards that have a token; no other files are opened."""
+    shards = shards_with(segments, token)
+    return segments.where(F.col("shard").isin(shards)) if shards else segments.limit(0)
+
+
 def count(segments: DataFrame, token: int) -> DataFrame:
-    """(shard, segment, n): how often a token occurs in each segment, by two ranks a plane."""
+    """(shard, segment, n): how often a token occurs in each segment of the shards that have it, by two ranks a plane."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, matrix in _matrices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([row["shard"]], pa.int32()), pa.array([row["segment"]], pa.int32()), pa.array([matrix.count(token)], pa.int64())], ["shard", "segment", "n"])
 
-    return segments.withColumns({"doc_ids": F.lit(None).cast("array<long>"), "counts": F.lit(None).cast("array<long>")}).mapInArrow(counted, "shard int, segment int, n long")
+    return _opened(segments, token).withColumns({"doc_ids": F.lit(None).cast("array<long>"), "counts": F.lit(None).cast("array<long>")}).mapInArrow(counted, "shard int, segment int, n long")
 
 
 def lookup(segments: DataFrame, token: int) -> DataFrame:
@@ -414,7 +461,7 @@ def lookup(segments: DataFrame, token: int) -> DataFrame:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, matrix in _matrices(batches):
-            places = matrix.places(token)
+            places = matrix.places(token) if _has(row["held"], token) else np.zeros(0, np.int64)
             stops = np.cumsum(row["counts"])
             doc = np.searchsorted(stops, places, "right")
             at = places - (stops - row["counts"])[doc]
@@ -422,7 +469,7 @@ def lookup(segments: DataFrame, token: int) -> DataFrame:
             columns = [pa.array([row["shard"]] * n, pa.int32()), pa.array([row["segment"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()).take(pa.array(doc)), pa.array(at, pa.int64()), pa.array(places, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["shard", "segment", "doc_id", "at", "place"])
 
-    rows = segments.mapInArrow(found, "shard int, segment int, doc_id long, at long, place long")
+    rows = _opened(segments, token).mapInArrow(found, "shard int, segment int, doc_id long, at long, place long")
     return rows.join(bases(segments).select("shard", "segment", "base"), ["shard", "segment"]).select("doc_id", "at", (F.col("base") + F.col("place")).alias("position"))
 
 
@@ -441,5 +488,6 @@ def access(segments: DataFrame, positions: list[int]) -> DataFrame:
             pairs = [(p, matrix.access(at)) for p, at in wanted.get((row["shard"], row["segment"]), ())]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in pairs], pa.int64()), pa.array([t for _, t in pairs], pa.int32())], ["position", "token"])
 
-    some = segments.where(F.col("shard").isin(sorted({s for s, _ in wanted})) & F.col("segment").isin(sorted({s for _, s in wanted})))
+    pairs = F.broadcast(spark.createDataFrame(sorted(wanted) or [(-1, -1)], "shard int, segment int"))  # one for each asked position at most
+    some = segments.where(F.col("shard").isin(sorted({s for s, _ in wanted}) or [-1])).join(pairs, ["shard", "segment"], "left_semi").select(*_SEGMENT_NAMES)
     return some.mapInArrow(read_out, "position long, token int")
