@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from willowfold.llm import exact_dedup, langid, packing, simhash
 from willowfold.llm.shared import stash
-from willowfold.sources.shared_dir import new_dir, scratch
+from willowfold.sources.shared_dir import discard, new_dir, scratch
 from willowfold.sources.tables import spread
 
 
@@ -38,10 +38,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what a stage kept on its way is deleted once its result is written."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows; what a stage kept on its way is deleted once its result is written, and a stage's result once the next one's is."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = new_dir(spark, name)
         with scratch(spark):
             docs = stash(stage(spark, docs, sf_dir), name, path=path)
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -55,7 +55,7 @@ def codebook(points: np.ndarray, k: int, rng: np.random.Generator, rounds: int =
     """Up to k different k-means centres."""
     words = points[rng.choice(len(points), min(k, len(points)), replace=False)]
     for _ in range(rounds):
-        own = np.argmin(squares(points, words), axis=1)
+        own = nearest(points, words)
         words = np.array([points[own == c].mean(axis=0) if (own == c).any() else words[c] for c in range(len(words))])
     return np.unique(words, axis=0)
 
@@ -64,6 +64,11 @@ def squares(points: np.ndarray, words: np.ndarray) -> np.ndarray:
     return (points**2).sum(axis=1)[:, None] - 2 * points @ words.T + (words**2).sum(axis=1)[None, :]
 
 
+def nearest(points: np.ndarray, words: np.ndarray, block: int = 4096) -> np.ndarray:
+    """The nearest codeword of each point, by blocks of points, so that the table of distances stays small however many codewords there are."""
+    return np.concatenate([np.argmin(squares(points[i : i + block], words), axis=1) for i in range(0, len(points), block)])
+
+
 class Grid:
     """Two codebooks, and how far the cells that a vector visits may be from it."""
 
