@@ -1,6 +1,8 @@
 """Innings: running state, cut-off, chase, totals and outcomes of ordered deliveries.
 
 Every window runs within (match_id, innings), which a rule of the game bounds; one shuffle by match serves all.
+A ball (match_id, innings, over_no, ball_no) must be one row: of a log in which deliveries were replayed, drop the copies first, as the scoreboard's stream does, else sums up to
+a ball depend on which copy comes first.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ def plottable(rated: DataFrame, x: str = "raw_x_pct", y: str = "raw_y_pct") -> D
     return rated.where(observed & F.col(x).isNotNull() & F.col(y).isNotNull() & (F.col("eligible") | F.col("is_focus")))
 
 
-def focus_only(players: DataFrame, pattern: str = FOCUS_PATTERN) -> DataFrame:
+def focus_only(players: DataFrame, pattern: str) -> DataFrame:
     """Players of the focus country, by flag or by the country's name."""
     return players.where(F.coalesce(F.col("is_focus"), F.lit(False)) | F.coalesce(F.lower("country").rlike(pattern), F.lit(False)))
 
