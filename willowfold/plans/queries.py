@@ -868,9 +868,9 @@ def _(s, d):
     return reduce(DataFrame.unionByName, found)
 
 
-@query("tk2_pages_by_key", """, ranked AS (SELECT player, raw_overall, is_focus, eligible, row_number() OVER (ORDER BY is_focus DESC, eligible DESC, raw_overall DESC NULLS LAST, player) AS at, count(*) OVER () AS total
+@query("tk2_pages_by_key", """, ranked AS (SELECT player, raw_overall, is_focus, eligible, row_number() OVER (ORDER BY is_focus DESC, eligible DESC, raw_overall DESC NULLS LAST, player) AS pos, count(*) OVER () AS total
   FROM rated WHERE (eligible OR is_focus) AND raw_x_pct IS NOT NULL AND raw_y_pct IS NOT NULL)
-SELECT asked, player, round(raw_overall, 6) AS raw_overall, at - asked AS place, total FROM ranked, (SELECT unnest([0, 25, 60, 110]) AS asked) WHERE at > asked AND at <= asked + 25""", *BAT_R)
+SELECT asked, player, round(raw_overall, 6) AS raw_overall, pos - asked AS place, total FROM ranked, (SELECT unnest([0, 25, 60, 110]) AS asked) WHERE pos > asked AND pos <= asked + 25""", *BAT_R)
 def _(s, d):
     path, order = new_dir(s, "pages"), ni.directory_order()
     ni.write_pages(ni.listed(rated(s, d, "bat")), order, path, parts=8)
