@@ -3,6 +3,7 @@ import hashlib
 import html
 import random
 import re
+import zlib
 
 import duckdb
 import pytest
@@ -180,3 +181,16 @@ def test_nothing_to_read(spark, tmp_path):
     assert warc.read(spark, path).count() == 0 and warc.derive(warc.responses_of(warc.read(spark, path))).count() == 0
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.derive(warc.responses(empty)).count() == 0
+
+
+def test_coded_bodies():
+    body = "<p>é one</p>".encode() * 40
+    raw = zlib.compressobj(wbits=-15)
+    deflated = raw.compress(body) + raw.flush()
+    chunked = b"".join(b"%x;x=y\r\n%s\r\n" % (len(c), c) for c in (body[:7], body[7:100], body[100:])) + b"0\r\n\r\n"
+    squeezed = gzip.compress(body)
+    both = b"%X\r\n%s\r\n0\r\n\r\n" % (len(squeezed), squeezed)
+    cases = [("", body), ("Transfer-Encoding: chunked", chunked), ("content-encoding:gzip", squeezed), ("Content-Encoding: deflate", zlib.compress(body)), ("Content-Encoding: deflate", deflated), ("Transfer-Encoding: chunked\r\nContent-Encoding: gzip", both), ("Content-Encoding: gzip", body), ("Content-Encoding: br", body), ("Transfer-Encoding: chunked", body)]
+    for header, payload in cases:
+        headers, text, size, digest = warc.http_parts(f"HTTP/1.1 200 OK\r\n{header}\r\n\r\n".encode().replace(b"OK\r\n\r\n\r\n", b"OK\r\n\r\n") + payload)
+        assert text == body.decode() and size == len(payload) and digest == hashlib.sha256(payload).hexdigest(), header

@@ -13,7 +13,7 @@ white space is folded.  The query's SQL has the standard's names and rules itsel
 Files are read by record, so neither their size nor gzip matters; a record's block has the length that its header tells, whatever it holds, the mark of
 another record included.  Names of fields are told apart whatever their case, with or without a blank, folded or repeated.  A record that is cut short, and what is no
 record, comes back with its fault named, and every other record of that file and of others is whole.  Payloads are decoded by their byte order mark, HTTP header or meta element,
-else as UTF-8; what their charset has no letter for becomes U+FFFD.
+else as UTF-8, chunks and compression undone first; what their charset has no letter for becomes U+FFFD.
 
 Defined results: a null html is an empty payload, with an empty title and text; a null url has an empty target URI;
 repeated rows give repeated records; an empty table gives none; other columns are not read.
@@ -26,6 +26,7 @@ import hashlib
 import html as html_entities
 import html.entities
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -117,11 +118,42 @@ def charset_of(headers: str, payload: bytes) -> str:
     return "utf-8"
 
 
+_CODED = re.compile(r"(?im)^(transfer|content)-encoding:[ \t]*([^\r\n]+)")
+
+
+def unchunked(data: bytes) -> bytes:
+    """The body of a chunked transfer; what does not keep to its form is taken as it is from there on."""
+    parts, at = [], 0
+    while line := re.compile(rb"([0-9A-Fa-f]+)[^\r\n]*\r\n").match(data, at):
+        size = int(line[1], 16)
+        if not size:
+            return b"".join(parts)
+        parts.append(data[line.end() : line.end() + size])
+        at = line.end() + size + 2
+    return b"".join([*parts, data[at:]])
+
+
+def plain_body(headers: str, payload: bytes) -> bytes:
+    """The payload less its transfer and content codings (chunked, gzip, deflate); one that fails, or that we do not know, is left as it is."""
+    codings = {kind.lower(): [c.strip().lower() for c in names.split(",")] for kind, names in _CODED.findall(headers)}
+    if "chunked" in codings.get("transfer", ()):
+        payload = unchunked(payload)
+    for name in reversed(codings.get("content", ())):
+        for window in {"gzip": (47,), "x-gzip": (47,), "deflate": (15, -15)}.get(name, ()):
+            try:
+                payload = zlib.decompressobj(window).decompress(payload)
+                break
+            except zlib.error:
+                continue
+    return payload
+
+
 def http_parts(block: bytes) -> tuple[str, str, int, str]:
     """(HTTP headers, payload as text, its bytes, its SHA-256) of a response's block; without an empty line there are headers only."""
     head, _, payload = block.partition(b"\r\n\r\n")
     headers = _text(head)
-    text = payload.decode(charset_of(headers, payload), "replace").removeprefix("\ufeff")
+    body = plain_body(headers, payload)
+    text = body.decode(charset_of(headers, body), "replace").removeprefix("\ufeff")
     return headers, text, len(payload), hashlib.sha256(payload).hexdigest()
 
 
