@@ -208,6 +208,8 @@ class WordIds:
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.kind = np.uint16 if self.bits <= 16 else np.uint32
         self.code = "H" if self.kind is np.uint16 else "I"
+        self.ends = np.zeros(1 << self.bits, bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -217,6 +219,21 @@ class WordIds:
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             yield from zip(part, (array(self.code, e.ids).tobytes() for e in found), strict=True)
 
+    def _ask_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The ids of pieces, many to a text with blanks between: each ends with the one id of its that ends a word."""
+        for at in range(0, len(pieces), 8192):
+            part = [pieces[i : i + 256] for i in range(at, min(at + 8192, len(pieces)), 256)]
+            for own, e in zip(part, self.tokenizer.encode_batch_fast([" ".join(p) for p in part], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, self.kind)
+                stops = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+                if len(stops) != len(own):  # one of them is no piece of one word
+                    yield from self._ask(own)
+                    continue
+                data, begin = ids.tobytes(), 0
+                for piece, stop in zip(own, stops.tolist(), strict=True):
+                    yield piece, data[begin:stop]
+                    begin = stop
+
     def _learn(self, new: set[str]) -> None:
         words = self.words
         whole = [w for w in new if w.isascii() and w.isalpha() and w.islower()]  # one piece each
@@ -224,7 +241,7 @@ class WordIds:
         if len(self.pieces) > KEPT_PIECES:
             self.pieces.clear()
         pieces = self.pieces
-        pieces.update(self._ask(list(set(whole).union(*cut.values()).difference(pieces))))
+        pieces.update(self._ask_pieces(list(set(whole).union(*cut.values()).difference(pieces))))
         get = pieces.__getitem__
         words.update(zip(whole, map(get, whole), strict=True))
         words.update([(w, b"".join(map(get, own))) for w, own in cut.items()])
@@ -246,16 +263,10 @@ class WordIds:
         cut = [_SPACE.split(t) if any(c in t for c in _ODD) else t.split() for t in texts]
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
-        known, gaps = self.words, []
-        rows = [list(map(known.get, words)) for words in cut]  # one look for each word; what is new stays None
-        for words, row in zip(cut, rows, strict=True):
-            for _ in range(row.count(None)):
-                at = row.index(None, gaps[-1][1] + 1 if gaps and gaps[-1][0] is row else 0)
-                gaps.append((row, at, words[at]))
-        self._learn({w for _, _, w in gaps})
-        for row, at, word in gaps:
-            row[at] = known[word]
-        return [b"".join((*row, end)) for row in rows]
+        known = self.words
+        self._learn(set().union(*cut).difference(known))
+        get = known.__getitem__
+        return [b"".join((*map(get, words), end)) for words in cut]
 
 
 #: str.split() takes these for white space, the tokenizer does not; texts with them are cut at blanks and line feeds only.
