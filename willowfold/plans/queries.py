@@ -750,12 +750,12 @@ def _(s, d):
 
 # ---- stores, indexes and state ----------------------------------------------------------------------------------------
 
-_DATED = "dated AS (SELECT o_orderkey // 32 AS match_id, min(CAST(o_orderdate AS DATE)) AS date FROM orders GROUP BY 1)"
+_DATED = "dated AS (SELECT o_orderkey // 32 AS match_id, arg_min(CAST(o_orderdate AS DATE), o_orderkey) AS date FROM orders GROUP BY 1)"
 
 
 def _dated(s, d):
     """A match for every 32 orders, dated by its first one; a third are women's, a quarter no T20."""
-    first = ad.table(s, d, "orders").groupBy(F.expr("o_orderkey div 32").alias("match_id")).agg(F.min(F.col("o_orderdate").cast("date")).alias("date"))
+    first = ad.table(s, d, "orders").groupBy(F.expr("o_orderkey div 32").alias("match_id")).agg(F.min_by(F.col("o_orderdate").cast("date"), "o_orderkey").alias("date"))
     return first.select("match_id", "date", F.when(F.col("match_id") % 3 == 0, "female").otherwise("male").alias("gender"), F.when(F.col("match_id") % 4 == 0, "ODI").otherwise("T20").alias("match_type"))
 
 
