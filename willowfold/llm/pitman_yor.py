@@ -12,8 +12,8 @@ that has the context's restaurant, about PART tokens each; a context of more tha
 tell each other their numbers of tables.  (3) Parts send their tables, summed by word, to the owners, which hold the root's restaurant, seat it and tell its counts;
 this is done ROUNDS times, and the parts' plan reads one shuffle of (2) each time.  (4) Parts send the sums of each document back by chunk.
 Parts sample side by side against the root of the last round, and moves of one restaurant in one step see each other's tables one step
-late; both are the usual ways of parallel Gibbs sampling.  In a sweep a pair seats at most MOVES of its customers again, taken at random: a
-schedule, not a bound on what is counted.  Seeds are fixed, and messages are put in order, so that a task that is run again gives the same.
+late; both are the usual ways of parallel Gibbs sampling.  A sweep seats all customers again: of a pair with up to PLAIN, as many are taken up, one after the other, as it
+has; for a larger one the number of its tables is drawn at once, whatever its size, from its exact law given the restaurant's other tables (seatings.py).  Seeds are fixed, and messages are put in order, so that a task that is run again gives the same.
 
 Tokens are words between ASCII white space, A-Z in lower case, and one end for each text, which also is the context of the next first word.
 
@@ -33,14 +33,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from willowfold.llm import seatings
 from willowfold.llm.shared import small_batches, stash
 
 CHUNK, PART, WORDS, HOT = 1 << 20, 1 << 20, 1 << 19, 1 << 20
-ROUNDS, SWEEPS, BURN_IN, SAMPLES, MOVES = 2, 3, 2, 4, 32
+ROUNDS, SWEEPS, BURN_IN, SAMPLES, PLAIN = 2, 3, 2, 4, 64
 ADDED = 0.1
 END = b"\n"  # no word holds white space
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_TAIL = 4096
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -81,21 +81,25 @@ def runs(lengths: np.ndarray) -> np.ndarray:
 
 
 class Tables:
-    """Tables of customers: ``size`` customers of each dish, some ``rows`` of dishes with more than one, their sizes in a matrix for each power of two."""
+    """Tables of customers: ``size`` customers of each dish, some ``rows`` of dishes with more than one, their sizes in a matrix for each power of two.
+
+    Of dishes with more than PLAIN customers, ``many``, only the number of tables is kept: predictions need no more.
+    """
 
     def __init__(self, customers: np.ndarray, house: np.ndarray, houses: int):
         self.customers, self.house = customers, house
         self.tables = np.minimum(customers, 1)
         self.total = np.bincount(house, self.tables, houses)
-        order = np.flatnonzero(customers > 1)
+        self.many = np.flatnonzero(customers > PLAIN)
+        order = np.flatnonzero((customers > 1) & (customers <= PLAIN))
         power = np.frexp(customers[order].astype(float))[1]
         self.classes = [(own, customers[own][:, None].astype(np.int64)) for own in (order[power == k] for k in np.unique(power))]
 
-    def sweep(self, rng: np.random.Generator, discount: float, strength: float, parent: np.ndarray, elsewhere: np.ndarray, moves: int = MOVES) -> None:
+    def sweep(self, rng: np.random.Generator, discount: float, strength: float, parent: np.ndarray, elsewhere: np.ndarray) -> None:
         """Take customers up and seat them again; elsewhere: tables of each house that are held in other tasks."""
         for k, (own, seats) in enumerate(self.classes):
             count, house = self.customers[own], self.house[own]
-            n = np.minimum(moves, count)
+            n = count
             one = self.tables[own] == 1
             # whoever sits at the only table opens another by the same chance at each move, so the first time is drawn at once
             new = (strength + discount * (self.total[house] + elsewhere[house])) * parent[own]
@@ -117,6 +121,17 @@ class Tables:
             for end in ends:
                 seats = self._moved(rng, seats, active[:end], own, discount, strength, parent, elsewhere)
             self.classes[k] = (own, seats)
+        if len(self.many):
+            self._drawn_many(rng, discount, strength, parent, elsewhere)
+
+    def _drawn_many(self, rng: np.random.Generator, discount: float, strength: float, parent: np.ndarray, elsewhere: np.ndarray) -> None:
+        """Tables of the large dishes.  Given a gamma variable for each house, its dishes do not depend on each other and each table has one factor."""
+        houses, house = np.unique(self.house[self.many], return_inverse=True)
+        held = self.total[houses] + elsewhere[houses]
+        factor = discount * rng.gamma(strength / discount + held)[house] * parent[self.many]
+        now = seatings.drawn(rng, self.customers[self.many], discount, factor)
+        np.add.at(self.total, self.house[self.many], now - self.tables[self.many])
+        self.tables[self.many] = now
 
     def _moved(self, rng: np.random.Generator, seats: np.ndarray, rows: np.ndarray, own: np.ndarray, discount: float, strength: float, parent: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
         """One customer of each of the rows is taken up and seated again."""
@@ -149,7 +164,10 @@ class Tables:
         return seats
 
     def drawn(self, rng: np.random.Generator, discount: float, strength: float, customers: np.ndarray, seated: np.ndarray) -> tuple[float, float]:
-        """(discount, strength) drawn given the seating, by auxiliary variables of the houses with customers, a house of several parts by what is here."""
+        """(discount, strength) drawn given the seating, by auxiliary variables of the houses with customers, a house of several parts by what is here.
+
+        Large dishes have no sizes of tables; they count by the sum over all of them, and the discount is then drawn by a slice.
+        """
         tables = self.total[seated].astype(np.int64)
         several = tables > 1
         most = int(tables.max(initial=1))
@@ -158,12 +176,15 @@ class Tables:
         from_strength = rng.binomial(reach, strength / (strength + discount * i)).sum() if len(i) else 0
         log_x = np.log(np.maximum(rng.beta(strength + 1, np.maximum(customers[seated][several] - 1, 1e-9)), 1e-300)).sum()
         sizes = np.concatenate([np.zeros(0, np.int64), *[s[s > 1] for _, s in self.classes]])
-        short = np.minimum(sizes, _TAIL)
-        reach_j = np.cumsum(np.bincount(short, minlength=_TAIL + 1)[::-1])[::-1][2:]
+        reach_j = np.cumsum(np.bincount(sizes, minlength=2)[::-1])[::-1][2:]
         j = np.arange(1, len(reach_j) + 1)
         stays = rng.binomial(reach_j, (1 - discount) / (j - discount)).sum() if len(j) else 0
-        stays += rng.poisson((1 - discount) * np.log(np.maximum(sizes / _TAIL, 1)).sum())
-        discount = float(np.clip(rng.beta(1 + reach.sum() - from_strength, 1 + stays), 0.01, 0.99))
+        opens = reach.sum() - from_strength
+        if len(self.many):
+            large, width = seatings.log_likelihood(self.customers[self.many], self.tables[self.many], discount), 4 / np.sqrt(1 + tables.sum())
+            discount = seatings.sliced(rng, lambda d: opens * np.log(d) + stays * np.log(1 - d) + large(d), discount, float(np.clip(width, 0.01, 0.2)), 0.01, 0.99)
+        else:
+            discount = float(np.clip(rng.beta(1 + opens, 1 + stays), 0.01, 0.99))
         return discount, float(max(1e-3, rng.gamma(1 + from_strength, 1 / (1 - log_x))))
 
 
