@@ -129,3 +129,12 @@ def test_rare_tokens_open_their_shards_only(spark, tmp_path):
         read += sum(own.values()) if int(f.parent.name.split("=")[1]) == only else own["held"]
     assert read <= size / 5  # one of fifteen shards, and of the others what they hold, a twentieth of so small ones
     assert wavelet.shards_with(segments, 49_407) == [] and wavelet.lookup(segments, 49_407).count() == 0 and wavelet.count(segments, 49_407).count() == 0
+
+
+def test_texts_of_plain_letters_are_looked_up_in_lower_case():
+    texts = ["The THE the It'll 'S'LL x'sy don't... À la ÉTÉ été!! ÿØ×÷ß 12a3 $$$ _ `\\ a\tb\x0bc\x0cd\re\nf", "", "\n", "'", "The\x1cthe \x85the The", "Ångström·the STRASSE ﬁ The"]
+    own = wavelet.WordIds(PATH)
+    assert [np.frombuffer(i, own.kind).tolist() for i in own.encode(texts)] == [e.ids for e in TOKENIZER.encode_batch(texts, add_special_tokens=False)]
+    own = wavelet.WordIds(PATH)
+    own.encode(["The THE the tHe"])
+    assert len(own.words) == 1  # four before: each was learned and kept for itself

@@ -193,7 +193,8 @@ class WordIds:
     """Ids of whole texts by a tokenizer file that drops white space, each word looked at once.
 
     A word of ASCII characters and Latin letters is cut further into the pieces of the file's pattern, which words with
-    other capitals or punctuation share; the library is asked for new pieces, and for all other words as they are.
+    other capitals or punctuation share; the library's model is asked for new pieces, and the library for all other words as they are.
+    Texts of such characters alone are put in lower case first, as the file has it, so that they have fewer different words.
     A full table is emptied; words are then found again from the pieces.
     """
 
@@ -208,8 +209,7 @@ class WordIds:
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.kind = np.uint16 if self.bits <= 16 else np.uint32
         self.code = "H" if self.kind is np.uint16 else "I"
-        self.ends = np.zeros(1 << self.bits, bool)
-        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -219,33 +219,30 @@ class WordIds:
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             yield from zip(part, (array(self.code, e.ids).tobytes() for e in found), strict=True)
 
-    def _ask_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
-        """The ids of pieces, many to a text with blanks between: each ends with the one id of its that ends a word."""
-        for at in range(0, len(pieces), 8192):
-            part = [pieces[i : i + 256] for i in range(at, min(at + 8192, len(pieces)), 256)]
-            for own, e in zip(part, self.tokenizer.encode_batch_fast([" ".join(p) for p in part], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, self.kind)
-                stops = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
-                if len(stops) != len(own):  # one of them is no piece of one word
-                    yield from self._ask(own)
-                    continue
-                data, begin = ids.tobytes(), 0
-                for piece, stop in zip(own, stops.tolist(), strict=True):
-                    yield piece, data[begin:stop]
-                    begin = stop
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece by the library's model, as bytes in the file's letters for them; kept."""
+        ids = array(self.code, [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(_BYTES))]).tobytes()
+        self.pieces[piece] = ids
+        return ids
 
     def _learn(self, new: set[str]) -> None:
-        words = self.words
-        whole = [w for w in new if w.isascii() and w.isalpha() and w.islower()]  # one piece each
-        cut = {w: _PIECE.findall(w.lower()) for w in new.difference(whole) if _PLAIN(w)}
+        words, other = self.words, []
         if len(self.pieces) > KEPT_PIECES:
             self.pieces.clear()
-        pieces = self.pieces
-        pieces.update(self._ask_pieces(list(set(whole).union(*cut.values()).difference(pieces))))
-        get = pieces.__getitem__
-        words.update(zip(whole, map(get, whole), strict=True))
-        words.update([(w, b"".join(map(get, own))) for w, own in cut.items()])
-        words.update(self._ask(list(new.difference(whole).difference(cut))))
+        known, ask = self.pieces.get, self._piece
+        for word in new:
+            core = word.rstrip(_MARKS)
+            if core.isalpha() and core.islower() and (core.isascii() or _LOWER(core)):  # a piece, and one of marks behind it
+                ids = known(core) or ask(core)
+                if len(core) < len(word):
+                    tail = word[len(core) :]
+                    ids += known(tail) or ask(tail)
+                words[word] = ids
+            elif _PLAIN(word):
+                words[word] = b"".join([known(p) or ask(p) for p in _PIECE.findall(word.lower())])
+            else:
+                other.append(word)
+        words.update(self._ask(other))
 
     def may_hold_added(self, text: str) -> bool:
         if not any(mark in text for mark in self.marks):
@@ -260,7 +257,7 @@ class WordIds:
             rest = iter(self.encode([t for i, t in enumerate(texts) if i not in whole], end))
             own = {i: array(self.code, self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() + end for i, t in whole.items()}
             return [own[i] if i in own else next(rest) for i in range(len(texts))]
-        cut = [_SPACE.split(t) if any(c in t for c in _ODD) else t.split() for t in texts]
+        cut = [t.lower().split() if _PLAIN_TEXT(t) else _SPACE.split(t) if any(c in t for c in _ODD) else t.split() for t in texts]
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
         known = self.words
@@ -273,6 +270,11 @@ class WordIds:
 _ODD = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile("[ \n]+")
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+_PLAIN_TEXT = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*").fullmatch
+_LOWER = re.compile("[a-zß-öø-ÿ]+").fullmatch
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The file's letters for the bytes of letters beyond ASCII, all of which start with 0xC3; bytes that are no visible Latin-1 character have a letter from 256 on.
+_BYTES = {c: "Ã" + chr(b if b > 0xA0 and b != 0xAD else 256 + 33 + b - 0x7F if b < 0xA1 else 323) for c in range(0xC0, 0x100) for b in (c - 0x40,)}
 # Fixed value: the file's own pattern, for lower-case words of those characters.
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
