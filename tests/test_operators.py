@@ -171,6 +171,13 @@ def test_label_budget_shares_one_counter(spark):
     assert got == [0, 1, 2, 3, 4, 5, 111, 110, 109, 108]
 
 
+def test_find_whole_names(spark):
+    df = spark.createDataFrame([(24912, "Player 24912", "選手24912", True), (249, "Player 249", "選手249", False), (12, "Player 12", "Player 12", True)], "player int, latin_name string, display_name string, is_focus boolean")
+    found = lambda q, **kw: [r.player for r in serve.find_player(df, q, **kw).collect()]
+    assert found("player 249") == [24912] and found("player 249", whole=True) == found("layer", whole=True) == found(" ", whole=True) == []
+    assert found(" PLAYER 12", whole=True) == [12] and found("選手24912", whole=True) == [24912]
+
+
 def test_find_and_leaders(spark):
     df = spark.createDataFrame([(2, "Ann Lee", "Ann Lee", "x", True), (1, "Joann Lee", "Joann Lee", "x", True), (0, "Ann Lee", "Lee", "x", False)], "player int, latin_name string, display_name string, country string, is_focus boolean")
     assert [serve.find_player(df, q).first()[0] for q in ("ann lee", "LEE", "jo")] == [2, 1, 1] and serve.find_player(df, "zz").count() == 0

@@ -27,10 +27,10 @@ def search_players(players: DataFrame, q: str) -> DataFrame:
     return players.where(F.contains(F.lower(F.concat_ws(" ", "display_name", "latin_name", "country")), F.lit(q.strip().lower())))
 
 
-def find_player(players: DataFrame, q: str) -> DataFrame:
+def find_player(players: DataFrame, q: str, whole: bool = False) -> DataFrame:
     """The first focus player of that very name, else the first whose name contains it; names are either name, first is by id.
 
-    An empty text finds nobody.
+    With whole only that very name counts.  An empty text finds nobody.
     """
     q = q.strip().lower()
     if not q:
@@ -39,7 +39,7 @@ def find_player(players: DataFrame, q: str) -> DataFrame:
     names = [F.lower("display_name"), F.lower("latin_name")]
     exact = F.coalesce(names[0] == q, F.lit(False)) | F.coalesce(names[1] == q, F.lit(False))
     part = F.coalesce(F.contains(names[0], F.lit(q)), F.lit(False)) | F.coalesce(F.contains(names[1], F.lit(q)), F.lit(False))
-    level = F.when(exact, 0).when(part, 1)
+    level = F.when(exact, 0) if whole else F.when(exact, 0).when(part, 1)
     return players.withColumn("_level", level).where("_level is not null").orderBy("_level", "player").limit(1).drop("_level")
 
 
